@@ -38,14 +38,15 @@ def test_ranks_that_fall_within_a_word():
     t = tiktoken.Encoding("own", pat_str=r"[a-z]+", mergeable_ranks=ranks, special_tokens={})
     rnd = random.Random(2)
     words = ["".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 14))) for _ in range(3000)]
-    assert bpe.Replay(ranks).encode([w.encode() for w in words]) == [t.encode_ordinary(w) for w in words]
+    ids, n = bpe.Replay(ranks).encode([w.encode() for w in words])
+    assert [x.tolist() for x in bpe.np.split(ids, bpe.np.cumsum(n)[:-1])] == [t.encode_ordinary(w) for w in words]
 
 
 def test_the_kept_words_are_bounded():
     enc = bpe.Encoder(RANKS, P.PATTERN, keep=10)
     for t in texts()[:40]:
-        (packed,) = enc.encode([t])
-        assert packed == struct.pack(f"<{len(packed) // 4}I", *TIKTOKEN.encode_ordinary(t))
+        (ids,) = enc.encode([t])
+        assert ids.tolist() == TIKTOKEN.encode_ordinary(t) and enc.decode(ids) == t.encode()
 
 
 def test_round_trip_and_empty_table(spark):
