@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provender.llm import bpe, decontaminate, licences, maxscore, pii, quality, simhash, url_filter, wordpiece
+from provender.llm import bpe, decontaminate, licences, maxscore, pii, quality, repeats, simhash, url_filter, wordpiece
 from provender.llm.shared import table
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -26,6 +26,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), BPE_RANKS, public_tokenizers.PATTERN)
 
@@ -52,7 +56,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(table(spark, sf_dir, "documents"), BPE_RANKS, public_tokenizers.PATTERN)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (op1_decontamination, op2_url_filter, op3_pii, op5_byte_bpe, op6_maxscore, op7_quality, op8_simhash, op9_licences, op10_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (op1_decontamination, op2_url_filter, op3_pii, op4_repeats, op5_byte_bpe, op6_maxscore, op7_quality, op8_simhash, op9_licences, op10_token_counts)}
 ORACLES: dict[str, str] = {
     "op2_url_filter": url_filter.SQL,
     "op6_maxscore": """
