@@ -113,25 +113,32 @@ def revealing_terms(docs: DataFrame, rule: Disclosure = Disclosure()) -> DataFra
     letters = lambda c: F.filter(F.split(F.lower(c), r"[\s.,;:!?]+"), lambda w: w.rlike(rf"^{LETTERS}$"))
     around = found.select(
         F.xxhash64("kind", F.lower(F.substr(text, start + 1, end - start))).alias("entity"),
+        F.xxhash64("text").alias("of"),
         F.reverse(F.slice(F.reverse(letters(left)), 1, rule.words)).alias("l"),
         F.slice(letters(right), 1, rule.words).alias("r"),
     )
-    contexts = settle(around.select("entity", F.xxhash64("l", "r").alias("context"), F.array_distinct(F.concat("l", "r")).alias("terms")).distinct())
+    contexts = settle(around.select("entity", "of", F.xxhash64("l", "r").alias("context"), F.explode_outer(F.array_distinct(F.concat("l", "r"))).alias("term")).distinct())
     entities = contexts.groupBy("entity").agg(F.countDistinct("context").alias("n_entity")).where(F.col("n_entity") >= rule.least_contexts)
-    together = contexts.join(entities, "entity").select("entity", "n_entity", "context", F.explode("terms").alias("term")).groupBy("entity", "n_entity", "term").agg(F.countDistinct("context").alias("n_both"))
-    candidates = settle(together.where(F.col("n_both") >= rule.least_contexts))
+    together = contexts.where("term is not null").join(entities, "entity").groupBy("entity", "n_entity", "term").agg(F.countDistinct("context").alias("n_both"))
+    total = docs.count()
+    both = F.col("n_both")
+    # the entity's share of all documents, from its contexts; P(e|t) can't be over 1
+    own = F.log2(F.lit(float(total + 1)) / F.col("n_entity"))
+
+    def share(n_term):
+        return F.when(own > 0, (F.log2(F.least(F.lit(1.0), both / n_term)) + own) / own).otherwise(0.0)
+
+    # a term is in at least as many documents as it has contexts in; most common words can't come up to the share then
+    seen = contexts.groupBy("term").agg(F.countDistinct("of").alias("n_seen"))
+    candidates = together.where(both >= rule.least_contexts).join(seen, "term")
+    candidates = settle(candidates.where(share(F.col("n_seen")) >= rule.generalise))
     if candidates.isEmpty():
         return candidates.select("term", F.lit(0.0).alias("share"))
     terms = settle(candidates.select("term").distinct())
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(LETTERS), F.lit(0)))).alias("term"))
     frequency = words.join(_small(terms, rule), "term").groupBy("term").agg(F.count("*").alias("n_term"))
-    total = docs.count()
-    both = F.col("n_both")
-    # the entity's share of all documents, from its contexts; P(e|t) can't be over 1
-    given = F.least(F.lit(1.0), both / F.col("n_term"))
-    own = F.log2(F.lit(float(total + 1)) / F.col("n_entity"))
-    share = F.when(own > 0, (F.log2(given) + own) / own).otherwise(0.0)
-    return candidates.join(frequency, "term").select("term", share.alias("share")).groupBy("term").agg(F.max("share").alias("share")).where(F.col("share") >= rule.generalise)
+    shares = candidates.join(frequency, "term").select("term", share(F.col("n_term")).alias("share"))
+    return shares.groupBy("term").agg(F.max("share").alias("share")).where(F.col("share") >= rule.generalise)
 
 
 def _small(df: DataFrame, rule: Disclosure) -> DataFrame:
