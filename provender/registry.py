@@ -1,6 +1,6 @@
 """All queries of the procurement engine and their SQL counterparts."""
 
-from __future__ import annotations
+from provender.plans import aggregates, scalars  # noqa: F401
+from provender.plans.base import ORACLES, QUERIES
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+__all__ = ["ORACLES", "QUERIES"]
