@@ -94,11 +94,11 @@ def food_group_rollup(spark, d):
 
 
 RAW_SQL = """numbered AS (SELECT *, row(ok, ln, product_id, sk) AS ord FROM purchases),
-yn AS (SELECT campus, raw_name, sustainable_yn FROM (SELECT campus, raw_name, sustainable_yn, row_number() OVER (PARTITION BY campus, raw_name ORDER BY count(*) DESC, sustainable_yn) AS r FROM numbered GROUP BY ALL) WHERE r = 1),
-kinds AS (SELECT campus, raw_name, purchase_type FROM (SELECT campus, raw_name, purchase_type, row_number() OVER (PARTITION BY campus, raw_name ORDER BY count(*) DESC, purchase_type) AS r FROM numbered GROUP BY ALL) WHERE r = 1),
+yn AS (SELECT campus, raw_name, sustainable_yn FROM (SELECT campus, raw_name, sustainable_yn, row_number() OVER (PARTITION BY campus, raw_name ORDER BY count(*) DESC, sustainable_yn) AS r FROM numbered GROUP BY campus, raw_name, sustainable_yn) WHERE r = 1),
+kinds AS (SELECT campus, raw_name, purchase_type FROM (SELECT campus, raw_name, purchase_type, row_number() OVER (PARTITION BY campus, raw_name ORDER BY count(*) DESC, purchase_type) AS r FROM numbered GROUP BY campus, raw_name, purchase_type) WHERE r = 1),
 g AS (SELECT campus, raw_name, CAST(sum(total_price) AS DOUBLE) AS total_price, CAST(sum(CAST(total_weight_lbs AS DECIMAL(18,4))) AS DOUBLE) AS total_weight_lbs,
   arg_min(vendor, ord) FILTER (vendor IS NOT NULL) AS vendor, arg_min(brand, ord) FILTER (brand IS NOT NULL) AS brand,
-  ['reported', 'computed_tier2', 'reference_table_tier3', 'unresolved'][coalesce(max(CASE weight_source WHEN 'reported' THEN 1 WHEN 'computed_tier2' THEN 2 WHEN 'reference_table_tier3' THEN 3 ELSE 4 END) FILTER (total_weight_lbs IS NOT NULL), 4)] AS weight_source, count(*) AS n_rows FROM numbered GROUP BY ALL),
+  ['reported', 'computed_tier2', 'reference_table_tier3', 'unresolved'][coalesce(max(CASE weight_source WHEN 'reported' THEN 1 WHEN 'computed_tier2' THEN 2 WHEN 'reference_table_tier3' THEN 3 ELSE 4 END) FILTER (total_weight_lbs IS NOT NULL), 4)] AS weight_source, count(*) AS n_rows FROM numbered GROUP BY campus, raw_name),
 raw AS (SELECT g.*, sustainable_yn, purchase_type, nullif(total_price, 0) / nullif(total_weight_lbs, 0) AS unit_price FROM g JOIN yn USING (campus, raw_name) JOIN kinds USING (campus, raw_name))"""
 
 
