@@ -38,11 +38,11 @@ class Replay:
         pairs = np.array(sorted(cuts), np.int64).reshape(-1, 2)
         self.keys, self.merged = np.append(pairs[:, 0], -2), np.append(pairs[:, 1], -1)  # every way to make a token of two
         self.keys[-1] = np.iinfo(np.int64).max
-        self.byte = np.array([ranks[bytes([c])] for c in range(256)], np.int64)
+        self.byte = np.array([ranks[bytes([c])] for c in range(256)], np.int32)
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Ranks of the pairs, -1 for those that don't merge."""
-        key = a << 20 | b
+        key = a.astype(np.int64) << 20 | b
         at = np.searchsorted(self.keys, key)
         return np.where(self.keys[at] == key, self.merged[at], -1)
 
@@ -50,18 +50,19 @@ class Replay:
         """All words' ids one after another, and how many each word has."""
         whole = np.array([self.ranks.get(w, -1) for w in words], np.int64)  # a word that is a token is that token
         lengths = np.where(whole >= 0, 0, np.array([len(w) for w in words], np.int64))
-        owner = np.repeat(np.arange(len(words)), lengths)
+        owner = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
         n = len(owner)
-        tok = np.append(self.byte[np.frombuffer(b"".join(w for w, k in zip(words, whole.tolist()) if k < 0), np.uint8)], -1)  # place n stands for beyond the word
-        nxt, prv = np.arange(1, n + 2), np.arange(-1, n)
+        tok = np.append(self.byte[np.frombuffer(b"".join(w for w, k in zip(words, whole.tolist()) if k < 0), np.uint8)], np.int32(-1))  # place n stands for beyond the word
+        nxt, prv = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
         last = np.append(owner[1:] != owner[:-1], True) if n else np.zeros(0, bool)
         nxt[:n][last] = n
         prv[:n][np.append(True, last[:-1])[:n]] = n
         ranks = self.rank(tok[:n], tok[nxt[:n]])
-        places = np.flatnonzero(ranks >= 0)
+        places = np.flatnonzero(ranks >= 0).astype(np.int32)
         places = places[np.argsort(ranks[places], kind="stable")]
         starts = np.flatnonzero(np.diff(ranks[places], prepend=-1))
         index = dict(zip(ranks[places[starts]].tolist(), np.split(places, starts[1:])))
+        del ranks, places
         later: dict[int, list[int]] = {}
         heap = list(index)
         heapq.heapify(heap)
@@ -134,7 +135,7 @@ def spread(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, which: np.
 class Encoder:
     """Texts to ids. Words keep their ids from block to block, up to ``keep`` words; then the table starts anew."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 600_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, keep: int = 300_000):
         self.replay, self.find, self.keep = Replay(ranks), regex.compile(pattern).findall, keep
         size = max(ranks.values()) + 1
         self.byte_n = np.zeros(size, np.int64)
@@ -166,7 +167,7 @@ class Encoder:
 _encoders: dict = {}
 
 
-def blocks(batches, chars: int = 32_000_000):
+def blocks(batches, chars: int = 12_000_000):
     """Slices of the batches' rows whose texts (column 1) have about so many bytes; a longer text is alone."""
     for b in batches:
         start = total = 0
@@ -184,7 +185,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
     and, if asked, ids (array<int>). ``passed`` names further columns of docs to carry.
 
     The vocabulary (a fixed file of under 1 MB) is read on the driver and sent once. Each task replays the merges block by
-    block over the distinct words of some 32 MB of text, so memory doesn't follow the corpus and nothing is shuffled.
+    block over the distinct words of some 12 MB of text, so memory doesn't follow the corpus and nothing is shuffled.
     Null texts are empty texts: no tokens, the hashes of nothing. Repeated rows stay; an empty table gives none.
     """
     spark, passed = docs.sparkSession, passed or []
