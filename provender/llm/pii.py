@@ -213,3 +213,38 @@ def sanitise(docs: DataFrame, *, rule: Disclosure = Disclosure()) -> DataFrame:
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(docs.columns)
+
+
+def _sql_kind(kind: str, pattern: str, ok: str, table: str = "t") -> str:
+    """Matches of a pattern with their places: pieces and matches side by side, lengths added up."""
+    return f"""{kind}_cut AS (SELECT rid, string_split_regex(text, '{pattern}') AS parts, regexp_extract_all(text, '{pattern}') AS hits FROM {table}),
+{kind}_at AS (SELECT rid, i, hits[i] AS hit, sum(length(parts[i])) OVER w + coalesce(sum(length(hits[i])) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a
+  FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM {kind}_cut) WINDOW w AS (PARTITION BY rid ORDER BY i)),
+{kind}_s AS (SELECT rid, hit, CAST(a AS BIGINT) AS a, CAST(a + length(hit) AS BIGINT) AS b FROM {kind}_at WHERE {ok})"""
+
+
+_DIGITS = "regexp_replace(hit, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN (length({_DIGITS}) - i) % 2 = 1 THEN 2 * CAST({_DIGITS}[i] AS INTEGER) - CASE WHEN CAST({_DIGITS}[i] AS INTEGER) > 4 THEN 9 ELSE 0 END ELSE CAST({_DIGITS}[i] AS INTEGER) END)) % 10 = 0"
+_LIST = "list_filter(string_split_regex(lower({0}), '[\s.,;:!?]+'), lambda w: regexp_full_match(w, '\p{{L}}{{2,}}'))"
+#: The query in DuckDB's SQL, with Disclosure()'s figures.
+SQL = f"""WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+{_sql_kind("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+", "true")},
+{_sql_kind("ip", r"[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+", f"regexp_full_match(hit, '{_PART}(?:[.]{_PART}){{3}}')")},
+{_sql_kind("card", r"[0-9](?:[ -]?[0-9])+", f"length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN}")},
+{_sql_kind("phone", r"[+][0-9][ ().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15")},
+found AS ({" UNION ALL ".join(f"SELECT rid, '{k}' AS kind, hit, a, b FROM {k}_s" for k in KINDS)}),
+around AS (SELECT kind || ':' || lower(hit) AS entity, text, list_reverse(list_reverse({_LIST.format("substr(text, greatest(a - 80, 0) + 1, least(a, 80))")})[1:4]) AS l, {_LIST.format("substr(text, b + 1, 80)")}[1:4] AS r FROM found JOIN t USING (rid)),
+near AS (SELECT DISTINCT entity, text, l, r, unnest(CASE WHEN len(l || r) = 0 THEN [NULL] ELSE list_distinct(l || r) END) AS term FROM around),
+entities AS (SELECT entity, count(DISTINCT (l, r)) AS n_entity FROM near GROUP BY entity HAVING count(DISTINCT (l, r)) >= 3),
+both_ AS (SELECT entity, n_entity, term, count(DISTINCT (l, r)) AS n_both FROM near JOIN entities USING (entity) WHERE term IS NOT NULL GROUP BY ALL HAVING count(DISTINCT (l, r)) >= 3),
+words AS (SELECT rid, unnest(list_distinct(regexp_extract_all(lower(text), '\p{{L}}{{2,}}'))) AS term FROM t),
+often AS (SELECT term, count(*) AS n_term FROM words WHERE term IN (SELECT term FROM both_) GROUP BY term),
+shares AS (SELECT term, max((log2(least(1.0, n_both / n_term)) + log2(((SELECT count(*) FROM t) + 1) / n_entity)) / log2(((SELECT count(*) FROM t) + 1) / n_entity)) AS share FROM both_ JOIN often USING (term) GROUP BY term),
+having_ AS (SELECT DISTINCT rid FROM words WHERE term IN (SELECT term FROM shares WHERE share >= 0.8)),
+small AS (SELECT * FROM t SEMI JOIN having_ USING (rid)),
+{_sql_kind("word", "\\p{L}{2,}", "lower(hit) IN (SELECT term FROM shares WHERE share >= 0.8)", "small")},
+told AS (SELECT rid, a, b, CASE WHEN share >= 0.95 THEN 'removed' ELSE 'generalised' END AS kind FROM word_s JOIN shares ON term = lower(hit)),
+every AS (SELECT rid, kind, a, b FROM found UNION ALL SELECT rid, kind, a, b FROM told),
+texts AS (SELECT rid, {", ".join(f"string_agg('{k}:' || a || ':' || b, ',' ORDER BY a) FILTER (kind = '{k}') AS s_{k}, count(*) FILTER (kind = '{k}') AS n_{k}" for k in [*KINDS, "generalised", "removed"])} FROM every GROUP BY rid)
+SELECT doc_id, {", ".join(f"CAST(coalesce(n_{k}, 0) AS BIGINT) AS n_{k}" for k in KINDS)}, sha256(concat_ws(',', {", ".join(f"s_{k}" for k in KINDS)})) AS base_sha256, concat_ws(',', {", ".join(f"s_{k}" for k in [*KINDS, "generalised", "removed"])}) AS spans
+FROM t LEFT JOIN texts USING (rid)"""

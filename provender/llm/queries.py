@@ -59,6 +59,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (op1_decontamination, op2_url_filter, op3_pii, op4_repeats, op5_byte_bpe, op6_maxscore, op7_quality, op8_simhash, op9_licences, op10_token_counts)}
 ORACLES: dict[str, str] = {
     "op2_url_filter": url_filter.SQL,
+    "op3_pii": pii.SQL,
+    "op4_repeats": repeats.SQL,
     "op6_maxscore": """
         WITH v AS (
           SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v

@@ -2,7 +2,7 @@
 
 1. Each document's anchors (minimisers of 20-byte strings in every 50-byte window) meet by hash; those of two documents
    or more are candidates. Equal 50-byte strings have equal anchors at equal offsets, so none is missed.
-2. The bytes around each candidate anchor, once per block of documents, go to the anchor's shard.
+2. The windows around each candidate anchor that have it, once per block of documents, go to the anchor's shard.
 3. A shard's distinct contexts become a run-length Burrows-Wheeler transform. All contexts stream through it from right
    to left; where a matching statistic reaches 50 they learn the smallest document that has that string.
 4. The answers join the anchors' places, and each document loses the bytes that are covered.
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -44,10 +45,11 @@ def _slide(f, a: np.ndarray, n: int) -> np.ndarray:
     return f(a[: len(a) - (n - w)], a[n - w :]) if n > w else a
 
 
-def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the 20-byte strings that are the smallest, ties included, of some 50-byte window."""
+def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and hashes of the 20-byte strings that are the smallest, ties included, of some 50-byte window; and the
+    smallest hash of each window."""
     if len(text) < SIZE:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     h1 = np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1)
     h2 = h1[:-1] * _P[0] + h1[1:]
     h4 = h2[:-2] * _P[1] + h2[2:]
@@ -59,7 +61,14 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     low = _slide(np.minimum, h, SPAN)
     edge = np.zeros(SPAN - 1, np.uint64)
     at = np.flatnonzero(_slide(np.maximum, np.concatenate([edge, low, edge]), SPAN) == h)
-    return at, h[at]
+    return at, h[at], low
+
+
+def windows(at: np.ndarray, hashes: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last window whose smallest 20-byte string is the anchor; those between are so as well."""
+    start = at[:, None] - np.arange(SPAN)
+    own = (start >= 0) & (start < len(low)) & (low[np.clip(start, 0, len(low) - 1)] == hashes[:, None])
+    return at - (SPAN - 1) + own[:, ::-1].argmax(1), at - own.argmax(1)
 
 
 class RunIndex:
@@ -152,9 +161,15 @@ def _maybe(contexts: list[bytes], lefts: np.ndarray, group: np.ndarray) -> np.nd
 def shard_answers(contexts: list[bytes], lefts: np.ndarray, group: np.ndarray, low: np.ndarray, high: np.ndarray, most: int = 20_000):
     """Yields (context, from, to, document): from those offsets to the anchor the 50-byte strings of a context first occur in
     that document, smaller than some document of the context."""
+    _, inverse, count = np.unique(group, return_inverse=True, return_counts=True)
+    alone = count[inverse] == 1
+    # a context that is its anchor's only one shares all its strings with its own copies and with nothing else
+    for i in np.flatnonzero(alone & (low < high)).tolist():
+        yield i, -int(lefts[i]), len(contexts[i]) - SIZE - int(lefts[i]), int(low[i])
     order = np.argsort(group, kind="stable")
-    multi = low < high
-    may = _maybe(contexts, lefts, group) | (multi & np.array([len(c) >= SIZE for c in contexts], bool))
+    may = np.zeros(len(group), bool)
+    rest = np.flatnonzero(~alone)
+    may[rest] = _maybe([contexts[i] for i in rest.tolist()], lefts[rest], group[rest]) | (low < high)[rest]
     order = order[may[order]]
     cut = np.flatnonzero(np.diff(group[order]) != 0) + 1
     start = 0
@@ -179,9 +194,11 @@ def _blob(a: np.ndarray) -> bytes:
 
 
 def _release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of finished steps."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Lets Spark drop the shuffle files of finished steps, which it does when the driver's objects for them are collected."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(1)
 
 
 def _candidates(docs: DataFrame, buckets: int, parts: int) -> DataFrame:
@@ -256,13 +273,14 @@ def _contexts(docs: DataFrame, candidates: DataFrame, shards: int, parts: int) -
                 if x == y:
                     continue
                 text = raw.as_py()
-                at, h = anchors(text)
+                at, h, least = anchors(text)
                 mine = np.isin(h, ready[1][x:y])
                 at, h = at[mine], h[mine]
+                first, last = windows(at, h, least)
                 keys = np.empty((len(at), 2), np.int64)
-                for i, (a, hash_) in enumerate(zip(at.tolist(), h.tolist())):
-                    lead = min(a, LEFT)
-                    c = text[a - lead : a + SIZE]
+                for i, (a, lo, hi, hash_) in enumerate(zip(at.tolist(), first.tolist(), last.tolist(), h.tolist())):
+                    lead = a - lo
+                    c = text[lo : hi + SIZE]
                     keys[i] = np.frombuffer(xxhash.xxh3_128_digest(c, lead), np.int64)
                     entry = seen.get((lead, c))
                     if entry is None:
@@ -372,3 +390,19 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return mark(docs, id_col=id_col, text_col=text_col).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
+
+#: The same in DuckDB's SQL, over all 50-byte strings: for small tables.
+SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT rid, doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT rid, doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d)),
+m AS (SELECT s, min(doc_id) AS f FROM w GROUP BY s),
+hit AS (SELECT w.rid, w.i FROM w JOIN m USING (s) WHERE f < doc_id),
+edge AS (SELECT rid, i, CASE WHEN i - lag(i) OVER (PARTITION BY rid ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM hit),
+isle AS (SELECT rid, i, sum(new) OVER (PARTITION BY rid ORDER BY i) AS k FROM edge),
+span AS (SELECT rid, k, min(i) AS a, max(i) + 50 AS b FROM isle GROUP BY rid, k),
+piece AS (SELECT rid, k, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY k), 0) AS before FROM span),
+kept AS (SELECT p.rid, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY k) || substr(any_value(h), 2 * max(b) + 1) AS h, sum(b - a) AS gone, count(*) AS n FROM piece p JOIN d USING (rid) GROUP BY p.rid)
+SELECT doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)
+"""

@@ -80,3 +80,19 @@ def test_nulls_and_empty_table(spark):
     assert sorted((r.text or "") for r in pii.sanitise(docs).collect()) == ["", "", "mail <email>, <phone>"]
     empty = docs.limit(0)
     assert pii.report(pii.find(empty)).collect() == [] and pii.sanitise(empty).collect() == []
+
+
+def test_sql_says_the_same_of_revealing_terms(spark):
+    import duckdb
+    import pandas as pd
+
+    rows = story() + [(300, None), (301, "1.2.3.4, 4111 1111 1111 1111 +1 (386) 555-3733")]
+    con = duckdb.connect()
+    frame = pd.DataFrame(rows, columns=["doc_id", "text"])
+    con.register("frame", frame)
+    con.execute("CREATE VIEW documents AS SELECT doc_id, CAST(text AS VARCHAR) AS text FROM frame")
+    cur = con.execute(pii.SQL)
+    names = [d[0] for d in cur.description]
+    got = pii.report(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).select(*names)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(cur.fetchall())
+    assert any("generalised" in r.spans for r in got.collect())
