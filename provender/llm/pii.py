@@ -225,9 +225,9 @@ def _sql_kind(kind: str, pattern: str, ok: str, table: str = "t") -> str:
 
 _DIGITS = "regexp_replace(hit, '[^0-9]', '', 'g')"
 _LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN (length({_DIGITS}) - i) % 2 = 1 THEN 2 * CAST({_DIGITS}[i] AS INTEGER) - CASE WHEN CAST({_DIGITS}[i] AS INTEGER) > 4 THEN 9 ELSE 0 END ELSE CAST({_DIGITS}[i] AS INTEGER) END)) % 10 = 0"
-_LIST = "list_filter(string_split_regex(lower({0}), '[\s.,;:!?]+'), lambda w: regexp_full_match(w, '\p{{L}}{{2,}}'))"
+_LIST = r"list_filter(string_split_regex(lower({0}), '[\s.,;:!?]+'), lambda w: regexp_full_match(w, '\p{{L}}{{2,}}'))"
 #: The query in DuckDB's SQL, with Disclosure()'s figures.
-SQL = f"""WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+SQL = rf"""WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 {_sql_kind("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+", "true")},
 {_sql_kind("ip", r"[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+", f"regexp_full_match(hit, '{_PART}(?:[.]{_PART}){{3}}')")},
 {_sql_kind("card", r"[0-9](?:[ -]?[0-9])+", f"length({_DIGITS}) BETWEEN 13 AND 19 AND {_LUHN}")},
