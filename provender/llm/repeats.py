@@ -45,20 +45,25 @@ def _slide(f, a: np.ndarray, n: int) -> np.ndarray:
     return f(a[: len(a) - (n - w)], a[n - w :]) if n > w else a
 
 
-def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places and hashes of the 20-byte strings that are the smallest, ties included, of some 50-byte window; and the
-    smallest hash of each window."""
+def anchors(text: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts that lie one after another (bytes, and where each begins): places and hashes of the 20-byte strings that are
+    the smallest, ties included, of some 50-byte window within a text; and the smallest hash of each window, 0 for windows
+    that cross a border."""
     if len(text) < SIZE:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    h1 = np.frombuffer(text, np.uint8).astype(np.uint64) + np.uint64(1)
+    h1 = text.astype(np.uint64) + np.uint64(1)
     h2 = h1[:-1] * _P[0] + h1[1:]
     h4 = h2[:-2] * _P[1] + h2[2:]
     h8 = h4[:-4] * _P[2] + h4[4:]
     h16 = h8[:-8] * _P[3] + h8[8:]
     h = h16[:-4] * _P[2] + h4[16:]
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
+    h |= np.uint64(1)
     low = _slide(np.minimum, h, SPAN)
+    for b in starts[1:].tolist():
+        low[max(0, b - SIZE + 1) : b] = 0
     edge = np.zeros(SPAN - 1, np.uint64)
     at = np.flatnonzero(_slide(np.maximum, np.concatenate([edge, low, edge]), SPAN) == h)
     return at, h[at], low
@@ -71,6 +76,17 @@ def windows(at: np.ndarray, hashes: np.ndarray, low: np.ndarray) -> tuple[np.nda
     return at - (SPAN - 1) + own[:, ::-1].argmax(1), at - own.argmax(1)
 
 
+def chunks(column: pa.Array, most: int = 200_000):
+    """(first row, bytes, where each text begins) of runs of rows of about ``most`` bytes, which stay in the processor's cache."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8) if offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+    row = 0
+    while row < len(column):
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, side="right")) - 1)
+        yield row, data[offsets[row] : offsets[end]], offsets[row:end] - offsets[row]
+        row = end
+
+
 class RunIndex:
     """A run-length Burrows-Wheeler transform of contexts, each ended by a mark of its own (mark k sorts as k, before all bytes).
 
@@ -159,13 +175,14 @@ def _maybe(contexts: list[bytes], lefts: np.ndarray, group: np.ndarray) -> np.nd
 
 
 def shard_answers(contexts: list[bytes], lefts: np.ndarray, group: np.ndarray, low: np.ndarray, high: np.ndarray, most: int = 20_000):
-    """Yields (context, from, to, document): from those offsets to the anchor the 50-byte strings of a context first occur in
+    """Arrays (context, from, to, document): from those offsets to the anchor the 50-byte strings of a context first occur in
     that document, smaller than some document of the context."""
+    lengths = np.fromiter(map(len, contexts), np.int64, len(contexts))
     _, inverse, count = np.unique(group, return_inverse=True, return_counts=True)
     alone = count[inverse] == 1
     # a context that is its anchor's only one shares all its strings with its own copies and with nothing else
-    for i in np.flatnonzero(alone & (low < high)).tolist():
-        yield i, -int(lefts[i]), len(contexts[i]) - SIZE - int(lefts[i]), int(low[i])
+    i = np.flatnonzero(alone & (low < high))
+    out = [np.stack([i, -lefts[i], lengths[i] - SIZE - lefts[i], low[i]])]
     order = np.argsort(group, kind="stable")
     may = np.zeros(len(group), bool)
     rest = np.flatnonzero(~alone)
@@ -178,15 +195,23 @@ def shard_answers(contexts: list[bytes], lefts: np.ndarray, group: np.ndarray, l
         end = len(order) if k >= len(cut) else max(int(cut[k]), start + 1)
         part = order[start:end]
         start = end
-        index = RunIndex([contexts[i] for i in part.tolist()], low[part])
-        found = index.stream()
-        wins = found < high[part][:, None]
-        for row in np.flatnonzero(wins.any(1)).tolist():
-            m, i = found[row], int(part[row])
-            edges = np.append(0, np.flatnonzero(np.diff(m)) + 1).tolist()
-            for a, b in zip(edges, [*edges[1:], len(m)]):
-                if m[a] < high[i]:
-                    yield i, a - int(lefts[i]), b - 1 - int(lefts[i]), int(m[a])
+        found = RunIndex([contexts[i] for i in part.tolist()], low[part]).stream()
+        if not found.shape[1]:
+            continue
+        begins = np.ones(found.shape, bool)
+        begins[:, 1:] = found[:, 1:] != found[:, :-1]
+        row, a = np.nonzero(begins)  # stretches of one answer, row by row
+        b = np.append(a[1:], 0)
+        b[np.append(row[1:] != row[:-1], True)] = found.shape[1]
+        first, i = found[row, a], part[row]
+        good = first < high[i]
+        out.append(np.stack([i, a - lefts[i], b - 1 - lefts[i], first])[:, good])
+    return np.concatenate(out, axis=1)
+
+
+def keys_of(contexts: list[bytes], lefts: list[int]) -> np.ndarray:
+    """128-bit keys of contexts with their anchors' places, as two numbers each."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, contexts, lefts)), np.int64).reshape(-1, 2)
 
 
 def _blob(a: np.ndarray) -> bytes:
@@ -202,17 +227,20 @@ def _release(spark: SparkSession) -> None:
 
 
 def _candidates(docs: DataFrame, buckets: int, parts: int) -> DataFrame:
-    """(part, docs blob, hashes blob): for each document the anchors that another document has as well."""
+    """(part, hashes blob): the anchors of each part's documents that two documents or more have."""
 
     def spot(batches):
         for b in batches:
-            ids, hs = [], []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1)):
-                h = np.unique(anchors(t.as_buffer())[1])
-                hs.append(h)
-                ids.append(np.full(len(h), d, np.int64))
-            h, d = np.concatenate([*hs, np.zeros(0, np.uint64)]), np.concatenate([*ids, np.zeros(0, np.int64)])
-            at = (h % np.uint64(buckets)).astype(np.int64)
+            ids, hs = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            every = b.column(0).to_numpy(zero_copy_only=False)
+            for row, text, starts in chunks(b.column(1)):
+                at, h, _ = anchors(text, starts)
+                d = every[row + np.searchsorted(starts, at, side="right") - 1]
+                new = np.append(True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])) if len(h) else np.zeros(0, bool)  # periodic texts repeat one anchor
+                hs.append(h[new])
+                ids.append(d[new])
+            h, d = np.concatenate(hs), np.concatenate(ids)
+            at = (h // np.uint64(2) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(at, kind="stable")
             h, d, edges = h[order], d[order], np.searchsorted(at[order], np.arange(buckets + 1)).tolist()
             rows = [(k, _blob(h[x:y]), _blob(d[x:y])) for k, (x, y) in enumerate(zip(edges, edges[1:])) if y > x]
@@ -231,16 +259,17 @@ def _candidates(docs: DataFrame, buckets: int, parts: int) -> DataFrame:
         starts = np.append(0, np.flatnonzero(h[1:] != h[:-1]) + 1)
         several = np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts)
         keep = np.repeat(several, np.diff(np.append(starts, len(h))))
-        h, d = h[keep], d[keep]
-        to = np.mod(d, parts)
-        order = np.argsort(to, kind="stable")
-        h, d, to = h[order], d[order], to[order]
+        h, to = h[keep], np.mod(d[keep], parts)
+        order = np.lexsort((h, to))
+        h, to = h[order], to[order]
+        new = np.append(True, (h[1:] != h[:-1]) | (to[1:] != to[:-1])) if len(h) else np.zeros(0, bool)
+        h, to = h[new], to[new]
         for k in np.unique(to).tolist():
             x, y = np.searchsorted(to, [k, k + 1])
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([_blob(d[x:y])], pa.binary()), pa.array([_blob(h[x:y])], pa.binary())], names=["part", "d", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([_blob(h[x:y])], pa.binary())], names=["part", "h"])
 
     spots = docs.select("doc_id", "raw").mapInArrow(spot, "bucket long, h binary, d binary")
-    return spots.repartition(buckets, "bucket").mapInArrow(meet, "part long, d binary, h binary")
+    return spots.repartition(buckets, "bucket").mapInArrow(meet, "part long, h binary")
 
 
 _CONTEXTS = "shard long, lens binary, lefts binary, ctx binary, hs binary, low binary, high binary, doc_id long, th long, k1 array<long>, k2 array<long>, at array<int>"
@@ -248,64 +277,72 @@ _CONTEXTS = "shard long, lens binary, lefts binary, ctx binary, hs binary, low b
 
 def _contexts(docs: DataFrame, candidates: DataFrame, shards: int, parts: int) -> DataFrame:
     """Two kinds of rows: packed distinct contexts for a shard, and each document's places with their contexts' 128-bit keys."""
-    left = candidates.select("part", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("th"), F.lit(None).cast("binary").alias("raw"), "d", "h")
-    right = docs.select(F.pmod("doc_id", F.lit(parts)).cast("long").alias("part"), F.lit(1).alias("kind"), "doc_id", "th", "raw", F.lit(None).cast("binary").alias("d"), F.lit(None).cast("binary").alias("h"))
+    none = lambda t: F.lit(None).cast(t)
+    left = candidates.select("part", F.lit(0).alias("kind"), none("long").alias("doc_id"), none("long").alias("th"), F.lit(b"").alias("raw"), "h")
+    right = docs.select(F.pmod("doc_id", F.lit(parts)).cast("long").alias("part"), F.lit(1).alias("kind"), "doc_id", "th", "raw", none("binary").alias("h"))
+
+    def emit(seen: dict, places: list):
+        entries = list(seen.values())
+        h = np.array([e[0] for e in entries], np.uint64)
+        low, high = (np.array([e[i] for e in entries], np.int64) for i in (1, 2))
+        lefts = np.array([e[3] for e in entries], np.int32)
+        to = (h // np.uint64(2) % np.uint64(shards)).astype(np.int64)
+        order = np.lexsort((h, to))
+        edges = np.searchsorted(to[order], np.arange(shards + 1)).tolist()
+        rows = []
+        for k, (x, y) in enumerate(zip(edges, edges[1:])):
+            if y > x:
+                o = order[x:y]
+                own = [entries[i][4] for i in o.tolist()]
+                rows.append((k, _blob(np.array([len(c) for c in own], np.int32)), _blob(lefts[o]), b"".join(own), _blob(h[o]), _blob(low[o]), _blob(high[o]), None, None, None, None, None))
+        rows += [(None,) * 7 + p for p in places]
+        kinds = [pa.int64(), *[pa.binary()] * 6, pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=[x.split()[0] for x in _CONTEXTS.split(", ")])
 
     def run(batches):
-        part, ds, hs, ready = None, [], [], None
+        hashes: dict[int, list[np.ndarray]] = {}  # of the part, and of those that share its task
+        ready: dict[int, np.ndarray] = {}
         for b in batches:
-            seen: dict[tuple[int, bytes], list] = {}
+            seen: dict[bytes, list] = {}
             places = []
-            for p, kind, doc, th, raw, d, h in zip(*(b.column(i) for i in range(7))):
-                p = p.as_py()
-                if p != part:
-                    part, ds, hs, ready = p, [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], None
-                if kind.as_py() == 0:
-                    ds.append(np.frombuffer(d.as_buffer(), np.int64))
-                    hs.append(np.frombuffer(h.as_buffer(), np.uint64))
-                    continue
-                if ready is None:
-                    d, h = np.concatenate(ds), np.concatenate(hs)
-                    order = np.argsort(d, kind="stable")
-                    ready = d[order], h[order]
-                doc = doc.as_py()
-                x, y = np.searchsorted(ready[0], [doc, doc + 1])
-                if x == y:
-                    continue
-                text = raw.as_py()
-                at, h, least = anchors(text)
-                mine = np.isin(h, ready[1][x:y])
-                at, h = at[mine], h[mine]
-                first, last = windows(at, h, least)
-                keys = np.empty((len(at), 2), np.int64)
-                for i, (a, lo, hi, hash_) in enumerate(zip(at.tolist(), first.tolist(), last.tolist(), h.tolist())):
-                    lead = a - lo
-                    c = text[lo : hi + SIZE]
-                    keys[i] = np.frombuffer(xxhash.xxh3_128_digest(c, lead), np.int64)
-                    entry = seen.get((lead, c))
-                    if entry is None:
-                        seen[lead, c] = [hash_, doc, doc]
-                    elif doc < entry[1]:
-                        entry[1] = doc
-                    elif doc > entry[2]:
-                        entry[2] = doc
-                places.append((doc, th.as_py(), keys[:, 0], keys[:, 1], at.astype(np.int32)))
-            hs_ = np.array([e[0] for e in seen.values()], np.uint64)
-            low, high = (np.array([e[i] for e in seen.values()], np.int64) for i in (1, 2))
-            lefts = np.array([k[0] for k in seen], np.int32)
-            ctx = [k[1] for k in seen]
-            to = (hs_ % np.uint64(shards)).astype(np.int64)
-            order = np.lexsort((hs_, to))
-            edges = np.searchsorted(to[order], np.arange(shards + 1)).tolist()
-            rows = []
-            for s, (x, y) in enumerate(zip(edges, edges[1:])):
-                if y > x:
-                    o = order[x:y]
-                    own = [ctx[i] for i in o.tolist()]
-                    rows.append((s, _blob(np.array([len(c) for c in own], np.int32)), _blob(lefts[o]), b"".join(own), _blob(hs_[o]), _blob(low[o]), _blob(high[o]), None, None, None, None, None))
-            rows += [(None,) * 7 + p for p in places]
-            kinds = [pa.int64(), *[pa.binary()] * 6, pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=[x.split()[0] for x in _CONTEXTS.split(", ")])
+            of, kinds = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for i in np.flatnonzero(kinds == 0).tolist():
+                hashes.setdefault(int(of[i]), []).append(np.frombuffer(b.column(5)[i].as_buffer(), np.uint64))
+            ids, ths = b.column(2).to_pylist(), b.column(3).to_pylist()
+            edges = np.append(0, np.flatnonzero(np.diff(of)) + 1).tolist() if len(of) else []
+            for x, y in zip(edges, [*edges[1:], len(of)]):
+                part = int(of[x])
+                if part not in ready:
+                    if not (kinds[x:y] == 1).any():
+                        continue
+                    ready = {part: np.unique(np.concatenate([*hashes.pop(part, []), np.zeros(1, np.uint64)]))}
+                shared = ready[part]
+                for row, text, starts in chunks(b.column(4).slice(x, y - x)):
+                    at, h, low = anchors(text, starts)
+                    mine = shared[np.clip(np.searchsorted(shared, h), 0, len(shared) - 1)] == h
+                    at, h = at[mine], h[mine]
+                    if not len(at):
+                        continue
+                    first, last = windows(at, h, low)
+                    whose = np.searchsorted(starts, at, side="right") - 1
+                    raw, leads = text.tobytes(), (at - first).tolist()
+                    cs = [raw[lo:hi] for lo, hi in zip(first.tolist(), (last + SIZE).tolist())]
+                    digests = list(map(xxhash.xxh3_128_digest, cs, leads))
+                    docs_ = [ids[x + row + w] for w in whose.tolist()]
+                    for key, c, lead, hash_, doc in zip(digests, cs, leads, h.tolist(), docs_):
+                        entry = seen.get(key)
+                        if entry is None:
+                            seen[key] = [hash_, doc, doc, lead, c]
+                        elif doc < entry[1]:
+                            entry[1] = doc
+                        elif doc > entry[2]:
+                            entry[2] = doc
+                    keys = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+                    cut = np.append(0, np.flatnonzero(np.diff(whose)) + 1).tolist()
+                    for lo, hi in zip(cut, [*cut[1:], len(at)]):
+                        w = int(whose[lo])
+                        places.append((ids[x + row + w], ths[x + row + w], keys[lo:hi, 0], keys[lo:hi, 1], (at[lo:hi] - starts[w]).astype(np.int32)))
+            yield emit(seen, places)
 
     return left.unionByName(right).repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(run, _CONTEXTS)
 
@@ -329,15 +366,17 @@ def _answers(contexts: DataFrame, shards: int) -> DataFrame:
                         high.append(y)
                     else:
                         low[i], high[i] = min(low[i], x), max(high[i], y)
-        keys = list(seen)
-        rows = []
-        found = shard_answers([k[1] for k in keys], np.array([k[0] for k in keys], np.int64), np.array(hs, np.uint64), np.array(low, np.int64), np.array(high, np.int64))
-        for i, a, b, first in found:
-            k1, k2 = np.frombuffer(xxhash.xxh3_128_digest(keys[i][1], keys[i][0]), np.int64).tolist()
-            rows.append((k1, k2, a, b, first))
-        for lo in range(0, len(rows), 100_000):
-            cols = list(zip(*rows[lo : lo + 100_000]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if 2 <= i <= 3 else pa.int64()) for i, c in enumerate(cols)], names=["k1", "k2", "a", "b", "first"])
+        if not seen:
+            return
+        ctx, lefts = [k[1] for k in seen], [k[0] for k in seen]
+        seen.clear()
+        i, a, b, first = shard_answers(ctx, np.array(lefts, np.int64), np.array(hs, np.uint64), np.array(low, np.int64), np.array(high, np.int64))
+        which, at = np.unique(i, return_inverse=True)
+        keys = keys_of([ctx[k] for k in which.tolist()], [lefts[k] for k in which.tolist()])
+        for lo in range(0, len(i), 200_000):
+            p = slice(lo, lo + 200_000)
+            cols = [keys[at[p], 0], keys[at[p], 1], a[p].astype(np.int32), b[p].astype(np.int32), first[p]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["k1", "k2", "a", "b", "first"])
 
     return contexts.where("shard is not null").select("shard", "lens", "lefts", "ctx", "hs", "low", "high").repartition(shards, "shard").mapInArrow(run, "k1 long, k2 long, a int, b int, first long")
 
@@ -367,15 +406,16 @@ def mark(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     return base.join(spans, ["doc_id", "th"], "left").select("doc_id", "raw", "spans")
 
 
-def _cut(raw: bytes, spans) -> tuple[bytes, int, int]:
+def _cut(raw: bytes, a: np.ndarray, b: np.ndarray) -> tuple[bytes, int, int]:
     """What is left, how many bytes go, and in how many runs."""
-    if not spans:
+    if not len(a):
         return raw, 0, 0
-    gone = np.zeros(len(raw) + 1, np.int32)
-    np.add.at(gone, [s["a"] for s in spans], 1)
-    np.add.at(gone, [s["b"] for s in spans], -1)
-    out = np.cumsum(gone[:-1]) > 0
-    return np.frombuffer(raw, np.uint8)[~out].tobytes(), int(out.sum()), int(np.diff(out.astype(np.int8), prepend=0).clip(0).sum())
+    order = np.argsort(a, kind="stable")
+    a, b = a[order], np.maximum.accumulate(b[order])
+    new = np.append(True, a[1:] > b[:-1])
+    a, b = a[new], np.append(b[:-1][new[1:]], b[-1])
+    left = b"".join(raw[x:y] for x, y in zip([0, *b.tolist()], [*a.tolist(), len(raw)]))
+    return left, len(raw) - len(left), len(a)
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -384,8 +424,12 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     def run(batches):
         for b in batches:
-            raws = b.column(1).to_pylist()
-            cut = [_cut(r, s) for r, s in zip(raws, b.column(2).to_pylist())]
+            raws, spans = b.column(1).to_pylist(), b.column(2)
+            if isinstance(spans, pa.ChunkedArray):
+                spans = spans.combine_chunks()
+            at, flat = spans.offsets.to_numpy().tolist(), spans.values
+            lo, hi = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            cut = [_cut(r, lo[x:y], hi[x:y]) for r, x, y in zip(raws, at, at[1:])]
             cols = [b.column(0), *(pa.array(x, pa.int64()) for x in ([len(r) for r in raws], [c[1] for c in cut], [c[2] for c in cut])), pa.array([hashlib.sha256(c[0]).hexdigest() for c in cut], pa.string()), pa.array([c[0] for c in cut], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 

@@ -72,8 +72,15 @@ def test_anchors_cover_every_window():
     rnd = random.Random(4)
     for alphabet in ("ab", "abcdefghij", "a"):
         t = "".join(rnd.choice(alphabet) for _ in range(700)).encode()
-        at = set(repeats.anchors(t)[0].tolist())
-        assert all(any(i <= a <= i + 30 for a in at) for i in range(len(t) - 49))
+        starts = np.array([0, 300, 310])
+        places, hashes, low = repeats.anchors(np.frombuffer(t, np.uint8), starts)
+        for x, y in ((0, 300), (310, 700)):
+            at = set(places.tolist())
+            assert all(any(i <= a <= i + 30 for a in at) for i in range(x, y - 49))
+        first, last = repeats.windows(places, hashes, low)
+        assert ((first <= last) & (last <= places) & (places <= first + 30)).all()
+        covered = {w for a, b in zip(first.tolist(), last.tolist()) for w in range(a, b + 1)}
+        assert covered == set(range(251)) | set(range(310, 651))
 
 
 def test_run_index_steps_through_sorted_suffixes():
