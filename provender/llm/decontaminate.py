@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import ahocorasick
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,8 +94,9 @@ class Matcher:
         if self.at:
             self.auto.make_automaton()
 
-    def find(self, text: str | None) -> list[tuple]:
-        """(item_id, distance, budget, item length) of each item within its budget; the distance is the least over the whole text."""
+    def find(self, text: str | None, first: bool = False) -> list[tuple]:
+        """(item_id, distance, budget, item length) of each item within its budget; the distance is the least over the whole
+        text. With ``first`` one item is enough."""
         if not self.at:
             return []
         t, found = fold(text), {}
@@ -109,12 +111,32 @@ class Matcher:
                         break
                 else:
                     found[n] = distance(self.items[n][3], self.items[n][1], t)
+                    if first:
+                        return [self.items[n][:3]]
         return [(self.items[n][0], d, self.items[n][2], self.items[n][1]) for n, d in found.items()]
 
 
 _matchers: dict = {}
 
 
+def _matcher(sent) -> Matcher:
+    """The block's matcher, built once in each worker."""
+    key = hash((tuple(sent.value[0]), sent.value[1]))
+    if key not in _matchers:
+        _matchers.clear()
+        _matchers[key] = Matcher(*sent.value)
+    return _matchers[key]
+
+
+def _blocks(benchmark: DataFrame, error_rate: float, block_chars: int) -> list:
+    """The benchmark's items as broadcasts of about block_chars characters each."""
+    items = benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text"))
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = max(1, math.ceil(total / block_chars))
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+    return [benchmark.sparkSession.sparkContext.broadcast(([tuple(r) for r in items.where(part == k).collect()], error_rate)) for k in range(n)]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", error_rate: float = 0.1, block_chars: int = 1_000_000) -> DataFrame:
     """(doc_id, item_id, distance, budget, item_chars): a row for each document row and benchmark item that it has.
 
@@ -124,23 +146,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     Null or empty items, and items of punctuation only, match nothing; null texts have nothing. Repeated rows and equal
     items each count. Empty tables give no rows.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id"), F.col("text").cast("string").alias("text"))
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = max(1, math.ceil(total / block_chars))
+    blocks = _blocks(benchmark, error_rate, block_chars)
     taken = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    kind, item_kind = taken.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
+    item_type = benchmark.schema["item_id"].dataType
+    kind, item_kind = taken.schema["doc_id"].dataType.simpleString(), item_type.simpleString()
     out = None
-    for k in range(n):
-        block = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()]  # about block_chars characters
-        sent = spark.sparkContext.broadcast((block, error_rate))
-
-        def run(batches, sent=sent, item_type=items.schema["item_id"].dataType):
-            key = hash((tuple(sent.value[0]), sent.value[1]))
-            if key not in _matchers:  # built once in each worker
-                _matchers.clear()
-                _matchers[key] = Matcher(*sent.value)
-            find = _matchers[key].find
+    for sent in blocks:
+
+        def run(batches, sent=sent):
+            find = _matcher(sent).find
             for b in batches:
                 rows = [(i, *m) for i, t in enumerate(b.column(1).to_pylist()) for m in find(t)]
                 cols = list(zip(*rows)) or [[]] * 5
@@ -152,7 +166,21 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id
     return out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
-    """The pipeline's stage: documents that have no benchmark item, with all columns."""
-    found = settle(contaminated(docs, benchmark, **how).select("doc_id").distinct())
-    return docs.join(found, "doc_id", "left_anti")
+def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", error_rate: float = 0.1, block_chars: int = 1_000_000) -> DataFrame:
+    """The pipeline's stage: documents that have no benchmark item, with all columns. Each row is judged by its own text, so
+    null and repeated ids are no matter; a null text stays."""
+
+    def clean(sent):
+        @F.pandas_udf("boolean")
+        def run(texts: pd.Series) -> pd.Series:
+            matcher = _matcher(sent)
+            return pd.Series([not matcher.find(t, first=True) for t in texts], dtype=bool)
+
+        return run(F.col(text_col).cast("string"))
+
+    blocks, out = _blocks(benchmark, error_rate, block_chars), docs
+    for sent in blocks:
+        out = out.where(clean(sent))
+        if len(blocks) > 1:  # a worker then holds one block's automaton at a time
+            out = settle(out)
+    return out

@@ -190,6 +190,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The pipeline's stage: of each group the document of the smallest id stays, with its columns."""
+    """The pipeline's stage: of each group the document of the smallest id stays, with its columns. Rows that share that id
+    all stay, and so do rows without an id, which can't be told from each other."""
     near = near_duplicates(docs)
-    return docs.join(near.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "doc_id", "left_semi")
+    kept = docs.join(near.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "doc_id", "left_semi")
+    return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))

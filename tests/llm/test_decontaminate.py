@@ -64,8 +64,9 @@ def test_pieces_are_one_more_than_the_budget_and_cover():
 
 
 def test_stage_and_empty_tables(spark):
-    docs = spark.createDataFrame([(1, "clean text", "en"), (2, "see: The quick, brown fox jumps over it", "en"), (3, None, None)], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([(1, "clean text", "en"), (2, "see: The quick, brown fox jumps over it", "en"), (3, None, None), (None, "The quick brown fox jumps over it", "x"), (2, "clean too", "y")], "doc_id long, text string, lang string")
     bench = spark.createDataFrame([(7, "the quick brown fox jumps over it")], "item_id long, text string")
     kept = dec.without_leaks(docs, bench)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 3]
+    assert sorted(r.doc_id for r in dec.without_leaks(docs, bench.unionByName(bench.selectExpr("item_id + 1 AS item_id", "'clean too' AS text")), block_chars=20).collect()) == [1, 3]
     assert dec.contaminated(docs, bench.limit(0)).collect() == [] and dec.contaminated(docs.limit(0), bench).collect() == []

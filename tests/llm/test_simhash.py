@@ -94,6 +94,6 @@ def test_long_chain_is_one_component(spark):
 def test_empty_table_and_stage(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert simhash.near_duplicates(empty).collect() == []
-    docs = spark.createDataFrame([(2, "a b c d e f", "x"), (1, "A b c d e f", "y"), (3, "z", "z")], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([(2, "a b c d e f", "x"), (1, "A b c d e f", "y"), (3, "z", "z"), (None, "z", "n")], "doc_id long, text string, lang string")
     kept = simhash.keep_first(docs)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
+    assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3]
