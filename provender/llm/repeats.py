@@ -226,7 +226,7 @@ def _release(spark: SparkSession) -> None:
         time.sleep(1)
 
 
-def _candidates(docs: DataFrame, buckets: int, parts: int) -> DataFrame:
+def _candidates(docs: DataFrame, tasks: int, buckets: int, parts: int) -> DataFrame:
     """(part, hashes blob): the anchors of each part's documents that two documents or more have."""
 
     def spot(batches):
@@ -269,13 +269,13 @@ def _candidates(docs: DataFrame, buckets: int, parts: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([_blob(h[x:y])], pa.binary())], names=["part", "h"])
 
     spots = docs.select("doc_id", "raw").mapInArrow(spot, "bucket long, h binary, d binary")
-    return spots.repartition(buckets, "bucket").mapInArrow(meet, "part long, h binary")
+    return spots.repartition(tasks, "bucket").mapInArrow(meet, "part long, h binary")
 
 
 _CONTEXTS = "shard long, lens binary, lefts binary, ctx binary, hs binary, low binary, high binary, doc_id long, th long, k1 array<long>, k2 array<long>, at array<int>"
 
 
-def _contexts(docs: DataFrame, candidates: DataFrame, shards: int, parts: int) -> DataFrame:
+def _contexts(docs: DataFrame, candidates: DataFrame, tasks: int, shards: int, parts: int) -> DataFrame:
     """Two kinds of rows: packed distinct contexts for a shard, and each document's places with their contexts' 128-bit keys."""
     none = lambda t: F.lit(None).cast(t)
     left = candidates.select("part", F.lit(0).alias("kind"), none("long").alias("doc_id"), none("long").alias("th"), F.lit(b"").alias("raw"), "h")
@@ -344,10 +344,10 @@ def _contexts(docs: DataFrame, candidates: DataFrame, shards: int, parts: int) -
                         places.append((ids[x + row + w], ths[x + row + w], keys[lo:hi, 0], keys[lo:hi, 1], (at[lo:hi] - starts[w]).astype(np.int32)))
             yield emit(seen, places)
 
-    return left.unionByName(right).repartition(parts, "part").sortWithinPartitions("part", "kind").mapInArrow(run, _CONTEXTS)
+    return left.unionByName(right).repartition(tasks, "part").sortWithinPartitions("part", "kind").mapInArrow(run, _CONTEXTS)
 
 
-def _answers(contexts: DataFrame, shards: int) -> DataFrame:
+def _answers(contexts: DataFrame, tasks: int) -> DataFrame:
     """(k1, k2, a, b, first): the 50-byte strings from a to b before or after the anchor are first in document ``first``."""
 
     def run(batches):
@@ -378,7 +378,7 @@ def _answers(contexts: DataFrame, shards: int) -> DataFrame:
             cols = [keys[at[p], 0], keys[at[p], 1], a[p].astype(np.int32), b[p].astype(np.int32), first[p]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["k1", "k2", "a", "b", "first"])
 
-    return contexts.where("shard is not null").select("shard", "lens", "lefts", "ctx", "hs", "low", "high").repartition(shards, "shard").mapInArrow(run, "k1 long, k2 long, a int, b int, first long")
+    return contexts.where("shard is not null").select("shard", "lens", "lefts", "ctx", "hs", "low", "high").repartition(tasks, "shard").mapInArrow(run, "k1 long, k2 long, a int, b int, first long")
 
 
 def mark(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -390,12 +390,14 @@ def mark(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.cast("binary").alias("raw"))
     known = base.where("doc_id is not null")
-    # the counts of buckets follow the input's partitions; a prime number of parts spreads ids of any stride
+    # tasks follow the input's partitions; each takes several of the keys, so that their sizes even out. A prime number of
+    # parts spreads ids of any stride
     n = max(16, 2 * base.rdd.getNumPartitions())
-    parts = next(p for p in range(n | 1, 2 * n + 3, 2) if all(p % q for q in range(3, int(p**0.5) + 1, 2)))
-    candidates = settle(_candidates(known, n, parts))
+    shards = 8 * n
+    parts = next(p for p in range(shards | 1, 2 * shards + 3, 2) if all(p % q for q in range(3, int(p**0.5) + 1, 2)))
+    candidates = settle(_candidates(known, n, shards, parts))
     _release(spark)
-    contexts = settle(_contexts(known, candidates, n, parts))
+    contexts = settle(_contexts(known, candidates, n, shards, parts))
     _release(spark)
     answers = settle(_answers(contexts, n))
     _release(spark)
