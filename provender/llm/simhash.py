@@ -8,6 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from provender.llm.jaccard import near_copies
 from provender.llm.shared import components, settle
 
 
@@ -191,7 +192,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The pipeline's stage: of each group the document of the smallest id stays, with its columns. Rows that share that id
-    all stay, and so do rows without an id, which can't be told from each other."""
-    near = near_duplicates(docs)
+    all stay, and so do rows without an id, which can't be told from each other. Groups are near copies by their real
+    similarity (jaccard.near_copies): fingerprints of 64 bits are some 10 bits apart at 0.8, which no bands reach."""
+    near = near_copies(docs)
     kept = docs.join(near.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "doc_id", "left_semi")
     return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))
