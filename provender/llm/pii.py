@@ -100,7 +100,8 @@ def revealing_terms(docs: DataFrame, rule: Disclosure = Disclosure()) -> DataFra
 
     docs: (text, _email, ... as base_spans gives). An entity is a kind and a value; its contexts are the nearest words of
     letters on both sides. Contexts count once however many copies of a text there are, so the words of a text that is
-    merely copied reveal nothing. Document frequencies are counted over all documents, for the candidates only.
+    merely copied reveal nothing. A term's frequency, counted for the candidates only, is that of distinct texts as well.
+    The total of P(e) is that of all rows.
     """
     text = F.col("text")
     found = None
@@ -135,8 +136,8 @@ def revealing_terms(docs: DataFrame, rule: Disclosure = Disclosure()) -> DataFra
     if candidates.isEmpty():
         return candidates.select("term", F.lit(0.0).alias("share"))
     terms = settle(candidates.select("term").distinct())
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(LETTERS), F.lit(0)))).alias("term"))
-    frequency = words.join(_small(terms, rule), "term").groupBy("term").agg(F.count("*").alias("n_term"))
+    words = docs.select(F.xxhash64("text").alias("of"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(LETTERS), F.lit(0)))).alias("term"))
+    frequency = words.join(_small(terms, rule), "term").groupBy("term").agg(F.countDistinct("of").alias("n_term"))
     shares = candidates.join(frequency, "term").select("term", share(F.col("n_term")).alias("share"))
     return shares.groupBy("term").agg(F.max("share").alias("share")).where(F.col("share") >= rule.generalise)
 

@@ -96,3 +96,11 @@ def test_sql_says_the_same_of_revealing_terms(spark):
     got = pii.report(pii.find(spark.createDataFrame(rows, "doc_id long, text string"))).select(*names)
     assert sorted(tuple(r) for r in got.collect()) == sorted(cur.fetchall())
     assert any("generalised" in r.spans for r in got.collect())
+
+
+def test_copies_of_all_contexts_hide_no_term(spark):
+    rows = [(20 * i + k, f"w{'abcde'[i]}x Zorblax jo@corp.example.com v{'abcde'[i]}y.") for i in range(5) for k in range(20)]
+    rows += [(1000 + i, f"filler text number {i}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    terms = {r.term: r.share for r in pii.revealing_terms(pii.base_spans(docs, docs["text"])).collect()}
+    assert terms == {"zorblax": 1.0}
