@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provender.llm.shared import settle
+from provender.llm.shared import settle, whole_row
 
 #: Kinds in their order. Each pattern finds what the contract's does, from left to right, but looks at a long run once:
 #: possessive parts don't give back, and a look behind keeps a search from starting within a run that failed.
@@ -45,23 +45,62 @@ def _holds(kind: str, hit: Column) -> Column:
     return F.lit(True)
 
 
-def _places(text: Column, pattern: str, holds) -> Column:
-    """'start:end,' of each match that holds: the pieces between matches and the matches themselves, added up in one pass."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("part"), hits.alias("hit"))
+BLOCK, CHUNK = 256, 512
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["part"])
-        end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
-        new = F.when(x["hit"].isNotNull() & holds(x["hit"]), F.concat(start.cast("string"), F.lit(":"), end.cast("string"), F.lit(","))).otherwise("")
-        return F.struct(end.alias("at"), F.concat(acc["out"], new).alias("out"))
 
-    found = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)["out"]
-    return F.when(F.size(hits) > 0, found).otherwise("")
+def _bind(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often it is mentioned."""
+    return F.transform(F.array(value), use)[0]
 
 
-def _listed(places: Column) -> Column:
-    return F.filter(F.split(places, ","), lambda x: x != "")
+def _scan(items: Column, step) -> Column:
+    """The texts that ``step`` adds while it walks items with a place in hand: step(at, item) gives (new place, texts to add).
+
+    Arrays grow by copying, so a walk in one go is quadratic. It is cut into blocks: what a block adds is collected by itself.
+    """
+    none = F.array().cast("array<string>")
+
+    def one(acc, x):
+        to, more = step(acc["at"], x)
+        return F.struct(to.alias("at"), F.concat(acc["out"], more).alias("out"))
+
+    def blocks(z):
+        def block(acc, i):
+            added = F.aggregate(F.slice(z, i, F.lit(BLOCK)), F.struct(acc["at"].alias("at"), none.alias("out")), one)
+            return _bind(added, lambda got: F.struct(got["at"].alias("at"), F.concat(acc["out"], F.array(got["out"])).alias("out")))
+
+        starts = F.sequence(F.lit(1), F.greatest(F.size(z), F.lit(1)), F.lit(BLOCK))
+        return F.flatten(F.aggregate(starts, F.struct(F.lit(0).alias("at"), F.array().cast("array<array<string>>").alias("out")), block)["out"])
+
+    return _bind(items, blocks)
+
+
+def _places(text: Column, pattern: str, holds, word: bool = False) -> Column:
+    """'start:end' of each match that holds (with ``word`` 'start:end:match'): the pieces between matches and the matches
+    themselves, lengths added up in one pass."""
+
+    def found(hits):
+        def step(at, x):
+            start = at + F.length(x["part"])
+            end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
+            said = F.concat_ws(":", start, end, *([x["hit"]] if word else []))
+            return end, F.when(x["hit"].isNotNull() & holds(x["hit"]), F.array(said)).otherwise(F.array().cast("array<string>"))
+
+        return F.when(F.size(hits) > 0, _scan(F.arrays_zip(F.split(text, pattern, -1).alias("part"), hits.alias("hit")), step)).otherwise(F.array().cast("array<string>"))
+
+    return _bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), found)
+
+
+def _chunks(text: Column) -> Column:
+    """The text in pieces of CHUNK characters, so that a far place in a long text is found without counting up to it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def _piece(chunks: Column, a: Column, b: Column) -> Column:
+    """Characters a to b of the text that was cut into chunks; b may lie beyond its end."""
+    first = F.floor(a / CHUNK).cast("int")
+    own = F.slice(chunks, first + 1, F.floor((b - 1) / CHUNK).cast("int") - first + 1)
+    return F.when(b > a, F.substr(F.array_join(own, ""), a - first * CHUNK + 1, b - a)).otherwise("")
 
 
 def base_spans(docs: DataFrame, text: Column) -> DataFrame:
@@ -70,8 +109,8 @@ def base_spans(docs: DataFrame, text: Column) -> DataFrame:
     for kind in KINDS:
         found = _places(text, PATTERNS[kind], lambda hit, kind=kind: _holds(kind, hit))
         if kind in ("email", "phone"):
-            found = F.when(F.contains(text, F.lit("@" if kind == "email" else "+")), found).otherwise("")
-        out = out.withColumn(f"_{kind}", _listed(found))
+            found = F.when(F.contains(text, F.lit("@" if kind == "email" else "+")), found).otherwise(F.array().cast("array<string>"))
+        out = out.withColumn(f"_{kind}", found)
     return out
 
 
@@ -104,20 +143,29 @@ def revealing_terms(docs: DataFrame, rule: Disclosure = Disclosure()) -> DataFra
     The total of P(e) is that of all rows.
     """
     text = F.col("text")
+    letters = lambda c: F.filter(F.split(F.lower(c), r"[\s.,;:!?]+"), lambda w: w.rlike(rf"^{LETTERS}$"))
+
+    def context(kind):
+        def of(chunks):
+            def one(s):
+                start, end = (F.element_at(F.split(s, ":"), i).cast("int") for i in (1, 2))
+                left, right = _piece(chunks, F.greatest(start - rule.window, F.lit(0)), start), _piece(chunks, end, end + rule.window)
+                return F.struct(
+                    F.xxhash64(F.lit(kind), F.lower(_piece(chunks, start, end))).alias("entity"),
+                    F.reverse(F.slice(F.reverse(letters(left)), 1, rule.words)).alias("l"),
+                    F.slice(letters(right), 1, rule.words).alias("r"),
+                )
+
+            return F.transform(f"_{kind}", one)
+
+        return _bind(_chunks(text), of)
+
+    # only the words around a match leave the text's row: a text with very many matches isn't copied for each
     found = None
     for kind in KINDS:
-        part = docs.where(F.size(f"_{kind}") > 0).select("text", F.explode(f"_{kind}").alias("s"), F.lit(kind).alias("kind"))
+        part = docs.where(F.size(f"_{kind}") > 0).select(F.xxhash64("text").alias("of"), context(kind).alias("c"))
         found = part if found is None else found.unionByName(part)
-    start, end = F.split("s", ":")[0].cast("int"), F.split("s", ":")[1].cast("int")
-    left = F.substr(text, F.greatest(start - rule.window, F.lit(0)) + 1, F.least(start, F.lit(rule.window)))
-    right = F.substr(text, end + 1, F.lit(rule.window))
-    letters = lambda c: F.filter(F.split(F.lower(c), r"[\s.,;:!?]+"), lambda w: w.rlike(rf"^{LETTERS}$"))
-    around = found.select(
-        F.xxhash64("kind", F.lower(F.substr(text, start + 1, end - start))).alias("entity"),
-        F.xxhash64("text").alias("of"),
-        F.reverse(F.slice(F.reverse(letters(left)), 1, rule.words)).alias("l"),
-        F.slice(letters(right), 1, rule.words).alias("r"),
-    )
+    around = found.select("of", F.explode("c").alias("c")).select("of", "c.*")
     contexts = settle(around.select("entity", "of", F.xxhash64("l", "r").alias("context"), F.explode_outer(F.array_distinct(F.concat("l", "r"))).alias("term")).distinct())
     entities = contexts.groupBy("entity").agg(F.countDistinct("context").alias("n_entity")).where(F.col("n_entity") >= rule.least_contexts)
     together = contexts.where("term is not null").join(entities, "entity").groupBy("entity", "n_entity", "term").agg(F.countDistinct("context").alias("n_both"))
@@ -153,14 +201,15 @@ def term_spans(docs: DataFrame, terms: DataFrame, rule: Disclosure = Disclosure(
 
     A document is known by its id and its text's hash, so repeated and null ids are no trouble.
     """
-    words = docs.select("doc_id", "_hash", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(LETTERS), F.lit(0)))).alias("term"))
-    hit = settle(words.join(_small(terms, rule), "term").groupBy("doc_id", "_hash").agg(F.collect_set(F.struct("term", "share")).alias("_terms")))
-    having = docs.dropDuplicates(["doc_id", "_hash"]).join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]) & (docs["_hash"] == hit["_hash"])).select(docs["doc_id"], docs["_hash"], "text", "_terms")
-    of = lambda low, high: F.transform(F.filter("_terms", lambda t: (t["share"] >= low) & (t["share"] < high)), lambda t: t["term"])
-    spans = {"_generalised": of(rule.generalise, rule.remove), "_removed": of(rule.remove, float("inf"))}
-    for name, chosen in spans.items():
-        having = having.withColumn(name, chosen)
-    return having.select("doc_id", "_hash", *(_listed(_places(F.col("text"), LETTERS, lambda hit, c=c: F.array_contains(F.col(c), F.lower(hit)))).alias(c) for c in spans))
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(LETTERS), F.lit(0)))
+    having = settle(docs.select("doc_id", "_hash", F.explode(words("text")).alias("term")).join(_small(terms, rule), "term").select("doc_id", "_hash").distinct())
+    texts = docs.dropDuplicates(["doc_id", "_hash"]).join(having, docs["doc_id"].eqNullSafe(having["doc_id"]) & (docs["_hash"] == having["_hash"]), "left_semi")
+    at = F.split("p", ":", 3)
+    places = texts.select("doc_id", "_hash", F.explode(_places(F.col("text"), LETTERS, lambda hit: F.lit(True), word=True)).alias("p")).select("doc_id", "_hash", at[0].cast("int").alias("a"), at[1].alias("b"), F.lower(at[2]).alias("term"))
+    hits = places.join(_small(terms, rule), "term").select("doc_id", "_hash", F.struct("a", F.concat_ws(":", "a", "b").alias("s"), (F.col("share") >= rule.remove).alias("out")).alias("h"))
+    of = lambda out: F.transform(F.filter("hs", lambda h: h["out"] == out), lambda h: h["s"])
+    grouped = hits.groupBy("doc_id", "_hash").agg(F.array_sort(F.collect_list("h")).alias("hs"))
+    return grouped.select("doc_id", "_hash", of(False).alias("_generalised"), of(True).alias("_removed"))
 
 
 def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rule: Disclosure = Disclosure()) -> DataFrame:
@@ -201,19 +250,24 @@ def sanitise(docs: DataFrame, *, rule: Disclosure = Disclosure()) -> DataFrame:
 
     every = F.concat(*(of(k, label) for k, label in kinds.items()))
     marked = found.select("doc_id", "_hash", F.array_sort(every).alias("_spans")).where(F.size("_spans") > 0).dropDuplicates(["doc_id", "_hash"])
-    text = F.coalesce("text", F.lit(""))
-    left = docs.withColumn("_hash", F.xxhash64(text))
-    joined = left.join(marked, left["doc_id"].eqNullSafe(marked["doc_id"]) & (left["_hash"] == marked["_hash"]), "left").select(*(left[c] for c in docs.columns), "_spans")
+    # the row goes in one struct, so that no column of its own can clash
+    left = docs.select(whole_row(docs).alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_h"))
+    joined = left.join(marked, left["_id"].eqNullSafe(marked["doc_id"]) & (left["_h"] == marked["_hash"]), "left").select("_row", "_spans")
+
+    def replaced(chunks):
+        def step(at, s):
+            return F.greatest(at, s["b"]), F.when(s["a"] >= at, F.array(_piece(chunks, at, s["a"]), s["label"])).otherwise(F.array().cast("array<string>"))
 
-    def step(acc, s):
-        new = F.when(s["a"] >= acc["at"], F.concat(F.substr("text", acc["at"] + 1, s["a"] - acc["at"]), s["label"])).otherwise("")
-        return F.struct(F.greatest(acc["at"], s["b"]).alias("at"), F.concat(acc["out"], new).alias("out"))
+        end = F.array_max(F.transform("_spans", lambda s: s["b"]))
+        return F.concat(F.array_join(_scan(F.col("_spans"), step), ""), _piece(chunks, end, F.greatest(F.size(chunks) * CHUNK, end)))
 
-    cut = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr("text", acc["at"] + 1, F.length("text"))))
-    out = joined.withColumn("text", F.when(F.size("_spans") > 0, cut).otherwise(F.col("text")))
+    hit = F.coalesce(F.size("_spans") > 0, F.lit(False))
+    text = F.when(hit, _bind(_chunks(F.col("_row.text")), replaced)).otherwise(F.col("_row.text"))
+    out = joined.select("_row", hit.alias("_hit"), text.alias("_text"))
+    new = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(docs.columns)
+        new["n_chars"] = F.when(F.col("_hit"), F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row.n_chars"))
+    return out.select(*(new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns))
 
 
 def _sql_kind(kind: str, pattern: str, ok: str, table: str = "t") -> str:
@@ -239,7 +293,7 @@ near AS (SELECT DISTINCT entity, text, l, r, unnest(CASE WHEN len(l || r) = 0 TH
 entities AS (SELECT entity, count(DISTINCT (l, r)) AS n_entity FROM near GROUP BY entity HAVING count(DISTINCT (l, r)) >= 3),
 both_ AS (SELECT entity, n_entity, term, count(DISTINCT (l, r)) AS n_both FROM near JOIN entities USING (entity) WHERE term IS NOT NULL GROUP BY ALL HAVING count(DISTINCT (l, r)) >= 3),
 words AS (SELECT rid, unnest(list_distinct(regexp_extract_all(lower(text), '\p{{L}}{{2,}}'))) AS term FROM t),
-often AS (SELECT term, count(*) AS n_term FROM words WHERE term IN (SELECT term FROM both_) GROUP BY term),
+often AS (SELECT term, count(DISTINCT text) AS n_term FROM words JOIN t USING (rid) WHERE term IN (SELECT term FROM both_) GROUP BY term),
 shares AS (SELECT term, max((log2(least(1.0, n_both / n_term)) + log2(((SELECT count(*) FROM t) + 1) / n_entity)) / log2(((SELECT count(*) FROM t) + 1) / n_entity)) AS share FROM both_ JOIN often USING (term) GROUP BY term),
 having_ AS (SELECT DISTINCT rid FROM words WHERE term IN (SELECT term FROM shares WHERE share >= 0.8)),
 small AS (SELECT * FROM t SEMI JOIN having_ USING (rid)),

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provender.llm.shared import whole_row
+
 #: What the rules may look at; see stats_of.
 STATS = ["words", "mean_word", "upper", "digits", "symbols", "marked_words", "lone_marks", "distinct_words", "repeats", "top_word", "lines_per_word", "repeated_lines", "exclaims", "commas", "short_words", "longest_word"]
 _KIND = np.zeros(256, np.uint8)
@@ -53,14 +55,14 @@ def stats_of(text: str | None) -> tuple[float, ...]:
     )
 
 
-def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a struct column ``_stats``. Only the text goes to Python; no shuffle."""
+def stats(text: str = "text") -> Column:
+    """The statistics of a text column as a struct. Only the text goes to Python; no shuffle."""
 
     @F.pandas_udf(", ".join(f"{s} double" for s in STATS))
     def run(t: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([stats_of(x) for x in t], columns=STATS, dtype=float)
 
-    return docs.withColumn("_stats", run(F.col(text).cast("string")))
+    return run(F.col(text).cast("string"))
 
 
 @dataclass(frozen=True)
@@ -177,28 +179,32 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, label: str = "quality", max_rows: int = 20_000, **how) -> Model:
-    """Fits on at most ``max_rows`` labelled rows, those of the smallest hash of their id; held-out ids are never among them.
+    """Fits on at most ``max_rows`` labelled rows, those of the smallest hash of id and text; held-out ids are never among them.
 
-    Only the chosen rows' statistics (16 doubles each) come to the driver, so the bound holds at any size.
+    The bound is on rows after labels and documents have met, so neither repeated ids nor repeated labels widen it. Only
+    the chosen rows' statistics (16 doubles each) come to the driver.
     """
     chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col(label).cast("int").alias("_y")).distinct()
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "_y").limit(max_rows)
-    rows = with_stats(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).select("doc_id", "_y", "_stats.*").toPandas()
-    rows = rows.sort_values(["doc_id", "_y", *STATS], kind="stable")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "_y", F.xxhash64("doc_id", "text").alias("_h"), stats().alias("_stats")).select("doc_id", "_y", "_h", "_stats.*")
+    rows = rows.orderBy("_h", "doc_id", "_y").limit(max_rows).toPandas().sort_values(["doc_id", "_y", *STATS], kind="stable")
     return fit(rows[STATS].to_numpy(float), rows["_y"].to_numpy(float), **how)
 
 
 def score(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.3, model: Model | None = None, max_rows: int = 20_000) -> DataFrame:
     """docs with held_out, score (0 to 1, higher: label 1 is likelier) and predicted (1 if score >= threshold).
 
-    Two passes over the texts, no shuffle of documents. Null and empty texts get the score of a text without words.
-    Columns of these names in docs are replaced. Repeated rows stay; no labels give a constant score of 0.5.
+    Two passes over the texts, no shuffle of documents. Null and empty texts get the score of a text without words; a text of
+    any length is read whole. Columns of these three names in docs are replaced, all others stay. Repeated rows stay; an
+    empty table gives none; no labels give a constant score of 0.5.
     """
     model = model or train(docs, labels, max_rows=max_rows)
-    scored = with_stats(docs.drop("held_out", "score", "predicted")).withColumn("score", model.column())
-    return scored.withColumn("held_out", held_out()).withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop("_stats")
+    own = docs.drop("held_out", "score", "predicted")
+    scored = own.select(whole_row(own).alias("_row"), F.col("doc_id"), stats().alias("_stats")).select("_row", held_out().alias("held_out"), model.column().alias("score"))
+    return scored.select("_row.*", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pipeline's stage: documents that the classifier doesn't reject, with their columns."""
-    return with_stats(docs).where(train(docs, labels).column() >= 0.3).drop("_stats")
+    """The pipeline's stage: documents that the classifier doesn't reject, with their columns. Nulls, repeats and empty tables as in score()."""
+    judged = docs.select(whole_row(docs).alias("_row"), stats().alias("_stats"))
+    return judged.where(train(docs, labels).column() >= 0.3).select("_row.*")

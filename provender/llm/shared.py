@@ -6,7 +6,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,6 +22,11 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns as one struct: beside it, an operator's own columns can't clash with them."""
+    return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in df.columns))
+
+
 def _drop(jvm, conf, path: str) -> None:
     try:
         p = jvm.org.apache.hadoop.fs.Path(path)

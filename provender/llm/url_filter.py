@@ -9,8 +9,11 @@ from provender.llm.shared import settle
 
 #: (verdict, host, path). A rule fits its host and all subdomains, if the url's path starts with the rule's; the longest wins.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-#: Mass of a seed. Masses are whole numbers, so that sums don't depend on the order of rows.
-UNIT = 10**12
+#: The mass that all seeds of a kind share. Masses are whole numbers, so that sums don't depend on the order of rows; as
+#: decimals of 38 digits they can't overflow, for a round never makes more mass than there was.
+UNIT = 10**30
+#: What a mass is reported in: parts of 10**15.
+SHOWN = 10**15
 LINK = r"""(?i)\bhref\s*=\s*["']?(?:https?:)?//([^/?#"'<>\s]+)"""
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -38,36 +41,47 @@ def host_edges(pages: DataFrame, *, url_col: str = "url", html_col: str = "html"
     return found.select("src", F.translate("to", _UPPER, _LOWER).alias("dst")).where("src <> '' and dst <> '' and src <> dst").distinct()
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, *, damping: int = 85, rounds: int = 10) -> DataFrame:
+def _div(a: Column, b: Column) -> Column:
+    """a div b of whole decimals: without the remainder the division leaves no fraction to round."""
+    return ((a - a % b) / b).cast("decimal(38,0)")
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, *, damping: int = 85, tolerance: float = 1e-6) -> DataFrame:
     """(host, trust, distrust): personalised PageRank of the trusted seeds along the links, and of the blocked seeds against them.
 
-    seeds: (host, kind 't' or 'd'). Each round passes ``damping`` percent of a host's mass on, in equal parts to its
-    edges; what comes to a host over all rounds adds up (the power series of PageRank, unnormalised). Both kinds go in
-    one graph; a round is one join on (kind, host) and one sum, written down in the shared folder. It ends early when no mass is left.
+    seeds: (host, kind 't' or 'd'). Each kind's seeds share one unit of mass in equal parts. Each round passes ``damping``
+    percent of a host's mass on, in equal parts to its edges; what comes to a host over all rounds adds up, and 1 - damping
+    of it is the rank. Rounds go on until the mass of a kind that still moves is at most ``tolerance`` of its unit (with a
+    damping of 85 %, 86 rounds at most), so a host's rank is short by at most tolerance * damping. Both kinds go in one
+    graph; a round is one join on (kind, host) and one sum, written down in the shared folder. Ranks are whole parts of 10**15.
     """
+    whole = lambda x: F.lit(str(x)).cast("decimal(38,0)")
     both = edges.select(F.lit("t").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to")).unionByName(edges.select(F.lit("d").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to")))
-    degree = both.groupBy("kind", "host").agg(F.count("*").alias("degree"))
+    degree = both.groupBy("kind", "host").agg(F.count("*").cast("decimal(20,0)").alias("degree"))
     graph = settle(both.join(degree, ["kind", "host"]))
-    now = settle(seeds.select("kind", "host", F.lit(UNIT).cast("long").alias("mass")))
-    total = now
-    if not graph.isEmpty():
-        for _ in range(rounds):
-            share = F.expr(f"mass * {damping} div 100 div degree")
-            now = settle(graph.join(now, ["kind", "host"]).select("kind", F.col("to").alias("host"), share.alias("mass")).where("mass > 0").groupBy("kind", "host").agg(F.sum("mass").alias("mass")))
-            if now.isEmpty():
-                break
-            total = total.unionByName(now)
-    of = lambda k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("mass"))), F.lit(0).cast("long"))
-    return total.groupBy("host").agg(of("t").alias("trust"), of("d").alias("distrust"))
-
-
-def judge(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=None, damping: int = 85, rounds: int = 10) -> DataFrame:
+    many = {r["kind"]: r["n"] for r in seeds.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    part = F.when(F.col("kind") == "t", whole(UNIT // many.get("t", 1))).otherwise(whole(UNIT // many.get("d", 1)))
+    now = settle(seeds.select("kind", "host", part.alias("mass")))
+    total, live = now, [] if graph.isEmpty() else sorted(many)
+    while live:
+        sent = _div(F.col("mass") * whole(damping), F.col("degree") * whole(100)).alias("mass")
+        moved = graph.join(now.where(F.col("kind").isin(live)), ["kind", "host"]).select("kind", F.col("to").alias("host"), sent)
+        now = settle(moved.where("mass > 0").groupBy("kind", "host").agg(F.sum("mass").cast("decimal(38,0)").alias("mass")))
+        total = total.unionByName(now)
+        moving = {r["kind"]: r["m"] for r in now.groupBy("kind").agg(F.sum("mass").cast("decimal(38,0)").alias("m")).collect()}
+        live = [k for k in live if moving.get(k, 0) > int(tolerance * SHOWN) * (UNIT // SHOWN)]
+    of = lambda k: F.sum(F.when(F.col("kind") == k, F.col("mass")).otherwise(whole(0)))
+    rank = lambda k: _div(of(k).cast("decimal(38,0)") * whole(100 - damping), whole(100 * (UNIT // SHOWN))).cast("long")
+    return total.groupBy("host").agg(rank("t").alias("trust"), rank("d").alias("distrust"))
+
+
+def judge(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=None, damping: int = 85, tolerance: float = 1e-6, threshold: float = 1.0) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust), a row for each row of pages.
 
-    A rule's verdict stands. Other pages go by their host: blocked if its distrust is over its trust. A host is a trusted
+    A rule's verdict stands. Other pages go by their host: blocked if its distrust is over ``threshold`` times its trust. A host is a trusted
     (blocked) seed if more of its pages meet an allowing (blocking) rule than the other kind. Null urls, and those without
     ://, have the empty host, which takes no part and is allowed; null html has no links. Repeated rows stay. An empty
-    table gives no rows. The pages are joined with one row a host; a host with a third of all pages is a skewed join,
+    table gives no rows. Pages of any length are read for links in one pass, whatever many there are. The pages are joined with one row a host; a host with a third of all pages is a skewed join,
     which Spark splits.
     """
     host, path = host_and_path(F.col(url_col))
@@ -76,9 +90,9 @@ def judge(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", ht
     count = lambda v: F.sum(F.when(F.col("hit.verdict") == v, 1).otherwise(0))
     hosts = base.where("host <> ''").groupBy("host").agg(count("allow").alias("a"), count("block").alias("b"))
     seeds = hosts.where("a <> b").select("host", F.when(F.col("a") > F.col("b"), "t").otherwise("d").alias("kind"))
-    mass = propagate(host_edges(pages, url_col=url_col, html_col=html_col), seeds, damping=damping, rounds=rounds)
+    mass = propagate(host_edges(pages, url_col=url_col, html_col=html_col), seeds, damping=damping, tolerance=tolerance)
     out = base.join(mass, "host", "left").na.fill(0, ["trust", "distrust"])
-    method = F.when(F.col("distrust") > F.col("trust"), "block").otherwise("allow")
+    method = F.when(F.col("distrust") > F.col("trust") * threshold, "block").otherwise("allow")
     return out.select("page_id", "host", "path", F.col("hit.rule").alias("rule"), F.coalesce("hit.verdict", method).alias("verdict"), "trust", "distrust")
 
 
@@ -111,12 +125,13 @@ WITH RECURSIVE u AS (
   UNION ALL SELECT 'd', dst, src FROM e WHERE src <> '' AND dst <> '' AND src <> dst
 ), w AS (SELECT *, count(*) OVER (PARTITION BY kind, host) AS degree FROM g
 ), m AS (
-  SELECT 0 AS r, kind, host, CAST(1000000000000 AS BIGINT) AS mass FROM seeds
+  SELECT kind, host, CAST(1000000000000000000000000000000 AS HUGEINT) // count(*) OVER (PARTITION BY kind) AS mass, CAST(1000000000000000000000000000000 AS HUGEINT) AS moving FROM seeds
   UNION ALL
-  SELECT m.r + 1, w.kind, w."to", CAST(sum(m.mass * 85 // 100 // w.degree) AS BIGINT)
-  FROM m JOIN w ON m.kind = w.kind AND m.host = w.host WHERE m.r < 10 AND m.mass * 85 // 100 // w.degree > 0 GROUP BY m.r + 1, w.kind, w."to"
+  SELECT kind, host, mass, CAST(sum(mass) OVER (PARTITION BY kind) AS HUGEINT) FROM (
+    SELECT w.kind, w."to" AS host, CAST(sum(m.mass * 85 // (100 * w.degree)) AS HUGEINT) AS mass
+    FROM m JOIN w ON m.kind = w.kind AND m.host = w.host WHERE m.moving > 1000000000000000000000000 AND m.mass * 85 // (100 * w.degree) > 0 GROUP BY w.kind, w."to")
 ), t AS (
-  SELECT host, CAST(coalesce(sum(mass) FILTER (kind = 't'), 0) AS BIGINT) AS trust, CAST(coalesce(sum(mass) FILTER (kind = 'd'), 0) AS BIGINT) AS distrust FROM m GROUP BY host
+  SELECT host, CAST(sum(CASE WHEN kind = 't' THEN mass ELSE 0 END) * 15 // 100000000000000000 AS BIGINT) AS trust, CAST(sum(CASE WHEN kind = 'd' THEN mass ELSE 0 END) * 15 // 100000000000000000 AS BIGINT) AS distrust FROM m GROUP BY host
 )
 SELECT page_id, v.host, path, rule, coalesce(said, CASE WHEN coalesce(distrust, 0) > coalesce(trust, 0) THEN 'block' ELSE 'allow' END) AS verdict,
        coalesce(trust, 0) AS trust, coalesce(distrust, 0) AS distrust

@@ -104,3 +104,26 @@ def test_copies_of_all_contexts_hide_no_term(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     terms = {r.term: r.share for r in pii.revealing_terms(pii.base_spans(docs, docs["text"])).collect()}
     assert terms == {"zorblax": 1.0}
+
+
+def test_texts_with_very_many_matches(spark):
+    """100,000 addresses in one text, and 3,000 of all kinds with a revealing word among them."""
+    many = " ".join(f"u{i % 70}@h{i}.example.com" for i in range(100_000))
+    mixed = " ".join(f"Zorblax jo@corp.example.com +1 (386) 555-{1000 + i % 9000} é😀 1.2.3.{i % 300} wordé" for i in range(3_000))
+    docs = spark.createDataFrame([(1, many), (2, mixed), (3, "x" * 1030 + " a@b.c " + "😀" * 700 + " a@b.c tail")] + [(50 + d, t) for d, t in story()[:5]], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.report(pii.find(docs)).select("doc_id", "n_email", "n_ip", "n_phone", "base_sha256").collect()}
+    assert got[1].n_email == 100_000 and got[2].n_email == got[2].n_phone == 3_000
+    for d, t in ((1, many), (2, mixed)):
+        p = plain(t)
+        assert got[d].base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k in pii.KINDS for a, b in p[k]).encode()).hexdigest()
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert clean[1] == " ".join(["<email>"] * 100_000)
+    assert clean[3] == "x" * 1030 + " <email> " + "😀" * 700 + " <email> tail"
+    assert "@" not in clean[2] and clean[2].count("<phone>") == 3_000 and "é😀" in clean[2]
+
+
+def test_columns_of_the_users_own_names(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.c", "h", [1], "x", 3), (2, "none", None, None, "y", 4)], "doc_id long, text string, _hash string, _spans array<int>, `_row` string, `a.b` int")
+    got = pii.sanitise(docs)
+    assert got.schema == docs.schema
+    assert sorted(map(tuple, got.collect())) == [(1, "mail <email>", "h", [1], "x", 3), (2, "none", None, None, "y", 4)]

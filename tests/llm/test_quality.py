@@ -57,3 +57,51 @@ def test_nulls_long_texts_repeats_and_empty_tables(spark):
     assert {r.score for r in quality.score(docs, labels.limit(0)).collect()} == {0.5}
     assert quality.score(docs.limit(0), labels).collect() == []
     assert quality.stats_of(None) == quality.stats_of(" \n") == (0.0,) * len(quality.STATS)
+
+
+def test_the_bound_holds_for_repeated_ids_and_labels(spark):
+    docs = spark.createDataFrame([(1, f"word number {i}") for i in range(3_000)] + [(i, "a b") for i in range(2, 90)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i in range(1, 90) for q in (0, 1, None)], "doc_id long, quality int")
+    seen = []
+    real = quality.fit
+    try:
+        quality.fit = lambda x, y, **how: seen.append(len(y)) or real(x, y, **how)
+        quality.train(docs, labels, max_rows=20)
+    finally:
+        quality.fit = real
+    assert seen == [20]
+
+
+def test_columns_of_the_users_own_names(spark):
+    docs = spark.createDataFrame([(1, "a b c", "s", 2.5, "r"), (2, None, None, None, None)], "doc_id long, text string, _stats string, score double, `_row` string")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    assert quality.keep_good(docs, labels).schema == docs.schema
+    assert {(r.doc_id, r["_stats"], r["_row"]) for r in quality.keep_good(docs, labels).collect()} == {(1, "s", "r"), (2, None, None)}
+    assert quality.score(docs, labels).columns == ["doc_id", "text", "_stats", "_row", "held_out", "score", "predicted"]
+
+
+def test_first_split_is_the_best_and_the_weights_are_the_lasso_optimum():
+    """Gains by plain loops over all cut points, and the optimality conditions of the penalised loss."""
+    made = rows(600, 5)
+    x, y = np.array([quality.stats_of(t) for _, t, _ in made]), np.array([q for *_, q in made], float)
+    p = (y.sum() + 1) / (len(y) + 2)
+    g, h = y - p, np.full(len(y), p * (1 - p))
+    cuts = [np.unique(np.quantile(c, np.linspace(0.005, 0.995, 100))) for c in x.T]
+    paths = []
+    quality._tree(x, cuts, g, h, 1, (), paths, None)
+
+    def gain(j, c):
+        side = x[:, j] <= c
+        if min(side.sum(), (~side).sum()) < 20:
+            return 0.0
+        return sum(g[s].sum() ** 2 / (h[s].sum() + 1) for s in (side, ~side))
+
+    best = max(gain(j, c) for j in range(x.shape[1]) for c in cuts[j])
+    (name, _, cut), = paths[0]
+    assert abs(gain(quality.STATS.index(name), cut) - best) < 1e-9
+    penalty = 2e-3
+    model = quality.fit(x, y, penalty=penalty, steps=20_000, trees=6)
+    r = model.score(x) - y
+    assert model.rules and abs(r.mean()) < 1e-5
+    for rule, w in model.rules:
+        assert abs((rule.holds(x) * r).mean() + penalty * np.sign(w)) < 1e-5
