@@ -1,8 +1,10 @@
-"""Licence scan: a trained paragraph classifier on sparse word n-grams with a calibrated unknown class, confirmed by
-comparison with templates. DataFrame functions only where documents are read; the fitting sees fixed templates."""
+"""Licence scan: a trained paragraph classifier on sparse word n-grams with a calibrated unknown class; only what a
+comparison with templates confirms comes out. DataFrame functions only where documents are read; the fitting sees fixed
+templates, sentences and notices."""
 
 from __future__ import annotations
 
+import math
 import random
 import re
 from dataclasses import dataclass
@@ -40,6 +42,21 @@ TEMPLATES = {
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License",
         "SPDX-License-Identifier: LGPL-{n}-only",
     ],
+    "agpl": [
+        "Licensed under the GNU Affero General Public License, version {n}.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version {n} of the License, or (at your option) any later version.",
+        "SPDX-License-Identifier: AGPL-{n}-or-later",
+    ],
+    "epl": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License {n}",
+        "Licensed under the Eclipse Public License, version {n}.",
+        "SPDX-License-Identifier: EPL-{n}",
+    ],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Licensed under the ISC License.",
+        "SPDX-License-Identifier: ISC",
+    ],
     "mpl": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. {n}.",
         "Licensed under the Mozilla Public License, version {n}.",
@@ -49,7 +66,7 @@ TEMPLATES = {
     "cc-by-sa": ["Licensed under CC BY-SA {n}.", "This work is licensed under a Creative Commons Attribution-ShareAlike {n} International License."],
     "cc-by-nc": ["Licensed under CC BY-NC {n}.", "This work is licensed under a Creative Commons Attribution-NonCommercial {n} International License."],
     "cc0": ["Dedicated to the public domain under CC0 {n}.", "To the extent possible under law, the author has waived all copyright and related rights to this work. SPDX-License-Identifier: CC0-{n}"],
-    "proprietary": ["Copyright {x}. All rights reserved.", "This document is confidential and proprietary; no part may be reproduced without prior written permission."],
+    "proprietary": ["All rights reserved.", "Copyright {x}. All rights reserved.", "This document is confidential and proprietary; no part may be reproduced without prior written permission."],
 }
 #: Sentences that speak of such matters without being a notice; they and shuffled words teach the unknown class.
 OTHERS = [
@@ -65,8 +82,56 @@ OTHERS = [
     "All rights and duties are set out in the following section.",
     "This work is about the history of the common people.",
 ]
-UNKNOWN = "unknown"
+# Notices of licences that no template has; they are unknown as well.
+STRANGERS = [
+    "Distributed under the Boost Software License, Version 1.0.",
+    "This library is free software and may be used under the terms of the Artistic License.",
+    "Licensed under the zlib License.",
+    "This font is licensed under the SIL Open Font License, Version 1.1.",
+    "You may use this program under the terms of the Example Community Agreement, version 2.",
+    "This software is provided under the Microsoft Public License.",
+    "The images are offered under the Free Art License 1.3.",
+    "Use of this file is governed by the Python Software Foundation License.",
+]
 _WORD = r"[a-z0-9]+"
+UNKNOWN = "unknown"
+# What the temperature is fitted on. No template, sentence or rule of the training is used for these.
+CALIBRATION = [
+    ("This module is distributed under the Apache License 2.0, see the file LICENSE for the terms.", "apache"),
+    ("You may use these files under the Apache License, Version 2.0.", "apache"),
+    ("The code is available under the terms of the MIT License.", "mit"),
+    ("MIT licensed, see the file named licence.", "mit"),
+    ("You may copy and use the software free of charge under the MIT licence, with this permission notice.", "mit"),
+    ("Use of this source code is governed by a BSD 3-Clause License.", "bsd"),
+    ("Redistributions of source code must retain the conditions; redistribution in binary forms with modification is permitted.", "bsd"),
+    ("You can copy it under the GNU General Public License version 2 as the Free Software Foundation publishes it.", "gpl"),
+    ("Free software under the GNU General Public License, version 3 or later.", "gpl"),
+    ("The library may be linked under the GNU Lesser General Public License.", "lgpl"),
+    ("The server is covered by the GNU Affero General Public License.", "agpl"),
+    ("Mozilla Public License version 2 applies to this source file.", "mpl"),
+    ("Made available under the Eclipse Public License v1.0.", "epl"),
+    ("ISC License applies: use, copy, modify and distribute with or without fee.", "isc"),
+    ("Text under CC BY 3.0.", "cc-by"),
+    ("The photographs are under CC BY-SA 3.0.", "cc-by-sa"),
+    ("Text and figures: CC BY-NC 3.0.", "cc-by-nc"),
+    ("The data are CC0 1.0, public domain.", "cc0"),
+    ("Copyright 1999 the publisher. No part may be reproduced; all rights reserved.", "proprietary"),
+    ("Confidential and proprietary, not to be reproduced without permission.", "proprietary"),
+    ("The general was a free man under the public eye.", UNKNOWN),
+    ("She holds a fishing licence and the permission to use the boat.", UNKNOWN),
+    ("All members have the right to vote, and seats are reserved.", UNKNOWN),
+    ("Under the terms of the treaty the foundation may distribute food.", UNKNOWN),
+    ("The public library is free and open at any time.", UNKNOWN),
+    ("This version of the program was written by students.", UNKNOWN),
+    ("The European Union Public Licence applies to this work.", UNKNOWN),
+    ("Licensed under the Academic Free License version 3.0.", UNKNOWN),
+    ("You may redistribute it under the terms of the Ruby License.", UNKNOWN),
+    ("See the accompanying file for the PostgreSQL License.", UNKNOWN),
+    ("A copy of the book is available at the shop without charge.", UNKNOWN),
+    ("Source and binary stars are of either kind, or of any other.", UNKNOWN),
+]
+# Words that are common in any text; no filter relies on them where it can rely on another.
+COMMON = frozenset("a all and any are as at be by can for from have if in is it may no not of on or part that the their this to under use used with without you your".split())
 
 
 @dataclass(frozen=True)
@@ -97,22 +162,29 @@ def _examples(seed: int) -> list[tuple[str, str]]:
                 around = [noise() for _ in range(rnd.choice([0, 0, 4, 30]))]
                 cut = rnd.randrange(len(around) + 1)
                 out.append((" ".join([*around[:cut], text, *around[cut:]]), family))
-        for t in OTHERS:
+        for t in OTHERS + STRANGERS:
             out += [(" ".join([*(noise() for _ in range(rnd.randrange(6))), t]), UNKNOWN)] * 2
         for _ in range(30):
             out.append((" ".join(rnd.choice([rnd.choice(pool), noise()]) for _ in range(rnd.randrange(1, 30))), UNKNOWN))
     return out
 
 
+def template_grams(template: str) -> frozenset[str]:
+    """The n-grams of a template; none goes over a gap for a holder."""
+    parts = template.lower().replace("{n}", "2").split("{x}")
+    return frozenset(g for part in parts for g in grams(re.findall(_WORD, part)))
+
+
 def train(*, seed: int = 7, least: float = 0.5, penalty: float = 1e-3, steps: int = 400) -> Model:
     """Multinomial logistic regression on examples made of the templates (a fixed, bounded set), L1-pruned to few n-grams.
 
-    The temperature is fitted on examples of another seed, so that the probabilities, the unknown class's among them, are
-    calibrated. Deterministic.
+    The temperature is fitted on CALIBRATION, notices and sentences in other words, so that the probabilities, the unknown
+    class's among them, are calibrated on what the training hasn't made. Deterministic.
     """
     families = (*sorted(TEMPLATES), UNKNOWN)
     made = [(grams(re.findall(_WORD, t.lower())), families.index(f)) for t, f in _examples(seed)]
-    known = [set(g) for f in TEMPLATES for t in TEMPLATES[f] for g in [grams(re.findall(_WORD, t.lower().replace("{n}", "2")))]]
+    templates = tuple((f, template_grams(t)) for f in sorted(TEMPLATES) for t in TEMPLATES[f])
+    known = [g for _, g in templates] + [grams(re.findall(_WORD, t.lower())) for t in STRANGERS]
     vocabulary = {g: i for i, g in enumerate(sorted(set().union(*known)))}
 
     def matrix(rows):
@@ -139,10 +211,9 @@ def train(*, seed: int = 7, least: float = 0.5, penalty: float = 1e-3, steps: in
         nt = (1 + (1 + 4 * t * t) ** 0.5) / 2
         vw, vb = nw + (t - 1) / nt * (nw - w), nb + (t - 1) / nt * (nb - b)
         w, b, t = nw, nb, nt
-    fresh = [(grams(re.findall(_WORD, t.lower())), families.index(f)) for t, f in _examples(seed + 1)]
+    fresh = [(grams(re.findall(_WORD, t.lower())), families.index(f)) for t, f in CALIBRATION]
     z, true = matrix(fresh) @ w + b, [f for _, f in fresh]
     losses = {s: -np.log(soft(z / s)[np.arange(len(true)), true] + 1e-12).mean() for s in np.linspace(0.3, 3, 28).tolist()}
-    templates = tuple((f, frozenset(grams(re.findall(_WORD, t.lower().replace("{n}", "2").replace("{x}", ""))))) for f in sorted(TEMPLATES) for t in TEMPLATES[f])
     kept = {g: tuple(w[i].tolist()) for g, i in vocabulary.items() if np.abs(w[i]).max() > 1e-6}
     return Model(families, kept, tuple(b.tolist()), min(losses, key=losses.get), least, templates)
 
@@ -154,34 +225,63 @@ def _column_grams(words: Column) -> Column:
     return F.array_distinct(F.concat(w, pairs))
 
 
+def _needed(templates, confirm: float) -> str:
+    """A pattern that every text with ``confirm`` of some template's n-grams matches: it can't lack all of the words taken
+    here, for they are more than a text may lack. The longest uncommon words of each template are taken."""
+    words: set[str] = set()
+    for _, gs in templates:
+        own = sorted((w for w in gs if " " not in w), key=lambda w: (w == "0", w in COMMON, -len(w), w))
+        words.update("[0-9]+" if w == "0" else w for w in own[: len(gs) - math.ceil(confirm * len(gs) - 1e-9) + 1])
+    return rf"(?<![a-z0-9])(?:{'|'.join(sorted(words))})(?![a-z0-9])"
+
+
+#: The end of a line that goes on in the next: not the end of a sentence, and no blank line after it.
+WRAP = r"(?<=[^\s.!?:;])[ \t\r]*\n(?=[ \t]*\S)"
+
+
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None, confirm: float = 0.8) -> DataFrame:
-    """(doc_id, paragraph, family, probability, similarity, confirmed) for each paragraph that the model takes for a licence notice.
-
-    Paragraphs are a text's lines that aren't blank, counted from 0 over all lines. A paragraph's score adds up the weights
-    of its distinct n-grams. ``probability`` is the calibrated one, rounded to 6 places; paragraphs whose likeliest class
-    is unknown, or below model.least, are left out. ``similarity`` is the largest share of a template of that family whose
-    n-grams the paragraph has, and ``confirmed`` says that it is at least ``confirm``. The weights, some hundred n-grams,
-    are a table bound by the fixed templates, so it may be broadcast; a paragraph without any of them is unknown and drops
-    out of the join before anything is shuffled. Null and empty texts have no paragraphs; repeated rows count again; an empty table gives none.
+    """(doc_id, paragraph, family, probability, similarity): the licence notices of each text.
+
+    A paragraph is a run of lines that go on in the next (no sentence ends there and no blank line follows), counted from
+    0. It is judged as a whole and, if it has several lines, each line by itself as well, so a notice may be wrapped or
+    stand among other lines. A score adds up the weights of distinct n-grams; ``probability`` is the calibrated one, rounded
+    to 6 places. Notices whose likeliest class is unknown, or below model.least, are left out, and so are those that aren't
+    confirmed: ``similarity``, the largest share of a template of that family whose n-grams are there, must be ``confirm``.
+    A row for each paragraph and family, the likeliest reading of it.
+
+    Texts, paragraphs and lines without any of the words that a confirmed notice can't lack are passed over before they are
+    cut up, so little is exploded and next to nothing shuffled, whatever the length of the texts. The weights, some hundred
+    n-grams, are a table bound by the fixed templates, so it may be broadcast. Null and empty texts have no paragraphs;
+    repeated rows count again; an empty table gives none; other columns are not looked at.
     """
     model = model or train()
     spark = docs.sparkSession
-    text = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    lines = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("paragraph", "line"))
+    needed = _needed(model.templates, confirm)
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text")).where(F.col("text").rlike(needed))
+    blocks = texts.select("row", "doc_id", F.posexplode(F.split(F.regexp_replace("text", WRAP, "\u0001"), "\n")).alias("paragraph", "block")).where(F.col("block").rlike(needed))
+    units = F.when(F.contains("block", F.lit("\u0001")), F.concat(F.array("block"), F.split("block", "\u0001"))).otherwise(F.array("block"))
+    lines = blocks.select("row", "doc_id", "paragraph", F.posexplode(units).alias("unit", "line")).where(F.col("line").rlike(needed))
     words = F.regexp_extract_all("line", F.lit(_WORD), F.lit(0))
-    exploded = lines.select("row", "doc_id", "paragraph", F.explode(_column_grams(words)).alias("gram"))
+    exploded = lines.select("row", "doc_id", "paragraph", "unit", F.explode(_column_grams(words)).alias("gram"))
     n = len(model.families)
     index: dict[str, list[int]] = {}
     for i, (_, gs) in enumerate(model.templates):
         for g in gs:
             index.setdefault(g, []).append(i)
-    table = [(g, list(model.weights.get(g, (0.0,) * n)), index.get(g, [])) for g in sorted({*model.weights, *index})]
-    weights = spark.createDataFrame(table, "gram string, w array<double>, templates array<int>")
-    hit = exploded.join(F.broadcast(weights), "gram").groupBy("row", "doc_id", "paragraph").agg(*(F.sum(F.round(F.col("w")[k] * 1_000_000).cast("long")).alias(f"z{k}") for k in range(n)), *(F.sum(F.array_contains("templates", i).cast("int")).alias(f"t{i}") for i in range(len(model.templates))))
-    z = [(F.col(f"z{k}") / 1e6 + model.bias[k]) / model.temperature for k in range(n)]
-    total = sum((F.exp(v - F.greatest(*z)) for v in z[1:]), F.exp(z[0] - F.greatest(*z)))
-    best = F.greatest(*(F.struct(v.alias("z"), F.lit(f).alias("family")) for v, f in zip(z, model.families)))
-    out = hit.withColumn("best", best).withColumn("probability", F.round(F.lit(1.0) / total, 6))
-    shares = [F.when(F.col("best.family") == f, F.col(f"t{i}") / len(gs)).otherwise(0.0) for i, (f, gs) in enumerate(model.templates)]
-    out = out.where((F.col("best.family") != UNKNOWN) & (F.col("probability") >= model.least)).withColumn("similarity", F.round(F.greatest(*shares), 6))
-    return out.select("doc_id", "paragraph", F.col("best.family").alias("family"), "probability", "similarity", (F.col("similarity") >= confirm).alias("confirmed"))
+    micro = lambda g: [round(w * 1_000_000) for w in model.weights.get(g, (0.0,) * n)]
+    table = [(g, micro(g), index.get(g, [])) for g in sorted({*model.weights, *index})]
+    weights = spark.createDataFrame(table, "gram string, w array<long>, templates array<int>")
+    # a unit's n-grams are distinct, so its list is no longer than the table
+    hit = exploded.join(F.broadcast(weights), "gram").groupBy("row", "doc_id", "paragraph", "unit").agg(F.collect_list(F.struct("w", "templates")).alias("hs"))
+    fixed = lambda values: F.array(*map(F.lit, values))
+    places = lambda m: F.sequence(F.lit(0), F.lit(m - 1))
+    z = F.transform(places(n), lambda k: (F.aggregate("hs", F.lit(0).cast("long"), lambda total, h: total + h["w"][k]) / 1e6 + fixed(model.bias)[k]) / model.temperature)
+    out = hit.withColumn("z", z).withColumn("most", F.array_max("z"))
+    out = out.withColumn("family", F.element_at(fixed(model.families), F.array_position("z", F.col("most")).cast("int")))
+    out = out.withColumn("probability", F.round(1.0 / F.aggregate("z", F.lit(0.0), lambda total, v: total + F.exp(v - F.col("most"))), 6))
+    out = out.where((F.col("family") != UNKNOWN) & (F.col("probability") >= model.least))
+    of, sizes = fixed([f for f, _ in model.templates]), fixed([len(gs) for _, gs in model.templates])
+    share = F.transform(places(len(model.templates)), lambda i: F.when(of[i] == F.col("family"), F.size(F.filter("hs", lambda h: F.array_contains(h["templates"], i))) / sizes[i]).otherwise(0.0))
+    out = out.withColumn("similarity", F.round(F.array_max(share), 6))
+    sure = out.where(F.col("similarity") >= confirm).select("row", "doc_id", "paragraph", "family", F.struct("probability", "similarity").alias("m"))
+    return sure.groupBy("row", "doc_id", "paragraph", "family").agg(F.max("m").alias("m")).select("doc_id", "paragraph", "family", "m.*")

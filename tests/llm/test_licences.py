@@ -1,6 +1,7 @@
 """The licence scan: families on fresh notices, the unknown class, and the expressions against a plain scorer."""
 
 import math
+import random
 import re
 
 from provender.llm import licences
@@ -8,21 +9,57 @@ from provender.llm import licences
 MODEL = licences.train()
 
 
+def units(text):
+    """(paragraph, text) of each paragraph and, if it has several lines, of each of its lines."""
+    lines, blocks = (text or "").lower().split("\n"), []
+    for i, line in enumerate(lines):
+        goes_on = i > 0 and lines[i - 1].strip() and lines[i - 1].strip()[-1] not in ".!?:;" and line.strip()
+        if goes_on:
+            blocks[-1].append(line)
+        else:
+            blocks.append([line])
+    for k, b in enumerate(blocks):
+        yield k, " ".join(b)
+        if len(b) > 1:
+            yield from ((k, x) for x in b)
+
+
 def plain(text):
-    out = []
-    for i, line in enumerate((text or "").lower().split("\n")):
-        gs = [g for g in licences.grams(re.findall(licences._WORD, line))]
-        if not any(g in MODEL.weights or any(g in t for _, t in MODEL.templates) for g in gs):
-            continue
-        z = [(sum(round(MODEL.weights[g][k] * 1_000_000) for g in gs if g in MODEL.weights) / 1e6 + MODEL.bias[k]) / MODEL.temperature for k in range(len(MODEL.families))]
+    best = {}
+    for k, unit in units(text):
+        gs = set(licences.grams(re.findall(r"[a-z0-9]+", unit)))
+        z = [(sum(round(MODEL.weights[g][c] * 1_000_000) for g in gs if g in MODEL.weights) / 1e6 + MODEL.bias[c]) / MODEL.temperature for c in range(len(MODEL.families))]
         p = 1 / sum(math.exp(v - max(z)) for v in z)
         family = MODEL.families[z.index(max(z))]
         if family != licences.UNKNOWN and p >= MODEL.least:
-            s = max((len(t & set(gs)) / len(t) for f, t in MODEL.templates if f == family), default=0)
-            out.append((i, family, round(p, 5), round(s, 5)))
-    return out
+            s = max((len(t & gs) / len(t) for f, t in MODEL.templates if f == family), default=0)
+            if round(s, 6) >= 0.8:
+                best[k, family] = max(best.get((k, family), (0, 0)), (round(p, 6), round(s, 6)))
+    return [(k, f, *m) for (k, f), m in best.items()]
+
+
+def same(got, rows):
+    """Equal rows; the last place of a rounded number may differ."""
+    want = sorted((d, *x) for d, t, *_ in rows for x in plain(t))
+    got = sorted(tuple(r) for r in got)
+    return len(got) == len(want) and all(g[:3] == w[:3] and abs(g[3] - w[3]) < 2e-6 and abs(g[4] - w[4]) < 2e-6 for g, w in zip(got, want))
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights"""
+APACHE = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0"""
+GPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+"""
 TEXTS = [
     ("apache", "intro words\n\nLicensed under the Apache License, Version 2.0.\nmore"),
     ("mit", "Released under the MIT License."),
@@ -32,6 +69,18 @@ TEXTS = [
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("proprietary", "Copyright (c) 2021 Someone. All rights reserved."),
+    ("proprietary", "All rights reserved."),
+    ("mit", f"some heading of a file\n\n{MIT}\nto use, copy, modify, merge"),
+    ("apache", APACHE),
+    ("gpl", "A text before it.\n" + GPL),
+    ("bsd", BSD),
+    ("agpl", GPL.replace("General", "Affero General")),
+    ("agpl", "Licensed under the GNU Affero General Public License, version 3."),
+    ("epl", "This program and the accompanying materials are made available under the\nterms of the Eclipse Public License 2.0 which is available at"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."),
+    ("mit", "no end here " * 300 + "\nReleased under the MIT License.\nand on it goes " * 2),
+    (None, "Licensed under the Academic Free License version 3.0."),
+    (None, "The European Union Public Licence applies to this work."),
     (None, "The driver showed the licence to the officer, and the general public was there."),
     (None, "Of the and to in a is this or by with under version free"),
     (None, ""),
@@ -44,16 +93,32 @@ TEXTS = [
 def test_families_and_plain_scorer(spark):
     rows = [(i // 2, t, "clash") for i, (_, t) in enumerate(TEXTS)]
     got = [tuple(r) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string, family string"), model=MODEL).collect()]
-    want = sorted((d, *x) for d, t, _ in rows for x in plain(t))
-    assert sorted((d, i, f, round(p, 5), round(s, 5)) for d, i, f, p, s, _ in got) == want
-    assert sorted(f for _, _, f, *_ in got) == sorted(f for f, _ in TEXTS if f)
-    assert all(ok for *_, ok in got)
+    assert same(got, rows)
+    for family, text in TEXTS:
+        assert {f for _, f, *_ in plain(text)} == ({family} if family else set()), text
+
+
+def test_mixed_texts_against_the_plain_scorer(spark):
+    """Lines of notices, halves of them and prose in any order: the filter passes over nothing that the plain scorer finds."""
+    rnd = random.Random(4)
+    pool = [x for ts in licences.TEMPLATES.values() for t in ts for x in (t.replace("{n}", "2.0"), t[: len(t) // 2], t[len(t) // 2 :])] + licences.OTHERS + licences.STRANGERS + ["", "of the", "#"]
+    rows = [(i, "\n".join(rnd.choice(pool) for _ in range(rnd.randrange(1, 7)))) for i in range(300)]
+    got = licences.scan(spark.createDataFrame(rows, "doc_id long, text string"), model=MODEL).collect()
+    assert same(got, rows) and len(got) > 150
+
+
+def test_calibration_notices_are_told_apart():
+    """They are in no training example; those of strangers stay unknown."""
+    made = {t for t, _ in licences._examples(7)}
+    assert not made & {t for t, _ in licences.CALIBRATION}
 
+    def likeliest(t):
+        gs = licences.grams(re.findall(r"[a-z0-9]+", t.lower()))
+        z = [sum(MODEL.weights[g][c] for g in gs if g in MODEL.weights) + MODEL.bias[c] for c in range(len(MODEL.families))]
+        return MODEL.families[z.index(max(z))]
 
-def test_fresh_examples_are_told_apart():
-    fresh = licences._examples(99)
-    right = sum(([r[1] for r in plain(t)] or [licences.UNKNOWN])[0] == f for t, f in fresh)
-    assert right / len(fresh) > 0.95
+    right = sum(likeliest(t) == f for t, f in licences.CALIBRATION)
+    assert right / len(licences.CALIBRATION) > 0.8
 
 
 def test_repeats_null_ids_and_empty_table(spark):
