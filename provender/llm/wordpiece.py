@@ -5,17 +5,35 @@ from __future__ import annotations
 from collections import deque
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provender.llm.bpe import blocks, load_ranks
+from provender.llm.bpe import blocks
+
+SPACE = "\u2581"
+
+
+def load_pieces(path: str) -> tuple[set[bytes], set[bytes]]:
+    """(starts, rest) of a piece model's file: pieces with the mark of a word's start, without it, and the others. The bare
+    mark is the empty start. A piece for a single byte goes on a word anywhere; control pieces and runs of marks match nothing."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    starts, rest = set(), set()
+    for i in range(model.get_piece_size()):
+        piece = model.id_to_piece(i)
+        if model.is_byte(i):
+            rest.add(bytes([int(piece[3:5], 16)]))
+        elif not (model.is_control(i) or model.is_unknown(i) or SPACE in piece[1:]):
+            starts.add(piece[1:].encode()) if piece[0] == SPACE else rest.add(piece.encode())
+    return starts, rest
 
 
 class LongestMatch:
     """Counts the pieces of the greedy longest match without building them, in time linear in the word.
 
-    ``starts`` are the pieces that may begin a word, ``rest`` those that may go on (the same set if not given). A node's
+    ``starts`` are the pieces that may begin a word, ``rest`` those that may go on (the same set if not given). An empty
+    start is a token that takes nothing of the word and is used where no other start fits. A node's
     failure link leads to what is left to match after the longest pieces of its string are popped; ``pops`` counts them.
     """
 
@@ -40,6 +58,8 @@ class LongestMatch:
         for key, v in self.step.items():
             kids.setdefault(key >> 8, []).append((key & 255, v))
         self.fail, self.pops = [-1] * nodes, [0] * nodes
+        if b"" in starts:
+            self.fail[self.ROOT], self.pops[self.ROOT] = self.MORE, 1
         todo = deque([self.ROOT, self.MORE])
         while todo:
             u = todo.popleft()
@@ -74,26 +94,28 @@ class LongestMatch:
         return n
 
 
-def token_counts(docs: DataFrame, vocabulary_path: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", keep: int = 400_000) -> DataFrame:
+def token_counts(docs: DataFrame, vocabulary_path: str, *, id_col: str = "doc_id", text_col: str = "text", keep: int = 400_000) -> DataFrame:
     """(doc_id, n_words long, n_tokens long, n_unknown long) for each row of docs.
 
-    Words are the pattern's matches in the whole text, as UTF-8 bytes; each is cut by the greedy longest match over the
-    vocabulary. A word that gets stuck counts as one token and as unknown (a vocabulary that has all 256 bytes knows none).
-    The vocabulary (a file of under 1 MB) is read on the driver and sent once; the counts of up to ``keep`` words are kept
-    in each task. Nothing is shuffled. Null and empty texts have no words; repeated rows stay; an empty table gives none.
+    Words are what spaces (x20, x09-x0D) part in the whole text, as UTF-8 bytes; each is cut by the greedy longest match over
+    the pieces, from those that start a word on to those that go on. A word that gets stuck counts as one token and as
+    unknown (a vocabulary that has all 256 bytes knows none). A word of any length takes time in its length only. The
+    vocabulary (a file of under 1 MB) is read on the driver and sent once; the counts of up to ``keep`` words are kept in each
+    task. Nothing is shuffled. Null and empty texts have no words; repeated rows stay; an empty table gives none; other
+    columns are not looked at.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(list(load_ranks(vocabulary_path)))
+    sent = docs.sparkSession.sparkContext.broadcast(load_pieces(vocabulary_path))
     taken = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
-        auto, find, known = LongestMatch(sent.value), regex.compile(pattern).findall, {}
+        auto, known = LongestMatch(*sent.value), {}
         for b in blocks(batches):
-            words = [find(t) if t else [] for t in b.column(1).to_pylist()]
+            words = [t.encode().split() if t else [] for t in b.column(1).to_pylist()]
             every = set().union(*words)
             if len(known) + len(every) > keep:
                 known = {}
             for w in every.difference(known):
-                known[w] = auto.count(w.encode())
+                known[w] = auto.count(w)
             counts = [list(map(known.__getitem__, w)) for w in words]
             unknown = [c.count(-1) for c in counts]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in ([len(c) for c in counts], [sum(c) + 2 * u for c, u in zip(counts, unknown)], unknown))], names=["doc_id", "n_words", "n_tokens", "n_unknown"])
