@@ -4,20 +4,19 @@
    or more are candidates. Equal 50-byte strings have equal anchors at equal offsets, so none is missed.
 2. The windows around each candidate anchor that have it, once per block of documents, go to the anchor's shard.
 3. A shard's distinct contexts become a run-length Burrows-Wheeler transform. All contexts stream through it from right
-   to left; where a matching statistic reaches 50 they learn the smallest document that has that string.
+   to left; where a match reaches 50 bytes they learn the smallest document that has that string. An anchor of very many
+   contexts is cut by the bytes beside it first.
 4. The answers join the anchors' places, and each document loses the bytes that are covered.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provender.llm.shared import settle
@@ -90,8 +89,9 @@ def chunks(column: pa.Array, most: int = 200_000):
 class RunIndex:
     """A run-length Burrows-Wheeler transform of contexts, each ended by a mark of its own (mark k sorts as k, before all bytes).
 
-    Kept: the runs' starts and where their heads map to, the text places at the runs' ends, and the borders between
-    suffixes that agree in fewer than ``SIZE`` bytes, with the smallest document between two borders.
+    Kept: the runs' starts and where their heads map to, and the borders between suffixes that agree in fewer than
+    ``SIZE`` bytes, with the smallest document between two borders. These borders take the place of text places sampled at
+    the runs' ends: all that is asked of a matching statistic is whether it reaches ``SIZE`` and in which document first.
     """
 
     def __init__(self, contexts: list[bytes], docs: np.ndarray):
@@ -139,7 +139,6 @@ class RunIndex:
         target = np.empty(len(heads), np.int64)
         target[by] = np.cumsum(sizes[by]) - sizes[by]
         self.heads, self.target = heads, target
-        self.run_ends = order[heads + sizes - 1]  # sampled text places
         self.n = n
 
     def back(self, j: np.ndarray) -> np.ndarray:
@@ -174,6 +173,41 @@ def _maybe(contexts: list[bytes], lefts: np.ndarray, group: np.ndarray) -> np.nd
     return keep
 
 
+def _split(contexts: list[bytes], lefts: np.ndarray, members: np.ndarray, low: np.ndarray, high: np.ndarray, most: int):
+    """Cuts one anchor's contexts into lists of at most ``most`` so that any two with a common 50-byte string meet in some list.
+
+    A string with t bytes before the anchor has 30 - t after it. Contexts that share one with t from t0 to t1 agree in t0
+    bytes on the left and 30 - t1 on the right: those are the groups, and the range of t is halved for groups that are
+    still too large. At a single t a group has one string in common; it needs no index and comes out as (members, t).
+    """
+    todo, lists, common = [(members, 0, LEFT)], [], []
+    while todo:
+        own, t0, t1 = todo.pop()
+        if t0 == t1:
+            common.append((own, t0))
+            continue
+        mid, batch, n = (t0 + t1) // 2, [], 0
+        for a, b in ((t0, mid), (mid + 1, t1)):
+            after = LEFT - b
+            fit = np.array([i for i in own.tolist() if lefts[i] >= a and len(contexts[i]) - lefts[i] - GRAM >= after], np.int64)
+            if not len(fit):
+                continue
+            keys = np.fromiter((xxhash.xxh3_64_intdigest(contexts[i][lefts[i] - a : lefts[i] + GRAM + after]) for i in fit.tolist()), np.uint64, len(fit))
+            order = np.argsort(keys, kind="stable")
+            for part in np.split(fit[order], np.flatnonzero(np.diff(keys[order])) + 1):
+                if len(part) > most:
+                    todo.append((part, a, b))
+                elif len(part) > 1 or low[part[0]] < high[part[0]]:
+                    if n + len(part) > most:
+                        lists.append(np.unique(np.concatenate(batch)))
+                        batch, n = [], 0
+                    batch.append(part)
+                    n += len(part)
+        if batch:
+            lists.append(np.unique(np.concatenate(batch)))
+    return lists, common
+
+
 def shard_answers(contexts: list[bytes], lefts: np.ndarray, group: np.ndarray, low: np.ndarray, high: np.ndarray, most: int = 20_000):
     """Arrays (context, from, to, document): from those offsets to the anchor the 50-byte strings of a context first occur in
     that document, smaller than some document of the context."""
@@ -189,12 +223,24 @@ def shard_answers(contexts: list[bytes], lefts: np.ndarray, group: np.ndarray, l
     may[rest] = _maybe([contexts[i] for i in rest.tolist()], lefts[rest], group[rest]) | (low < high)[rest]
     order = order[may[order]]
     cut = np.flatnonzero(np.diff(group[order]) != 0) + 1
-    start = 0
+    jobs, start = [], 0
     while start < len(order):
         k = np.searchsorted(cut, start + most)  # whole anchors, about ``most`` contexts together
         end = len(order) if k >= len(cut) else max(int(cut[k]), start + 1)
         part = order[start:end]
         start = end
+        edges = [0, *(np.flatnonzero(np.diff(group[part])) + 1).tolist(), len(part)]
+        large = [part[x:y] for x, y in zip(edges, edges[1:]) if y - x > most]
+        rest = [part[x:y] for x, y in zip(edges, edges[1:]) if y - x <= most]
+        if rest:
+            jobs.append(np.concatenate(rest))
+        for own in large:
+            lists, common = _split(contexts, lefts, own, low, high, most)
+            jobs += lists
+            for same, t in common:
+                good = same[low[same].min() < high[same]]
+                out.append(np.stack([good, np.full(len(good), -t), np.full(len(good), -t), np.full(len(good), low[same].min())]))
+    for part in jobs:
         found = RunIndex([contexts[i] for i in part.tolist()], low[part]).stream()
         if not found.shape[1]:
             continue
@@ -218,17 +264,18 @@ def _blob(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of finished steps, which it does when the driver's objects for them are collected."""
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(1)
-
-
 def _candidates(docs: DataFrame, tasks: int, buckets: int, parts: int) -> DataFrame:
     """(part, hashes blob): the anchors of each part's documents that two documents or more have."""
 
+    def folded(h, part, low, high):
+        """One entry for each anchor and part, with its smallest and largest document."""
+        order = np.lexsort((part, h))
+        h, part = h[order], part[order]
+        starts = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (part[1:] != part[:-1]))) if len(h) else np.zeros(0, np.int64)
+        if not len(starts):
+            return h, part, low, high
+        return h[starts], part[starts], np.minimum.reduceat(low[order], starts), np.maximum.reduceat(high[order], starts)
+
     def spot(batches):
         for b in batches:
             ids, hs = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
@@ -240,35 +287,37 @@ def _candidates(docs: DataFrame, tasks: int, buckets: int, parts: int) -> DataFr
                 hs.append(h[new])
                 ids.append(d[new])
             h, d = np.concatenate(hs), np.concatenate(ids)
+            h, part, low, high = folded(h, np.mod(d, parts), d, d)
             at = (h // np.uint64(2) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(at, kind="stable")
-            h, d, edges = h[order], d[order], np.searchsorted(at[order], np.arange(buckets + 1)).tolist()
-            rows = [(k, _blob(h[x:y]), _blob(d[x:y])) for k, (x, y) in enumerate(zip(edges, edges[1:])) if y > x]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "h", "d"])
+            cols, edges = [x[order] for x in (h, part.astype(np.int32), low, high)], np.searchsorted(at[order], np.arange(buckets + 1)).tolist()
+            rows = [(k, *(_blob(c[x:y]) for c in cols)) for k, (x, y) in enumerate(zip(edges, edges[1:])) if y > x]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), *[pa.binary()] * 4))], names=["bucket", "h", "part", "low", "high"])
 
     def meet(batches):
-        hs, ds = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for b in batches:
-            hs += [np.frombuffer(x, np.uint64) for x in b.column(1).to_pylist()]
-            ds += [np.frombuffer(x, np.int64) for x in b.column(2).to_pylist()]
-        h, d = np.concatenate(hs), np.concatenate(ds)
-        order = np.argsort(h)
-        h, d = h[order], d[order]
+        kinds, kept, n = (np.uint64, np.int32, np.int64, np.int64), [], 0
+        none = tuple(np.zeros(0, k) for k in kinds)
+        held = none
+        for b in batches:  # folded as they come: an anchor never takes more than an entry for each part
+            for row in zip(*(b.column(i).to_pylist() for i in range(1, 5))):
+                kept.append([np.frombuffer(x, k) for x, k in zip(row, kinds)])
+                n += len(kept[-1][0])
+            if n > max(4_000_000, len(held[0])):
+                held, kept, n = folded(*(np.concatenate(x) for x in zip(held, *kept))), [], 0
+        h, part, low, high = folded(*(np.concatenate(x) for x in zip(held, *kept)))
         if not len(h):
             return
         starts = np.append(0, np.flatnonzero(h[1:] != h[:-1]) + 1)
-        several = np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts)
+        several = np.minimum.reduceat(low, starts) != np.maximum.reduceat(high, starts)
         keep = np.repeat(several, np.diff(np.append(starts, len(h))))
-        h, to = h[keep], np.mod(d[keep], parts)
-        order = np.lexsort((h, to))
-        h, to = h[order], to[order]
-        new = np.append(True, (h[1:] != h[:-1]) | (to[1:] != to[:-1])) if len(h) else np.zeros(0, bool)
-        h, to = h[new], to[new]
-        for k in np.unique(to).tolist():
-            x, y = np.searchsorted(to, [k, k + 1])
+        h, part = h[keep], part[keep]
+        order = np.argsort(part, kind="stable")
+        h, part = h[order], part[order]
+        for k in np.unique(part).tolist():
+            x, y = np.searchsorted(part, [k, k + 1])
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([_blob(h[x:y])], pa.binary())], names=["part", "h"])
 
-    spots = docs.select("doc_id", "raw").mapInArrow(spot, "bucket long, h binary, d binary")
+    spots = docs.select("doc_id", "raw").mapInArrow(spot, "bucket long, h binary, part binary, low binary, high binary")
     return spots.repartition(tasks, "bucket").mapInArrow(meet, "part long, h binary")
 
 
@@ -386,7 +435,6 @@ def mark(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     that start in a document of smaller doc_id as well; ranges may touch or overlap. Null texts are empty; a null id is
     neither judged nor a source; rows of one id don't count against each other. Repeated rows stay.
     """
-    spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.cast("binary").alias("raw"))
     known = base.where("doc_id is not null")
@@ -396,15 +444,11 @@ def mark(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     shards = 8 * n
     parts = next(p for p in range(shards | 1, 2 * shards + 3, 2) if all(p % q for q in range(3, int(p**0.5) + 1, 2)))
     candidates = settle(_candidates(known, n, shards, parts))
-    _release(spark)
     contexts = settle(_contexts(known, candidates, n, shards, parts))
-    _release(spark)
     answers = settle(_answers(contexts, n))
-    _release(spark)
     places = contexts.where("doc_id is not null").select("doc_id", "th", F.explode(F.arrays_zip("k1", "k2", "at")).alias("p")).select("doc_id", "th", "p.*")
     hits = places.join(answers, ["k1", "k2"]).where("first < doc_id").select("doc_id", "th", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b") + SIZE).alias("b"))
     spans = settle(hits.groupBy("doc_id", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans")))
-    _release(spark)
     return base.join(spans, ["doc_id", "th"], "left").select("doc_id", "raw", "spans")
 
 

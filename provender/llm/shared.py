@@ -10,15 +10,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session on one machine gets a
+    folder of its own; on a cluster that is an error, for executors would each write to their own disks."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="provender-"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="provender-"))
     return sc.getCheckpointDir()
 
 
@@ -38,11 +45,17 @@ def _drop(jvm, conf, path: str) -> None:
 def settle(df: DataFrame) -> DataFrame:
     """df written as Parquet in the shared folder and read again.
 
-    Unlike checkpoint() this runs df once. Lost executors lose nothing of it. The files go when the driver ends.
+    Unlike checkpoint() this runs df once. Lost executors lose nothing of it. Shuffle files of the run go with its end, as
+    nothing can ask for them again; the Parquet files go when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
     atexit.register(_drop, spark._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -94,4 +94,52 @@ def test_run_index_steps_through_sorted_suffixes():
             w = c[i : i + 50]
             want = min((d for o, d in zip(contexts, docs.tolist()) if w in o), default=None) if len(w) == 50 else np.iinfo(np.int64).max
             assert value == want
-    assert len(index.heads) == len(index.run_ends) < sum(map(len, contexts)) + len(contexts)
+    assert len(index.heads) == len(index.target) < sum(map(len, contexts)) + len(contexts)
+
+
+def test_an_anchor_of_very_many_contexts_is_cut(spark):
+    """Contexts around one anchor, most with a common footer, in lists of at most 10: every answer of the plain search is there."""
+    rnd = random.Random(5)
+    anchor, foot = bytes(rnd.choice(b"xyz") for _ in range(20)), [bytes(rnd.choice(b"uvw") for _ in range(30)) for _ in range(2)]
+    some = lambda n: bytes(rnd.choice(b"ab") for _ in range(n))
+    contexts, lefts = [], []
+    for _ in range(400):
+        left, right = rnd.randrange(31), rnd.randrange(31)
+        o, p = rnd.choice([0, 5, 12, 30]), rnd.choice([0, 3, 18, 30])
+        c = (some(30) + foot[0][:o])[-left:] if left else b""
+        contexts.append(c + anchor + (foot[1][:p] + some(30))[:right])
+        lefts.append(left)
+    pairs = list(dict.fromkeys(zip(contexts, lefts)))
+    contexts, lefts = [c for c, _ in pairs], np.array([x for _, x in pairs])
+    low = np.array([rnd.randrange(1000) for _ in contexts])
+    high = low + np.array([rnd.choice([0, 0, 7]) for _ in contexts])
+    first = {}
+    for c, d in zip(contexts, low.tolist()):
+        for i in range(len(c) - 49):
+            first[c[i : i + 50]] = min(d, first.get(c[i : i + 50], d))
+    want = {(k, i - lefts[k], first[c[i : i + 50]]) for k, c in enumerate(contexts) for i in range(len(c) - 49) if first[c[i : i + 50]] < high[k]}
+    got = repeats.shard_answers(contexts, lefts, np.zeros(len(contexts), np.uint64), low, high, most=10)
+    found = {}
+    for k, a, b, d in got.T.tolist():
+        for i in range(a, b + 1):
+            found[k, i] = min(d, found.get((k, i), d))
+    assert {(k, i, d) for (k, i), d in found.items()} == {(k, int(i), d) for k, i, d in want} and len(want) > 500
+
+
+def test_a_footer_in_every_document(spark):
+    rnd = random.Random(2)
+    text = lambda: "".join(rnd.choice("abcdefgh ") for _ in range(rnd.randrange(40, 200)))
+    footer = "This notice of sixty bytes ends each and every single page.."
+    rows = [(i, text() + footer + text()[: rnd.randrange(20)]) for i in range(3_000)]
+    got = sorted(tuple(r)[:5] for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect())
+    assert got == sorted(plain(rows)) and sum(r[2] >= 60 for r in got) == 2_999
+
+
+def test_settled_frames_leave_no_shuffle_files(spark):
+    from pyspark.sql import functions as F
+
+    from provender.llm.shared import CLEAN, settle
+
+    before = spark.conf.get(CLEAN, None)
+    out = settle(spark.range(10_000).repartition(7).groupBy((F.col("id") % 10).alias("k")).count())
+    assert out.count() == 10 and spark.conf.get(CLEAN, None) == before
