@@ -124,15 +124,21 @@ def unclassified_spend(rows: DataFrame, scope: list[str]) -> DataFrame:
 
 
 def merge_purchases(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Purchases of merged products per key: sums, weakest tier, first vendor, brands and reports joined, a zero total as null."""
+    """Purchases of merged products per key: sums, weakest tier, first vendor, brands joined by ", " and source reports by "; ",
+    a zero total as null. A key of one row keeps that row as it is."""
     at = F.struct(*order)
-    weighed = F.sum(F.col("total_weight_lbs").cast("decimal(18,4)")).cast("double")
+    one = F.count("*") == 1
+    kept = lambda c, merged: F.when(one, F.first(c)).otherwise(merged)
+    money, weight = F.sum(F.col("total_price").cast("decimal(18,2)")).cast("double"), F.sum(F.col("total_weight_lbs").cast("decimal(18,4)")).cast("double")
+    listed = lambda c, sep: F.nullif(F.array_join(F.array_sort(F.collect_set(F.nullif(c, F.lit("")))), sep), F.lit(""))
+    reports = [kept("source_report_id", listed("source_report_id", "; ")).alias("source_report_id")] if "source_report_id" in rows.columns else []
     return rows.groupBy(*keys).agg(
-        F.nullif(F.sum(F.col("total_price").cast("decimal(18,2)")).cast("double"), F.lit(0.0)).alias("total_price"),
-        F.nullif(weighed, F.lit(0.0)).alias("total_weight_lbs"),
+        F.when(one, money).otherwise(F.nullif(money, F.lit(0.0))).alias("total_price"),
+        F.when(one, weight).otherwise(F.nullif(weight, F.lit(0.0))).alias("total_weight_lbs"),
         tier_name(F.max(tier_rank(F.col("weight_source")))).alias("weight_source"),
-        F.min_by("vendor", F.when(F.coalesce(F.col("vendor"), F.lit("")) != "", at)).alias("vendor"),
-        F.nullif(F.array_join(F.array_sort(F.collect_set(F.nullif("brand", F.lit("")))), ", "), F.lit("")).alias("brand"),
+        kept("vendor", F.min_by("vendor", F.when(F.coalesce(F.col("vendor"), F.lit("")) != "", at))).alias("vendor"),
+        kept("brand", listed("brand", ", ")).alias("brand"),
+        *reports,
         F.count("*").alias("n_rows"),
     )
 

@@ -110,7 +110,7 @@ def certification_flags(claims: DataFrame, certificates: DataFrame, least: float
     distinct_parts = by_short.where("covers is null").select("part").distinct()
     a, b = text.process(F.col("part")), text.process(F.col("certification_name"))
     several = F.size(F.split(text.strip(F.col("part")), r"\s+")) > 1
-    scored = distinct_parts.crossJoin(F.broadcast(known.select("ord", "certification_name", F.col("covers").alias("named")))).withColumn("score", F.when(several, token_set_ratio(a, b)).otherwise(token_sort_ratio(a, b)))
+    scored = distinct_parts.crossJoin((known.select("ord", "certification_name", F.col("covers").alias("named")))).withColumn("score", F.when(several, token_set_ratio(a, b)).otherwise(token_sort_ratio(a, b)))
     best = scored.where(F.col("score") >= least).groupBy("part").agg(F.min_by("named", F.struct(-F.col("score"), F.col("ord"))).alias("named"))
     judged = by_short.join(best, "part", "left").withColumn("_ok", F.coalesce(F.array_contains(F.coalesce("covers", "named"), F.col("framework")), F.lit(False)))
     flags = judged.groupBy("text", "campus_type").agg(F.max(F.when(F.col("_ok"), 0).otherwise(1)).alias("flag"))

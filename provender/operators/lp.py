@@ -94,27 +94,43 @@ def simplex(cost: np.ndarray, a: np.ndarray, kinds: list[str], b: np.ndarray) ->
     return x[:n] * big
 
 
-def whole_numbers(cost: np.ndarray, a: np.ndarray, kinds: list[str], b: np.ndarray, most: int = 20_000) -> np.ndarray:
-    """The same over whole numbers, by branching on the first fraction; for menus of some dozen dishes."""
+@dataclass
+class Search:
+    """How a search over whole numbers ended: 'optimal', or 'feasible' if it stopped with a plan but without a proof, or
+    'unfinished' if it stopped without either."""
+
+    status: str = "optimal"
+
+
+def whole_numbers(cost: np.ndarray, a: np.ndarray, kinds: list[str], b: np.ndarray, most: int = 20_000, gap: float = 1e-7, search: Search | None = None) -> np.ndarray | None:
+    """The same over whole numbers, by branching on the fraction nearest to a half; for menus of some dozen dishes.
+
+    Plans within ``gap`` of the best count as best. After ``most`` branches the best plan so far is given, and ``search``
+    says so; None with status 'unfinished' if there is none yet. InfeasibleScenario is raised only on proof.
+    """
     best, value, todo, n = None, math.inf, [([], [], [])], 0
+    search = search or Search()
     while todo:
         rows, signs, rhs = todo.pop()
         n += 1
         if n > most:
-            raise InfeasibleScenario(f"no proof within {most} steps")
+            search.status = "unfinished" if best is None else "feasible"
+            return best
         try:
             x = simplex(cost, np.vstack([a, *rows]) if rows else a, [*kinds, *signs], np.append(b, rhs))
         except InfeasibleScenario:
             continue
-        if cost @ x >= value - 1e-7:
+        if cost @ x >= value - gap:
             continue
         part = np.flatnonzero(np.abs(x - np.round(x)) > 1e-6)
         if not len(part):
             best, value = np.round(x), float(cost @ np.round(x))
             continue
-        unit = np.eye(len(cost))[part[0]]
-        low = math.floor(x[part[0]])
-        todo += [([*rows, unit], [*signs, ">="], [*rhs, low + 1]), ([*rows, unit], [*signs, "<="], [*rhs, low])]
+        at = part[np.argmin(np.abs(x[part] % 1 - 0.5))]
+        unit = np.eye(len(cost))[at]
+        low = math.floor(x[at])
+        sides = [([*rows, unit], [*signs, ">="], [*rhs, low + 1]), ([*rows, unit], [*signs, "<="], [*rhs, low])]
+        todo += sides if x[at] - low < 0.5 else sides[::-1]  # the nearer side first: plans come early and cut the rest off
     if best is None:
         raise InfeasibleScenario("infeasible")
     return best
@@ -207,7 +223,7 @@ def solve(baseline: DataFrame, scope: list[str], name: str, *, target: float = 0
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         try:
             out = scenario(rows, name, target=target, bounds=bounds, item=item).assign(status="optimal")
-        except (InfeasibleScenario, ValueError):
+        except InfeasibleScenario:
             out = rows.assign(optimized_weight_lbs=rows["baseline_weight_lbs"], optimized_spend=rows["baseline_spend"], optimized_sustainable_spend=rows["baseline_sustainable_spend"], baseline_ghg_kg=0.0, optimized_ghg_kg=0.0, in_optimization=False, hypothetical_weight_lbs=0.0, status="infeasible")
         for c in scope:
             out[c] = rows[c].iloc[0]

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from provender.operators.lp import InfeasibleScenario, whole_numbers
+from provender.operators.lp import InfeasibleScenario, Search, whole_numbers
 
 
 def ingredient_summary(meals: DataFrame) -> DataFrame:
@@ -40,11 +40,12 @@ def missing_inputs(dishes: DataFrame) -> DataFrame:
     return dishes.where("portion_lb is null or ghg_per_lb is null or (lower(trim(default_sus)) = 'yes' and sustainable_price_lb is null) or (coalesce(lower(trim(default_sus)), '') <> 'yes' and conventional_price_lb is null)")
 
 
-def plan(dishes: pd.DataFrame, goal: str, *, cut: float = 0.0, low: float = 0.5, high: float = 1.5) -> np.ndarray:
+def plan(dishes: pd.DataFrame, goal: str, *, cut: float = 0.0, low: float = 0.5, high: float = 1.5, gap: float = 1e-3, most: int = 2_000, search: Search | None = None) -> np.ndarray | None:
     """Appearances of each dish as whole numbers with their sum fixed, each within its band.
 
     Goals: 'cost' keeps the sustainable spend; 'sustainable' keeps the cost, less a cut; 'ghg' has the least emissions among
-    the plans of the most sustainable spend.
+    the plans of the most sustainable spend. A plan counts as the best if none is better by more than ``gap`` of today's
+    figure. None if the search ended without a plan and without a proof that there is none.
     """
     x0 = dishes["baseline_freq"].to_numpy(float)
     cost, green, ghg = (dishes[c].to_numpy(float) for c in ("cost", "sus_cost", "ghg"))
@@ -55,30 +56,42 @@ def plan(dishes: pd.DataFrame, goal: str, *, cut: float = 0.0, low: float = 0.5,
         kinds += [">=", "<="]
         b += [math.ceil(x * low), math.floor(x * high)]
     if goal == "cost":
-        return whole_numbers(cost, np.array([*a, green]), [*kinds, ">="], np.array([*b, green @ x0]))
+        return whole_numbers(cost, np.array([*a, green]), [*kinds, ">="], np.array([*b, green @ x0]), most, gap * abs(cost @ x0), search)
     a, kinds, b = [*a, cost], [*kinds, "<="], [*b, cost @ x0 * (1 - cut)]
-    best = whole_numbers(-green, np.array(a), kinds, np.array(b))
-    if goal == "sustainable":
+    best = whole_numbers(-green, np.array(a), kinds, np.array(b), most, gap * abs(green @ x0), search)
+    if goal == "sustainable" or best is None:
         return best
-    return whole_numbers(ghg, np.array([*a, green]), [*kinds, ">="], np.array([*b, green @ best - 1e-6]))
+    first = search.status if search else "optimal"
+    out = whole_numbers(ghg, np.array([*a, green]), [*kinds, ">="], np.array([*b, green @ best - 1e-6]), most, gap * abs(ghg @ x0), search)
+    if out is None:  # the plan of the first step is one of the second's
+        search.status = "feasible"
+        return best
+    if search and first != "optimal":
+        search.status = first
+    return out
 
 
 def plans(dishes: DataFrame, scope: list[str], goals: dict[str, tuple[str, float]]) -> DataFrame:
-    """(scope, ingredient, scenario, freq): every goal for every menu, each in its own group of some dozen dishes; nulls where there is none."""
+    """(scope, ingredient, scenario, freq, status): every goal for every menu, each in its own group of some dozen dishes.
+
+    Status 'optimal' is proven, 'feasible' a plan that the search ended with before its proof, 'infeasible' a proof that
+    there is none, 'unfinished' neither; the last two have null frequencies.
+    """
     kinds = {f.name: f.dataType.simpleString() for f in dishes.schema}
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ingredient")
         out = []
         for name, (goal, cut) in goals.items():
+            search = Search()
             try:
-                freq = plan(rows, goal, cut=cut)
+                freq = plan(rows, goal, cut=cut, search=search)
             except InfeasibleScenario:
-                freq = np.full(len(rows), np.nan)
-            out.append(rows[[*scope, "ingredient"]].assign(scenario=name, freq=freq))
+                freq, search.status = None, "infeasible"
+            out.append(rows[[*scope, "ingredient"]].assign(scenario=name, freq=np.nan if freq is None else freq, status=search.status))
         return pd.concat(out)
 
-    return dishes.groupBy(*scope).applyInPandas(one, ", ".join(f"{c} {kinds[c]}" for c in scope) + ", ingredient string, scenario string, freq double")
+    return dishes.groupBy(*scope).applyInPandas(one, ", ".join(f"{c} {kinds[c]}" for c in scope) + ", ingredient string, scenario string, freq double, status string")
 
 
 def contributions(dishes: DataFrame, freq: DataFrame) -> DataFrame:

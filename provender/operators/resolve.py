@@ -24,26 +24,25 @@ def prepared(products: DataFrame, name: str = "name") -> DataFrame:
     return products.withColumn("_text", _sorted(text.process(text.clean_name(F.col(name))))).withColumn("_gate", gates.signature(F.col(name)))
 
 
-def pairs(rows: DataFrame, block: list[str], least: float = REVIEW, extra: Column | None = None) -> DataFrame:
-    """(a, b, score) with a < b: rows (id, _text, _gate and the block's columns) that agree in the block and the signature
-    and score at least ``least``.
+def text_pairs(rows: DataFrame, keys: list[str], least: float = REVIEW) -> DataFrame:
+    """(keys, _x, _y, score) with _x < _y: the different texts of a block and signature that score at least ``least``.
 
-    Names that are equal as compared make one candidate text, so copies don't multiply the scoring: texts are compared once
-    a block, by an equi-join on block and signature with a length test before the score. A null in the block pairs with nothing.
+    Copies of a text are one text here, so they don't multiply the scoring; an equi-join on block and signature with a
+    length test comes before the score.
     """
-    keys = [*block, "_gate"]
-    texts = rows.where(" and ".join(f"{k} is not null" for k in block)).select(*keys, "_text").distinct()
+    texts = rows.select(*keys, "_text").distinct()
     left, right = texts.select(*keys, F.col("_text").alias("_x")), texts.select(*keys, F.col("_text").alias("_y"))
-    near = left.join(right, keys).where((F.col("_x") <= F.col("_y")) & reachable(F.col("_x"), F.col("_y"), least))
-    score = F.when(F.col("_x") == F.col("_y"), 100.0).otherwise(token_sort_ratio(F.col("_x"), F.col("_y")))
-    scored = near.withColumn("score", score).where(F.col("score") >= least)
-    a = rows.select(*keys, F.col("_text").alias("_x"), F.col("id").alias("a"), *([F.col("campus").alias("campus_a"), F.col("campus_type").alias("type_a")] if extra is not None else []))
-    b = rows.select(*keys, F.col("_text").alias("_y"), F.col("id").alias("b"), *([F.col("campus").alias("campus_b"), F.col("campus_type").alias("type_b")] if extra is not None else []))
-    joined = scored.join(a, [*keys, "_x"]).join(b, [*keys, "_y"])
-    if extra is not None:
-        joined = joined.where(extra)
-    swap = F.when(F.col("a") < F.col("b"), F.struct("a", "b")).otherwise(F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
-    return joined.where("a <> b").select(swap.alias("_p"), "score").select("_p.*", "score").distinct()
+    near = left.join(right, keys).where((F.col("_x") < F.col("_y")) & reachable(F.col("_x"), F.col("_y"), least))
+    return near.withColumn("score", token_sort_ratio(F.col("_x"), F.col("_y"))).where(F.col("score") >= least)
+
+
+def _node_pairs(nodes: DataFrame, scored: DataFrame, keys: list[str], split: list[str], apart: bool) -> DataFrame:
+    """(a, b, score, ...): the nodes' ids, for texts that score and, where nodes are split by campus, for one text on two nodes."""
+    side = lambda k, t: nodes.select(*keys, F.col("_text").alias(t), F.col("rep").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in split))
+    out = scored.join(side("a", "_x"), [*keys, "_x"]).join(side("b", "_y"), [*keys, "_y"]).drop("_x", "_y")
+    if split:  # a text is on as many nodes as there are campuses, at the most
+        out = out.unionByName(side("a", "_x").join(side("b", "_x"), [*keys, "_x"]).where("a < b").withColumn("score", F.lit(100.0)).drop("_x"))
+    return out.where("campus_a <> campus_b") if apart else out
 
 
 def unknown_only(found: DataFrame, known: DataFrame) -> DataFrame:
@@ -53,7 +52,10 @@ def unknown_only(found: DataFrame, known: DataFrame) -> DataFrame:
 def _checkpoint(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="provender-"))
+        given = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not given and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="provender-"))
     return df.checkpoint()
 
 
@@ -78,19 +80,80 @@ def components(edges: DataFrame) -> DataFrame:
         labels = step.join(up, "root", "left").select("id", F.coalesce("jump", "root").alias("root"))
 
 
-def match(rows: DataFrame, block: list[str], known: DataFrame | None = None, *, extra: Column | None = None, sure: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(merges (id, keep), candidates (a, b, score)) of prepared rows. Pairs of at least 99.5 merge by components into the
-    smallest id; the survivors' pairs of at least 90, without known ones, go to review. Scores depend on names only, so
-    survivors are not scored again."""
-    found = _checkpoint(pairs(rows, block, REVIEW, extra))
+def match(rows: DataFrame, block: list[str], known: DataFrame | None = None, *, apart: bool = False, sure: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(merges (id, keep), candidates (a, b, score)) of prepared rows. Pairs that agree in the block and the signature and score
+    at least 99.5 merge by components into the smallest id; the survivors' pairs of at least 90, without known ones, go to
+    review. Scores depend on names only, so survivors are not scored again. A null in the block pairs with nothing.
+
+    apart: only rows of different campuses pair. sure: what a pair (campus_a, campus_b, type_a, type_b) needs besides to merge
+    unseen; a campus has one type, so rows of one campus must always meet it. Rows of equal name, block and campus are one
+    node: a node's rows merge along a star to its smallest id, never by pairs, and candidates name a node by that id.
+    """
+    keys = [*block, "_gate"]
+    split = ["campus", "campus_type"] if apart or sure is not None else []
+    rows = rows.where(" and ".join(f"{k} is not null" for k in block)).select("id", *dict.fromkeys([*keys, "_text", *split]))
+    own = [c for c in split if c not in keys]
+    nodes = _checkpoint(rows.groupBy(*keys, "_text", *own).agg(F.min("id").alias("rep"), F.count("*").alias("n")))
+    scored = _checkpoint(text_pairs(nodes, keys))
+    found = _checkpoint(_node_pairs(nodes, scored, keys, own, apart))
     edges = found.where(F.col("score") >= AUTO)
     if sure is not None:
-        types = rows.select("id", "campus_type")
-        edges = edges.join(types.withColumnsRenamed({"id": "a", "campus_type": "type_a"}), "a").join(types.withColumnsRenamed({"id": "b", "campus_type": "type_b"}), "b").where(sure)
-    merges = components(edges).where("id <> root").select("id", F.col("root").alias("keep"))
+        edges = edges.withColumnsRenamed({"campus_type_a": "type_a", "campus_type_b": "type_b"}).where(sure)
+    edges = edges.select("a", "b")
+    # with rows apart a node's rows have a partner only through an edge of the node; otherwise they are each other's
+    touched = edges.select(F.col("a").alias("rep")).union(edges.select(F.col("b").alias("rep"))).distinct()
+    stars = nodes.where("n > 1").join(touched, "rep", "left_semi") if apart else nodes.where("n > 1")
+    members = rows.join(stars.select(*keys, "_text", *own, "rep"), [*keys, "_text", *own]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
+    merges = _checkpoint(components(edges.union(members)).where("id <> root").select("id", F.col("root").alias("keep")))
     gone = merges.select("id")
     left = found.join(gone, found["a"] == gone["id"], "left_anti").join(gone, found["b"] == gone["id"], "left_anti")
-    return merges, unknown_only(left, known) if known is not None else left
+    pair = left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score")
+    return merges, unknown_only(pair, known) if known is not None else pair
+
+
+WITHIN = ["campus", "vendor_key", "sustainable_yn"]
+CROSS = ["category", "vendor_key", "sustainable_yn"]
+
+
+def match_within(rows: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Products of one campus, vendor and sustainability."""
+    return match(rows, WITHIN, known)
+
+
+def match_cross(rows: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Products of different campuses with one category, vendor and sustainability; only campuses of one type merge unseen."""
+    return match(rows, CROSS, known, apart=True, sure=F.col("type_a") == F.col("type_b"))
+
+
+def match_all(rows: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Within each campus first, then across campuses among the survivors: merges to the last survivor, and all candidates
+    whose products are both still there."""
+    first, near = match_within(rows, known)
+    second, far = match_cross(rows.join(first.select("id"), "id", "left_anti"), known)
+    end = first.join(second.select(F.col("id").alias("keep"), F.col("keep").alias("_k")), "keep", "left").select("id", F.coalesce("_k", "keep").alias("keep"))
+    gone = second.select("id")
+    left = near.join(gone, near["a"] == gone["id"], "left_anti").join(gone, near["b"] == gone["id"], "left_anti")
+    return end.unionByName(second), left.unionByName(far).distinct()
+
+
+def rematch(rows: DataFrame, scope: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """After products (scope: id) were derived anew: the match among them alone, in one block of vendor and sustainability.
+    Pairs of one campus, or of campuses of one type, merge until none is left to; the others of at least 90 go to review."""
+    again = rows.join(scope.select("id").distinct(), "id", "left_semi")
+    return match(again, ["vendor_key", "sustainable_yn"], sure=(F.col("campus_a") == F.col("campus_b")) | (F.col("type_a") == F.col("type_b")))
+
+
+def upload_tables(aggregated: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(products, aliases, purchases) of one row a raw name and campus: three projections with one numbering of products.
+
+    The number is a hash of campus and raw name, so it needs no global order and comes out the same in every run.
+    """
+    made = aggregated.withColumn("product_id", F.xxhash64("campus", "raw_name"))
+    take = lambda names: [F.col(c) for c in names if c in made.columns]
+    made_products = made.select("product_id", F.col("raw_name").alias("canonical_name"), *take(["category", "classification_source", "sustainable_yn", "certs"]), F.col("fiscal_year").alias("first_fy"), F.col("fiscal_year").alias("last_fy"))
+    aliases = made.select("product_id", "raw_name", "campus", F.lit(1.0).alias("match_confidence"), F.lit(0).alias("human_confirmed"))
+    bought = made.select("product_id", *take(["campus", "fiscal_year", "vendor", "brand", "total_price", "total_weight_lbs", "weight_source", "unit_price", "purchase_type", "n_rows", "source_report_id"]))
+    return made_products, aliases, bought
 
 
 def merge_products(products: DataFrame, merges: DataFrame) -> DataFrame:

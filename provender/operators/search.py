@@ -31,13 +31,24 @@ def campus_vendors(purchases: DataFrame) -> DataFrame:
     return purchases.where(text.clean(F.col("vendor")).isNotNull()).select("campus", "vendor").distinct()
 
 
+# The labels of an opportunity.
+NEW, BOUGHT = "New via my vendor", "Already purchased"
+
+
+def by_opportunity(labelled: DataFrame, column: str = "label") -> DataFrame:
+    """What is new first, then what has no label, then what is bought already; names break ties."""
+    rank = F.when(F.col(column) == NEW, 0).when(F.col(column) == "", 1).otherwise(2)
+    return labelled.orderBy(rank, "name", "product_id")
+
+
 def opportunity(campus: str, vendors: list[str]) -> Column:
     mine = F.array(*map(F.lit, vendors)) if vendors else F.array().cast("array<string>")
-    return F.when(F.array_contains("campuses", campus), "Already purchased").when(F.arrays_overlap("vendors", mine), "New via my vendor").otherwise("")
+    return F.when(F.array_contains("campuses", campus), BOUGHT).when(F.arrays_overlap("vendors", mine), NEW).otherwise("")
 
 
-def search(products: DataFrame, *, pattern: str | None = None, category: str | None = None, cert: str | None = None, vendor: str | None = None, campuses: list[str] | None = None) -> DataFrame:
-    """All filters that are given hold; the text is a pattern, case aside."""
+def search(products: DataFrame, *, pattern: str | None = None, category: str | None = None, cert: str | None = None, vendor: str | None = None, campus: str | None = None, region: list[str] | None = None, campuses: list[str] | None = None, new_for: tuple[str, list[str]] | None = None) -> DataFrame:
+    """All filters that are given hold; the text is a pattern, case aside. region: its campuses, any of which will do.
+    new_for: (campus, vendors) keeps what that campus doesn't buy yet but its vendors have."""
     out = products
     if pattern:
         out = out.where(F.col("name").rlike(f"(?i){pattern}"))
@@ -47,6 +58,12 @@ def search(products: DataFrame, *, pattern: str | None = None, category: str | N
         out = out.where(F.array_contains("cert_list", cert))
     if vendor:
         out = out.where(F.array_contains("vendors", vendor))
+    if campus:
+        out = out.where(F.array_contains("campuses", campus))
+    if region:
+        out = out.where(F.arrays_overlap("campuses", F.array(*map(F.lit, region))))
+    if new_for:
+        out = out.where(opportunity(*new_for) == NEW)
     if campuses:
         out = out.where(F.arrays_overlap("campuses", F.array(*map(F.lit, campuses))))
     return out
@@ -56,13 +73,15 @@ def facet(products: DataFrame, column: str) -> DataFrame:
     return products.select(F.explode(column).alias("value")).distinct()
 
 
-def match_uploads(uploads: DataFrame, corpus: DataFrame, k: int = 10) -> DataFrame:
+def match_uploads(uploads: DataFrame, corpus: DataFrame, k: int = 10, *, skip_own: bool = False) -> DataFrame:
     """Each upload (upload_id, name) with its match in the corpus (ord, name, product_id, ...), or none.
 
     The k highest scores are taken first, ties to the earlier row; the first of at least 90 that passes every gate counts.
-    Uploads are distinct texts against distinct texts; a text's best k rows come from its best k texts. The cross join is
-    the feature (each upload against all names); it runs in Spark's nested loop over the smaller, uploaded side.
+    Uploads are distinct texts against distinct texts; a text's best k rows come from its best k texts. Each upload against
+    all names is the feature: a stated set of texts meets all texts in Spark's nested loop, with a length test before the
+    score. With ``skip_own`` an upload's own row (product_id = upload_id) is no candidate, and one more is looked at for it.
     """
+    k += skip_own
     ups = uploads.withColumn("_x", text.process(text.clean_name(F.col("name"))))
     rows = corpus.withColumn("_y", text.process(text.clean_name(F.col("name"))))
     x, y = ups.select("_x").distinct(), rows.groupBy("_y").agg(F.min("ord").alias("_first"))
@@ -71,7 +90,7 @@ def match_uploads(uploads: DataFrame, corpus: DataFrame, k: int = 10) -> DataFra
     texts = scored.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= k).drop("_r")
     found = ups.join(texts, "_x").join(rows.select("_y", "ord", F.col("name").alias("match"), "product_id"), "_y")
     best = Window.partitionBy("upload_id").orderBy(F.desc("score"), "ord")
-    found = found.withColumn("_r", F.row_number().over(best)).where((F.col("_r") <= k) & (gates.signature(F.col("name")) == gates.signature(F.col("match"))))
+    found = found.withColumn("_r", F.row_number().over(best)).where("product_id <> upload_id" if skip_own else "true").where((F.col("_r") <= k) & (gates.signature(F.col("name")) == gates.signature(F.col("match"))))
     first = found.groupBy("upload_id").agg(F.min_by(F.struct("match", "product_id", "score"), "_r").alias("_m"))
     tier = F.when(F.col("_m.score") >= CONFIDENT, "confident").when(F.col("_m.score") >= LIKELY, "review").otherwise("none")
     return uploads.join(first, "upload_id", "left").select(*uploads.columns, "_m.match", "_m.product_id", F.round("_m.score", 4).alias("score"), tier.alias("tier"))
@@ -87,16 +106,28 @@ def brand_mapping(rows: DataFrame) -> DataFrame:
     return counts.join(canonical, "_k", "left").select("raw_brand", "canonical_brand", tier.alias("merge_tier"), "n_rows")
 
 
+def _handles(processed: Column) -> Column:
+    """Tokens, and the three-character strings of the sorted tokens. Two texts that score 90 share a token or, without one, are
+    so alike (at most a tenth of the characters unmatched) that some three characters in a row are common."""
+    tokens = F.array_distinct(F.filter(F.split(processed, " +"), lambda w: w != ""))
+    line = F.array_join(F.array_sort(tokens), " ")
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(line) - 2, F.lit(1))), lambda i: F.concat(F.lit("\n"), F.substr(line, i, F.lit(3))))
+    return F.explode(F.array_union(tokens, grams))
+
+
 def brand_candidates(values: DataFrame, k: int = 5, least: float = 90.0) -> DataFrame:
     """(raw_brand, proposed_canonical, score): of each value's k nearest by token sets, itself among them, those of at least
-    90 where one contains the other; the longer is to become the shorter."""
-    v = values.select("value").distinct()
-    x = v.select(F.col("value").alias("x"), text.process(F.col("value")).alias("_x"))
-    y = v.select(F.col("value").alias("y"), text.process(F.col("value")).alias("_y"))
-    scored = x.crossJoin(y).withColumn("score", token_set_ratio(F.col("_x"), F.col("_y")))
+    90 where one contains the other; the longer is to become the shorter.
+
+    Only pairs that share a handle are scored; pairs under ``least`` can't push one above it out of the k nearest.
+    """
+    v = values.select("value").distinct().withColumn("_p", text.process(F.col("value")))
+    h = v.select("value", "_p", _handles(F.col("_p")).alias("_h"))
+    near = h.select(F.col("value").alias("x"), F.col("_p").alias("_x"), "_h").join(h.select(F.col("value").alias("y"), F.col("_p").alias("_y"), "_h"), "_h").select("x", "y", "_x", "_y").distinct()
+    scored = near.withColumn("score", token_set_ratio(F.col("_x"), F.col("_y"))).where(F.col("score") >= least)
     top = scored.withColumn("_r", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("score"), "y"))).where(F.col("_r") <= k)
     first = F.length("x") <= F.length("y")
-    named = top.where((F.col("x") != F.col("y")) & (F.col("score") >= least)).select(F.when(first, F.col("y")).otherwise(F.col("x")).alias("raw_brand"), F.when(first, F.col("x")).otherwise(F.col("y")).alias("proposed_canonical"), F.round("score", 4).alias("score"))
+    named = top.where(F.col("x") != F.col("y")).select(F.when(first, F.col("y")).otherwise(F.col("x")).alias("raw_brand"), F.when(first, F.col("x")).otherwise(F.col("y")).alias("proposed_canonical"), F.round("score", 4).alias("score"))
     return named.where(F.contains(F.lower("raw_brand"), F.lower("proposed_canonical"))).groupBy("raw_brand", "proposed_canonical").agg(F.max("score").alias("score"))
 
 

@@ -6,16 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 REPORTED, COMPUTED, TABLE = "reported", "computed_tier2", "reference_table_tier3"
-#: A dictionary is compiled into an expression, so it must be small; larger ones are joined (first_match_join).
-MOST_ROWS = 500
-
-
-def entries(dictionary: DataFrame, columns: list[str], most: int = MOST_ROWS) -> list[tuple]:
-    """The rows in file order (column ord). Fails on a dictionary that is too large to compile."""
-    rows = [tuple(r) for r in dictionary.orderBy("ord").select(*columns).limit(most + 1).collect()]
-    if len(rows) > most:
-        raise ValueError(f"a dictionary of over {most} rows is joined, not compiled")
-    return rows
 
 
 def first_match(name: Column, rows: list[tuple[str, object]]) -> Column:

@@ -117,9 +117,12 @@ def weight_source_counts(spark, d):
     return rows(spark, d).groupBy("campus", "weight_source").agg(F.count("*").alias("n"))
 
 
-@query(f"""{R} SELECT product_id // 4 AS keep_id, campus, fiscal_year, nullif(CAST(sum(total_price) AS DOUBLE), 0) AS total_price, nullif(CAST(sum(CAST(total_weight_lbs AS DECIMAL(18,4))) AS DOUBLE), 0) AS total_weight_lbs,
+@query(f"""{R}, x AS (SELECT product_id // 4 AS keep_id, *, 'R' || (ok % 5) AS report, CASE WHEN ok % 11 = 0 THEN 0 ELSE total_price END AS price FROM purchases)
+SELECT keep_id, campus, fiscal_year, CASE WHEN count(*) = 1 THEN CAST(sum(price) AS DOUBLE) ELSE nullif(CAST(sum(price) AS DOUBLE), 0) END AS total_price, CASE WHEN count(*) = 1 THEN CAST(sum(CAST(total_weight_lbs AS DECIMAL(18,4))) AS DOUBLE) ELSE nullif(CAST(sum(CAST(total_weight_lbs AS DECIMAL(18,4))) AS DOUBLE), 0) END AS total_weight_lbs,
   ['reported', 'computed_tier2', 'reference_table_tier3', 'unresolved'][max(CASE weight_source WHEN 'reported' THEN 1 WHEN 'computed_tier2' THEN 2 WHEN 'reference_table_tier3' THEN 3 ELSE 4 END)] AS weight_source,
-  arg_min(vendor, row(ok, ln, product_id, sk)) FILTER (coalesce(vendor, '') <> '') AS vendor, nullif(array_to_string(list_sort(list(DISTINCT brand) FILTER (brand <> '')), ', '), '') AS brand, count(*) AS n_rows FROM purchases GROUP BY 1, 2, 3""")
+  arg_min(vendor, row(ok, ln, product_id, sk)) FILTER (coalesce(vendor, '') <> '') AS vendor, nullif(array_to_string(list_sort(list(DISTINCT brand) FILTER (brand <> '')), ', '), '') AS brand,
+  array_to_string(list_sort(list(DISTINCT report)), '; ') AS source_report_id, count(*) AS n_rows FROM x GROUP BY 1, 2, 3""")
 def merge_purchases(spark, d):
-    merged = rows(spark, d).withColumn("keep_id", F.expr("product_id div 4"))
+    merged = rows(spark, d).withColumn("keep_id", F.expr("product_id div 4")).withColumn("source_report_id", F.concat(F.lit("R"), (F.col("ok") % 5).cast("string")))
+    merged = merged.withColumn("total_price", F.when(F.col("ok") % 11 == 0, F.lit(0)).otherwise(F.col("total_price")))
     return baseline.merge_purchases(merged, ["keep_id", *SCOPE], ORDER)

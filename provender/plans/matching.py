@@ -15,8 +15,8 @@ P = f"WITH {PRODUCTS_SQL}"
 R = f"WITH {PURCHASES_SQL}"
 #: Phrases that meet each rule of the classification, and those that just miss it; a part's key chooses one.
 FOODS = [
-    "MILK, WHOLE", "OAT MILK BARISTA", "MILK COCONUT ALMOND MILK", "VEGAN BUTTER SPREAD", "CHEESE VEGAN SOY SHREDS", "ICE CREAM NON-DAIRY CUP", "SODA DR PEPPER BLACKBERRY CAN", "BLUEBERRIES FRESH",
-    "TRIMMED GREEN BEANS", "BEAN BLACK DRIED", "CHICKEN BREAST BUFFALO BITES", "APPLE GALA", "TOMATOES ROMA", "NAPKIN DINNER", "COOKIE BUTTER CUP", "GRAPE JAM SS", "CREAMER PEA MILK", "Bottled Water 16oz", "PUMPKIN PIE", "CAN LINER 40 GAL",
+    "MILK, WHOLE", "OAT MILK BARISTA", "MILK COCONUT ALMOND MILK", "VEGAN BUTTER SPREAD", "CHEESE VEGAN SOY SHREDS", "ICE CREAM NON-DAIRY CUP", "SODA FIZZ BLACKBERRY 12 CAN", "BLUEBERRIES FRESH",
+    "TRIMMED GREEN BEANS", "BEAN BLACK DRIED", "CHICKEN TENDERS BUFFALO STYLE", "APPLE GALA", "TOMATOES ROMA", "NAPKIN DINNER", "COOKIE BUTTER CUP", "GRAPE JAM SS", "CREAMER PEA MILK", "Bottled Water 16oz", "PUMPKIN PIE", "CAN LINER 40 GAL",
 ]
 KEYWORDS = [(1, "Milk", "Milk (cow's milk)"), (2, "Butter", "Butter"), (3, "Cheese", "Cheese"), (4, "Ice cream", "Ice cream"), (5, "Blackberry", "Berries"), (6, "Blueberry", "Berries"), (7, "Bean", "Beans and pulses (dried)"), (8, "Chicken", "Poultry (chicken, turkey)"), (9, "Buffalo", "Beef & buffalo meat"), (10, "Apple", "Fruits (misc.)"), (11, "apple", "Apples"), (12, "Tomato", "Tomatoes"), (13, "Cookie", "Wheat/Rye"), (14, "Grape", "Fruits (misc.)"), (15, "Creamer", "Cream"), (16, "Soda", "Sugars and sweeteners"), (17, "Pumpkin", "Vegetables (misc.)")]
 CERTS = [(1, "USDA Organic (incl. CCOF)", "USDA", "AASHE STARS; Practice Greenhealth"), (2, "Fair Trade Certifications", "FT", "AASHE STARS"), (3, "Fairtrade International", None, "Practice Greenhealth"), (4, "No Antibiotics Ever (NAE)", "NAE", "Practice Greenhealth"), (5, "Rainforest Alliance Certified", "RA", "AASHE STARS")]
@@ -233,58 +233,105 @@ def validated_flag(spark, d):
     return joined.select("product_id", classify.validated(F.col("yn"), F.col("flag")).alias("validated"))
 
 
-# ---- entity resolution over the products, in blocks of category and sustainability
-PAIRS_SQL = f"""{PRODUCTS_SQL}, e AS (SELECT product_id AS id, name, 'C' || (product_id % 5) AS campus, category, sustainable_yn, {SIGNATURE_SQL} AS gate, {CLEAN_SQL} AS cleaned FROM products),
-u AS (SELECT *, {sql_sorted(sql_process('cleaned'))} AS t FROM e), texts AS (SELECT DISTINCT category, sustainable_yn, gate, t FROM u),
-tp AS (SELECT a.category, a.sustainable_yn, a.gate, a.t AS x, b.t AS y FROM texts a JOIN texts b ON a.category = b.category AND a.sustainable_yn = b.sustainable_yn AND a.gate = b.gate AND a.t <= b.t AND least(length(a.t), length(b.t)) * 200.0 >= (length(a.t) + length(b.t)) * 90),
-ts AS (SELECT *, CASE WHEN x = y THEN 100.0::DOUBLE ELSE {sql_ratio('x', 'y')} END AS score FROM tp),
-ab AS (SELECT DISTINCT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b, a.campus AS ca, b.campus AS cb, score FROM ts JOIN u a ON a.category = ts.category AND a.sustainable_yn = ts.sustainable_yn AND a.gate = ts.gate AND a.t = ts.x
-  JOIN u b ON b.category = ts.category AND b.sustainable_yn = ts.sustainable_yn AND b.gate = ts.gate AND b.t = ts.y WHERE score >= 90 AND a.id <> b.id)"""
-BLOCK = ["category", "sustainable_yn"]
+# ---- entity resolution over the products: within a campus and vendor, then across campuses
+def _all_pairs(name, source, block, apart):
+    """Every pair of rows of a block and signature with its score, by ids; copies of a text are scored once."""
+    on = lambda x, y: " AND ".join(f"{x}.{k} = {y}.{k}" for k in [*block, "gate"])
+    keys = ", ".join([*block, "gate"])
+    return f"""{name}_t AS (SELECT DISTINCT {keys}, t FROM {source}),
+{name}_s AS (SELECT {", ".join("a." + k for k in [*block, "gate"])}, a.t AS x, b.t AS y, CASE WHEN a.t = b.t THEN 100.0::DOUBLE ELSE {sql_ratio('a.t', 'b.t')} END AS score FROM {name}_t a JOIN {name}_t b ON {on('a', 'b')} AND a.t <= b.t AND least(length(a.t), length(b.t)) * 200.0 >= (length(a.t) + length(b.t)) * 90),
+{name} AS (SELECT DISTINCT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b, a.campus = b.campus AS one_campus, a.kind = b.kind AS one_type, score FROM {name}_s s JOIN {source} a ON {on('a', 's')} AND a.t = s.x JOIN {source} b ON {on('b', 's')} AND b.t = s.y
+  WHERE score >= 90 AND a.id <> b.id{" AND a.campus <> b.campus" if apart else ""})"""
+
+
+def _closure(name, pairs, sure):
+    """Smallest id that each row reaches over sure pairs."""
+    return f"""{name}_e AS (SELECT a, b FROM {pairs} WHERE score >= 99.5 AND {sure} UNION SELECT b, a FROM {pairs} WHERE score >= 99.5 AND {sure}),
+{name}_r AS (SELECT a AS id, a AS other FROM {name}_e UNION SELECT r.id, e.b FROM {name}_r r JOIN {name}_e e ON r.other = e.a),
+{name} AS (SELECT id, min(other) AS keep FROM {name}_r GROUP BY id HAVING min(other) <> id)"""
+
+
+ENT_SQL = f"""{PRODUCTS_SQL}, e AS (SELECT product_id AS id, name, category, sustainable_yn, 'C' || (product_id % 4) AS campus, CASE WHEN product_id % 4 < 2 THEN 'Academic' ELSE 'Health' END AS kind,
+  CASE WHEN product_id % 17 <> 0 THEN 'v' || (product_id % 3) END AS vendor_key, {SIGNATURE_SQL} AS gate, {CLEAN_SQL} AS cleaned FROM products), u AS (SELECT *, {sql_sorted(sql_process('cleaned'))} AS t FROM e)"""
+WITHIN_SQL = f"{ENT_SQL}, {_all_pairs('near', 'u', ['campus', 'vendor_key', 'sustainable_yn'], False)}, {_closure('m1', 'near', 'true')}"
+ALL_SQL = f"""{WITHIN_SQL}, u2 AS (SELECT * FROM u WHERE id NOT IN (SELECT id FROM m1)), {_all_pairs('far', 'u2', ['category', 'vendor_key', 'sustainable_yn'], True)}, {_closure('m2', 'far', 'one_type')},
+gone AS (SELECT id FROM m1 UNION SELECT id FROM m2), merges AS (SELECT m1.id, coalesce(m2.keep, m1.keep) AS keep FROM m1 LEFT JOIN m2 ON m2.id = m1.keep UNION ALL SELECT * FROM m2)"""
+_LEFT = "WHERE a NOT IN (SELECT id FROM {0}) AND b NOT IN (SELECT id FROM {0})"
 
 
 def entities(spark, d):
-    rows = products(spark, d).withColumn("id", F.col("product_id")).withColumn("campus", F.concat(F.lit("C"), (F.col("product_id") % 5).cast("string"))).withColumn("campus_type", F.lit("Academic"))
-    return resolve.prepared(rows)
+    key = F.col("product_id")
+    rows = products(spark, d).withColumn("id", key).withColumn("campus", F.concat(F.lit("C"), (key % 4).cast("string"))).withColumn("campus_type", F.when(key % 4 < 2, "Academic").otherwise("Health"))
+    return resolve.prepared(rows.withColumn("vendor_key", F.when(key % 17 != 0, F.concat(F.lit("v"), (key % 3).cast("string")))))
+
+
+def _scored(pairs):
+    return pairs.withColumn("score", F.round("score", 4))
 
 
-@query(f"WITH {PAIRS_SQL} SELECT DISTINCT a, b, round(score, 4) AS score FROM ab")
+@query(f"WITH RECURSIVE {WITHIN_SQL} SELECT DISTINCT a, b, round(score, 4) AS score FROM near {_LEFT.format('m1')}")
 def within_campus_candidates(spark, d):
-    return resolve.pairs(entities(spark, d), BLOCK).withColumn("score", F.round("score", 4))
+    return _scored(resolve.match_within(entities(spark, d))[1])
 
 
-@query(f"WITH {PAIRS_SQL} SELECT DISTINCT a, b, round(score, 4) AS score FROM ab WHERE ca <> cb")
-def cross_campus_candidates(spark, d):
-    return resolve.pairs(entities(spark, d), BLOCK, extra=F.col("campus_a") != F.col("campus_b")).withColumn("score", F.round("score", 4))
+@query(f"WITH RECURSIVE {WITHIN_SQL} SELECT id, keep FROM m1")
+def within_campus_merges(spark, d):
+    return resolve.match_within(entities(spark, d))[0]
 
 
-@query(f"WITH {PAIRS_SQL} SELECT DISTINCT a, b, round(score, 4) AS score FROM ab WHERE (a + b) % 3 <> 0")
-def known_pair_anti_join(spark, d):
-    found = resolve.pairs(entities(spark, d), BLOCK)
-    return resolve.unknown_only(found, found.where((F.col("a") + F.col("b")) % 3 == 0)).withColumn("score", F.round("score", 4))
+@query(f"WITH RECURSIVE {ALL_SQL} SELECT DISTINCT a, b, round(score, 4) AS score FROM far {_LEFT.format('gone')}")
+def cross_campus_candidates(spark, d):
+    rows = entities(spark, d)
+    left = rows.join(resolve.match_within(rows)[0].select("id"), "id", "left_anti")
+    return _scored(resolve.match_cross(left)[1])
 
 
-COMP_SQL = f"""WITH RECURSIVE {PAIRS_SQL}, edges AS (SELECT a, b FROM ab WHERE score >= 99.5 UNION SELECT b, a FROM ab WHERE score >= 99.5),
-reach AS (SELECT a AS id, a AS other FROM edges UNION SELECT r.id, e.b FROM reach r JOIN edges e ON r.other = e.a), merges AS (SELECT id, min(other) AS keep FROM reach GROUP BY id HAVING min(other) <> id)"""
+@query(f"WITH RECURSIVE {WITHIN_SQL} SELECT DISTINCT a, b, round(score, 4) AS score FROM near {_LEFT.format('m1')} AND (a + b) % 3 <> 0")
+def known_pair_anti_join(spark, d):
+    rows = entities(spark, d)
+    known = resolve.match_within(rows)[1].where((F.col("a") + F.col("b")) % 3 == 0)
+    return _scored(resolve.match_within(rows, known)[1])
 
 
-@query(f"{COMP_SQL} SELECT id, keep FROM merges")
+@query(f"WITH RECURSIVE {ALL_SQL} SELECT id, keep FROM merges")
 def auto_merge_components(spark, d):
-    return resolve.match(entities(spark, d), BLOCK)[0]
+    return resolve.match_all(entities(spark, d))[0]
 
 
-@query(f"{COMP_SQL} SELECT DISTINCT a, b, round(score, 4) AS score FROM ab WHERE a NOT IN (SELECT id FROM merges) AND b NOT IN (SELECT id FROM merges)")
+@query(f"WITH RECURSIVE {ALL_SQL} SELECT DISTINCT a, b, round(score, 4) AS score FROM (SELECT a, b, score FROM near UNION ALL SELECT a, b, score FROM far) {_LEFT.format('gone')}")
 def survivor_candidates(spark, d):
-    return resolve.match(entities(spark, d), BLOCK)[1].withColumn("score", F.round("score", 4))
+    return _scored(resolve.match_all(entities(spark, d))[1])
 
 
-@query(f"""{COMP_SQL}, m AS (SELECT coalesce(keep, p.product_id) AS k, p.* FROM products p LEFT JOIN merges ON merges.id = p.product_id)
+@query(f"""WITH RECURSIVE {ALL_SQL}, m AS (SELECT coalesce(keep, p.product_id) AS k, p.* FROM products p LEFT JOIN merges ON merges.id = p.product_id)
 SELECT k AS id, arg_min(name, product_id) AS name, arg_min(category, product_id) AS category, arg_min(certs, product_id) FILTER (certs IS NOT NULL) AS certs, coalesce(arg_min(sustainable_yn, product_id) FILTER (sustainable_yn <> 'NA'), 'NA') AS sustainable_yn,
   CAST(min(2020 + size % 5) AS INTEGER) AS first_fy, CAST(max(2020 + size % 5) AS INTEGER) AS last_fy, count(*) AS n_members FROM m GROUP BY k""")
 def merged_products(spark, d):
     rows = entities(spark, d)
     years = rows.withColumn("first_fy", F.lit(2020) + F.col("size") % 5).withColumn("last_fy", F.col("first_fy")).select("id", "name", "category", "certs", "sustainable_yn", "first_fy", "last_fy")
-    return resolve.merge_products(years, resolve.match(rows, BLOCK)[0])
+    return resolve.merge_products(years, resolve.match_all(rows)[0])
+
+
+@query(f"""WITH RECURSIVE {ENT_SQL}, sc AS (SELECT * FROM u WHERE size_of < 30), {_all_pairs('again', 'sc', ['vendor_key', 'sustainable_yn'], False)}, {_closure('m1', 'again', '(one_campus OR one_type)')}
+SELECT 'merge' AS what, id AS a, keep AS b FROM m1 UNION ALL SELECT DISTINCT 'review', a, b FROM again {_LEFT.format('m1')}""".replace("{PRODUCTS_SQL}", "").replace("name, category, sustainable_yn, 'C'", "name, size AS size_of, category, sustainable_yn, 'C'"))
+def scoped_rematch(spark, d):
+    """The products of some sizes were derived anew; only they are matched again. Copies on one campus are one candidate."""
+    rows = entities(spark, d)
+    merges, review = resolve.rematch(rows, rows.where("size < 30").select("id"))
+    return merges.select(F.lit("merge").alias("what"), F.col("id").alias("a"), F.col("keep").alias("b")).unionByName(review.select(F.lit("review").alias("what"), "a", "b"))
+
+
+@query(f"""{R}, g AS (SELECT campus, raw_name, min(fiscal_year) AS fy, CAST(sum(total_price) AS DOUBLE) AS total_price, count(*) AS n_rows FROM purchases WHERE fiscal_year = 1996 GROUP BY campus, raw_name)
+SELECT 'product' AS tbl, raw_name AS name, NULL AS campus, fy AS fiscal_year, NULL AS total_price FROM g UNION ALL SELECT 'alias', raw_name, campus, NULL, NULL FROM g UNION ALL SELECT 'purchase', raw_name, campus, fy, total_price FROM g""")
+def upload_three_tables(spark, d):
+    rows = purchases(spark, d).where("fiscal_year = 1996")
+    made = rows.groupBy("campus", "raw_name").agg(F.min("fiscal_year").alias("fiscal_year"), F.sum("total_price").cast("double").alias("total_price"), F.count("*").alias("n_rows"))
+    p, a, b = resolve.upload_tables(made)
+    name = lambda df: df.join(a.select("product_id", F.col("raw_name").alias("name")), "product_id")
+    none = lambda t: F.lit(None).cast(t)
+    one = p.select(F.lit("product").alias("tbl"), F.col("canonical_name").alias("name"), none("string").alias("campus"), F.col("first_fy").alias("fiscal_year"), none("double").alias("total_price"))
+    two = a.select(F.lit("alias").alias("tbl"), F.col("raw_name").alias("name"), "campus", none("int").alias("fiscal_year"), none("double").alias("total_price"))
+    return one.unionByName(two).unionByName(name(b).select(F.lit("purchase").alias("tbl"), "name", "campus", "fiscal_year", "total_price"))
 
 
 QUEUE_SQL = "q AS (SELECT p_partkey AS candidate_id, p_partkey % 50 AS a, 50 + p_partkey % 7 AS b, CASE p_size % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' ELSE 'pending' END AS status, CAST(90 + p_size % 10 AS DOUBLE) AS score FROM part)"
@@ -376,16 +423,26 @@ def search_filters(spark, d):
     return search.search(_sustainable(spark, d), pattern="b(olt|lue)", category="ECONOMY", cert="Organic").select("product_id", "name")
 
 
-@query(f"""WITH {PRODUCTS_SQL}, e AS (SELECT product_id, name, {SIGNATURE_SQL} AS gate, {CLEAN_SQL} AS cleaned FROM products), u AS (SELECT *, {sql_sorted(sql_process('cleaned'))} AS t FROM e),
-c AS (SELECT a.product_id AS upload_id, a.gate AS g, b.product_id, b.name AS match, b.gate AS gb, a.t AS x, b.t AS y FROM u a JOIN u b ON a.product_id % 200 = 0 AND b.product_id % 200 <> 0 AND least(length(a.t), length(b.t)) * 200.0 >= (length(a.t) + length(b.t)) * 90),
-s AS (SELECT *, {sql_ratio('x', 'y')} AS score FROM c), k AS (SELECT *, row_number() OVER (PARTITION BY upload_id ORDER BY score DESC, product_id) AS r FROM s WHERE score >= 90),
-f AS (SELECT *, row_number() OVER (PARTITION BY upload_id ORDER BY r) AS first FROM k WHERE r <= 10 AND g = gb)
-SELECT u.product_id AS upload_id, u.name, match, f.product_id, round(score, 4) AS score, CASE WHEN score >= 97 THEN 'confident' WHEN score >= 90 THEN 'review' ELSE 'none' END AS tier FROM u LEFT JOIN f ON f.upload_id = u.product_id AND first = 1 WHERE u.product_id % 200 = 0""")
+@query(f"WITH {SUST_SQL} SELECT product_id, name FROM sp WHERE (list_contains(campuses, 'NATION_3') OR list_contains(campuses, 'NATION_5')) AND NOT list_contains(campuses, 'NATION_7') AND list_has_any(vendors, ['Supplier#000000003', 'SUPPLIER#000000004 Corp.'])")
+def region_and_new_opportunities(spark, d):
+    found = search.search(_sustainable(spark, d), region=["NATION_3", "NATION_5"], new_for=("NATION_7", ["Supplier#000000003", "SUPPLIER#000000004 Corp."]))
+    return found.select("product_id", "name")
+
+
+@query(f"WITH {SUST_SQL}, l AS (SELECT product_id, name, CASE WHEN list_contains(campuses, 'NATION_3') THEN 'Already purchased' WHEN list_has_any(vendors, ['Supplier#000000002']) THEN 'New via my vendor' ELSE '' END AS label FROM sp) SELECT product_id, label FROM l ORDER BY CASE label WHEN 'New via my vendor' THEN 0 WHEN '' THEN 1 ELSE 2 END, name, product_id LIMIT 25")
+def first_opportunities(spark, d):
+    """The 25 that the search page shows first."""
+    labelled = _sustainable(spark, d).withColumn("label", search.opportunity("NATION_3", ["Supplier#000000002"]))
+    return search.by_opportunity(labelled).select("product_id", "label").limit(25)
+
+
+@query()
 def auto_classifier_topk(spark, d):
+    """Every product whose id is divisible by 20 asks all products but itself. SQL takes minutes for this; a test has a plain version."""
     rows = products(spark, d)
-    uploads = rows.where("product_id % 200 = 0").select(F.col("product_id").alias("upload_id"), "name")
-    corpus = rows.where("product_id % 200 <> 0").select(F.col("product_id").alias("ord"), "name", "product_id")
-    return search.match_uploads(uploads, corpus)
+    uploads = rows.where("product_id % 20 = 0").select(F.col("product_id").alias("upload_id"), "name")
+    corpus = rows.select(F.col("product_id").alias("ord"), "name", "product_id")
+    return search.match_uploads(uploads, corpus, skip_own=True)
 
 
 BRANDS_SQL = rf"""{PRODUCTS_SQL}, n AS (SELECT brand AS raw_brand, count(*) AS n_rows, nullif(trim(regexp_replace(regexp_replace(trim(brand), '^-+\s*', ''), '\s+', ' ', 'g')), '') AS c FROM products WHERE brand IS NOT NULL GROUP BY brand),

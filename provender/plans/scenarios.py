@@ -153,11 +153,10 @@ def menu_category_sustainability(spark, d):
 
 @query()
 def menu_integer_plans(spark, d):
-    """Each category's dishes of one size as a menu of its own: small whole-number programmes, one a group."""
-    rows = _dishes(spark, d).withColumn("hall", F.concat_ws(" ", "category", F.expr("baseline_freq div 5")))
-    menus = rows.groupBy("hall", F.col("category").alias("ingredient"), "default_sus").agg(F.sum("baseline_freq").alias("baseline_freq"), F.avg("cost").alias("cost"), F.avg("sus_cost").alias("sus_cost"), F.avg("ghg").alias("ghg"))
-    menus = menus.withColumn("ingredient", F.concat_ws(" ", "ingredient", "default_sus"))
-    return menu.plans(menus, ["hall"], {"scenario1": ("cost", 0.0), "scenario2": ("sustainable", 0.0), "scenario3": ("ghg", 0.02)})
+    """Whole-number plans of menus whose variables are the dishes themselves, a dozen a hall; tests check each plan's
+    constraints and small menus against all plans."""
+    rows = _dishes(spark, d).withColumn("hall", F.concat_ws(" ", F.lit("hall"), F.expr("cast(element_at(split(ingredient, ' '), -1) as bigint) div 12")))
+    return menu.plans(rows.select("hall", "ingredient", "baseline_freq", "cost", "sus_cost", "ghg"), ["hall"], {"scenario1": ("cost", 0.0), "scenario2": ("sustainable", 0.0), "scenario3": ("ghg", 0.02)})
 
 
 @query("""SELECT name, sum(flag)::BIGINT AS n FROM (SELECT unnest(['small', 'large', 'even', 'never']) AS name, unnest([CASE WHEN p_size < 10 THEN 1 ELSE 0 END, CASE WHEN p_size > 40 THEN 1 ELSE 0 END, CASE WHEN p_size % 2 = 0 THEN 1 ELSE 0 END, 0]) AS flag FROM part) GROUP BY name HAVING sum(flag) > 0""")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+import io
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from provender.functions.text import clean, known, plain_number
@@ -12,25 +15,35 @@ from provender.operators.ingest import Dictionaries
 def read_text_csv(spark: SparkSession, path: str, *, skip: int = 0) -> DataFrame:
     """All columns as text under the header's own names, with ``ord`` in file order.
 
-    Quoted cells may hold line breaks. ``skip`` lines before the header are junk: the header is then read by position and
-    the junk filtered by its place, as Spark's reader has no such option.
+    Quoted cells may hold line breaks. ``skip`` lines before the header of each file are junk: the header is then read by
+    position and the junk filtered by its place, as Spark's reader has no such option. A column without a name is _c and its place.
     """
     reader = spark.read.option("multiLine", True).option("quote", '"').option("escape", '"')
     if not skip:
         df = reader.option("header", True).option("inferSchema", False).csv(path)
         return df.select("*", F.monotonically_increasing_id().alias("ord"))
-    # multi-line files aren't split, so the id counts the rows of the one partition; the header row gives the names
-    lines = reader.option("header", False).csv(path)
-    header = read_wide_csv(spark, path, [f"_h{i}" for i in range(max(len(lines.columns), 64))], skip=skip - 1).orderBy("ord").drop("ord").first()
-    names = [x for x in header if x is not None]
+    # a row of more cells than the schema's one is kept whole in the last column: that is the header, whatever its width
+    one = spark.read.schema("`_c0` string, `_whole` string").option("columnNameOfCorruptRecord", "_whole").option("multiLine", True).option("quote", '"').option("escape", '"').option("header", False).csv(path)
+    line = one.select("_c0", "_whole", _place().alias("ord"), _file().alias("file")).where(F.col("ord") == skip).orderBy("file").first()
+    names = [line["_c0"]] if line["_whole"] is None else next(csv.reader(io.StringIO(line["_whole"], newline="")))
+    names = [x or f"_c{i}" for i, x in enumerate(names)]
     return read_wide_csv(spark, path, names, skip=skip)
 
 
+def _file() -> Column:
+    return F.col("_metadata.file_path")
+
+
+def _place() -> Column:
+    """A row's place in its file. A file of many lines a cell is one partition, but small files may share one."""
+    return F.row_number().over(Window.partitionBy(_file()).orderBy(F.monotonically_increasing_id())) - 1
+
+
 def read_wide_csv(spark: SparkSession, path: str, columns: list[str], *, skip: int = 0) -> DataFrame:
     """As read_text_csv with a fixed header: junk lines may be narrower than the table, so the schema is given."""
     schema = ", ".join(f"`_c{i}` string" for i in range(len(columns)))
     rows = spark.read.schema(schema).option("multiLine", True).option("quote", '"').option("escape", '"').option("header", False).csv(path)
-    rows = rows.select(F.monotonically_increasing_id().alias("ord"), "*")
+    rows = rows.select(_place().alias("ord"), "*") if skip >= 0 else rows.select(F.monotonically_increasing_id().alias("ord"), "*")
     return rows.where(F.col("ord") > skip).select(*(F.col(f"_c{i}").alias(n) for i, n in enumerate(columns)), "ord")
 
 
@@ -53,12 +66,30 @@ def load_dictionaries(spark: SparkSession, folder: str, present: set[str] | None
     for key in ("bordenaves", "bimbobakery"):
         if wanted(key):
             d.titles[key] = [(p, float(w)) for p, w in rows(f"{key}_weight_dictionary_by_title", "title", "assumed_each_weight_lb")]
+    if present is not None and "sysco_cross_campus" in present:  # optional: looked up by the upper-cased title
+        d.titles["sysco_cross_campus"] = [(p.upper(), float(w)) for p, w in rows("sysco_cross_campus_lookup", "title", "assumed_each_weight_lb")]
     for key in ("count_based_food", "sysco_ct_food", "ucr_count_food"):
         if wanted(key):
             d.counts[key] = [(p, float(w), f) for p, w, f in rows(f"{key}_dictionary", "pattern", "reference_weight_lb", "formula")]
     return d
 
 
+def load_keywords(raw: DataFrame) -> DataFrame:
+    """(ord, keyword, category) of the keyword file: the first two columns, trimmed, without blanks; the order breaks ties."""
+    first, second = [c for c in raw.columns if c != "ord"][:2]
+    return raw.select("ord", F.trim(F.col(f"`{first}`")).alias("keyword"), F.trim(F.col(f"`{second}`")).alias("category")).where("keyword <> '' and category <> ''")
+
+
+def load_all(spark: SparkSession, folder: str, target: str) -> dict[str, int]:
+    """Reads every reference table of a folder, replaces the stored ones, and says how many rows each has."""
+    jobs = {"campuses": ("campuses", load_campuses), "certification_types": ("certification_types", load_certifications), "taxonomy": ("simap_categories", load_taxonomy), "food_groups": ("food_groups", load_food_groups)}
+    counts = {}
+    for table, (name, load) in jobs.items():
+        replace_table(load(read_text_csv(spark, f"{folder}/{name}.csv")), f"{target}/{table}")
+        counts[table] = spark.read.parquet(f"{target}/{table}").count()
+    return counts
+
+
 def load_campuses(raw: DataFrame) -> DataFrame:
     return raw.select(*(clean(F.col(a)).alias(b) for a, b in (("Campus", "campus"), ("Primary_standard", "primary_standard"), ("Campus_type", "campus_type"), ("abbreviation", "abbreviation"))))
 

@@ -84,3 +84,30 @@ def test_dictionaries_from_files(spark, tmp_path):
     d = csv.load_dictionaries(spark, str(tmp_path), {"kikkasushi"})
     assert d.patterns == {"kikkasushi": [("SPRING ROLL", 0.4), ("ROLL", 0.5)]}
     assert spark.range(1).select(d.by_pattern("kikkasushi", F.lit("a spring rolls")).alias("w"), d.by_title("none", F.lit("x")).alias("t")).first() == (0.4, None)
+
+
+def test_a_wide_header_below_junk_lines(spark, tmp_path):
+    names = [f"col {i}" for i in range(80)]
+    names[70] = "two\nlines"
+    names[75] = ""
+    head = ",".join(f'"{n}"' if "\n" in n else n for n in names)
+    for part in ("a", "b"):
+        (tmp_path / f"{part}.csv").write_text(f"junk,1\nmore junk\n{head}\n" + "".join(",".join(f"{part}{r}-{i}" for i in range(80)) + "\n" for r in range(3)))
+    got = csv.read_text_csv(spark, str(tmp_path), skip=2)
+    names[75] = "_c75"
+    assert got.columns == [*names, "ord"] and got.count() == 6
+    assert {r["col 79"] for r in got.collect()} == {f"{p}{r}-79" for p in "ab" for r in range(3)}
+
+
+def test_optional_lookup_keywords_and_load_all(spark, tmp_path):
+    (tmp_path / "sysco_cross_campus_lookup.csv").write_text("title,assumed_each_weight_lb\nBeef Patty,3.5\n")
+    d = csv.load_dictionaries(spark, str(tmp_path), {"sysco_cross_campus"})
+    assert spark.range(1).select(d.by_title("sysco_cross_campus", F.lit("BEEF PATTY")).alias("w")).first().w == 3.5
+    (tmp_path / "k.csv").write_text("keyword,category\n Milk ,Dairy\n,x\nOat,Grain\n")
+    assert [tuple(r)[1:] for r in csv.load_keywords(csv.read_text_csv(spark, str(tmp_path / "k.csv"))).orderBy("ord").collect()] == [("Milk", "Dairy"), ("Oat", "Grain")]
+    (tmp_path / "campuses.csv").write_text("Campus,Primary_standard,Campus_type,abbreviation\nA,S,Academic,AA\nB,S,Health,BB\n")
+    (tmp_path / "certification_types.csv").write_text("certification_name,abbreviation,frameworks,qualifier,needs_review\nC,,F,,TRUE\n")
+    (tmp_path / "simap_categories.csv").write_text("Meat type,Food Category,C_footprint_kg_C_per_kg_food,C footprint local (kg eCO2 / kg food),Nitrogen Content,Conventional virtual N factor (kg N loss / kg N food),Food waste\nBeef,Beef,1,2,3,4,5\n")
+    (tmp_path / "food_groups.csv").write_text("simap_category,food_group\nBeef,Meat\nMilk,Dairy\n")
+    want = {"campuses": 2, "certification_types": 1, "taxonomy": 1, "food_groups": 2}
+    assert csv.load_all(spark, str(tmp_path), str(tmp_path / "out")) == want == csv.load_all(spark, str(tmp_path), str(tmp_path / "out"))

@@ -91,3 +91,35 @@ def test_whole_number_menus_against_enumeration():
     assert green @ menu.plan(dishes, "sustainable") == top
     ghg = dishes["ghg"].to_numpy()
     assert ghg @ menu.plan(dishes, "ghg") == min(ghg @ x for x in grid if cost @ x <= cost @ x0 and green @ x >= top)
+
+
+def test_menus_of_some_dozen_dishes_and_how_a_search_ends():
+    rng = np.random.default_rng(3)
+    n = 36
+    dishes = pd.DataFrame({"baseline_freq": rng.integers(2, 40, n), "cost": rng.uniform(1, 9, n), "ghg": rng.uniform(1, 30, n)})
+    dishes["sus_cost"] = dishes["cost"] * (np.arange(n) % 2)
+    x0, cost, green = (dishes[c].to_numpy(float) for c in ("baseline_freq", "cost", "sus_cost"))
+    for goal in ("cost", "sustainable", "ghg"):
+        search = lp.Search()
+        x = menu.plan(dishes, goal, cut=0.02, search=search)
+        assert search.status in ("optimal", "feasible") and x is not None
+        assert x.sum() == x0.sum() and (x == np.round(x)).all() and (x >= np.ceil(x0 * 0.5)).all() and (x <= np.floor(x0 * 1.5)).all()
+        assert green @ x >= green @ x0 - 1e-6 if goal == "cost" else cost @ x <= cost @ x0 * 0.98 + 1e-6
+    one = np.ones((1, 2))
+    search = lp.Search()
+    assert lp.whole_numbers(np.array([1.0, 2.0]), one, ["="], np.array([3.0]), most=0, search=search) is None and search.status == "unfinished"
+    with pytest.raises(lp.InfeasibleScenario):
+        lp.whole_numbers(np.array([1.0]), np.array([[2.0]]), ["="], np.array([3.0]))
+
+
+def test_menu_plans_say_how_they_ended(spark):
+    df = spark.createDataFrame([("h", "a", 4, 3.0, 3.0, 1.0), ("h", "b", 6, 1.0, 0.0, 2.0), ("none", "c", 1, 1.0, 1.0, 1.0)], "hall string, ingredient string, baseline_freq int, cost double, sus_cost double, ghg double")
+    got = {(r.hall, r.ingredient): (r.freq, r.status) for r in menu.plans(df, ["hall"], {"s": ("sustainable", 0.9)}).collect()}
+    assert got["none", "c"] == (None, "infeasible") and got["h", "a"][1] == "infeasible"
+    got = {(r.hall, r.ingredient): (r.freq, r.status) for r in menu.plans(df, ["hall"], {"s": ("cost", 0.0)}).collect()}
+    assert got["h", "a"] == (4.0, "optimal") and got["none", "c"] == (1.0, "optimal")
+
+
+def test_a_wrong_item_is_an_error_not_an_infeasible_plan():
+    with pytest.raises(ValueError, match="no weight"):
+        lp.scenario(TWO, "hypothetical", item=lp.Item("nowhere", 1.0, 5.0))

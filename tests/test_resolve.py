@@ -21,11 +21,51 @@ def test_match_merges_reviews_and_leaves_null_vendors(spark):
 
 
 def test_sure_pairs_need_one_campus_type(spark):
-    rows = [(1, "OATS ROLLED", "v", "A", "Academic"), (2, "OATS ROLLED", "v", "B", "Health"), (3, "OATS ROLLED", "v", "C", "Academic")]
-    merges, review = resolve.match(entities(spark, rows), ["vendor_key"], extra=F.col("campus_a") != F.col("campus_b"), sure=F.col("type_a") == F.col("type_b"))
+    rows = [(1, "OATS ROLLED", "v", "A", "Academic"), (2, "OATS ROLLED", "v", "B", "Health"), (3, "OATS ROLLED", "v", "C", "Academic"), (4, "OATS ROLLED", "v", "B", "Health")]
+    merges, review = resolve.match(entities(spark, rows), ["vendor_key"], apart=True, sure=F.col("type_a") == F.col("type_b"))
     assert [tuple(r) for r in merges.collect()] == [(3, 1)] and [(r.a, r.b) for r in review.collect()] == [(1, 2)]
 
 
+def test_copies_of_one_campus_merge_across_only_through_another(spark):
+    rows = [(1, "OATS ROLLED", "v", "A", "Academic"), (2, "OATS ROLLED", "v", "A", "Academic"), (3, "OATS ROLLED", "w", "A", "Academic"), (4, "OATS ROLLED", "w", "A", "Academic"), (5, "OATS ROLLED", "w", "B", "Academic")]
+    merges, _ = resolve.match(entities(spark, rows), ["vendor_key"], apart=True, sure=F.col("type_a") == F.col("type_b"))
+    assert sorted(tuple(r) for r in merges.collect()) == [(4, 3), (5, 3)]
+
+
+def test_very_many_copies_stay_linear(spark):
+    rows = spark.range(1, 100_001).select("id", F.lit("OATS ROLLED").alias("name"), F.lit("v").alias("vendor_key"), F.lit("A").alias("campus"), F.lit("Academic").alias("campus_type"), F.lit("Y").alias("sustainable_yn"), F.lit("c").alias("category"))
+    merges, review = resolve.match_all(resolve.prepared(rows))
+    assert merges.count() == 99_999 and merges.where("keep <> 1").count() == 0 and review.count() == 0
+
+
+def test_rematch_stays_within_its_scope(spark):
+    rows = [(1, "OATS ROLLED", "v", "A", "Academic"), (2, "OATS ROLLED", "v", "B", "Academic"), (3, "OATS ROLLED", "v", "C", "Health"), (9, "OATS ROLLED", "v", "A", "Academic")]
+    df = entities(spark, rows).withColumn("sustainable_yn", F.lit("Y"))
+    merges, review = resolve.rematch(df, spark.createDataFrame([(1,), (2,), (3,)], "id long"))
+    assert [tuple(r) for r in merges.collect()] == [(2, 1)] and [(r.a, r.b) for r in review.collect()] == [(1, 3)]
+
+
+def test_brand_candidates_without_a_cross_join(spark):
+    import itertools
+
+    from provender.functions import similarity
+
+    values = ["Sun Foods", "Sun Foods Inc", "Sunkist", "Sunkists", "Sunkits", "X", "X Farms", "Y", "O'Neil", "O Neil", "ab", "abc", "-", "Sunny Hill Farms", "Sunny Hill Farm", "Farms"]
+    got = {(r.raw_brand, r.proposed_canonical) for r in search.brand_candidates(spark.createDataFrame([(v,) for v in values], "value string")).collect()}
+    clean = lambda v: "".join(c if c.isalnum() or c == "_" else " " for c in v).strip().lower()
+    want = set()
+    for v in values:
+        near = sorted((-similarity.set_ratio(clean(v), clean(y)), y) for y in values)[:5]
+        for s, y in near:
+            if y != v and -s >= 90:
+                long, short = (y, v) if len(v) <= len(y) else (v, y)
+                if short.lower() in long.lower():
+                    want.add((long, short))
+    assert got == want and len(want) >= 4
+    for a, b in itertools.product(["", "a", "sun ab", "x" * 70, "the " * 40], repeat=2):
+        assert similarity.lcs_many([a], [b])[0] == similarity.lcs(a, b)
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, k) for k in range(101, 140)]
     got = {r.id: r.root for r in resolve.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -75,3 +115,25 @@ def test_stream_in_parts_equals_batch(spark, tmp_path):
     want = incremental.raw_name_totals(spark.createDataFrame(rows, schema), ["campus"])
     key = lambda r: r.raw_name
     assert sorted(spark.read.parquet(out).select(want.columns).collect(), key=key) == sorted(want.collect(), key=key)
+
+
+def test_uploads_against_all_rows_but_their_own(spark):
+    """The registered query's way, against plain loops over all rows."""
+    import random
+
+    from provender.functions import similarity
+    from provender.operators import resolve as r
+
+    rnd = random.Random(9)
+    words = ["MILK", "WHOLE", "RICE", "BROWN", "ONION", "RED", "5-LB", "25-LB", "ORGANIC", "JUMBO", "OATS"]
+    rows = [(i, " ".join(rnd.choice(words) for _ in range(rnd.randrange(2, 7)))) for i in range(1, 400)]
+    df = spark.createDataFrame(rows, "product_id long, name string")
+    ups = df.where("product_id % 20 = 0").select(F.col("product_id").alias("upload_id"), "name")
+    got = {x.upload_id: (x.product_id, x.tier) for x in search.match_uploads(ups, df.withColumn("ord", F.col("product_id")), skip_own=True).collect()}
+    gate = {x.id: str(x["_gate"]) for x in r.prepared(df.withColumnRenamed("product_id", "id")).collect()}
+    clean = lambda v: "".join(c if c.isalnum() or c == "_" else " " for c in v).strip().lower()
+    for i, name in rows:
+        if i % 20 == 0:
+            best = sorted((-similarity.sort_ratio(clean(name), clean(other)), j) for j, other in rows)[:11]
+            hit = next(((j, -s) for s, j in best if j != i and -s >= 90 and gate[j] == gate[i]), None)
+            assert got[i] == ((hit[0], "confident" if hit[1] >= 97 else "review") if hit else (None, "none"))

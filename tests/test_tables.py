@@ -47,9 +47,9 @@ def test_search_sheet_and_uploads(spark, tmp_path):
 
 def test_html_page(spark):
     df = spark.createDataFrame([("a<b", 1234.5, None)], "name string, spend double, note string")
-    html = report.page("Plan & more", {"Totals": df})
+    (html,) = report.page("Plan & more", {"Totals": df})
     assert "<h1>Plan &amp; more</h1>" in html and "<td>a&lt;b</td><td>1,234.50</td><td>–</td>" in html
-    with pytest.raises(ValueError):
-        report.page("x", {"t": spark.range(300)})
+    pages = report.page("x", {"t": spark.range(450), "Totals": df, "none": df.limit(0)})
+    assert len(pages) == 3 and [p.count("<tr><td>") for p in pages] == [201, 200, 50] and "<h2>none</h2>" in pages[0]
     out = report.caveats(spark.createDataFrame([(0.5, 1.0, 2), (0.99, 0.0, 0)], "weight_resolved_pct double, excluded_spend double, price_outlier_count int")).collect()
     assert out[0].caveats.count(";") == 2 and out[1].caveats == ""
