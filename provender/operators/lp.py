@@ -44,14 +44,16 @@ def simplex(cost: np.ndarray, a: np.ndarray, kinds: list[str], b: np.ndarray) ->
     kinds = [{"<=": ">=", ">=": "<="}.get(k, k) if f else k for k, f in zip(kinds, flip)]
     m = len(b)
     slack = np.zeros((m, sum(k != "=" for k in kinds)))
-    at = 0
+    at, ready = 0, {}
     for i, k in enumerate(kinds):
         if k != "=":
             slack[i, at] = 1 if k == "<=" else -1
+            if k == "<=":
+                ready[i] = n + at  # such a row starts with its slack; only the others need an artificial variable
             at += 1
     t = np.hstack([a, slack, np.eye(m), b[:, None]])
     real = n + slack.shape[1]
-    basis = [real + i for i in range(m)]
+    basis = [ready.get(i, real + i) for i in range(m)]
 
     def run(objective, width):
         z = objective - objective[basis] @ t[:, :-1]
@@ -231,7 +233,8 @@ def solve(baseline: DataFrame, scope: list[str], name: str, *, target: float = 0
 
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in scope), *FIELDS])
     needed = ["category", "food_group", "baseline_weight_lbs", "baseline_spend", "baseline_sustainable_spend", "sustainable_price_per_lb", "conventional_price_per_lb", "ghg_factor_kg_per_kg"]
-    plans = baseline.select(*scope, *needed).groupBy(*scope).applyInPandas(one, schema)
+    tasks = int(baseline.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    plans = baseline.select(*scope, *needed).repartition(tasks, *scope).groupBy(*scope).applyInPandas(one, schema)
     return with_shares(plans)
 
 

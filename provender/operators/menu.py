@@ -40,12 +40,12 @@ def missing_inputs(dishes: DataFrame) -> DataFrame:
     return dishes.where("portion_lb is null or ghg_per_lb is null or (lower(trim(default_sus)) = 'yes' and sustainable_price_lb is null) or (coalesce(lower(trim(default_sus)), '') <> 'yes' and conventional_price_lb is null)")
 
 
-def plan(dishes: pd.DataFrame, goal: str, *, cut: float = 0.0, low: float = 0.5, high: float = 1.5, gap: float = 1e-3, most: int = 2_000, search: Search | None = None) -> np.ndarray | None:
+def plan(dishes: pd.DataFrame, goal: str, *, cut: float = 0.0, low: float = 0.5, high: float = 1.5, gap: float = 1e-3, most: int = 400, search: Search | None = None) -> np.ndarray | None:
     """Appearances of each dish as whole numbers with their sum fixed, each within its band.
 
     Goals: 'cost' keeps the sustainable spend; 'sustainable' keeps the cost, less a cut; 'ghg' has the least emissions among
     the plans of the most sustainable spend. A plan counts as the best if none is better by more than ``gap`` of today's
-    figure. None if the search ended without a plan and without a proof that there is none.
+    figure; after ``most`` branches the best one so far is taken, and ``search`` says so. None if the search ended without a plan and without a proof that there is none.
     """
     x0 = dishes["baseline_freq"].to_numpy(float)
     cost, green, ghg = (dishes[c].to_numpy(float) for c in ("cost", "sus_cost", "ghg"))
@@ -91,7 +91,9 @@ def plans(dishes: DataFrame, scope: list[str], goals: dict[str, tuple[str, float
             out.append(rows[[*scope, "ingredient"]].assign(scenario=name, freq=np.nan if freq is None else freq, status=search.status))
         return pd.concat(out)
 
-    return dishes.groupBy(*scope).applyInPandas(one, ", ".join(f"{c} {kinds[c]}" for c in scope) + ", ingredient string, scenario string, freq double, status string")
+    # groups are small but their work isn't, so they are not left to be drawn together by size
+    tasks = int(dishes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dishes.repartition(tasks, *scope).groupBy(*scope).applyInPandas(one, ", ".join(f"{c} {kinds[c]}" for c in scope) + ", ingredient string, scenario string, freq double, status string")
 
 
 def contributions(dishes: DataFrame, freq: DataFrame) -> DataFrame:
