@@ -51,6 +51,47 @@ def lp_hypothetical(spark, d):
     return _rounded(lp.solve(_base(spark, d), SCOPE, "hypothetical", item=lp.Item("ECONOMY", 900.0, 50.0)))
 
 
+# ---- the programmes' best values by duality: one multiplier for the one row that isn't a band. With it fixed a category costs
+# its cheaper channel and the bands are filled in order of cost (group bands of the same factors add nothing); the value is
+# concave in the multiplier and linear between the points where two costs cross, so its best is at one of those
+_CATS = """c AS (SELECT campus, fiscal_year, category, baseline_weight_lbs AS w, sustainable_price_per_lb AS ps, conventional_price_per_lb AS pc FROM base WHERE baseline_weight_lbs > 0),
+sc AS (SELECT campus, fiscal_year, sum(baseline_sustainable_spend) AS need, sum(baseline_spend) AS spent FROM base WHERE baseline_weight_lbs > 0 GROUP BY ALL)"""
+
+
+def _dual(fixed, crossing, unit, order, free, best, wrong):
+    return f"""{agg.B}, {_CATS}, lam AS (SELECT DISTINCT * FROM (SELECT campus, fiscal_year, unnest([{fixed}]) AS l FROM sc UNION ALL SELECT a.campus, a.fiscal_year, {crossing} FROM c a JOIN c b USING (campus, fiscal_year)) WHERE l >= 0 AND isfinite(l)),
+ends AS (SELECT campus, fiscal_year, max(l) AS top FROM lam GROUP BY ALL), pts AS (SELECT * FROM lam UNION ALL SELECT campus, fiscal_year, 2 * top + 1 FROM ends),
+k AS (SELECT c.*, l, {unit} AS cost FROM c JOIN pts USING (campus, fiscal_year)),
+g AS (SELECT *, sum(w) OVER (PARTITION BY campus, fiscal_year, l) * 0.15::DOUBLE AS spare, coalesce(sum(w * 0.3::DOUBLE) OVER (PARTITION BY campus, fiscal_year, l ORDER BY cost {order}, category ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k),
+dual AS (SELECT campus, fiscal_year, l, any_value({free}) + sum(cost * (w * 0.85::DOUBLE + greatest(0.0::DOUBLE, least(w * 0.3::DOUBLE, spare - before)))) AS v FROM g JOIN sc USING (campus, fiscal_year) GROUP BY ALL),
+sides AS (SELECT campus, fiscal_year, {best}(v) FILTER (l <= top) AS v, {best}(v) FILTER (l > top) AS beyond FROM dual JOIN ends USING (campus, fiscal_year) GROUP BY ALL)
+SELECT campus, fiscal_year, CASE WHEN {wrong} THEN 'infeasible' ELSE 'optimal' END AS status, CASE WHEN NOT ({wrong}) THEN round(v, 1) END AS value FROM sides"""
+
+
+CHEAPEST_SQL = _dual("0.0::DOUBLE, 1.0::DOUBLE", "1 - b.pc / nullif(a.ps, 0)", "least(pc, ps * (1 - l))", "", "l * need", "max", "beyond > v + 1e-6 * abs(v)")
+GREENEST_SQL = _dual("0.0::DOUBLE, 1.0::DOUBLE", "a.ps / nullif(a.ps - b.pc, 0)", "greatest(ps * (1 - l), -l * pc)", "DESC", "l * spent", "min", "beyond < v - 1e-6 * abs(v)")
+
+
+def _value(plans, column):
+    total = F.round(F.sum(F.when(F.col("in_optimization"), F.col(column))), 1)
+    return plans.groupBy(*SCOPE).agg(F.first("status").alias("status"), total.alias("value")).withColumn("value", F.when(F.col("status") == "optimal", F.col("value")))
+
+
+@query(CHEAPEST_SQL)
+def lp_min_spend_value(spark, d):
+    return _value(lp.solve(_base(spark, d), SCOPE, "min_spend"), "optimized_spend")
+
+
+@query(GREENEST_SQL)
+def lp_max_sustainable_value(spark, d):
+    return _value(lp.solve(_base(spark, d), SCOPE, "max_sustainable"), "optimized_sustainable_spend")
+
+
+@query(GREENEST_SQL.replace("l * spent", "l * spent * (1 - 0.02::DOUBLE)"))
+def lp_cost_target_value(spark, d):
+    return _value(lp.solve(_base(spark, d), SCOPE, "cost_target", target=0.02), "optimized_sustainable_spend")
+
+
 #: A fixed result table for the operators after the solver: each category's plan by rule.
 FIXED_SQL = f"""{agg.B}, plan AS (SELECT campus, fiscal_year, category, food_group, baseline_spend, baseline_sustainable_spend, baseline_weight_lbs, sustainable_price_per_lb, conventional_price_per_lb,
   baseline_spend * 0.97::DOUBLE AS optimized_spend, baseline_sustainable_spend * CASE WHEN length(category) % 2 = 0 THEN 1.1::DOUBLE ELSE 0.9::DOUBLE END AS optimized_sustainable_spend, baseline_weight_lbs * 1.01::DOUBLE AS optimized_weight_lbs FROM base)"""
