@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provender.functions.text import ghg_kg
+from provender.operators.lineage import checkpointed
 
 # Weight sources from the strongest to the weakest; outlier rule.
 TIERS = ["reported", "computed_tier2", "reference_table_tier3", "unresolved"]
@@ -52,21 +53,48 @@ def by_raw_name(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame
     return out.withColumn("unit_price", unit).withColumn("sustainable_yn", F.coalesce("sustainable_yn", F.lit("NA")))
 
 
+MEDIAN_STEPS = 1000.0
+
+
+def exact_median(counts: DataFrame, keys: list[str], value: str, n: str, name: str) -> DataFrame:
+    """(keys, name, _all): the median of each group of counted values, the mean of the middle two of an even number, and how many
+    there are.
+
+    Values are counted by step of a thousandth first; running sums of a group's steps tell which one or two hold the middle, and
+    only their values are put in order. A group is thus spread over tasks while it is counted, and what one task orders is a
+    list of steps or the distinct values of two, as a sort that can spill.
+    """
+    step = F.floor(F.col(value) * MEDIAN_STEPS).alias("_step")
+    steps = counts.groupBy(*keys, step).agg(F.sum(n).alias("_n"))
+    group, so_far = Window.partitionBy(*keys), (Window.unboundedPreceding, 0)
+    steps = steps.withColumn("_upto", F.sum("_n").over(group.orderBy("_step").rowsBetween(*so_far))).withColumn("_all", F.sum("_n").over(group))
+    low, high = F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1
+    within = lambda r: (F.col("_upto") >= r) & (F.col("_upto") - F.col("_n") < r)
+    middle = steps.where(within(low) | within(high)).select(*keys, "_step", (F.col("_upto") - F.col("_n")).alias("_before"), "_all")
+    near = counts.select(*keys, F.col(value).alias("_v"), step, F.col(n).alias("_m")).join(middle, [*keys, "_step"])
+    # no value lies between two middle steps, so ranks run on from the first one's
+    ranked = near.withColumn("_at", F.min("_before").over(group.orderBy("_v").rowsBetween(*so_far)) + F.sum("_m").over(group.orderBy("_v").rowsBetween(*so_far)))
+    first = lambda r: F.min(F.when(F.col("_at") >= r, F.col("_v")))
+    return ranked.groupBy(*keys).agg((first(low) * 0.5 + first(high) * 0.5).alias(name), F.max("_all").alias("_all"))
+
+
 def flag_outliers(rows: DataFrame, keys: list[str]) -> DataFrame:
     """rows with price_outlier: more than 7.5 scaled MADs of log price per pound away from the group's median; groups of fewer
     than ten priced rows, or without spread, have none.
 
-    Medians are two aggregations joined back (one row a group), not windows, so a large group is never in one task.
+    Prices are counted by group and value once and written down; both medians come from these counts, and one row a group is
+    joined back, so rows are read twice and no task holds a group.
     """
     price, weight = F.col("total_price").cast("double"), F.col("total_weight_lbs")
-    ok = (F.col("weight_source") != "unresolved") & (weight > 0) & (price > 0)
+    ok = (F.col("weight_source") != "unresolved") & (weight > 0) & ~F.isnan(weight) & (price > 0)
     logged = rows.withColumn("_log", F.when(ok, F.log10(price / F.when(weight > 0, weight))))
-    middle = logged.where("_log is not null").groupBy(*keys).agg(F.median("_log").alias("_mid"), F.count("*").alias("_n"))
-    near = logged.join(middle, keys, "left").withColumn("_off", F.abs(F.col("_log") - F.col("_mid")))
-    spread = near.where("_log is not null").groupBy(*keys).agg(F.median("_off").alias("_mad"))
-    z = F.col("_off") / F.nullif(F.col("_mad") * MAD_SCALE, F.lit(0.0))
-    flag = F.coalesce((F.col("_n") >= OUTLIER_LEAST_ROWS) & (z > OUTLIER_Z), F.lit(False))
-    return near.join(spread, keys, "left").withColumn("price_outlier", flag).drop("_log", "_mid", "_n", "_off", "_mad")
+    counts = checkpointed(logged.where("_log is not null").groupBy(*keys, "_log").agg(F.count("*").alias("_n")))
+    middle = exact_median(counts, keys, "_log", "_n", "_mid").withColumnRenamed("_all", "_rows")
+    off = counts.join(middle, keys).select(*keys, "_mid", "_rows", F.abs(F.col("_log") - F.col("_mid")).alias("_off"), "_n")
+    spread = exact_median(off, [*keys, "_mid", "_rows"], "_off", "_n", "_mad").drop("_all")
+    z = F.abs(F.col("_log") - F.col("_mid")) / F.nullif(F.col("_mad") * MAD_SCALE, F.lit(0.0))
+    flag = F.coalesce((F.col("_rows") >= OUTLIER_LEAST_ROWS) & (z > OUTLIER_Z), F.lit(False))
+    return logged.join(spread, keys, "left").withColumn("price_outlier", flag).drop("_log", "_mid", "_rows", "_mad")
 
 
 def _money(condition: Column | None = None) -> Column:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provender.functions import gates, text
 from provender.functions.similarity import reachable, token_sort_ratio
+from provender.operators.lineage import checkpointed
 
 # Sure pairs merge, likely pairs are reviewed.
 AUTO, REVIEW = 99.5, 90.0
@@ -49,27 +48,17 @@ def unknown_only(found: DataFrame, known: DataFrame) -> DataFrame:
     return found.join(known.select("a", "b"), ["a", "b"], "left_anti")
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        given = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not given and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="provender-"))
-    return df.checkpoint()
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(id, root): the smallest id that each node of the edges (a, b) reaches.
 
     Labels fall along edges and then along labels (pointer jumping), each round a join and a grouped minimum, cut with a
     checkpoint; it ends when a round changes nothing.
     """
-    both = _checkpoint(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "id")
     mark = None
     while True:
-        labels = _checkpoint(labels)
+        labels = checkpointed(labels)
         now = labels.agg(F.sum(F.col("root").cast("decimal(38,0)")), F.count("*")).first()
         if now == mark:
             return labels
@@ -93,9 +82,9 @@ def match(rows: DataFrame, block: list[str], known: DataFrame | None = None, *,
     split = ["campus", "campus_type"] if apart or sure is not None else []
     rows = rows.where(" and ".join(f"{k} is not null" for k in block)).select("id", *dict.fromkeys([*keys, "_text", *split]))
     own = [c for c in split if c not in keys]
-    nodes = _checkpoint(rows.groupBy(*keys, "_text", *own).agg(F.min("id").alias("rep"), F.count("*").alias("n")))
-    scored = _checkpoint(text_pairs(nodes, keys))
-    found = _checkpoint(_node_pairs(nodes, scored, keys, own, apart))
+    nodes = checkpointed(rows.groupBy(*keys, "_text", *own).agg(F.min("id").alias("rep"), F.count("*").alias("n")))
+    scored = checkpointed(text_pairs(nodes, keys))
+    found = checkpointed(_node_pairs(nodes, scored, keys, own, apart))
     edges = found.where(F.col("score") >= AUTO)
     if sure is not None:
         edges = edges.withColumnsRenamed({"campus_type_a": "type_a", "campus_type_b": "type_b"}).where(sure)
@@ -104,7 +93,7 @@ def match(rows: DataFrame, block: list[str], known: DataFrame | None = None, *,
     touched = edges.select(F.col("a").alias("rep")).union(edges.select(F.col("b").alias("rep"))).distinct()
     stars = nodes.where("n > 1").join(touched, "rep", "left_semi") if apart else nodes.where("n > 1")
     members = rows.join(stars.select(*keys, "_text", *own, "rep"), [*keys, "_text", *own]).where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"))
-    merges = _checkpoint(components(edges.union(members)).where("id <> root").select("id", F.col("root").alias("keep")))
+    merges = checkpointed(components(edges.union(members)).where("id <> root").select("id", F.col("root").alias("keep")))
     gone = merges.select("id")
     left = found.join(gone, found["a"] == gone["id"], "left_anti").join(gone, found["b"] == gone["id"], "left_anti")
     pair = left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score")

@@ -211,3 +211,53 @@ def cert_indicator_counts(spark, d):
 def subcategory_coverage(spark, d):
     rows = spark.read.parquet(f"{d}/part.parquet").select(F.col("p_type").alias("category"), F.when(F.col("p_size") % 4 != 0, F.col("p_size")).alias("sub"))
     return menu.coverage(rows, "category", "sub")
+
+
+# ---- reports over the fixed plans
+PRINTED_SQL = "CASE WHEN {0} IS NULL THEN '–' ELSE '$' || format('{{:,}}', CAST(round_even({0}, 0) AS BIGINT)) END"
+SHARE_SQL = "CASE WHEN {0} IS NULL THEN '–' ELSE printf('%.1f%%', {0}) END"
+
+
+@query(f"""{FIXED_SQL} SELECT campus, fiscal_year, 'fixed' AS scenario, category, food_group, {PRINTED_SQL.format('baseline_spend')} AS baseline, {PRINTED_SQL.format('optimized_spend')} AS optimized,
+  {SHARE_SQL.format('round(baseline_sustainable_spend / nullif(baseline_spend, 0) * 100, 6)')} AS sustainable_before, {SHARE_SQL.format('round(optimized_sustainable_spend / nullif(optimized_spend, 0) * 100, 6)')} AS sustainable_after,
+  {SHARE_SQL.format('round((optimized_weight_lbs - baseline_weight_lbs) / nullif(baseline_weight_lbs, 0) * 100, 6)')} AS weight_change FROM plan""")
+def scenario_table(spark, d):
+    plans = _fixed(spark, d)
+    change = F.round((F.col("optimized_weight_lbs") - F.col("baseline_weight_lbs")) / F.nullif("baseline_weight_lbs", F.lit(0.0)) * 100, 6)
+    shares = {c: F.round(c, 6) for c in ("baseline_sustainable_pct", "optimized_sustainable_pct")}
+    return report.scenario_table(plans.withColumns({**shares, "weight_pct_change": change}), SCOPE, "fixed")
+
+
+@query(f"""{FIXED_SQL} SELECT campus, fiscal_year, category, round(baseline_sustainable_spend / nullif(baseline_spend, 0) * 100, 6) AS baseline_sustainable_pct,
+  round(optimized_sustainable_spend / nullif(optimized_spend, 0) * 100, 6) AS optimized_sustainable_pct, baseline_spend FROM plan""")
+def sustainable_share(spark, d):
+    out = report.sustainable_share(_fixed(spark, d), SCOPE)
+    return out.withColumns({c: F.round(c, 6) for c in ("baseline_sustainable_pct", "optimized_sustainable_pct")})
+
+
+@query(f"""{FIXED_SQL}, taken AS (SELECT *, CASE WHEN length(food_group) % 2 = 0 THEN baseline_weight_lbs * 0.1::DOUBLE ELSE 0 END AS lbs FROM plan WHERE category = 'LARGE')
+SELECT campus, fiscal_year, category, CASE WHEN lbs > 0 THEN 'competitive' ELSE 'not competitive' END AS verdict, round(lbs, 2) AS adopted_lbs, round(lbs / 5000 * 100, 1) AS share_of_cap_pct,
+  CASE WHEN sustainable_price_per_lb > 0 THEN round(2.5::DOUBLE / sustainable_price_per_lb, 2) END AS times_sustainable_price, CASE WHEN conventional_price_per_lb > 0 THEN round(2.5::DOUBLE / conventional_price_per_lb, 2) END AS times_conventional_price FROM taken""")
+def item_verdict(spark, d):
+    taken = F.when(F.length("food_group") % 2 == 0, F.col("baseline_weight_lbs") * 0.1).otherwise(0.0)
+    return report.verdict(_fixed(spark, d).withColumn("hypothetical_weight_lbs", taken), SCOPE, "LARGE", 2.5, 5000.0)
+
+
+@query(f"""{FIXED_SQL}, t AS (SELECT campus, fiscal_year, round((sum(optimized_spend) / nullif(sum(baseline_spend), 0) - 1) * 100, 6) AS change FROM plan GROUP BY ALL)
+SELECT campus, fiscal_year, CASE WHEN fiscal_year % 2 = 0 THEN round(greatest(-change, 0), 4) END AS max_cut_pct FROM t""")
+def largest_cut(spark, d):
+    sums = _fixed(spark, d).groupBy(*SCOPE).agg(F.round((F.try_divide(F.sum("optimized_spend"), F.nullif(F.sum("baseline_spend"), F.lit(0.0))) - 1) * 100, 6).alias("cost_pct_change"))
+    return report.largest_cut(sums.withColumn("status", F.when(F.col("fiscal_year") % 2 == 0, "optimal").otherwise("infeasible")), SCOPE).withColumn("max_cut_pct", F.round("max_cut_pct", 4))
+
+
+@query(f"""{agg.B}, {agg.EXCLUDED_SQL}, s AS (SELECT campus, fiscal_year, round(sum(weight_resolved_pct * baseline_spend) / sum(baseline_spend), 8) AS covered, sum(price_outlier_count) AS outliers FROM base GROUP BY ALL)
+SELECT campus, fiscal_year, concat_ws('; ', CASE WHEN covered < 0.95 THEN 'weights cover under 95% of spend' END, CASE WHEN excluded_spend > 0 THEN 'some spend has no category' END,
+  CASE WHEN outliers > 0 THEN 'price outliers are left out of weights' END) AS caveats FROM s JOIN excluded USING (campus, fiscal_year)""")
+def snapshot_caveats(spark, d):
+    return report.caveats(agg.snapshot_totals(spark, d)).select(*SCOPE, "caveats")
+
+
+@query("""SELECT p_name AS certification_name, p_brand AS abbreviation, p_type AS frameworks, CASE WHEN p_size % 2 = 0 THEN 'raw' END AS qualifier FROM part ORDER BY p_partkey LIMIT 40""")
+def certification_glossary(spark, d):
+    rows = spark.read.parquet(f"{d}/part.parquet").orderBy("p_partkey").limit(40)
+    return report.glossary(rows.select(F.col("p_name").alias("certification_name"), F.col("p_brand").alias("abbreviation"), F.col("p_type").alias("frameworks"), F.when(F.col("p_size") % 2 == 0, "raw").alias("qualifier")))
