@@ -16,6 +16,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from provender.llm.shared import give_back
+
 
 def load_ranks(path: str) -> dict[bytes, int]:
     """The vocabulary file: a line for each token, its bytes in base 64 and its rank."""
@@ -167,7 +169,7 @@ class Encoder:
 _encoders: dict = {}
 
 
-def blocks(batches, chars: int = 12_000_000):
+def blocks(batches, chars: int = 3_000_000):
     """Slices of the batches' rows whose texts (column 1) have about so many bytes; a longer text is alone."""
     for b in batches:
         start = total = 0
@@ -185,7 +187,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
     and, if asked, ids (array<int>). ``passed`` names further columns of docs to carry.
 
     The vocabulary (a fixed file of under 1 MB) is read on the driver and sent once. Each task replays the merges block by
-    block over the distinct words of some 12 MB of text, so memory doesn't follow the corpus and nothing is shuffled.
+    block over the distinct words of some 3 MB of text, so memory doesn't follow the corpus and nothing is shuffled.
     Null texts are empty texts: no tokens, the hashes of nothing. Repeated rows stay; an empty table gives none.
     """
     spark, passed = docs.sparkSession, passed or []
@@ -199,6 +201,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
             _encoders.clear()
             _encoders[key] = Encoder(sent.value, pattern)
         enc = _encoders[key]
+        give_back()
         for b in blocks(batches):
             found = enc.encode(b.column(1).to_pylist())
             cols = [b.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in found], pa.string()), pa.array([hashlib.sha256(enc.decode(x)).hexdigest() for x in found], pa.string())]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
@@ -29,6 +30,15 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def give_back() -> None:
+    """Hands memory that a worker has freed, but holds for reuse, back to the system: workers stay for later stages."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def whole_row(df: DataFrame) -> Column:
     """All columns as one struct: beside it, an operator's own columns can't clash with them."""
     return F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in df.columns))
