@@ -67,7 +67,15 @@ def settle(df: DataFrame) -> DataFrame:
     finally:
         spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
     atexit.register(_drop, spark._jvm, spark.sparkContext._jsc.hadoopConfiguration(), path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._settled = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what settle() has written for these frames, once nothing reads them any more."""
+    for df in frames:
+        _drop(df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration(), df._settled)
 
 
 def components(edges: DataFrame) -> DataFrame:
