@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provender.llm import bpe, decontaminate, licences, maxscore, pii, quality, repeats, simhash, url_filter, wordpiece
+from provender.llm import bpe, decontaminate, filter_audit, importance, interpolation, licences, maxscore, pii, quality, repeats, simhash, url_filter, wordpiece
 from provender.llm.shared import table
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -57,11 +57,25 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(table(spark, sf_dir, "documents"), WORD_PIECES)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (op1_decontamination, op2_url_filter, op3_pii, op4_repeats, op5_byte_bpe, op6_maxscore, op7_quality, op8_simhash, op9_licences, op10_token_counts)}
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interpolation.score(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: q for q in (op1_decontamination, op2_url_filter, op3_pii, op4_repeats, op5_byte_bpe, op6_maxscore, op7_quality, op8_simhash, op9_licences, op10_token_counts, op11_importance, op12_interpolation, op13_filter_audit)}
 ORACLES: dict[str, str] = {
     "op2_url_filter": url_filter.SQL,
     "op3_pii": pii.SQL,
     "op4_repeats": repeats.SQL,
+    "op11_importance": importance.SQL,
+    "op13_filter_audit": filter_audit.SQL,
     "op6_maxscore": """
         WITH v AS (
           SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
