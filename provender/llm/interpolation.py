@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,15 +29,15 @@ _STEPS, _UNSEEN = 4, -10_000
 
 
 def pack(x: np.ndarray) -> bytes:
-    """Eight-byte integers as planes of bytes, as many as the largest needs: the upper planes of small or sorted numbers are long
-    runs, which any codec takes away."""
+    """Eight-byte integers as compressed planes of bytes, as many as the largest needs: the upper planes of small or sorted numbers
+    are long runs."""
     x = np.ascontiguousarray(x).view(np.uint64)
     n = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([n]) + x.view(np.uint8).reshape(-1, 8).T[:n].tobytes()
+    return bytes([n]) + zstandard.ZstdCompressor(level=1).compress(x.view(np.uint8).reshape(-1, 8).T[:n].tobytes())
 
 
 def unpack(raw: bytes, kind=np.int64) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(raw[0], -1)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw[1:]), np.uint8).reshape(raw[0], -1)
     out = np.zeros((planes.shape[1], 8), np.uint8)
     out[:, : raw[0]] = planes.T
     return out.reshape(-1).view(kind)
@@ -107,6 +108,14 @@ def blocks(docs: DataFrame, use: Column, *, id_col: str, text_col: str, tokens:
     return settle(rows.mapInArrow(run, f"block long, ids array<{name}>, uses binary, sizes binary, words binary, tokens binary"))
 
 
+def after(x: np.ndarray, starts: np.ndarray, first) -> np.ndarray:
+    """x of the token before; ``first`` where a document starts."""
+    out = np.empty_like(x)
+    out[1:] = x[:-1]
+    out[starts] = first
+    return out
+
+
 class Block:
     """A block's tokens and what they follow."""
 
@@ -121,13 +130,6 @@ class Block:
         own = np.array([xxhash.xxh3_64_intdigest(w) for w in self.words], np.uint64)
         return own, np.argsort(own, kind="stable")
 
-    def after(self, x: np.ndarray, first) -> np.ndarray:
-        """x of the token before; ``first`` at the start of a document."""
-        out = np.empty_like(x)
-        out[1:] = x[:-1]
-        out[self.starts] = first
-        return out
-
     def keys(self, order: int) -> tuple[np.ndarray, np.ndarray]:
         """(distinct keys in order of their shards, the place among them of each token's key) of words, pairs or triples."""
         own, by = self.hashes()
@@ -136,10 +138,10 @@ class Block:
             place[by] = np.arange(len(by))
             return own[by], place[self.tokens]
         stream = own[self.tokens]
-        pairs = _mix(self.after(stream, _START), stream)
+        pairs = _mix(after(stream, self.starts, _START), stream)
         if order == 2:
             return np.unique(pairs, return_inverse=True)
-        return np.unique(_mix(self.after(pairs, _mix(np.array([_START]), np.array([_START]))[0]), stream), return_inverse=True)
+        return np.unique(_mix(after(pairs, self.starts, _mix(np.array([_START]), np.array([_START]))[0]), stream), return_inverse=True)
 
 
 _ANSWER = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("base", pa.binary()), ("extra", pa.binary())])
@@ -262,14 +264,26 @@ def _magnitude(n: np.ndarray) -> np.ndarray:
 
 
 class Counts:
-    """What a counted block says of each of its tokens; ``estimates`` asks for the counts without the documents of the weights."""
+    """What a counted block says of the tokens of some of its documents; without those of the weights for ``estimates``."""
 
-    def __init__(self, row: dict, start: tuple[int, int], estimates: bool):
-        self.block = Block({**row, "words": b""})
+    def __init__(self, start: tuple[int, int], sizes, uses, c1, c2, c3):
+        self.sizes, self.uses, self.c1, self.c2, self.c3 = sizes, uses, c1, c2, c3
+        self.starts = np.cumsum(sizes) - sizes
+        self.h2, self.h3 = after(c1, self.starts, sum(start)), after(c2, self.starts, sum(start))
+
+    @classmethod
+    def of(cls, row: dict, start: tuple[int, int], estimates: bool, some: int = 1 << 17):
+        """(first document, counts) of documents of about ``some`` tokens at a time: a block's arrays are as long as its tokens,
+        and what is made of them shouldn't be."""
         get = lambda k: unpack(row[f"base{k}"]) if estimates else unpack(row[f"base{k}"]) + unpack(row[f"extra{k}"])
-        first = start[0] if estimates else sum(start)  # as many texts start as end
-        self.c1, self.c2, self.c3 = get(1)[self.block.tokens], get(2), get(3)
-        self.h2, self.h3 = self.block.after(self.c1, first), self.block.after(self.c2, first)
+        sizes, uses, tokens, words, c2, c3 = unpack(row["sizes"]), unpack(row["uses"]), unpack(row["tokens"]), get(1), get(2), get(3)
+        ends = np.cumsum(sizes)
+        lo = at = 0
+        while lo < len(sizes):
+            hi = max(lo + 1, int(np.searchsorted(ends, at + some, side="right")))
+            here = slice(at, int(ends[hi - 1]))
+            yield lo, cls(start[:1] if estimates else start, sizes[lo:hi], uses[lo:hi], words[tokens[here]], c2[here], c3[here])
+            lo, at = hi, int(ends[hi - 1])
 
     def bucket(self) -> np.ndarray:
         """By magnitude: 64 and more by how often both words before were seen, else by how often the last was; -1 if neither."""
@@ -322,10 +336,9 @@ def fit(of: DataFrame, words: DataFrame, start: tuple[int, int]) -> Model:
 
     def events(batches):
         sums: dict[int, int] = collections.Counter()
-        for row in _rows(batches):
-            c = Counts(row, start, True)
+        for _, c in (x for row in _rows(batches) for x in Counts.of(row, start, True)):
             bucket, p1 = c.bucket(), model.one(c.c1, total_base)
-            at = np.flatnonzero((c.block.use == WEIGHTS) & (bucket >= 0))
+            at = np.flatnonzero((np.repeat(c.uses, c.sizes) == WEIGHTS) & (bucket >= 0))
             ratio = lambda n, h: np.where(n[at] > 0, np.rint(_STEPS * np.log2(np.maximum(n[at], 1) / np.maximum(h[at], 1) / p1[at])), _UNSEEN).astype(np.int64) - _UNSEEN
             cell = (bucket[at] << 40) + (np.where(bucket[at] >= 64, ratio(c.c3, c.h3), 0) << 20) + ratio(c.c2, c.h2)
             for key, n in zip(*(x.tolist() for x in np.unique(cell, return_counts=True))):
@@ -378,11 +391,10 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fo
     ids = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
 
     def run(batches):
-        for row in _rows(batches):
-            c = Counts(row, start, False)
-            add = lambda x: np.add.reduceat(x, c.block.starts)
+        for row, lo, c in ((row, *x) for row in _rows(batches) for x in Counts.of(row, start, False)):
+            add = lambda x: np.add.reduceat(x, c.starts)
             base = np.log10((c.c1 + 0.5) / (model.total + 0.5 * (model.types + 1)))
-            cols = [pa.array(row["ids"], ids), pa.array(c.block.uses == HELD_OUT), pa.array(c.block.sizes), pa.array(add((c.c1 > 0).astype(np.int64))), pa.array(np.full(len(c.block.sizes), model.total, np.int64)), pa.array(add(base)), pa.array(add(model.logs(c)))]
+            cols = [pa.array(row["ids"][lo : lo + len(c.sizes)], ids), pa.array(c.uses == HELD_OUT), pa.array(c.sizes), pa.array(add((c.c1 > 0).astype(np.int64))), pa.array(np.full(len(c.sizes), model.total, np.int64)), pa.array(add(base)), pa.array(add(model.logs(c)))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
         give_back()
 
