@@ -207,6 +207,11 @@ def process(text: Column) -> Column:
     return F.lower(strip(F.regexp_replace(text, r"(?U)\W", " ")))
 
 
+def sorted_tokens(processed: Column) -> Column:
+    """Tokens in order: two texts of equal tokens are then equal, and a ratio of them needs no sorting."""
+    return F.array_join(F.array_sort(F.filter(F.split(processed, " +"), lambda w: w != "")), " ")
+
+
 def normal_brand(brand: Column) -> Column:
     c = F.regexp_replace(strip(brand), r"^-+\s*", "")
     c = F.regexp_replace(c, "[‘’“”`]", "'")

@@ -7,16 +7,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from provender.operators.lineage import checkpointed
+from provender.operators.simplex import EPS, InfeasibleScenario, Search, minimise, whole
+
 KG_PER_LB = 0.45359237
 LOWER, UPPER = 0.85, 1.15
-EPS = 1e-9
-
-
-class InfeasibleScenario(ValueError):
-    """No plan meets the constraints."""
 
 
 @dataclass(frozen=True)
@@ -29,121 +27,52 @@ class Item:
     is_sustainable: bool = True
 
 
+class NoCategory(ValueError):
+    """An item's category has no weight in the scope to compare it with."""
+
+
+def _as_bounds(a: np.ndarray, kinds: list[str], b: np.ndarray):
+    """Rows (<=, >=, =) over x >= 0 as (a, row_low, row_high, low, high); a row of one variable becomes a bound of it."""
+    n = a.shape[1]
+    low, high, rows = np.zeros(n), np.full(n, math.inf), []
+    for row, k, v in zip(a, kinds, b):
+        at = np.flatnonzero(row)
+        if len(at) == 1 and row[at[0]] > 0:
+            j, v = at[0], v / row[at[0]]
+            low[j] = max(low[j], v) if k != "<=" else low[j]
+            high[j] = min(high[j], v) if k != ">=" else high[j]
+        else:
+            rows.append((row, -math.inf if k == "<=" else v, math.inf if k == ">=" else v))
+    far = 1e6 * max(1.0, float(np.abs(b).max(initial=0)))  # beyond any corner of rows whose factors are of one size
+    grid = np.array([r[0] for r in rows]).reshape(-1, n)
+    return grid, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), low, np.minimum(high, far), far
+
+
 def simplex(cost: np.ndarray, a: np.ndarray, kinds: list[str], b: np.ndarray) -> np.ndarray:
-    """Minimises cost @ x for x >= 0 under rows a @ x (<=, >=, =) b: two phases on a dense tableau.
+    """Minimises cost @ x for x >= 0 under rows a @ x (<=, >=, =) b."""
+    *parts, far = _as_bounds(a, kinds, b)
+    x = minimise(cost, *parts)
+    if (x >= far * (1 - EPS)).any():
+        raise InfeasibleScenario("unbounded")
+    return x
 
-    Rows are scaled, so that the tolerance means the same for all. The steepest column enters; after many steps without
-    gain Bland's rule takes over, so it can't cycle. Deterministic.
-    """
-    n = len(cost)
-    scale = np.maximum(np.abs(a).max(1, initial=0), 1e-12)
-    big = max(1.0, float(np.abs(b / scale).max(initial=0)))
-    a, b = a / scale[:, None], b / scale / big
-    flip = b < 0
-    a, b = np.where(flip[:, None], -a, a), np.abs(b)
-    kinds = [{"<=": ">=", ">=": "<="}.get(k, k) if f else k for k, f in zip(kinds, flip)]
-    m = len(b)
-    slack = np.zeros((m, sum(k != "=" for k in kinds)))
-    at, ready = 0, {}
-    for i, k in enumerate(kinds):
-        if k != "=":
-            slack[i, at] = 1 if k == "<=" else -1
-            if k == "<=":
-                ready[i] = n + at  # such a row starts with its slack; only the others need an artificial variable
-            at += 1
-    t = np.hstack([a, slack, np.eye(m), b[:, None]])
-    real = n + slack.shape[1]
-    basis = [ready.get(i, real + i) for i in range(m)]
-
-    def run(objective, width):
-        z = objective - objective[basis] @ t[:, :-1]
-        stuck, value = 0, math.inf
-        while True:
-            neg = np.flatnonzero(z[:width] < -EPS)
-            if not len(neg):
-                return float(objective[basis] @ t[:, -1])
-            j = int(neg[0]) if stuck > 50 else int(neg[np.argmin(z[neg])])
-            rows = np.flatnonzero(t[:, j] > EPS)
-            if not len(rows):
-                raise InfeasibleScenario("unbounded")
-            ratios = t[rows, -1] / t[rows, j]
-            ties = rows[ratios <= ratios.min() + 1e-12]
-            i = int(min(ties, key=lambda r: basis[r]))
-            t[i] /= t[i, j]
-            others = np.arange(m) != i
-            t[others] -= np.outer(t[others, j], t[i])
-            z = z - z[j] * t[i, :-1]
-            basis[i] = j
-            now = float(objective[basis] @ t[:, -1])
-            stuck = stuck + 1 if now >= value - EPS else 0
-            value = now
-
-    first = np.concatenate([np.zeros(real), np.ones(m)])
-    if run(first, real) > 1e-7:
-        raise InfeasibleScenario("infeasible")
-    for i in range(m):  # artificial variables that are left at zero leave the basis
-        if basis[i] >= real:
-            cols = np.flatnonzero(np.abs(t[i, :real]) > 1e-7)
-            if len(cols):
-                j = int(cols[0])
-                t[i] /= t[i, j]
-                others = np.arange(m) != i
-                t[others] -= np.outer(t[others, j], t[i])
-                basis[i] = j
-    run(np.concatenate([cost, np.zeros(real - n + m)]), real)
-    x = np.zeros(real + m)
-    x[basis] = t[:, -1]
-    return x[:n] * big
-
-
-@dataclass
-class Search:
-    """How a search over whole numbers ended: 'optimal', or 'feasible' if it stopped with a plan but without a proof, or
-    'unfinished' if it stopped without either."""
-
-    status: str = "optimal"
-
-
-def whole_numbers(cost: np.ndarray, a: np.ndarray, kinds: list[str], b: np.ndarray, most: int = 20_000, gap: float = 1e-7, search: Search | None = None) -> np.ndarray | None:
-    """The same over whole numbers, by branching on the fraction nearest to a half; for menus of some dozen dishes.
-
-    Plans within ``gap`` of the best count as best. After ``most`` branches the best plan so far is given, and ``search``
-    says so; None with status 'unfinished' if there is none yet. InfeasibleScenario is raised only on proof.
-    """
-    best, value, todo, n = None, math.inf, [([], [], [])], 0
-    search = search or Search()
-    while todo:
-        rows, signs, rhs = todo.pop()
-        n += 1
-        if n > most:
-            search.status = "unfinished" if best is None else "feasible"
-            return best
-        try:
-            x = simplex(cost, np.vstack([a, *rows]) if rows else a, [*kinds, *signs], np.append(b, rhs))
-        except InfeasibleScenario:
-            continue
-        if cost @ x >= value - gap:
-            continue
-        part = np.flatnonzero(np.abs(x - np.round(x)) > 1e-6)
-        if not len(part):
-            best, value = np.round(x), float(cost @ np.round(x))
-            continue
-        at = part[np.argmin(np.abs(x[part] % 1 - 0.5))]
-        unit = np.eye(len(cost))[at]
-        low = math.floor(x[at])
-        sides = [([*rows, unit], [*signs, ">="], [*rhs, low + 1]), ([*rows, unit], [*signs, "<="], [*rhs, low])]
-        todo += sides if x[at] - low < 0.5 else sides[::-1]  # the nearer side first: plans come early and cut the rest off
-    if best is None:
-        raise InfeasibleScenario("infeasible")
-    return best
+
+def whole_numbers(cost: np.ndarray, a: np.ndarray, kinds: list[str], b: np.ndarray, most: int | None = None, gap: float = 0.0, search: Search | None = None) -> np.ndarray | None:
+    """The same over whole numbers; see simplex.whole for ``most``, ``gap`` and ``search``."""
+    *parts, _ = _as_bounds(a, kinds, b)
+    return whole(cost, *parts, most=most, gap=gap, search=search)
 
 
 def _plan(base: pd.DataFrame, goal: str, cap: float | None, bounds, item: Item | None) -> pd.DataFrame:
-    """One programme: goal 'cost' keeps the sustainable spend, goal 'sustainable' keeps cost under cap."""
+    """One programme: goal 'cost' keeps the sustainable spend, 'least' keeps nothing, 'sustainable' keeps cost under cap.
+
+    A category has a variable a channel; its band, its group's band and the total are bounds of a row each, a missing price and
+    an item's supply are bounds of the variable.
+    """
     rows = base[base["baseline_weight_lbs"] > 0].sort_values("category").reset_index(drop=True)
-    n, extra = len(rows), int(item is not None)
+    n = len(rows)
     if item is not None and item.category not in set(rows["category"]):
-        raise ValueError(f"{item.category!r} has no weight to compare an item with")
+        raise NoCategory(f"{item.category!r} has no weight to compare an item with")
     sus, conv = (rows[f"{k}_price_per_lb"].to_numpy(float) for k in ("sustainable", "conventional"))
     price = np.concatenate([np.nan_to_num(sus), np.nan_to_num(conv), [item.price_per_lb] if item else []])
     green = np.concatenate([np.nan_to_num(sus), np.zeros(n), [item.price_per_lb * item.is_sustainable] if item else []])
@@ -151,35 +80,18 @@ def _plan(base: pd.DataFrame, goal: str, cap: float | None, bounds, item: Item |
     if item is not None:
         of = np.hstack([of, (rows["category"] == item.category).to_numpy(float)[:, None]])
     weight = rows["baseline_weight_lbs"].to_numpy(float)
-    lines, kinds, rhs = [of.sum(0)], ["="], [weight.sum()]
-
-    def band(row, total, low, high):
-        lines.extend([row, row])
-        kinds.extend([">=", "<="])
-        rhs.extend([total * low, total * high])
-
-    for _, group in rows.groupby("food_group"):
-        band(of[group.index].sum(0), weight[group.index].sum(), bounds[2], bounds[3])
-    for i in range(n):
-        band(of[i], weight[i], bounds[0], bounds[1])
-    for i, missing in enumerate(np.isnan(np.concatenate([sus, conv]))):  # no price: not bought
-        if missing:
-            lines.append(np.eye(2 * n + extra)[i])
-            kinds.append("<=")
-            rhs.append(0.0)
-    if item is not None:
-        lines.append(np.eye(2 * n + 1)[-1])
-        kinds.append("<=")
-        rhs.append(item.max_weight_lbs)
+    groups = [(of[g.index].sum(0), weight[g.index].sum()) for _, g in rows.groupby("food_group")]
+    lines = [of.sum(0), *(g for g, _ in groups), *of]
+    low = [weight.sum(), *(w * bounds[2] for _, w in groups), *(weight * bounds[0])]
+    high = [weight.sum(), *(w * bounds[3] for _, w in groups), *(weight * bounds[1])]
     if goal == "cost":
-        lines.append(green)
-        kinds.append(">=")
-        rhs.append(rows["baseline_sustainable_spend"].sum())
-    else:
-        lines.append(price)
-        kinds.append("<=")
-        rhs.append(cap)
-    x = simplex(price if goal == "cost" else -green, np.array(lines), kinds, np.array(rhs, float))
+        lines, low, high = [*lines, green], [*low, rows["baseline_sustainable_spend"].sum()], [*high, math.inf]
+    elif goal == "sustainable":
+        lines, low, high = [*lines, price], [*low, -math.inf], [*high, cap]
+    most = np.where(np.isnan(np.concatenate([sus, conv])), 0.0, np.tile(weight * bounds[1], 2))  # no price: not bought
+    most = np.append(most, [item.max_weight_lbs] if item else [])
+    x = minimise(-green if goal == "sustainable" else price, np.array(lines), np.array(low, float), np.array(high, float), np.zeros(len(most)), most) if n else np.zeros(0)
+    x = np.maximum(x, 0.0)
     adopted = np.where(rows["category"] == item.category, x[-1], 0.0) if item is not None else np.zeros(n)
     spend = adopted * item.price_per_lb if item is not None else adopted
     spent_sus = x[:n] * np.nan_to_num(sus) + (spend if item is not None and item.is_sustainable else 0)
@@ -196,15 +108,17 @@ def _plan(base: pd.DataFrame, goal: str, cap: float | None, bounds, item: Item |
     res["optimized_ghg_kg"] = res["optimized_weight_lbs"] * KG_PER_LB * factor
     res["in_optimization"] = inside
     res["hypothetical_weight_lbs"] = out["hypothetical_weight_lbs"].fillna(0.0)
+    found = ["optimized_weight_lbs", "optimized_spend", "optimized_sustainable_spend", "baseline_ghg_kg", "optimized_ghg_kg", "hypothetical_weight_lbs"]
+    res[found] = res[found].astype(float).round(6)  # what is beyond is the solver's rounding
     return res
 
 
 def scenario(base: pd.DataFrame, name: str, *, target: float = 0.0, bounds=(LOWER, UPPER, LOWER, UPPER), item: Item | None = None) -> pd.DataFrame:
-    """A scope's plan by name: min_spend, max_sustainable, cost_target, threshold_third, hypothetical."""
+    """A scope's plan by name: least_cost, min_spend, max_sustainable, cost_target, threshold_third, hypothetical."""
     optimised = base[base["baseline_weight_lbs"] > 0]
     spend = float(optimised["baseline_spend"].sum())
-    if name == "min_spend":
-        return _plan(base, "cost", None, bounds, None)
+    if name in ("min_spend", "least_cost"):
+        return _plan(base, "cost" if name == "min_spend" else "least", None, bounds, item if name == "least_cost" else None)
     if name == "threshold_third":
         first = _plan(base, "cost", None, bounds, None)
         before, after = first["baseline_spend"].sum(), first["optimized_spend"].sum()
@@ -218,23 +132,29 @@ FIELDS = ["category string", "food_group string", "baseline_weight_lbs double",
 def solve(baseline: DataFrame, scope: list[str], name: str, *, target: float = 0.0, bounds=(LOWER, UPPER, LOWER, UPPER), item: Item | None = None) -> DataFrame:
     """The scenario of every scope, each in its own group of a few dozen category rows.
 
-    A scope without a plan keeps its baseline with status 'infeasible', so that one can't stop the others.
+    A scope without a plan keeps its baseline with status 'infeasible', one where nothing of an item's category is bought with
+    status 'no_category', so that none can stop the others. An item whose category no scope buys is an error.
     """
+    needed = ["category", "food_group", "baseline_weight_lbs", "baseline_spend", "baseline_sustainable_spend", "sustainable_price_per_lb", "conventional_price_per_lb", "ghg_factor_kg_per_kg"]
+    baseline = baseline.select(*scope, *needed)
+    if item is not None:
+        baseline = checkpointed(baseline)
+        if baseline.where((F.col("category") == item.category) & (F.col("baseline_weight_lbs") > 0)).isEmpty():
+            raise NoCategory(f"{item.category!r} has no weight in any scope")
     kinds = {f.name: f.dataType.simpleString() for f in baseline.schema}
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         try:
             out = scenario(rows, name, target=target, bounds=bounds, item=item).assign(status="optimal")
-        except InfeasibleScenario:
-            out = rows.assign(optimized_weight_lbs=rows["baseline_weight_lbs"], optimized_spend=rows["baseline_spend"], optimized_sustainable_spend=rows["baseline_sustainable_spend"], baseline_ghg_kg=0.0, optimized_ghg_kg=0.0, in_optimization=False, hypothetical_weight_lbs=0.0, status="infeasible")
+        except (InfeasibleScenario, NoCategory) as e:
+            out = rows.assign(optimized_weight_lbs=rows["baseline_weight_lbs"], optimized_spend=rows["baseline_spend"], optimized_sustainable_spend=rows["baseline_sustainable_spend"], baseline_ghg_kg=0.0, optimized_ghg_kg=0.0, in_optimization=False, hypothetical_weight_lbs=0.0, status="no_category" if isinstance(e, NoCategory) else "infeasible")
         for c in scope:
             out[c] = rows[c].iloc[0]
         return out[[*scope, *(f.split(" ")[0] for f in FIELDS)]]
 
     schema = ", ".join([*(f"{c} {kinds[c]}" for c in scope), *FIELDS])
-    needed = ["category", "food_group", "baseline_weight_lbs", "baseline_spend", "baseline_sustainable_spend", "sustainable_price_per_lb", "conventional_price_per_lb", "ghg_factor_kg_per_kg"]
     tasks = int(baseline.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    plans = baseline.select(*scope, *needed).repartition(tasks, *scope).groupBy(*scope).applyInPandas(one, schema)
+    plans = baseline.repartition(tasks, *scope).groupBy(*scope).applyInPandas(one, schema)
     return with_shares(plans)
 
 
@@ -247,10 +167,15 @@ def with_shares(plans: DataFrame) -> DataFrame:
     })
 
 
+def money(value: Column | str) -> Column:
+    """An exact sum of amounts of six places, so that the order of rows can't decide how a total is rounded."""
+    return F.sum((F.col(value) if isinstance(value, str) else value).cast("decimal(28,6)"))
+
+
 def totals(plans: DataFrame, scope: list[str]) -> DataFrame:
     """Each scope's totals and their change in percent."""
     names = {"spend": "cost", "sustainable_spend": "sustainable_spend", "ghg_kg": "ghg_kg", "weight_lbs": "total_weight_lbs"}
-    sums = plans.groupBy(*scope).agg(*(F.sum(f"{when}_{c}").alias(f"{when}_{n}") for c, n in names.items() for when in ("baseline", "optimized")), F.first("status").alias("status"))
+    sums = plans.groupBy(*scope).agg(*(money(f"{when}_{c}").cast("double").alias(f"{when}_{n}") for c, n in names.items() for when in ("baseline", "optimized")), F.first("status").alias("status"))
     change = {f"{n}_pct_change": F.try_divide(F.col(f"optimized_{n}") - F.col(f"baseline_{n}"), F.nullif(f"baseline_{n}", F.lit(0.0))) * 100 for n in names.values()}
     return sums.withColumns(change)
 
@@ -278,7 +203,7 @@ def greedy_min_cost(baseline: DataFrame, scope: list[str], low: float = LOWER, h
 
 
 def long_form(plans: DataFrame, scope: list[str]) -> DataFrame:
-    """(scope, food_group, stage, spend_type, spend) for charts."""
-    sums = plans.groupBy(*scope, "food_group").agg(*(F.sum(f"{w}_spend").alias(f"{w}_all") for w in ("baseline", "optimized")), *(F.sum(f"{w}_sustainable_spend").alias(f"{w}_sus") for w in ("baseline", "optimized")))
+    """(scope, food_group, stage, spend_type, spend) for charts; spend is a decimal, summed exactly."""
+    sums = plans.groupBy(*scope, "food_group").agg(*(money(f"{w}_spend").alias(f"{w}_all") for w in ("baseline", "optimized")), *(money(f"{w}_sustainable_spend").alias(f"{w}_sus") for w in ("baseline", "optimized")))
     cells = F.array(*(F.struct(F.lit(w).alias("stage"), F.lit(k).alias("spend_type"), v.alias("spend")) for w in ("baseline", "optimized") for k, v in (("sustainable", F.col(f"{w}_sus")), ("conventional", F.col(f"{w}_all") - F.col(f"{w}_sus")))))
     return sums.select(*scope, "food_group", F.explode(cells).alias("c")).select(*scope, "food_group", "c.*")

@@ -9,7 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from provender.operators.lp import InfeasibleScenario, Search, whole_numbers
+from provender.operators.simplex import InfeasibleScenario, Search, whole
+
+# Fixed value: the portion of a new dish of this category, pounds.
+SOY_PORTION_LB = 0.25
 
 
 def ingredient_summary(meals: DataFrame) -> DataFrame:
@@ -40,37 +43,56 @@ def missing_inputs(dishes: DataFrame) -> DataFrame:
     return dishes.where("portion_lb is null or ghg_per_lb is null or (lower(trim(default_sus)) = 'yes' and sustainable_price_lb is null) or (coalesce(lower(trim(default_sus)), '') <> 'yes' and conventional_price_lb is null)")
 
 
-def plan(dishes: pd.DataFrame, goal: str, *, cut: float = 0.0, low: float = 0.5, high: float = 1.5, gap: float = 1e-3, most: int = 400, search: Search | None = None) -> np.ndarray | None:
-    """Appearances of each dish as whole numbers with their sum fixed, each within its band.
+def plan(dishes: pd.DataFrame, goal: str, *, cut: float = 0.0, low: float = 0.5, high: float = 1.5, gap: float = 1e-6, most: int | None = None, search: Search | None = None) -> np.ndarray | None:
+    """Appearances of each dish as whole numbers with their sum fixed, each within its band; a dish with a ``cap`` is new and may
+    appear from never up to its cap.
 
     Goals: 'cost' keeps the sustainable spend; 'sustainable' keeps the cost, less a cut; 'ghg' has the least emissions among
-    the plans of the most sustainable spend. A plan counts as the best if none is better by more than ``gap`` of today's
-    figure; after ``most`` branches the best one so far is taken, and ``search`` says so. None if the search ended without a plan and without a proof that there is none.
+    the plans of the most sustainable spend. A plan counts as the best if none is better by more than ``gap`` (a millionth) of today's
+    figure. The search runs to its proof; ``most`` branches stop it only where that is asked for, and ``search`` then says how it
+    ended. None if it was stopped without a plan.
     """
     x0 = dishes["baseline_freq"].to_numpy(float)
     cost, green, ghg = (dishes[c].to_numpy(float) for c in ("cost", "sus_cost", "ghg"))
-    eye = np.eye(len(x0))
-    a, kinds, b = [np.ones(len(x0))], ["="], [x0.sum()]
-    for i, x in enumerate(x0):
-        a += [eye[i], eye[i]]
-        kinds += [">=", "<="]
-        b += [math.ceil(x * low), math.floor(x * high)]
+    cap = dishes["cap"].to_numpy(float) if "cap" in dishes else np.full(len(x0), np.nan)
+    lo, hi = np.where(np.isnan(cap), np.ceil(x0 * low), 0.0), np.where(np.isnan(cap), np.floor(x0 * high), np.nan_to_num(cap))
+    search = search or Search()
+
+    def best_of(of, rows):
+        a, row_low, row_high = zip((np.ones(len(x0)), x0.sum(), x0.sum()), *rows)
+        return whole(of, np.array(a), np.array(row_low), np.array(row_high), lo, hi, most=most, gap=gap * abs(of @ x0), search=search)
+
     if goal == "cost":
-        return whole_numbers(cost, np.array([*a, green]), [*kinds, ">="], np.array([*b, green @ x0]), most, gap * abs(cost @ x0), search)
-    a, kinds, b = [*a, cost], [*kinds, "<="], [*b, cost @ x0 * (1 - cut)]
-    best = whole_numbers(-green, np.array(a), kinds, np.array(b), most, gap * abs(green @ x0), search)
+        return best_of(cost, [(green, green @ x0, math.inf)])
+    within = (cost, -math.inf, cost @ x0 * (1 - cut))
+    best = best_of(-green, [within])
     if goal == "sustainable" or best is None:
         return best
-    first = search.status if search else "optimal"
-    out = whole_numbers(ghg, np.array([*a, green]), [*kinds, ">="], np.array([*b, green @ best - 1e-6]), most, gap * abs(ghg @ x0), search)
+    first = search.status
+    out = best_of(ghg, [within, (green, green @ best - 1e-6, math.inf)])
     if out is None:  # the plan of the first step is one of the second's
         search.status = "feasible"
         return best
-    if search and first != "optimal":
+    if first != "optimal":
         search.status = first
     return out
 
 
+def with_new_dish(dishes: DataFrame, scope: list[str], name: str, category: str, *, conventional_price_lb: float, sustainable_price_lb: float, cap: int, ghg: DataFrame, default_sus: str = "Yes") -> tuple[DataFrame, DataFrame]:
+    """(dishes with a new one on every menu, scopes that can't have it). A dish that isn't served yet has no portion of its own:
+    it takes the mean portion of its category on that menu, Soy a fixed one, and its category's emissions a pound from ``ghg``
+    (category, ghg_per_lb). A menu without a dish of the category can't be planned with it.
+    """
+    factor = ghg.where(F.col("category") == category).select("ghg_per_lb").first()
+    if factor is None or factor[0] is None:
+        raise ValueError(f"no emissions are known for {category!r}")
+    own = F.avg(F.when(F.col("category") == category, F.col("portion_lb")))
+    menus = dishes.groupBy(*scope).agg((F.lit(SOY_PORTION_LB) if category == "Soy" else own).alias("portion_lb"))
+    new = menus.where("portion_lb is not null").select(*scope, F.lit(name).alias("ingredient"), F.lit(category).alias("category"), F.lit(0).alias("baseline_freq"), F.lit(default_sus).alias("default_sus"), "portion_lb", F.lit(float(conventional_price_lb)).alias("conventional_price_lb"), F.lit(float(sustainable_price_lb)).alias("sustainable_price_lb"), F.lit(float(factor[0])).alias("ghg_per_lb"), F.lit(float(cap)).alias("cap"))
+    old = dishes.select(*scope, "ingredient", "category", F.col("baseline_freq").cast("int").alias("baseline_freq"), "default_sus", "portion_lb", "conventional_price_lb", "sustainable_price_lb", "ghg_per_lb", F.lit(None).cast("double").alias("cap"))
+    return metrics(old.join(new.select(*scope), scope, "left_semi").unionByName(new)), menus.where("portion_lb is null").select(*scope)
+
+
 def plans(dishes: DataFrame, scope: list[str], goals: dict[str, tuple[str, float]]) -> DataFrame:
     """(scope, ingredient, scenario, freq, status): every goal for every menu, each in its own group of some dozen dishes.
 

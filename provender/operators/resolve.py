@@ -13,14 +13,9 @@ from provender.operators.lineage import checkpointed
 AUTO, REVIEW = 99.5, 90.0
 
 
-def _sorted(processed: Column) -> Column:
-    """Tokens in order: two texts of equal tokens are then equal, and the ratio needs no sorting."""
-    return F.array_join(F.array_sort(F.filter(F.split(processed, " +"), lambda w: w != "")), " ")
-
-
 def prepared(products: DataFrame, name: str = "name") -> DataFrame:
     """With the text that is compared and the signature that must agree, computed once a row."""
-    return products.withColumn("_text", _sorted(text.process(text.clean_name(F.col(name))))).withColumn("_gate", gates.signature(F.col(name)))
+    return products.withColumn("_text", text.sorted_tokens(text.process(text.clean_name(F.col(name))))).withColumn("_gate", gates.signature(F.col(name)))
 
 
 def text_pairs(rows: DataFrame, keys: list[str], least: float = REVIEW) -> DataFrame:

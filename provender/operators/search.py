@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import functools
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provender.functions import gates, text
-from provender.functions.similarity import reachable, token_set_ratio, token_sort_ratio
+from provender.functions.grams import GramIndex
+from provender.functions.similarity import token_set_ratio
+from provender.operators.lineage import checkpointed
 
 # Tiers of matches.
 CONFIDENT, LIKELY = 97.0, 90.0
@@ -73,22 +78,64 @@ def facet(products: DataFrame, column: str) -> DataFrame:
     return products.select(F.explode(column).alias("value")).distinct()
 
 
+#: Texts of a block that goes out to all tasks.
+BLOCK_TEXTS = 20_000
+
+
+def similar_texts(x: DataFrame, y: DataFrame, k: int, least: float = LIKELY, block_texts: int = BLOCK_TEXTS) -> DataFrame:
+    """(_x, _y, _first, score): the k best texts of ``y`` (_y, _first; distinct) for each text of ``x`` (_x; distinct), those of at least
+    ``least``; ties to the smaller _first.
+
+    The texts that ask go out in blocks of about ``block_texts``, each as an inverted index of character grams; ``y`` stays where it
+    is and is counted against the index. Only pairs that share as many grams as their lengths and the bound ask for are
+    scored, and a text's bound rises to its k-th score so far. Each task gives k rows a text that asks at most, and these are
+    merged. No pair above the bound is lost.
+    """
+    spark = x.sparkSession
+    n = max(1, -(-x.count() // block_texts))
+    asking = x.select("_x", F.pmod(F.xxhash64("_x"), F.lit(n)).alias("_block"))
+    asking, y = (checkpointed(asking), checkpointed(y.select("_y", "_first"))) if n > 1 else (asking, y.select("_y", "_first"))
+    kind = y.schema["_first"].dataType.simpleString()
+    schema = f"_x string, _y string, _first {kind}, score double"
+    parts = []
+    for block in range(n):
+        sent = spark.sparkContext.broadcast([r[0] for r in asking.where(F.col("_block") == block).select("_x").collect()])
+
+        def run(batches, sent=sent):
+            best = GramIndex(sent.value).best(k, least)
+            next(best)
+            first = []
+            for b in batches:
+                first.append(b.column(1))
+                best.send(b.column(0).to_pylist())
+            texts, at, other, score = best.send(None)
+            if len(texts):
+                order = pa.chunked_array(first).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(other, pa.string()), order.combine_chunks(), pa.array(score)], names=["_x", "_y", "_first", "score"])
+
+        found = y.mapInArrow(run, schema)
+        parts.append(checkpointed(found) if n > 1 else found)
+    out = functools.reduce(DataFrame.unionByName, parts)
+    top = Window.partitionBy("_x").orderBy(F.desc("score"), "_first")
+    return out.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= k).drop("_r")
+
+
 def match_uploads(uploads: DataFrame, corpus: DataFrame, k: int = 10, *, skip_own: bool = False) -> DataFrame:
     """Each upload (upload_id, name) with its match in the corpus (ord, name, product_id, ...), or none.
 
     The k highest scores are taken first, ties to the earlier row; the first of at least 90 that passes every gate counts.
-    Uploads are distinct texts against distinct texts; a text's best k rows come from its best k texts. Each upload against
-    all names is the feature: a stated set of texts meets all texts in Spark's nested loop, with a length test before the
-    score. With ``skip_own`` an upload's own row (product_id = upload_id) is no candidate, and one more is looked at for it.
+    Uploads are distinct texts against distinct texts (similar_texts); a text's best k rows come from its best k texts, and of
+    the rows of one text only the first k can count. With ``skip_own`` an upload's own row (product_id = upload_id) is no
+    candidate, and one more is looked at for it.
     """
     k += skip_own
-    ups = uploads.withColumn("_x", text.process(text.clean_name(F.col("name"))))
-    rows = corpus.withColumn("_y", text.process(text.clean_name(F.col("name"))))
+    # the ratio compares sorted tokens, so these are what grams are taken of
+    ups = uploads.withColumn("_x", text.sorted_tokens(text.process(text.clean_name(F.col("name")))))
+    rows = corpus.withColumn("_y", text.sorted_tokens(text.process(text.clean_name(F.col("name")))))
     x, y = ups.select("_x").distinct(), rows.groupBy("_y").agg(F.min("ord").alias("_first"))
-    scored = x.crossJoin(y).where(reachable(F.col("_x"), F.col("_y"), LIKELY)).withColumn("score", token_sort_ratio(F.col("_x"), F.col("_y"))).where(F.col("score") >= LIKELY)
-    top = Window.partitionBy("_x").orderBy(F.desc("score"), "_first")
-    texts = scored.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= k).drop("_r")
-    found = ups.join(texts, "_x").join(rows.select("_y", "ord", F.col("name").alias("match"), "product_id"), "_y")
+    texts = similar_texts(x.where("_x is not null"), y.where("_y is not null"), k)
+    named = rows.withColumn("_r", F.row_number().over(Window.partitionBy("_y").orderBy("ord"))).where(F.col("_r") <= k)
+    found = ups.join(texts, "_x").join(named.select("_y", "ord", F.col("name").alias("match"), "product_id"), "_y")
     best = Window.partitionBy("upload_id").orderBy(F.desc("score"), "ord")
     found = found.withColumn("_r", F.row_number().over(best)).where("product_id <> upload_id" if skip_own else "true").where((F.col("_r") <= k) & (gates.signature(F.col("name")) == gates.signature(F.col("match"))))
     first = found.groupBy("upload_id").agg(F.min_by(F.struct("match", "product_id", "score"), "_r").alias("_m"))

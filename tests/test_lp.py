@@ -123,3 +123,40 @@ def test_menu_plans_say_how_they_ended(spark):
 def test_a_wrong_item_is_an_error_not_an_infeasible_plan():
     with pytest.raises(ValueError, match="no weight"):
         lp.scenario(TWO, "hypothetical", item=lp.Item("nowhere", 1.0, 5.0))
+
+
+def test_one_scope_without_the_category_stops_no_other(spark):
+    rows = [("x", r.category) + tuple(r)[1:] for r in TWO.itertuples(index=False)]
+    cols = ["scope", "category", *TWO.columns[1:]]
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=cols))
+    other = df.where("category = 'beef'").replace("x", "y", "scope")
+    got = {(r.scope, r.category): (r.status, r.hypothetical_weight_lbs) for r in lp.solve(df.unionByName(other), ["scope"], "hypothetical", item=lp.Item("chicken", 2.0, 5.0)).collect()}
+    assert got["y", "beef"] == ("no_category", 0.0) and got["x", "chicken"] == ("optimal", 5.0)
+    with pytest.raises(ValueError, match="no weight"):
+        lp.solve(df, ["scope"], "hypothetical", item=lp.Item("nowhere", 1.0, 5.0))
+
+
+def test_least_cost_follows_bands_of_groups():
+    three = base([("apples", "fruit", 100, 0, 100, None, 1.0), ("beef", "protein", 200, 0, 200, None, 5.0), ("chicken", "protein", 200, 0, 200, None, 2.0)])
+    plan = lp.scenario(three, "least_cost", bounds=(0.85, 1.15, 0.9, 1.04)).set_index("category")
+    assert plan.loc["apples", "optimized_weight_lbs"] == pytest.approx(104) and plan.loc["beef", "optimized_weight_lbs"] == pytest.approx(170)
+    with_item = lp.scenario(three, "least_cost", bounds=(0.85, 1.15, 0.9, 1.04), item=lp.Item("beef", 0.5, 20.0)).set_index("category")
+    assert with_item.loc["beef", "hypothetical_weight_lbs"] == pytest.approx(20)
+
+
+def test_a_new_dish(spark):
+    rows = [("h", "a", "Beef", 4, "no", 0.5, 6.0, 8.0, 10.0), ("h", "b", "Soy", 6, "yes", 0.25, 2.0, 3.0, 1.0), ("k", "c", "Beef", 3, "no", 1.0, 6.0, 8.0, 10.0)]
+    dishes = spark.createDataFrame(rows, "hall string, ingredient string, category string, baseline_freq int, default_sus string, portion_lb double, conventional_price_lb double, sustainable_price_lb double, ghg_per_lb double")
+    ghg = spark.createDataFrame([("Soy", 1.0), ("Beef", 10.0), ("Fish", 4.0)], "category string, ghg_per_lb double")
+    how = dict(conventional_price_lb=1.0, sustainable_price_lb=2.0, cap=3, ghg=ghg)
+    out, without = menu.with_new_dish(dishes, ["hall"], "new", "Fish", **how)
+    assert out.count() == 0 and without.count() == 2
+    out, without = menu.with_new_dish(dishes, ["hall"], "new", "Soy", **how)
+    new = {r.hall: r for r in out.where("ingredient = 'new'").collect()}
+    assert without.count() == 0 and new["h"].portion_lb == 0.25 and new["k"].cost == 0.5
+    out, _ = menu.with_new_dish(dishes, ["hall"], "new", "Beef", **how)
+    assert {r.hall: r.portion_lb for r in out.where("ingredient = 'new'").collect()} == {"h": 0.5, "k": 1.0}
+    found = {(r.hall, r.ingredient): r.freq for r in menu.plans(out, ["hall"], {"s": ("ghg", 0.07)}).collect()}
+    assert 0 < found["h", "new"] <= 3 and found["h", "a"] + found["h", "b"] + found["h", "new"] == 10
+    with pytest.raises(ValueError, match="no emissions"):
+        menu.with_new_dish(dishes, ["hall"], "new", "Nothing", **how)
