@@ -152,8 +152,8 @@ def unclassified_spend(rows: DataFrame, scope: list[str]) -> DataFrame:
 
 
 def merge_purchases(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Purchases of merged products per key: sums, weakest tier, first vendor, brands joined by ", " and source reports by "; ",
-    a zero total as null. A key of one row keeps that row as it is."""
+    """Purchases of merged products per key: sums, the weakest tier of rows that have a weight, first vendor, brands joined by ", " and
+    source reports by "; ", a zero total as null. A key of one row keeps that row as it is."""
     at = F.struct(*order)
     one = F.count("*") == 1
     kept = lambda c, merged: F.when(one, F.first(c)).otherwise(merged)
@@ -163,7 +163,7 @@ def merge_purchases(rows: DataFrame, keys: list[str], order: list[str]) -> DataF
     return rows.groupBy(*keys).agg(
         F.when(one, money).otherwise(F.nullif(money, F.lit(0.0))).alias("total_price"),
         F.when(one, weight).otherwise(F.nullif(weight, F.lit(0.0))).alias("total_weight_lbs"),
-        tier_name(F.max(tier_rank(F.col("weight_source")))).alias("weight_source"),
+        kept("weight_source", tier_name(F.coalesce(F.max(F.when(F.col("total_weight_lbs").isNotNull(), tier_rank(F.col("weight_source")))), F.lit(len(TIERS) - 1)))).alias("weight_source"),
         kept("vendor", F.min_by("vendor", F.when(F.coalesce(F.col("vendor"), F.lit("")) != "", at))).alias("vendor"),
         kept("brand", listed("brand", ", ")).alias("brand"),
         *reports,

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from provender.functions import gates, text
 from provender.functions.similarity import reachable, token_sort_ratio
+from provender.operators.baseline import merge_purchases, mode_by
+from provender.operators.classify import certification_flags, validated
 from provender.operators.lineage import checkpointed
+from provender.operators.numbering import numbered
 
 # Sure pairs merge, likely pairs are reviewed.
 AUTO, REVIEW = 99.5, 90.0
@@ -95,6 +98,19 @@ def match(rows: DataFrame, block: list[str], known: DataFrame | None = None, *,
     return merges, unknown_only(pair, known) if known is not None else pair
 
 
+def campus_bridge(products: DataFrame, aliases: DataFrame, campuses: DataFrame, purchases: DataFrame, order: list[str]) -> DataFrame:
+    """products (id, name, ...) with the campus, campus_type and vendor_key that they are matched by across campuses.
+
+    A product has an alias on every campus that buys it, and purchases there or none. Its first campus by name counts, and the
+    vendor of its first purchase on that campus by ``order``: one row a product, so no product meets itself, however many
+    campuses it has. aliases: product_id, campus; campuses: campus, campus_type; purchases: product_id, campus, vendor, order.
+    """
+    first = purchases.groupBy("product_id", "campus").agg(F.min_by("vendor", F.struct(*order)).alias("vendor"))
+    bridge = aliases.select("product_id", "campus").distinct().join(campuses.select("campus", "campus_type"), "campus").join(first, ["product_id", "campus"], "left")
+    one = bridge.groupBy(F.col("product_id").alias("id")).agg(F.min_by(F.struct("campus", "campus_type", "vendor"), "campus").alias("_b"))
+    return products.join(one, "id").withColumns({"campus": F.col("_b.campus"), "campus_type": F.col("_b.campus_type"), "vendor_key": text.normal_vendor(F.col("_b.vendor"))}).drop("_b")
+
+
 WITHIN = ["campus", "vendor_key", "sustainable_yn"]
 CROSS = ["category", "vendor_key", "sustainable_yn"]
 
@@ -128,11 +144,9 @@ def rematch(rows: DataFrame, scope: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def upload_tables(aggregated: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(products, aliases, purchases) of one row a raw name and campus: three projections with one numbering of products.
-
-    The number is a hash of campus and raw name, so it needs no global order and comes out the same in every run.
-    """
-    made = aggregated.withColumn("product_id", F.xxhash64("campus", "raw_name"))
+    """(products, aliases, purchases) of one row a raw name and campus: three projections with one numbering of products, 1, 2, 3, ...
+    by campus and raw name, so that the lowest id of merged products is the first of them in every run."""
+    made = numbered(aggregated, ["campus", "raw_name"], "product_id")
     take = lambda names: [F.col(c) for c in names if c in made.columns]
     made_products = made.select("product_id", F.col("raw_name").alias("canonical_name"), *take(["category", "classification_source", "sustainable_yn", "certs"]), F.col("fiscal_year").alias("first_fy"), F.col("fiscal_year").alias("last_fy"))
     aliases = made.select("product_id", "raw_name", "campus", F.lit(1.0).alias("match_confidence"), F.lit(0).alias("human_confirmed"))
@@ -153,6 +167,52 @@ def merge_products(products: DataFrame, merges: DataFrame) -> DataFrame:
     ).withColumnRenamed("keep", "id")
 
 
+def merged_claims(products: DataFrame, merges: DataFrame, certificates: DataFrame) -> DataFrame:
+    """(id, certs, sustainable_yn, flag, validated) of each surviving product. products: id, certs, campus_type, sustainable_yn, flag,
+    validated.
+
+    Members fold in ascending id. The survivor's text counts, else the first one that there is; where the text changes so,
+    it is judged anew, by the survivor's campus type and with the claim as it stands at that member. A claim of NA takes the
+    first that isn't; where no text changes, flag and validated claim stay the survivor's own.
+    """
+    rows = products.join(merges, "id", "left").withColumn("keep", F.coalesce("keep", "id"))
+    own = lambda c: F.min_by(c, "id").alias(c)
+    text_at, claim_at = F.when(F.coalesce("certs", F.lit("")) != "", F.col("id")), F.when(F.col("sustainable_yn") != "NA", F.col("id"))
+    folded = rows.groupBy("keep").agg(
+        own("campus_type"), own("flag"), own("validated"), F.min_by("certs", text_at).alias("certs"), F.min(text_at).alias("_text_at"),
+        F.coalesce(F.min_by("sustainable_yn", claim_at), F.lit("NA")).alias("sustainable_yn"), F.min(claim_at).alias("_claim_at"),
+    )
+    folded = folded.withColumns({"_changed": F.coalesce(F.col("_text_at") > F.col("keep"), F.lit(False)), "_then": F.when(F.col("_claim_at") <= F.col("_text_at"), F.col("sustainable_yn")).otherwise("NA")})
+    anew = certification_flags(folded.where("_changed").select(F.col("certs").alias("text"), "campus_type"), certificates)
+    out = folded.join(anew.select(F.col("text").alias("certs"), "campus_type", F.col("flag").alias("_flag")), ["certs", "campus_type"], "left")
+    flag = F.when(F.col("_changed"), F.col("_flag")).otherwise(F.col("flag"))
+    return out.select(F.col("keep").alias("id"), "certs", "sustainable_yn", flag.alias("flag"), F.when(F.col("_changed"), validated(F.col("_then"), F.col("_flag"))).otherwise(F.col("validated")).alias("validated"))
+
+
+def merge_aliases(aliases: DataFrame, merges: DataFrame) -> DataFrame:
+    """Aliases (product_id, ...) of merged products point to the survivor; all of them stay."""
+    to = merges.select(F.col("id").alias("product_id"), "keep")
+    return aliases.join(to, "product_id", "left").withColumn("product_id", F.coalesce("keep", "product_id")).drop("keep").select(aliases.columns)
+
+
+def apply_merges(tables: dict[str, DataFrame], merges: DataFrame, certificates: DataFrame, order: list[str]) -> dict[str, DataFrame]:
+    """products, aliases, purchases and candidates after a merge, to be published together (sources.snapshots.commit).
+
+    products: id, name, category, campus_type, certs, sustainable_yn, flag, validated, first_fy, last_fy. purchases: product_id,
+    campus, fiscal_year, ... and ``order``; those that meet on one campus and year become one.
+    """
+    merges = checkpointed(merges)
+    fold = merge_products(tables["products"], merges).select("id", "name", "category", "first_fy", "last_fy", "n_members")
+    kinds = tables["products"].select("id", "campus_type")
+    bought = merge_aliases(tables["purchases"], merges)
+    return {
+        "products": fold.join(kinds, "id").join(merged_claims(tables["products"], merges, certificates), "id"),
+        "aliases": merge_aliases(tables["aliases"], merges),
+        "purchases": merge_purchases(bought, ["product_id", "campus", "fiscal_year"], order),
+        "candidates": repoint(tables["candidates"], merges),
+    }
+
+
 def repoint(candidates: DataFrame, merges: DataFrame) -> DataFrame:
     """Candidates after a merge: ids replaced, the smaller first; pairs of one product go unless they were decided."""
     out = candidates
@@ -181,8 +241,6 @@ def decide(candidates: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def yn_conflicts(rows: DataFrame, key: list[str], name: str = "raw_name") -> DataFrame:
     """Keys whose names report different Y and N: the mode per name first, then more than one other than NA."""
-    from provender.operators.baseline import mode_by
-
     per_name = mode_by(rows, [*key, name], "sustainable_yn", "yn")
     return per_name.where("yn <> 'NA'").groupBy(*key).agg(F.countDistinct("yn").alias("_n"), F.count("*").alias("n_names")).where("_n > 1").drop("_n")
 

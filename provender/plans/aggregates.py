@@ -119,7 +119,7 @@ def weight_source_counts(spark, d):
 
 @query(f"""{R}, x AS (SELECT product_id // 4 AS keep_id, *, 'R' || (ok % 5) AS report, CASE WHEN ok % 11 = 0 THEN 0 ELSE total_price END AS price FROM purchases)
 SELECT keep_id, campus, fiscal_year, CASE WHEN count(*) = 1 THEN CAST(sum(price) AS DOUBLE) ELSE nullif(CAST(sum(price) AS DOUBLE), 0) END AS total_price, CASE WHEN count(*) = 1 THEN CAST(sum(CAST(total_weight_lbs AS DECIMAL(18,4))) AS DOUBLE) ELSE nullif(CAST(sum(CAST(total_weight_lbs AS DECIMAL(18,4))) AS DOUBLE), 0) END AS total_weight_lbs,
-  ['reported', 'computed_tier2', 'reference_table_tier3', 'unresolved'][max(CASE weight_source WHEN 'reported' THEN 1 WHEN 'computed_tier2' THEN 2 WHEN 'reference_table_tier3' THEN 3 ELSE 4 END)] AS weight_source,
+  CASE WHEN count(*) = 1 THEN any_value(weight_source) ELSE ['reported', 'computed_tier2', 'reference_table_tier3', 'unresolved'][coalesce(max(CASE weight_source WHEN 'reported' THEN 1 WHEN 'computed_tier2' THEN 2 WHEN 'reference_table_tier3' THEN 3 ELSE 4 END) FILTER (total_weight_lbs IS NOT NULL), 4)] END AS weight_source,
   arg_min(vendor, row(ok, ln, product_id, sk)) FILTER (coalesce(vendor, '') <> '') AS vendor, nullif(array_to_string(list_sort(list(DISTINCT brand) FILTER (brand <> '')), ', '), '') AS brand,
   array_to_string(list_sort(list(DISTINCT report)), '; ') AS source_report_id, count(*) AS n_rows FROM x GROUP BY 1, 2, 3""")
 def merge_purchases(spark, d):

@@ -279,13 +279,6 @@ def within_campus_merges(spark, d):
     return resolve.match_within(entities(spark, d))[0]
 
 
-@query(f"WITH RECURSIVE {ALL_SQL} SELECT DISTINCT a, b, round(score, 4) AS score FROM far {_LEFT.format('gone')}")
-def cross_campus_candidates(spark, d):
-    rows = entities(spark, d)
-    left = rows.join(resolve.match_within(rows)[0].select("id"), "id", "left_anti")
-    return _scored(resolve.match_cross(left)[1])
-
-
 @query(f"WITH RECURSIVE {WITHIN_SQL} SELECT DISTINCT a, b, round(score, 4) AS score FROM near {_LEFT.format('m1')} AND (a + b) % 3 <> 0")
 def known_pair_anti_join(spark, d):
     rows = entities(spark, d)
@@ -312,6 +305,79 @@ def merged_products(spark, d):
     return resolve.merge_products(years, resolve.match_all(rows)[0])
 
 
+# ---- merges by rule, five products at a time: what becomes of aliases, claims and purchases
+FIVES_SQL = "m AS (SELECT product_id AS id, min(product_id) OVER (PARTITION BY product_id // 5) AS keep FROM claims)"
+
+
+def fives(rows):
+    low = rows.groupBy(F.expr("id div 5").alias("_g")).agg(F.min("id").alias("keep"))
+    return rows.select("id", F.expr("id div 5").alias("_g")).join(low, "_g").where("id <> keep").select("id", "keep")
+
+
+def claimed(spark, d):
+    c, f = claims(spark, d), _flags(spark, d)
+    rows = c.join(f, c["text"].eqNullSafe(f["text"]) & (c["campus_type"] == f["campus_type"])).select(F.col("product_id").alias("id"), c["text"].alias("certs"), c["campus_type"], F.col("yn").alias("sustainable_yn"), "flag")
+    return rows.withColumn("validated", classify.validated(F.col("sustainable_yn"), F.col("flag")))
+
+
+def certificates(spark):
+    return spark.createDataFrame(CERTS, "ord int, certification_name string, abbreviation string, frameworks string")
+
+
+@query(f"""WITH {CERT_SQL}, {FIVES_SQL}, r AS (SELECT keep, product_id AS id, text, kind, yn FROM claims JOIN m ON id = product_id),
+folded AS (SELECT keep, arg_min(kind, id) AS kind, arg_min(yn, id) AS own_yn, arg_min(coalesce(text, ''), id) AS own_text, arg_min(text, id) FILTER (text IS NOT NULL) AS certs, min(id) FILTER (text IS NOT NULL) AS text_at, coalesce(arg_min(yn, id) FILTER (yn <> 'NA'), 'NA') AS yn, min(id) FILTER (yn <> 'NA') AS yn_at FROM r GROUP BY keep),
+judged_ AS (SELECT f.*, own_text = '' AND certs IS NOT NULL AS changed, coalesce(g.flag, 0) AS flag FROM folded f LEFT JOIN flags g ON g.text = f.certs AND g.kind = f.kind)
+SELECT keep AS id, certs, yn AS sustainable_yn, flag, CASE WHEN changed THEN CASE WHEN yn_at <= text_at THEN CASE WHEN yn = 'Y' AND flag = 1 THEN 'N' ELSE yn END ELSE 'NA' END ELSE CASE WHEN own_yn = 'Y' AND flag = 1 THEN 'N' ELSE own_yn END END AS validated FROM judged_""")
+def merged_claims(spark, d):
+    """Flags after a merge: of the survivor's own text, or judged anew where it takes another's."""
+    rows = claimed(spark, d)
+    return resolve.merged_claims(rows, fives(rows), certificates(spark))
+
+
+@query(f"""WITH RECURSIVE {ALL_SQL}, {PURCHASES_SQL}, al AS (SELECT DISTINCT campus, raw_name, product_id FROM purchases)
+SELECT campus, raw_name, coalesce(keep, product_id) AS product_id FROM al LEFT JOIN merges ON merges.id = al.product_id""")
+def merged_aliases(spark, d):
+    aliases = purchases(spark, d).select("campus", "raw_name", "product_id").distinct()
+    return resolve.merge_aliases(aliases, resolve.match_all(entities(spark, d))[0])
+
+
+# ---- products on several campuses: a part and a twelfth of the campuses are a product, with an alias on each campus that buys it
+SEVERAL_SQL = rf"""{PRODUCTS_SQL}, {PURCHASES_SQL}, al AS (SELECT product_id * 12 + CAST(substr(campus, 8) AS BIGINT) % 12 AS id, campus, campus_type, vendor, row_number() OVER (PARTITION BY product_id * 12 + CAST(substr(campus, 8) AS BIGINT) % 12 ORDER BY campus, ok, ln, sk) AS r FROM purchases),
+e AS (SELECT id, name, category, sustainable_yn, campus, campus_type AS kind, nullif(trim(regexp_replace(trim(regexp_replace(regexp_replace(lower(trim(vendor)), '[.,]', '', 'g'), '\s+', ' ', 'g')), '\b(?:corporation|corp|incorporated|inc|llc|lp|co|company)\.?\s*$', '')), '') AS vendor_key,
+  {SIGNATURE_SQL} AS gate, {CLEAN_SQL} AS cleaned FROM al JOIN products ON product_id = id // 12 WHERE r = 1), u AS (SELECT *, {sql_sorted(sql_process('cleaned'))} AS t FROM e)"""
+BRIDGED_SQL = f"{SEVERAL_SQL}, {_all_pairs('far', 'u', ['category', 'vendor_key', 'sustainable_yn'], True)}, {_closure('m2', 'far', 'one_type')}"
+
+
+def several(spark, d):
+    """(products, aliases, campuses, purchases): a product is on up to three campuses."""
+    key = F.col("product_id") * 12 + F.substring("campus", 8, 9).cast("long") % 12
+    bought = purchases(spark, d).select(key.alias("product_id"), "campus", "campus_type", "vendor", "ok", "ln", "sk")
+    aliases = bought.select("product_id", "campus").distinct()
+    kinds = bought.select("campus", "campus_type").distinct()
+    named = products(spark, d).select(F.col("product_id").alias("_p"), "name", "category", "sustainable_yn")
+    return aliases.select(F.col("product_id").alias("id")).distinct().join(named, F.expr("id div 12") == F.col("_p")).drop("_p"), aliases, kinds, bought
+
+
+def bridged(spark, d):
+    return resolve.campus_bridge(*several(spark, d), ["ok", "ln", "sk"])
+
+
+@query(f"WITH {SEVERAL_SQL} SELECT id, campus, kind AS campus_type, vendor_key FROM u")
+def campus_bridge(spark, d):
+    return bridged(spark, d).select("id", "campus", "campus_type", "vendor_key")
+
+
+@query(f"WITH RECURSIVE {BRIDGED_SQL} SELECT id, keep FROM m2")
+def cross_campus_merges(spark, d):
+    return resolve.match_cross(resolve.prepared(bridged(spark, d)))[0]
+
+
+@query(f"WITH RECURSIVE {BRIDGED_SQL} SELECT DISTINCT a, b, round(score, 4) AS score FROM far {_LEFT.format('m2')}")
+def cross_campus_candidates(spark, d):
+    """Over products that are bought on several campuses."""
+    return _scored(resolve.match_cross(resolve.prepared(bridged(spark, d)))[1])
+
+
 @query(f"""WITH RECURSIVE {ENT_SQL}, sc AS (SELECT * FROM u WHERE size_of < 30), {_all_pairs('again', 'sc', ['vendor_key', 'sustainable_yn'], False)}, {_closure('m1', 'again', '(one_campus OR one_type)')}
 SELECT 'merge' AS what, id AS a, keep AS b FROM m1 UNION ALL SELECT DISTINCT 'review', a, b FROM again {_LEFT.format('m1')}""".replace("{PRODUCTS_SQL}", "").replace("name, category, sustainable_yn, 'C'", "name, size AS size_of, category, sustainable_yn, 'C'"))
 def scoped_rematch(spark, d):
@@ -321,17 +387,16 @@ def scoped_rematch(spark, d):
     return merges.select(F.lit("merge").alias("what"), F.col("id").alias("a"), F.col("keep").alias("b")).unionByName(review.select(F.lit("review").alias("what"), "a", "b"))
 
 
-@query(f"""{R}, g AS (SELECT campus, raw_name, min(fiscal_year) AS fy, CAST(sum(total_price) AS DOUBLE) AS total_price, count(*) AS n_rows FROM purchases WHERE fiscal_year = 1996 GROUP BY campus, raw_name)
-SELECT 'product' AS tbl, raw_name AS name, NULL AS campus, fy AS fiscal_year, NULL AS total_price FROM g UNION ALL SELECT 'alias', raw_name, campus, NULL, NULL FROM g UNION ALL SELECT 'purchase', raw_name, campus, fy, total_price FROM g""")
+@query(f"""{R}, g AS (SELECT campus, raw_name, min(fiscal_year) AS fy, CAST(sum(total_price) AS DOUBLE) AS total_price FROM purchases GROUP BY campus, raw_name), i AS (SELECT *, row_number() OVER (ORDER BY campus, raw_name) AS product_id FROM g)
+SELECT 'product' AS tbl, product_id, raw_name AS name, NULL AS campus, fy AS fiscal_year, NULL AS total_price FROM i UNION ALL SELECT 'alias', product_id, raw_name, campus, NULL, NULL FROM i UNION ALL SELECT 'purchase', product_id, NULL, campus, fy, total_price FROM i""")
 def upload_three_tables(spark, d):
-    rows = purchases(spark, d).where("fiscal_year = 1996")
+    rows = purchases(spark, d)
     made = rows.groupBy("campus", "raw_name").agg(F.min("fiscal_year").alias("fiscal_year"), F.sum("total_price").cast("double").alias("total_price"), F.count("*").alias("n_rows"))
     p, a, b = resolve.upload_tables(made)
-    name = lambda df: df.join(a.select("product_id", F.col("raw_name").alias("name")), "product_id")
     none = lambda t: F.lit(None).cast(t)
-    one = p.select(F.lit("product").alias("tbl"), F.col("canonical_name").alias("name"), none("string").alias("campus"), F.col("first_fy").alias("fiscal_year"), none("double").alias("total_price"))
-    two = a.select(F.lit("alias").alias("tbl"), F.col("raw_name").alias("name"), "campus", none("int").alias("fiscal_year"), none("double").alias("total_price"))
-    return one.unionByName(two).unionByName(name(b).select(F.lit("purchase").alias("tbl"), "name", "campus", "fiscal_year", "total_price"))
+    one = p.select(F.lit("product").alias("tbl"), "product_id", F.col("canonical_name").alias("name"), none("string").alias("campus"), F.col("first_fy").alias("fiscal_year"), none("double").alias("total_price"))
+    two = a.select(F.lit("alias").alias("tbl"), "product_id", F.col("raw_name").alias("name"), "campus", none("int").alias("fiscal_year"), none("double").alias("total_price"))
+    return one.unionByName(two).unionByName(b.select(F.lit("purchase").alias("tbl"), "product_id", none("string").alias("name"), "campus", "fiscal_year", "total_price"))
 
 
 QUEUE_SQL = "q AS (SELECT p_partkey AS candidate_id, p_partkey % 50 AS a, 50 + p_partkey % 7 AS b, CASE p_size % 4 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' ELSE 'pending' END AS status, CAST(90 + p_size % 10 AS DOUBLE) AS score FROM part)"
