@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from provender.functions import text
 from provender.functions.similarity import set_ratio, sort_ratio, token_set_ratio, token_sort_ratio  # noqa: F401
+from provender.operators import patterns
 
 # Categories and words of the overrides.
 DAIRY = ["Milk (cow's milk)", "Butter", "Cream", "Cheese", "Ice cream", "Yogurt"]
@@ -26,11 +27,11 @@ HEALTH_ALIASES = {"fair trade": "Fairtrade International"}
 def keyword_match(names: DataFrame, keywords: DataFrame, name: str = "name") -> DataFrame:
     """(name, keyword, category) of the longest keyword found, then the earliest, then the first in the dictionary.
 
-    keywords: (ord, keyword, category). Works on distinct names; the dictionary side is small and the condition is a
-    pattern, so it is a nested loop over a broadcast table where Spark finds it small, with partial minima.
+    keywords: (ord, keyword, category), ord a number of each row. Works on distinct names; a name is tried with the keywords
+    of which it holds a literal.
     """
-    patterns = keywords.select("ord", "keyword", "category", text.keyword_pattern(F.col("keyword")).alias("_p"))
-    hits = names.select(name).distinct().join(patterns, F.expr(f"regexp_like({name}, _p)"))
+    words = keywords.select("ord", "keyword", "category", text.keyword_pattern(F.col("keyword")).alias("_p"))
+    hits = patterns.matches(names.select(name).distinct(), words, name, "_p")
     rank = F.struct(-F.length("keyword"), F.expr(f"regexp_instr({name}, _p)"), F.col("ord"))
     return hits.groupBy(name).agg(F.min_by(F.struct("keyword", "category"), rank).alias("_w")).select(name, "_w.keyword", "_w.category")
 
@@ -41,6 +42,19 @@ def campus_category(raw: DataFrame, columns: list[str]) -> DataFrame:
     return raw.withColumn("_v", value).where("_v is not null and raw_name is not null").groupBy("campus", "raw_name").agg(F.min_by("_v", "ord").alias("value"))
 
 
+def alias_category(aliases: DataFrame, lookup: DataFrame, categories: DataFrame) -> DataFrame:
+    """(id, value, category) of each product that has one: its aliases are tried in order, and the first counts whose reported value
+    is in the dictionary, letter for letter.
+
+    aliases: id, campus, raw_name, ord; lookup: campus, raw_name, value (campus_category); categories: value, category. A value
+    that the dictionary doesn't know is passed over, and the next alias is tried. One equi-join each and a grouped minimum: a
+    product with very many aliases folds before the shuffle.
+    """
+    known = categories.where("value is not null").groupBy("value").agg(F.first("category").alias("category"))
+    found = aliases.select("id", "ord", "campus", "raw_name").join(lookup, ["campus", "raw_name"]).join(known, "value")
+    return found.groupBy("id").agg(F.min_by(F.struct("value", "category"), "ord").alias("_v")).select("id", "_v.value", "_v.category")
+
+
 def _plural(word: str) -> str:
     return rf"(?i)\b{word}s?\b"
 

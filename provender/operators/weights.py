@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provender.operators import patterns
+
 REPORTED, COMPUTED, TABLE = "reported", "computed_tier2", "reference_table_tier3"
 
 
@@ -17,8 +19,9 @@ def first_match(name: Column, rows: list[tuple[str, object]]) -> Column:
 
 
 def first_match_join(names: DataFrame, dictionary: DataFrame, name: str = "name") -> DataFrame:
-    """The same for a dictionary (ord, pattern, value) of any size, over distinct names: (name, value)."""
-    pairs = names.select(name).distinct().join(dictionary, F.expr(f"regexp_like({name}, concat('(?i)', pattern))"))
+    """The same for a dictionary (ord, pattern, value) of any size, over distinct names: (name, value). ord is a number of each row."""
+    rows = dictionary.withColumn("_p", F.concat(F.lit("(?i)"), F.col("pattern")))
+    pairs = patterns.matches(names.select(name).distinct(), rows, name, "_p")
     return pairs.groupBy(name).agg(F.min_by("value", "ord").alias("value"))
 
 

@@ -510,6 +510,25 @@ def auto_classifier_topk(spark, d):
     return search.match_uploads(uploads, corpus, skip_own=True)
 
 
+# ---- a product's category from what campuses report, over all its aliases in order
+ALIAS_SQL = """al AS (SELECT product_id // 3 AS id, campus, raw_name, min(ok * 10 + ln) AS ord FROM purchases GROUP BY ALL),
+rep AS (SELECT campus, raw_name, CASE WHEN hash_ % 3 = 0 THEN upper(category) WHEN hash_ % 3 = 1 THEN category END AS value FROM (SELECT campus, raw_name, any_value(category) AS category, length(campus || raw_name) AS hash_ FROM purchases GROUP BY campus, raw_name, category) WHERE category IS NOT NULL),
+one AS (SELECT campus, raw_name, min(value) AS value FROM rep WHERE value IS NOT NULL GROUP BY ALL), dict AS (SELECT DISTINCT p_type AS value, lower(p_type) AS category FROM part WHERE p_type <> 'SMALL' UNION SELECT DISTINCT upper(p_type), 'capitals' FROM part WHERE p_type LIKE 'S%' AND upper(p_type) <> p_type)"""
+
+
+@query(f"""{R}, {ALIAS_SQL} SELECT id, value, category FROM (SELECT id, d.value, d.category, row_number() OVER (PARTITION BY id ORDER BY ord) AS r FROM al JOIN one USING (campus, raw_name) JOIN dict d ON d.value = one.value) WHERE r = 1""")
+def alias_category(spark, d):
+    rows = purchases(spark, d)
+    aliases = rows.groupBy(F.expr("product_id div 3").alias("id"), "campus", "raw_name").agg(F.min(F.col("ok") * 10 + F.col("ln")).alias("ord"))
+    k = F.length(F.concat("campus", "raw_name")) % 3
+    value = F.when(k == 0, F.upper("category")).when(k == 1, F.col("category"))
+    lookup = rows.where("category is not null").withColumn("value", value).where("value is not null").groupBy("campus", "raw_name").agg(F.min("value").alias("value"))
+    kinds = spark.read.parquet(f"{d}/part.parquet").select("p_type").distinct()
+    known = kinds.where("p_type <> 'SMALL'").select(F.col("p_type").alias("value"), F.lower("p_type").alias("category"))
+    more = kinds.where("p_type like 'S%' and upper(p_type) <> p_type").select(F.upper("p_type").alias("value"), F.lit("capitals").alias("category"))
+    return classify.alias_category(aliases, lookup, known.unionByName(more).distinct())
+
+
 BRANDS_SQL = rf"""{PRODUCTS_SQL}, n AS (SELECT brand AS raw_brand, count(*) AS n_rows, nullif(trim(regexp_replace(regexp_replace(trim(brand), '^-+\s*', ''), '\s+', ' ', 'g')), '') AS c FROM products WHERE brand IS NOT NULL GROUP BY brand),
 k AS (SELECT *, regexp_replace(lower(c), '[^a-z0-9]', '', 'g') AS k FROM n), sp AS (SELECT k, c, sum(n_rows) AS n FROM k WHERE c IS NOT NULL GROUP BY k, c),
 canon AS (SELECT k, c AS canonical_brand FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n DESC, regexp_matches(c, '[a-z]') DESC, c) AS r FROM sp) WHERE r = 1)"""
