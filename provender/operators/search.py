@@ -78,6 +78,44 @@ def facet(products: DataFrame, column: str) -> DataFrame:
     return products.select(F.explode(column).alias("value")).distinct()
 
 
+FACETS = ("category", "cert_list", "vendors", "brands", "campuses")
+
+
+def _values(products: DataFrame, column: str) -> Column:
+    """A facet's values of a product as a list, whether it has one or several."""
+    kind = products.schema[column].dataType.simpleString()
+    return F.coalesce(F.col(column), F.array().cast("array<string>")) if kind.startswith("array") else F.array_compact(F.array(F.col(column)))
+
+
+def drill_down(products: DataFrame, chosen: dict[str, str], facets: tuple[str, ...] = FACETS) -> DataFrame:
+    """(facet, value, n): how many products each value of each facet would leave, given what is chosen in the other facets.
+
+    A product counts for a facet if it meets all choices but perhaps that facet's own; so it is looked at once for all facets
+    together, and only values that something is left of come out.
+    """
+    values = {f: _values(products, f) for f in facets}
+    misses = {f: ~F.array_contains(values[f], v) for f, v in chosen.items()}
+    failed = sum((F.when(m, 1).otherwise(0) for m in misses.values()), F.lit(0))
+    none = F.array().cast("array<struct<facet:string,value:string>>")
+
+    def cells(f: str) -> Column:
+        able = failed == (F.when(misses[f], 1).otherwise(0) if f in misses else F.lit(0))
+        return F.when(able, F.transform(F.array_distinct(values[f]), lambda v: F.struct(F.lit(f).alias("facet"), v.alias("value")))).otherwise(none)
+
+    return products.select(F.explode(F.concat(*map(cells, facets))).alias("c")).groupBy("c.facet", "c.value").agg(F.count("*").alias("n"))
+
+
+def explorer(products: DataFrame, by: str, beside: tuple[str, ...]) -> DataFrame:
+    """(value, n_products, a sorted list for each of ``beside``): what each distributor or brand carries. Values of a list are told
+    apart before they meet, so a group holds its different values and no rows."""
+    own = products.select(F.explode(F.array_distinct(_values(products, by))).alias("value"), *beside)
+    out = own.groupBy("value").agg(F.count("*").alias("n_products"))
+    for c in beside:
+        each = own.select("value", F.explode(c).alias("_v")).distinct().groupBy("value").agg(F.array_sort(F.collect_set("_v")).alias(c))
+        out = out.join(each, "value", "left").withColumn(c, F.coalesce(c, F.array().cast("array<string>")))
+    return out
+
+
 #: Texts of a block that goes out to all tasks.
 BLOCK_TEXTS = 20_000
 

@@ -494,6 +494,28 @@ def region_and_new_opportunities(spark, d):
     return found.select("product_id", "name")
 
 
+CARRIED_SQL = f"""{SUST_SQL}, br AS (SELECT product_id, list_sort(list(DISTINCT brand) FILTER (trim(brand) <> '')) AS brands FROM purchases SEMI JOIN good USING (product_id) GROUP BY product_id), c AS (SELECT sp.*, coalesce(brands, []) AS brands FROM sp LEFT JOIN br USING (product_id))"""
+_LEFT_BY = {"category": "[category]", "cert_list": "list_distinct(cert_list)", "vendors": "vendors", "brands": "brands", "campuses": "campuses"}
+_CHOICES = {"category": "category = 'ECONOMY'", "cert_list": "list_contains(cert_list, 'Organic')", "campuses": "list_contains(campuses, 'NATION_3')"}
+
+
+@query(f"WITH {CARRIED_SQL} SELECT facet, value, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS facet, unnest({v}) AS value FROM c WHERE {' AND '.join(x for k, x in _CHOICES.items() if k != f)}" for f, v in _LEFT_BY.items()) + ") GROUP BY ALL")
+def drill_down_facets(spark, d):
+    return search.drill_down(_sustainable(spark, d), {"category": "ECONOMY", "cert_list": "Organic", "campuses": "NATION_3"})
+
+
+@query(f"WITH {CARRIED_SQL}, v AS (SELECT *, unnest(vendors) AS value FROM c) SELECT value, count(*) AS n_products, coalesce(array_to_string(list_sort(list_distinct(flatten(list(brands)))), '|'), '') AS brands, coalesce(array_to_string(list_sort(list_distinct(flatten(list(campuses)))), '|'), '') AS campuses FROM v GROUP BY value")
+def distributor_explorer(spark, d):
+    out = search.explorer(_sustainable(spark, d), "vendors", ("brands", "campuses"))
+    return out.select("value", "n_products", *(F.array_join(c, "|").alias(c) for c in ("brands", "campuses")))
+
+
+@query(f"WITH {CARRIED_SQL}, v AS (SELECT *, unnest(brands) AS value FROM c) SELECT value, count(*) AS n_products, coalesce(array_to_string(list_sort(list_distinct(flatten(list(vendors)))), '|'), '') AS vendors, coalesce(array_to_string(list_sort(list_distinct(flatten(list(campuses)))), '|'), '') AS campuses FROM v GROUP BY value")
+def brand_explorer(spark, d):
+    out = search.explorer(_sustainable(spark, d), "brands", ("vendors", "campuses"))
+    return out.select("value", "n_products", *(F.array_join(c, "|").alias(c) for c in ("vendors", "campuses")))
+
+
 @query(f"WITH {SUST_SQL}, l AS (SELECT product_id, name, CASE WHEN list_contains(campuses, 'NATION_3') THEN 'Already purchased' WHEN list_has_any(vendors, ['Supplier#000000002']) THEN 'New via my vendor' ELSE '' END AS label FROM sp) SELECT product_id, label FROM l ORDER BY CASE label WHEN 'New via my vendor' THEN 0 WHEN '' THEN 1 ELSE 2 END, name, product_id LIMIT 25")
 def first_opportunities(spark, d):
     """The 25 that the search page shows first."""
