@@ -38,50 +38,38 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
 
 class BKTree:
-    """A BK-tree over distinct 64-bit values: a child hangs from its parent by their Hamming distance."""
+    """A BK-tree over distinct 64-bit values: a child hangs from its parent by their Hamming distance. Nodes are the values' places;
+    the first of each set of values that go down one edge stands at its end, and the others go on from there."""
 
-    def __init__(self):
-        self.root: list | None = None
-
-    def near(self, x: int, radius: int) -> list[int]:
-        """The places of the values within radius of x, over edges from d - radius to d + radius only."""
-        found, todo = [], [self.root] if self.root else []
+    def __init__(self, values: np.ndarray):
+        self.values = values
+        self.kids: dict[int, list[tuple[int, int]]] = {}
+        todo = [np.arange(len(values))]
+        while todo:
+            members = todo.pop()
+            if len(members) < 2:
+                continue
+            node, rest = int(members[0]), members[1:]
+            edge = np.bitwise_count(values[rest] ^ values[node])
+            order = np.argsort(edge, kind="stable")
+            for group in np.split(rest[order], np.flatnonzero(np.diff(edge[order])) + 1):
+                self.kids.setdefault(node, []).append((int((values[group[0]] ^ values[node]).bit_count()), int(group[0])))
+                todo.append(group)
+
+    def near(self, asking: np.ndarray, radius: int):
+        """(place, those of the values asked for that lie within radius of it), over edges from d - radius to d + radius only. All that
+        ask walk together, so an edge is looked at once however many follow it."""
+        todo = [(0, np.arange(len(asking)))] if len(self.values) and len(asking) else []
         while todo:
-            value, place, kids = todo.pop()
-            d = (value ^ x).bit_count()
-            if d <= radius:
-                found.append(place)
-            todo += [kid for e, kid in kids.items() if d - radius <= e <= d + radius]
-        return found
-
-    def add(self, x: int, place: int) -> None:
-        node, new = self.root, [x, place, {}]
-        if node is None:
-            self.root = new
-            return
-        while True:
-            kid = node[2].setdefault((node[0] ^ x).bit_count(), new)
-            if kid is new:
-                return
-            node = kid
-
-
-def _all_at_once(fps: np.ndarray, radius: int, join) -> None:
-    """The same tree and the same walk for a large shard: all values go down together, node by node."""
-    todo = [(np.arange(len(fps)), np.arange(len(fps)))]  # the members below a node, and who asks there
-    while todo:
-        members, asking = todo.pop()
-        root, rest = members[0], members[1:]
-        d = np.bitwise_count(fps[asking] ^ fps[root])
-        for x in asking[d <= radius]:
-            join(int(root), int(x))
-        if len(rest):
-            edge = np.bitwise_count(fps[rest] ^ fps[root])
-            d = d.astype(np.int16)
-            for e in np.unique(edge):
-                below = asking[np.abs(d - np.int16(e)) <= radius]
+            node, who = todo.pop()
+            d = np.bitwise_count(asking[who] ^ self.values[node]).astype(np.int16)
+            found = who[d <= radius]
+            if len(found):
+                yield node, found
+            for edge, kid in self.kids.get(node, ()):
+                below = who[np.abs(d - np.int16(edge)) <= radius]
                 if len(below):
-                    todo.append((rest[edge == e], below))
+                    todo.append((kid, below))
 
 
 def shard_links(fps: np.ndarray, reps: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -98,14 +86,9 @@ def shard_links(fps: np.ndarray, reps: np.ndarray, radius: int) -> list[tuple[in
         if i != j:
             parent[max(i, j)] = min(i, j)
 
-    if len(fps) <= 200:
-        tree = BKTree()
-        for j, x in enumerate(fps.tolist()):
-            for i in tree.near(x, radius):
-                join(i, j)
-            tree.add(x, j)
-    else:
-        _all_at_once(fps, radius, join)
+    for i, found in BKTree(fps).near(fps, radius):
+        for j in found.tolist():
+            join(i, j)
     roots = [find(i) for i in range(len(fps))]
     low: dict[int, int] = {}
     for r, rep in zip(roots, reps.tolist()):
@@ -128,19 +111,20 @@ def links(reps: DataFrame, *, radius: int = 4, shard_rows: int = 50_000) -> Data
     """Spanning links (a, b) between the representatives of distinct fingerprints (fp, rep) within ``radius`` bits.
 
     Two fingerprints within radius bits agree on one of radius + 1 bands at least, so each band value is a shard and
-    every link lies inside some shard. A shard of more than shard_rows is cut again in the same way: by two bands and,
-    within the first, by bands of the rest, which is exact as well. Each shard gets a BK-tree where it lies; no tree
-    and no fingerprint goes to the driver.
+    every link lies inside some shard. A shard of more than shard_rows is cut again in the same way, by other bands of the same
+    bits, as often as there are different ones (four times: what is left then agrees in some 40 of 64 bits), which is exact
+    as well. Each shard gets a BK-tree where it lies; no tree and no fingerprint goes to the driver.
     """
     banded = reps.select("fp", "rep", F.explode(_band_keys(F.col("fp"), radius)).alias("shard"), F.lit(-1).cast("long").alias("sub"))
-    hot = settle(banded.groupBy("shard").count().where(F.col("count") > shard_rows).select("shard", F.lit(True).alias("hot")))
-    if not hot.isEmpty():
-        marked = banded.join(hot, "shard", "left")
-        # within a hot shard one of radius + 1 interleaved bands agrees too: bit i of band i mod (radius + 1), the shard's own bits are equal anyway
-        stripes = [sum(1 << i for i in range(64) if i // 2 % (radius + 1) == k) for k in range(radius + 1)]
+    for width in (2, 1, 4, 8):
+        hot = settle(banded.groupBy("shard", "sub").count().where(F.col("count") > shard_rows).select("shard", "sub", F.lit(True).alias("hot")))
+        if hot.isEmpty():
+            break
+        # bit i belongs to band (i div width) mod (radius + 1): one of them agrees, whatever the shard agrees on already
+        stripes = [sum(1 << i for i in range(64) if i // width % (radius + 1) == k) for k in range(radius + 1)]
         stripes = [s - (1 << 64) if s >> 63 else s for s in stripes]
-        keys = F.array(*(F.xxhash64(F.col("fp").bitwiseAND(F.lit(s).cast("long")), F.lit(k)) for k, s in enumerate(stripes)))
-        banded = marked.select("fp", "rep", "shard", F.explode(F.when(F.col("hot"), keys).otherwise(F.array(F.col("sub")))).alias("sub"))
+        keys = F.array(*(F.xxhash64(F.col("sub"), F.col("fp").bitwiseAND(F.lit(s).cast("long")), F.lit(k)) for k, s in enumerate(stripes)))
+        banded = settle(banded.join(hot, ["shard", "sub"], "left").select("fp", "rep", "shard", F.explode(F.when(F.col("hot"), keys).otherwise(F.array(F.col("sub")))).alias("sub")))
 
     def run(batches):
         kept: list[np.ndarray] = [np.empty((0, 4), np.int64)]

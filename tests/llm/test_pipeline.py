@@ -7,8 +7,8 @@ import numpy as np
 from provender.llm import decontaminate, quality
 from tests.llm.test_bpe import TIKTOKEN
 from tests.llm.test_decontaminate import plain_distance
+from tests.llm.test_jaccard import plain_components, plain_set
 from tests.llm.test_pii import plain as plain_pii
-from tests.llm.test_simhash import plain_components, plain_fingerprint
 
 
 def corpus():
@@ -25,9 +25,14 @@ def corpus():
         elif kind < 0.3 and docs:
             w = rnd.choice(docs)[1].split(" ")
             good = int("###" not in w[0])
-        elif kind < 0.4:
+        elif kind < 0.36 and docs:  # near copies: similar enough, or just not
+            w = rnd.choice(docs)[1].split(" ")
+            good = int("###" not in w[0])
+            for at in (len(w) // 2,) if rnd.random() < 0.6 else range(0, len(w), 6):
+                w[at] = word() + "###" * (not good)
+        elif kind < 0.44:
             w[5:5] = rnd.choice(items)[1].split(" ")
-        elif kind < 0.5:
+        elif kind < 0.54:
             w.insert(3, rnd.choice(["jo.x@mail.example.com", "+1 (386) 555-3733", "10.0.0.7", "4111 1111 1111 1111"]))
         docs.append((i, " ".join(w), good))
     return docs, items
@@ -48,7 +53,10 @@ def test_equals_brute_force(spark, tmp_path):
     model = quality.train(table("documents"), table("labels"))
     left = [(d, t) for d, t, _ in docs if model.score(np.array([quality.stats_of(t)]))[0] >= 0.3]
     assert len(docs) * 0.6 < len(left) < len(docs)
-    comps = plain_components([d for d, _ in left], [plain_fingerprint(t) for _, t in left])
+    sets = [plain_set(t) for _, t in left]
+    comps = plain_components([d for d, _ in left], sets)
+    apart = {d for (d, _), c in zip(left, comps) if d != c}
+    assert apart and any(plain_set(t) not in [sets[k] for k in range(i)] for i, (d, t) in enumerate(left) if d in apart)  # not only copies go
     left = [(d, t) for (d, t), c in zip(left, comps) if d == c]
     folded = [decontaminate.fold(t) for _, t in items]
     left = [(d, t) for d, t in left if not any(plain_distance(p, decontaminate.fold(t)) <= len(p) // 10 for p in folded)]

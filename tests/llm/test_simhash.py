@@ -72,6 +72,17 @@ def test_hot_shards_are_cut_again_exactly(spark):
     check(spark, rows, shard_rows=1)
 
 
+def test_every_value_hangs_from_its_parent_by_its_distance():
+    fps = np.unique(np.random.default_rng(4).integers(0, 2**20, 300, dtype=np.uint64))
+    tree = simhash.BKTree(fps)
+    children = [kid for kids in tree.kids.values() for _, kid in kids]
+    assert sorted(children) == list(range(1, len(fps)))
+    for node, kids in tree.kids.items():
+        assert len({e for e, _ in kids}) == len(kids) and all(int(fps[node] ^ fps[k]).bit_count() == e for e, k in kids)
+    found = {(i, j) for i, js in tree.near(fps, 3) for j in js.tolist()}
+    assert found == {(i, j) for i in range(len(fps)) for j in range(len(fps)) if int(fps[i] ^ fps[j]).bit_count() <= 3}
+
+
 def test_large_shard_walk_equals_brute_force():
     rnd = np.random.default_rng(3)
     fps = np.unique(rnd.integers(0, 2**10, 400, dtype=np.uint64) * np.uint64(2**40 + 1))
@@ -87,8 +98,10 @@ def test_long_chain_is_one_component(spark):
     from provender.llm.shared import components
 
     edges = [(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7)]
-    got = {(r.node, r.component) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {(i, 0) for i in range(201)} | {(500, 500), (501, 500)}
+    for few in (500_000, 0):  # by one task, and by large and small stars
+        got = {(r.node, r.component) for r in components(spark.createDataFrame(edges, "a long, b long"), few=few).collect()}
+        assert got == {(i, 0) for i in range(201)} | {(500, 500), (501, 500)}
+        assert components(spark.createDataFrame([], "a long, b long"), few=few).count() == 0
 
 
 def test_empty_table_and_stage(spark):
