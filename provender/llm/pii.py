@@ -3,6 +3,7 @@ DataFrame functions only."""
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -123,24 +124,38 @@ def _joined(kinds: list[str]) -> Column:
 
 @dataclass(frozen=True)
 class Disclosure:
-    """When a term gives an entity away. The information a term carries about an entity is log2 P(e|t)/P(e); as a share
-    of the entity's own information, -log2 P(e), it is 1 if the term never occurs without the entity."""
+    """When a term gives an entity away: by the bits that are missing to it once the term is seen, -log2 P(entity | term).
 
-    least_contexts: int = 3
-    generalise: float = 0.8
-    remove: float = 0.95
+    P is estimated from counts of texts, smoothed by ``prior`` texts that have the term and not the entity, so that a term of one or two
+    texts proves little whatever the size of the corpus. At half a bit (P of 0.7) a term is generalised, at a fifth (0.87) removed.
+    """
+
+    generalise: float = 0.7
+    remove: float = 0.87
+    prior: float = 1.0
     window: int = 80
     words: int = 4
     broadcast_bytes: int = 8_000_000
 
+    def least(self) -> int:
+        """The fewest texts with both that can reach the threshold."""
+        return math.ceil(self.prior * self.generalise / (1 - self.generalise) - 1e-9)
+
+
+def words_of(text: Column) -> Column:
+    """The different words of letters of a text in lower case, without those that an address is made of."""
+    plain = F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text)
+    return F.array_distinct(F.regexp_extract_all(F.lower(plain), F.lit(LETTERS), F.lit(0)))
+
 
 def revealing_terms(docs: DataFrame, rule: Disclosure = Disclosure()) -> DataFrame:
-    """(term, share): the terms whose share of some protected entity's information is at least ``rule.generalise``.
+    """(term, share): the terms from which some protected entity follows with a probability of at least ``rule.generalise``.
 
-    docs: (text, _email, ... as base_spans gives). An entity is a kind and a value; its contexts are the nearest words of
-    letters on both sides. Contexts count once however many copies of a text there are, so the words of a text that is
-    merely copied reveal nothing. A term's frequency, counted for the candidates only, is that of distinct texts as well.
-    The total of P(e) is that of all rows.
+    docs: (text, _email, ... as base_spans gives). An entity is a kind and a value. A term occurs with it if it is anywhere in the
+    same text. Texts count once, however many copies there are, and as one where the nearest words on both sides of the
+    entity are the same, so that near copies and boilerplate prove nothing; a term's own frequency is that of distinct texts. Only
+    entities of as many texts as the threshold needs are joined with words, for no others could reach it: a row for each of them
+    and each different word of their texts.
     """
     text = F.col("text")
     letters = lambda c: F.filter(F.split(F.lower(c), r"[\s.,;:!?]+"), lambda w: w.rlike(rf"^{LETTERS}$"))
@@ -150,44 +165,42 @@ def revealing_terms(docs: DataFrame, rule: Disclosure = Disclosure()) -> DataFra
             def one(s):
                 start, end = (F.element_at(F.split(s, ":"), i).cast("int") for i in (1, 2))
                 left, right = _piece(chunks, F.greatest(start - rule.window, F.lit(0)), start), _piece(chunks, end, end + rule.window)
-                return F.struct(
-                    F.xxhash64(F.lit(kind), F.lower(_piece(chunks, start, end))).alias("entity"),
-                    F.reverse(F.slice(F.reverse(letters(left)), 1, rule.words)).alias("l"),
-                    F.slice(letters(right), 1, rule.words).alias("r"),
-                )
+                nearest = F.xxhash64(F.reverse(F.slice(F.reverse(letters(left)), 1, rule.words)), F.slice(letters(right), 1, rule.words))
+                return F.struct(F.xxhash64(F.lit(kind), F.lower(_piece(chunks, start, end))).alias("entity"), nearest.alias("context"))
 
-            return F.transform(f"_{kind}", one)
+            return F.array_distinct(F.transform(f"_{kind}", one))
 
         return _bind(_chunks(text), of)
 
-    # only the words around a match leave the text's row: a text with very many matches isn't copied for each
+    # only hashes leave the text's row: a text with very many matches isn't copied for each
     found = None
     for kind in KINDS:
         part = docs.where(F.size(f"_{kind}") > 0).select(F.xxhash64("text").alias("of"), context(kind).alias("c"))
         found = part if found is None else found.unionByName(part)
-    around = found.select("of", F.explode("c").alias("c")).select("of", "c.*")
-    contexts = settle(around.select("entity", "of", F.xxhash64("l", "r").alias("context"), F.explode_outer(F.array_distinct(F.concat("l", "r"))).alias("term")).distinct())
-    entities = contexts.groupBy("entity").agg(F.countDistinct("context").alias("n_entity")).where(F.col("n_entity") >= rule.least_contexts)
-    together = contexts.where("term is not null").join(entities, "entity").groupBy("entity", "n_entity", "term").agg(F.countDistinct("context").alias("n_both"))
-    total = docs.count()
-    both = F.col("n_both")
-    # the entity's share of all documents, from its contexts; P(e|t) can't be over 1
-    own = F.log2(F.lit(float(total + 1)) / F.col("n_entity"))
-
-    def share(n_term):
-        return F.when(own > 0, (F.log2(F.least(F.lit(1.0), both / n_term)) + own) / own).otherwise(0.0)
-
-    # a term is in at least as many documents as it has contexts in; most common words can't come up to the share then
-    seen = contexts.groupBy("term").agg(F.countDistinct("of").alias("n_seen"))
-    candidates = together.where(both >= rule.least_contexts).join(seen, "term")
-    candidates = settle(candidates.where(share(F.col("n_seen")) >= rule.generalise))
+    contexts = settle(found.select("of", F.explode("c").alias("c")).select("of", "c.*").distinct())
+    several = settle(_distinct_counts(contexts, ["entity"]).where(F.col("n") >= rule.least()).select("entity"))
+    if several.isEmpty():
+        return contexts.select(F.lit("").alias("term"), F.lit(0.0).alias("share")).limit(0)
+    told = settle(contexts.join(several, "entity"))
+    texts = docs.select(F.xxhash64("text").alias("of"), "text").join(told.select("of").distinct(), "of", "left_semi")
+    words = settle(texts.dropDuplicates(["of"]).select("of", F.explode(words_of(text)).alias("term")))
+    together = _distinct_counts(told.join(words, "of"), ["entity", "term"]).where(F.col("n") >= rule.least())
+    # a term is in at least as many texts as those that it shares with entities; most common words can't come up to the threshold then
+    seen = words.groupBy("term").agg(F.count("*").alias("n_seen"))
+    share = lambda n_term: F.col("n") / (F.col(n_term) + rule.prior)
+    candidates = settle(together.join(seen, "term").where(share("n_seen") >= rule.generalise).groupBy("term").agg(F.max("n").alias("n")))
     if candidates.isEmpty():
         return candidates.select("term", F.lit(0.0).alias("share"))
-    terms = settle(candidates.select("term").distinct())
-    words = docs.select(F.xxhash64("text").alias("of"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(LETTERS), F.lit(0)))).alias("term"))
-    frequency = words.join(_small(terms, rule), "term").groupBy("term").agg(F.countDistinct("of").alias("n_term"))
-    shares = candidates.join(frequency, "term").select("term", share(F.col("n_term")).alias("share"))
-    return shares.groupBy("term").agg(F.max("share").alias("share")).where(F.col("share") >= rule.generalise)
+    every = docs.select(F.xxhash64("text").alias("of"), F.explode(words_of(text)).alias("term"))
+    frequency = every.join(_small(candidates.select("term"), rule), "term").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
+    return candidates.join(frequency, "term").select("term", share("n_term").alias("share")).where(F.col("share") >= rule.generalise)
+
+
+def _distinct_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n): the lesser of the different contexts and the different texts of each key. Each is told apart by a shuffle on
+    key and value, and counted with partial sums, so a key of very many is spread over tasks."""
+    each = lambda c, name: rows.select(*keys, c).distinct().groupBy(*keys).agg(F.count("*").alias(name))
+    return each("context", "_contexts").join(each("of", "_texts"), keys).select(*keys, F.least("_contexts", "_texts").alias("n"))
 
 
 def _small(df: DataFrame, rule: Disclosure) -> DataFrame:
@@ -201,8 +214,8 @@ def term_spans(docs: DataFrame, terms: DataFrame, rule: Disclosure = Disclosure(
 
     A document is known by its id and its text's hash, so repeated and null ids are no trouble.
     """
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(LETTERS), F.lit(0)))
-    having = settle(docs.select("doc_id", "_hash", F.explode(words("text")).alias("term")).join(_small(terms, rule), "term").select("doc_id", "_hash").distinct())
+    every = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(LETTERS), F.lit(0)))
+    having = settle(docs.select("doc_id", "_hash", F.explode(every("text")).alias("term")).join(_small(terms, rule), "term").select("doc_id", "_hash").distinct())
     texts = docs.dropDuplicates(["doc_id", "_hash"]).join(having, docs["doc_id"].eqNullSafe(having["doc_id"]) & (docs["_hash"] == having["_hash"]), "left_semi")
     at = F.split("p", ":", 3)
     places = texts.select("doc_id", "_hash", F.explode(_places(F.col("text"), LETTERS, lambda hit: F.lit(True), word=True)).alias("p")).select("doc_id", "_hash", at[0].cast("int").alias("a"), at[1].alias("b"), F.lower(at[2]).alias("term"))
@@ -215,6 +228,8 @@ def term_spans(docs: DataFrame, terms: DataFrame, rule: Disclosure = Disclosure(
 def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rule: Disclosure = Disclosure()) -> DataFrame:
     """(doc_id, _hash, _email, _ip, _card, _phone, _generalised, _removed): arrays of 'start:end', a row for each row of docs.
 
+    _generalised and _removed are the places of terms that give an entity away (revealing_terms).
+
     Null texts are empty. Matches of a kind don't overlap; kinds may overlap each other. Repeated rows stay; an empty table
     gives none; other columns are not looked at.
     """
@@ -289,16 +304,17 @@ SQL = rf"""WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text,
 {_sql_kind("phone", r"[+][0-9][ ().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15")},
 found AS ({" UNION ALL ".join(f"SELECT rid, '{k}' AS kind, hit, a, b FROM {k}_s" for k in KINDS)}),
 around AS (SELECT kind || ':' || lower(hit) AS entity, text, list_reverse(list_reverse({_LIST.format("substr(text, greatest(a - 80, 0) + 1, least(a, 80))")})[1:4]) AS l, {_LIST.format("substr(text, b + 1, 80)")}[1:4] AS r FROM found JOIN t USING (rid)),
-near AS (SELECT DISTINCT entity, text, l, r, unnest(CASE WHEN len(l || r) = 0 THEN [NULL] ELSE list_distinct(l || r) END) AS term FROM around),
-entities AS (SELECT entity, count(DISTINCT (l, r)) AS n_entity FROM near GROUP BY entity HAVING count(DISTINCT (l, r)) >= 3),
-both_ AS (SELECT entity, n_entity, term, count(DISTINCT (l, r)) AS n_both FROM near JOIN entities USING (entity) WHERE term IS NOT NULL GROUP BY ALL HAVING count(DISTINCT (l, r)) >= 3),
-words AS (SELECT rid, unnest(list_distinct(regexp_extract_all(lower(text), '\p{{L}}{{2,}}'))) AS term FROM t),
-often AS (SELECT term, count(DISTINCT text) AS n_term FROM words JOIN t USING (rid) WHERE term IN (SELECT term FROM both_) GROUP BY term),
-shares AS (SELECT term, max((log2(least(1.0, n_both / n_term)) + log2(((SELECT count(*) FROM t) + 1) / n_entity)) / log2(((SELECT count(*) FROM t) + 1) / n_entity)) AS share FROM both_ JOIN often USING (term) GROUP BY term),
-having_ AS (SELECT DISTINCT rid FROM words WHERE term IN (SELECT term FROM shares WHERE share >= 0.8)),
+near AS (SELECT DISTINCT entity, text, l, r FROM around),
+entities AS (SELECT entity FROM near GROUP BY entity HAVING least(count(DISTINCT (l, r)), count(DISTINCT text)) >= 3),
+words AS (SELECT rid, unnest(list_distinct(regexp_extract_all(lower(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+', ' ', 'g')), '\p{{L}}{{2,}}'))) AS term FROM t),
+plain AS (SELECT DISTINCT text, term FROM words JOIN t USING (rid)),
+both_ AS (SELECT entity, term, least(count(DISTINCT (l, r)), count(DISTINCT text)) AS n_both FROM near SEMI JOIN entities USING (entity) JOIN plain USING (text) GROUP BY ALL HAVING least(count(DISTINCT (l, r)), count(DISTINCT text)) >= 3),
+often AS (SELECT term, count(*) AS n_term FROM plain WHERE term IN (SELECT term FROM both_) GROUP BY term),
+shares AS (SELECT term, max(n_both / (n_term + 1.0::DOUBLE)) AS share FROM both_ JOIN often USING (term) GROUP BY term HAVING max(n_both / (n_term + 1.0::DOUBLE)) >= 0.7),
+having_ AS (SELECT rid FROM t WHERE len(list_intersect(regexp_extract_all(lower(text), '\p{{L}}{{2,}}'), (SELECT coalesce(list(term), []) FROM shares))) > 0),
 small AS (SELECT * FROM t SEMI JOIN having_ USING (rid)),
-{_sql_kind("word", "\\p{L}{2,}", "lower(hit) IN (SELECT term FROM shares WHERE share >= 0.8)", "small")},
-told AS (SELECT rid, a, b, CASE WHEN share >= 0.95 THEN 'removed' ELSE 'generalised' END AS kind FROM word_s JOIN shares ON term = lower(hit)),
+{_sql_kind("word", "\\p{L}{2,}", "lower(hit) IN (SELECT term FROM shares)", "small")},
+told AS (SELECT rid, a, b, CASE WHEN share >= 0.87 THEN 'removed' ELSE 'generalised' END AS kind FROM word_s JOIN shares ON term = lower(hit)),
 every AS (SELECT rid, kind, a, b FROM found UNION ALL SELECT rid, kind, a, b FROM told),
 texts AS (SELECT rid, {", ".join(f"string_agg('{k}:' || a || ':' || b, ',' ORDER BY a) FILTER (kind = '{k}') AS s_{k}, count(*) FILTER (kind = '{k}') AS n_{k}" for k in [*KINDS, "generalised", "removed"])} FROM every GROUP BY rid)
 SELECT doc_id, {", ".join(f"CAST(coalesce(n_{k}, 0) AS BIGINT) AS n_{k}" for k in KINDS)}, sha256(concat_ws(',', {", ".join(f"s_{k}" for k in KINDS)})) AS base_sha256, concat_ws(',', {", ".join(f"s_{k}" for k in [*KINDS, "generalised", "removed"])}) AS spans
