@@ -78,6 +78,25 @@ def exact_median(counts: DataFrame, keys: list[str], value: str, n: str, name: s
     return ranked.groupBy(*keys).agg((first(low) * 0.5 + first(high) * 0.5).alias(name), F.max("_all").alias("_all"))
 
 
+def _log_price() -> Column:
+    """log10 of price per pound of a row whose price can be trusted, else null."""
+    price, weight = F.col("total_price").cast("double"), F.col("total_weight_lbs")
+    ok = (F.col("weight_source") != "unresolved") & (weight > 0) & ~F.isnan(weight) & (price > 0)
+    return F.when(ok, F.log10(price / F.when(weight > 0, weight)))
+
+
+def _spread(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, _mid, _rows, _mad) of counted prices (keys, _log, _n): medians of the logs and of their distances from it."""
+    middle = exact_median(counts, keys, "_log", "_n", "_mid").withColumnRenamed("_all", "_rows")
+    off = counts.join(middle, keys).select(*keys, "_mid", "_rows", F.abs(F.col("_log") - F.col("_mid")).alias("_off"), "_n")
+    return exact_median(off, [*keys, "_mid", "_rows"], "_off", "_n", "_mad").drop("_all")
+
+
+def _is_outlier() -> Column:
+    z = F.abs(F.col("_log") - F.col("_mid")) / F.nullif(F.col("_mad") * MAD_SCALE, F.lit(0.0))
+    return F.coalesce((F.col("_rows") >= OUTLIER_LEAST_ROWS) & (z > OUTLIER_Z), F.lit(False))
+
+
 def flag_outliers(rows: DataFrame, keys: list[str]) -> DataFrame:
     """rows with price_outlier: more than 7.5 scaled MADs of log price per pound away from the group's median; groups of fewer
     than ten priced rows, or without spread, have none.
@@ -85,16 +104,9 @@ def flag_outliers(rows: DataFrame, keys: list[str]) -> DataFrame:
     Prices are counted by group and value once and written down; both medians come from these counts, and one row a group is
     joined back, so rows are read twice and no task holds a group.
     """
-    price, weight = F.col("total_price").cast("double"), F.col("total_weight_lbs")
-    ok = (F.col("weight_source") != "unresolved") & (weight > 0) & ~F.isnan(weight) & (price > 0)
-    logged = rows.withColumn("_log", F.when(ok, F.log10(price / F.when(weight > 0, weight))))
+    logged = rows.withColumn("_log", _log_price())
     counts = checkpointed(logged.where("_log is not null").groupBy(*keys, "_log").agg(F.count("*").alias("_n")))
-    middle = exact_median(counts, keys, "_log", "_n", "_mid").withColumnRenamed("_all", "_rows")
-    off = counts.join(middle, keys).select(*keys, "_mid", "_rows", F.abs(F.col("_log") - F.col("_mid")).alias("_off"), "_n")
-    spread = exact_median(off, [*keys, "_mid", "_rows"], "_off", "_n", "_mad").drop("_all")
-    z = F.abs(F.col("_log") - F.col("_mid")) / F.nullif(F.col("_mad") * MAD_SCALE, F.lit(0.0))
-    flag = F.coalesce((F.col("_rows") >= OUTLIER_LEAST_ROWS) & (z > OUTLIER_Z), F.lit(False))
-    return logged.join(spread, keys, "left").withColumn("price_outlier", flag).drop("_log", "_mid", "_rows", "_mad")
+    return logged.join(_spread(counts, keys), keys, "left").withColumn("price_outlier", _is_outlier()).drop("_log", "_mid", "_rows", "_mad")
 
 
 def _money(condition: Column | None = None) -> Column:
@@ -102,8 +114,16 @@ def _money(condition: Column | None = None) -> Column:
     return F.coalesce(F.sum(price if condition is None else F.when(condition, price)), F.lit(0)).cast("double")
 
 
-def _pounds(condition: Column) -> Column:
-    return F.coalesce(F.sum(F.when(condition, F.col("total_weight_lbs").cast("decimal(18,4)"))), F.lit(0)).cast("double")
+def price_cells(rows: DataFrame, scope: list[str]) -> DataFrame:
+    """(scope, category, _log, _sus, _resolved, _n, _price, _weight): rows folded by what the baselines ask of them.
+
+    One pass over the rows, which may be a join of many tables; counts, medians, outliers and sums all follow from these
+    cells, written down once. Rows of one price per pound fold on the map side.
+    """
+    sus = F.coalesce(F.col("validated") == "Y", F.lit(False))
+    keys = [*scope, "category", _log_price().alias("_log"), sus.alias("_sus"), (F.col("weight_source") != "unresolved").alias("_resolved")]
+    own = rows.select(*keys, F.col("total_price").cast("decimal(18,2)").alias("_p"), F.col("total_weight_lbs").cast("decimal(18,4)").alias("_w"))
+    return checkpointed(own.groupBy(*scope, "category", "_log", "_sus", "_resolved").agg(F.count("*").alias("_n"), F.sum("_p").alias("_price"), F.sum("_w").alias("_weight")))
 
 
 def category_baseline(rows: DataFrame, scope: list[str], factors: DataFrame, groups: DataFrame) -> DataFrame:
@@ -111,15 +131,22 @@ def category_baseline(rows: DataFrame, scope: list[str], factors: DataFrame, gro
 
     factors: (ord, food_category, factor), the first row of a trimmed name counts; groups: (category, food_group).
     """
+    return _baseline_of(price_cells(rows, scope), scope, factors, groups)
+
+
+def _baseline_of(cells: DataFrame, scope: list[str], factors: DataFrame, groups: DataFrame) -> DataFrame:
     keys = [*scope, "category"]
-    flagged = flag_outliers(rows.where("category is not null"), keys)
-    sus = F.coalesce(F.col("validated") == "Y", F.lit(False))
-    trusted = (F.col("weight_source") != "unresolved") & ~F.col("price_outlier")
+    own = cells.where("category is not null")
+    counts = own.where("_log is not null").groupBy(*keys, "_log").agg(F.sum("_n").alias("_n"))
+    flagged = own.join(_spread(counts, keys), keys, "left").withColumn("_out", _is_outlier())
+    sus, out = F.col("_sus"), F.col("_out")
+    trusted = F.col("_resolved") & ~out
+    total = lambda c, when=None: F.coalesce(F.sum(F.col(c) if when is None else F.when(when, F.col(c))), F.lit(0)).cast("double")
     sums = flagged.groupBy(*keys).agg(
-        _money().alias("baseline_spend"), _money(sus).alias("baseline_sustainable_spend"),
-        _pounds(trusted & sus).alias("sustainable_weight_lbs"), _pounds(trusted & ~sus).alias("conventional_weight_lbs"),
-        _money(trusted).alias("_trusted"), _money(trusted & sus).alias("_sus"), _money(trusted & ~sus).alias("_conv"),
-        F.count_if("price_outlier").alias("price_outlier_count"), _money(F.col("price_outlier")).alias("price_outlier_spend"),
+        total("_price").alias("baseline_spend"), total("_price", sus).alias("baseline_sustainable_spend"),
+        total("_weight", trusted & sus).alias("sustainable_weight_lbs"), total("_weight", trusted & ~sus).alias("conventional_weight_lbs"),
+        total("_price", trusted).alias("_trusted"), total("_price", trusted & sus).alias("_sus"), total("_price", trusted & ~sus).alias("_conv"),
+        F.sum(F.when(out, F.col("_n")).otherwise(0)).alias("price_outlier_count"), total("_price", out).alias("price_outlier_spend"),
     )
     priced = sums.select(
         *keys, "baseline_spend", "baseline_sustainable_spend", F.round(F.col("baseline_spend") - F.col("baseline_sustainable_spend"), 2).alias("baseline_conventional_spend"),
@@ -147,6 +174,13 @@ def snapshot(baseline: DataFrame, unclassified: DataFrame, scope: list[str]) ->
     return out.withColumn("sustainable_pct", F.round(F.try_divide("sustainable_spend", "total_spend"), 8)).withColumn("excluded_spend", F.coalesce("excluded_spend", F.lit(0.0)))
 
 
+def snapshot_of(rows: DataFrame, scope: list[str], factors: DataFrame, groups: DataFrame) -> DataFrame:
+    """The totals of each scope straight from its purchases, classified and not, in one pass over them."""
+    cells = price_cells(rows, scope)
+    without = cells.groupBy(*scope).agg(F.coalesce(F.sum(F.when(F.col("category").isNull(), F.col("_price"))), F.lit(0)).cast("double").alias("excluded_spend"))
+    return snapshot(_baseline_of(cells, scope, factors, groups), without, scope)
+
+
 def unclassified_spend(rows: DataFrame, scope: list[str]) -> DataFrame:
     return rows.groupBy(*scope).agg(_money(F.col("category").isNull()).alias("excluded_spend"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,25 +47,42 @@ def unknown_only(found: DataFrame, known: DataFrame) -> DataFrame:
     return found.join(known.select("a", "b"), ["a", "b"], "left_anti")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _together(batches):
+    """The smallest id that each node of a few edges reaches, by union and find."""
+    parent: dict[int, int] = {}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for b in batches:
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            x, y = find(parent.setdefault(x, x)), find(parent.setdefault(y, y))
+            parent[max(x, y)] = min(x, y)
+    nodes = sorted(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["id", "root"])
+
+
+def components(edges: DataFrame, few: int = 500_000) -> DataFrame:
     """(id, root): the smallest id that each node of the edges (a, b) reaches.
 
-    Labels fall along edges and then along labels (pointer jumping), each round a join and a grouped minimum, cut with a
-    checkpoint; it ends when a round changes nothing.
+    Up to ``few`` edges (counted first; 8 MB) are put together by one task. Beyond, labels fall along edges and then along labels
+    (pointer jumping), each round a join and a grouped minimum, cut with a checkpoint; it ends when a round changes nothing.
     """
-    both = checkpointed(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "id")
-    mark = None
+    once = checkpointed(edges.select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).where("a <> b").distinct())
+    if once.count() <= few:
+        return once.coalesce(1).mapInArrow(_together, "id long, root long")
+    both = once.unionByName(once.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    labels = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")).withColumnRenamed("a", "id"))
     while True:
-        labels = checkpointed(labels)
-        now = labels.agg(F.sum(F.col("root").cast("decimal(38,0)")), F.count("*")).first()
-        if now == mark:
-            return labels
-        mark = now
         near = both.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("root").alias("low"))
-        step = labels.join(near, F.col("id") == F.col("a")).select("id", F.least("root", "low").alias("root"))
+        step = labels.join(near, F.col("id") == F.col("a")).select("id", F.col("root").alias("_old"), F.least("root", "low").alias("root"))
         up = step.select(F.col("id").alias("root"), F.col("root").alias("jump"))
-        labels = step.join(up, "root", "left").select("id", F.coalesce("jump", "root").alias("root"))
+        moved = checkpointed(step.join(up, "root", "left").select("id", "_old", F.coalesce("jump", "root").alias("root")))
+        labels = moved.drop("_old")
+        if moved.where("root <> _old").isEmpty():
+            return labels
 
 
 def match(rows: DataFrame, block: list[str], known: DataFrame | None = None, *, apart: bool = False, sure: Column | None = None) -> tuple[DataFrame, DataFrame]:
@@ -81,8 +99,7 @@ def match(rows: DataFrame, block: list[str], known: DataFrame | None = None, *,
     rows = rows.where(" and ".join(f"{k} is not null" for k in block)).select("id", *dict.fromkeys([*keys, "_text", *split]))
     own = [c for c in split if c not in keys]
     nodes = checkpointed(rows.groupBy(*keys, "_text", *own).agg(F.min("id").alias("rep"), F.count("*").alias("n")))
-    scored = checkpointed(text_pairs(nodes, keys))
-    found = checkpointed(_node_pairs(nodes, scored, keys, own, apart))
+    found = checkpointed(_node_pairs(nodes, text_pairs(nodes, keys), keys, own, apart))
     edges = found.where(F.col("score") >= AUTO)
     if sure is not None:
         edges = edges.withColumnsRenamed({"campus_type_a": "type_a", "campus_type_b": "type_b"}).where(sure)

@@ -69,7 +69,7 @@ def category_baseline(spark, d):
     sum(baseline_weight_lbs) FILTER (ghg_factor_kg_per_kg IS NULL) AS excluded_ghg_weight_lbs, round(sum(weight_resolved_pct * baseline_spend) / sum(baseline_spend), 8) AS weight_resolved_pct FROM base GROUP BY ALL)
   SELECT s.*, excluded_spend, round(classified_spend + excluded_spend, 2) AS total_spend, round(sustainable_spend / round(classified_spend + excluded_spend, 2), 8) AS sustainable_pct FROM s JOIN excluded USING (campus, fiscal_year)""")
 def snapshot_totals(spark, d):
-    return baseline.snapshot(base(spark, d), baseline.unclassified_spend(rows(spark, d), SCOPE), SCOPE)
+    return baseline.snapshot_of(rows(spark, d), SCOPE, factors(spark, d), groups(spark, d))
 
 
 @query(f"{R}, {EXCLUDED_SQL} SELECT * FROM excluded")

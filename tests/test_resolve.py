@@ -68,8 +68,9 @@ def test_brand_candidates_without_a_cross_join(spark):
 
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, k) for k in range(101, 140)]
-    got = {r.id: r.root for r in resolve.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {**{i: 0 for i in range(31)}, **{k: 100 for k in range(100, 140)}}
+    for few in (500_000, 0):  # by one task, and by labels that fall along edges
+        got = {r.id: r.root for r in resolve.components(spark.createDataFrame(edges, "a long, b long"), few).collect()}
+        assert got == {**{i: 0 for i in range(31)}, **{k: 100 for k in range(100, 140)}}
     assert resolve.components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
