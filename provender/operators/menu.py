@@ -161,6 +161,14 @@ def names_of(columns: list[str]):
     return F.array_join(F.filter(F.array(*(F.when(F.col(c) == 1, F.lit(c)) for c in columns)), lambda x: x.isNotNull()), ", ")
 
 
+def with_subcategory(rows: DataFrame, dictionary: DataFrame, item: str = "item") -> DataFrame:
+    """rows with the sub-category that a dictionary (item, sub_category) gives an item, spaces and case aside; null where it has none.
+    The first row of an item counts, by ``ord``."""
+    key = F.lower(F.trim(item))
+    one = dictionary.groupBy(key.alias("_k")).agg(F.min_by("sub_category", "ord").alias("sub_category"))
+    return rows.join(one, key == F.col("_k"), "left").drop("_k")
+
+
 def coverage(rows: DataFrame, key: str, value: str) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("n"), F.round(F.avg(F.col(value).isNotNull().cast("double")), 6).alias("covered")).orderBy(F.desc("n"), key)
 

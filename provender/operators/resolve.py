@@ -281,3 +281,16 @@ def without_references(candidates: DataFrame, gone: DataFrame) -> tuple[DataFram
     ids = gone.select(F.col("id").alias("_g")).distinct()
     hit = candidates.join(ids, (F.col("a") == F.col("_g")) | (F.col("b") == F.col("_g")), "left_semi")
     return candidates.join(hit, "candidate_id", "left_anti"), hit
+
+
+def change_log(before: DataFrame, after: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(key, what, column, old, new): a row for each value that a repair has changed, and one for each row that came or went; for
+    sources.csv.write_csv(). Keys are unique on either side."""
+    cells = lambda df: df.select(F.col(key), F.lit(True).alias("_here"), *(F.col(c).cast("string").alias(c) for c in columns))
+    both = cells(before).alias("x").join(cells(after).alias("y"), key, "full")
+    gone, new = F.col("y._here").isNull(), F.col("x._here").isNull()
+    entry = lambda what, column, old, to: F.struct(F.lit(what).alias("what"), F.lit(column).cast("string").alias("column"), old.alias("old"), to.alias("new"))
+    none = F.lit(None).cast("string")
+    changed = F.array_compact(F.array(*(F.when(~F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")), entry("changed", c, F.col(f"x.{c}"), F.col(f"y.{c}"))) for c in columns)))
+    rows = F.when(gone, F.array(entry("removed", None, none, none))).when(new, F.array(entry("added", None, none, none))).otherwise(changed)
+    return both.select(key, F.explode(rows).alias("e")).select(key, "e.*")

@@ -432,6 +432,17 @@ def repoint_candidates(spark, d):
     return resolve.repoint(q, merges)
 
 
+@query(f"""WITH {QUEUE_SQL}, n AS (SELECT candidate_id, least(CASE WHEN a % 10 = 3 THEN a - 1 ELSE a END, b) AS a, greatest(CASE WHEN a % 10 = 3 THEN a - 1 ELSE a END, b) AS b, status FROM q), k AS (SELECT * FROM n WHERE a <> b OR status <> 'pending'),
+l AS (SELECT q.candidate_id, q.a, q.b, k.candidate_id IS NULL AS gone, k.a AS na, k.b AS nb FROM q LEFT JOIN k USING (candidate_id))
+SELECT candidate_id, 'removed' AS what, NULL AS "column", NULL AS old, NULL AS new FROM l WHERE gone UNION ALL SELECT candidate_id, 'changed', 'a', a::VARCHAR, na::VARCHAR FROM l WHERE NOT gone AND a <> na
+UNION ALL SELECT candidate_id, 'changed', 'b', b::VARCHAR, nb::VARCHAR FROM l WHERE NOT gone AND b <> nb""")
+def repair_log(spark, d):
+    """What repointing has changed in the review queue."""
+    q = queue(spark, d)
+    merges = q.where("a % 10 = 3").select(F.col("a").alias("id"), (F.col("a") - 1).alias("keep")).distinct()
+    return resolve.change_log(q, resolve.repoint(q, merges), "candidate_id", ["a", "b", "status"])
+
+
 @query(f"""WITH {QUEUE_SQL}, pr AS (SELECT p_partkey AS id, p_name AS name FROM part), pu AS (SELECT p_partkey AS id, p_retailprice AS total_price FROM part WHERE p_partkey % 3 <> 0 UNION ALL SELECT p_partkey, 1.0 FROM part WHERE p_partkey % 5 = 0)
 SELECT candidate_id, q.a, q.b, status, score, x.name AS name_a, y.name AS name_b, u.total_price AS price_a, v.total_price AS price_b FROM q JOIN pr x ON x.id = q.a JOIN pr y ON y.id = q.b LEFT JOIN pu u ON u.id = q.a LEFT JOIN pu v ON v.id = q.b WHERE status = 'pending'""")
 def review_queue(spark, d):

@@ -64,3 +64,38 @@ def spend_share(spark, d):
     sums = agg.rows(spark, d).groupBy("campus").agg(F.sum("total_price").cast("double").alias("spend"))  # one row a campus
     everything = Window.partitionBy(F.lit(1))
     return sums.select("campus", "spend", F.round(F.col("spend") / F.sum("spend").over(everything), 8).alias("share"), F.rank().over(Window.orderBy(F.desc("spend"))).cast("long").alias("place"))
+
+
+_TITLES = ["croissant butter 6-Pk", "roll 2# dinner", "muffin 4 oz", "bagel plain", "pullman loaf", 'bun 6" long', "cookie 12.5oz", "tart"]
+TITLES_SQL = f"""s AS (SELECT p_partkey AS id, ([{', '.join("'" + t + "'" for t in _TITLES)}])[p_partkey % 8 + 1] AS title, CASE p_size % 4 WHEN 0 THEN 'dz' WHEN 1 THEN 'ea' WHEN 2 THEN 'pk' END AS pack, p_size AS quantity FROM part),
+map AS (SELECT DISTINCT title, length(title) / 32.0::DOUBLE AS lb FROM s WHERE length(title) % 2 = 1)"""
+
+
+def _titles(spark, d):
+    part = spark.read.parquet(f"{d}/part.parquet")
+    k = F.col("p_size") % 4
+    return part.select(F.col("p_partkey").alias("id"), F.element_at(F.array(*map(F.lit, _TITLES)), (F.col("p_partkey") % 8 + 1).cast("int")).alias("title"), F.when(k == 0, "dz").when(k == 1, "ea").when(k == 2, "pk").alias("pack"), F.col("p_size").alias("quantity"))
+
+
+@query(f"""WITH {TITLES_SQL} SELECT id, items AS items_per_pack, CASE WHEN contains(title, '#') THEN CAST(regexp_extract(title, '[0-9.]+') AS DOUBLE) WHEN contains(title, 'oz') THEN CAST(regexp_extract(title, '[0-9.]+') AS DOUBLE) / 16 END AS told_lb, split_part(title, ' ', 1) AS first_word, round(lb * (quantity * items), 2) AS weight_lbs
+FROM (SELECT *, CASE WHEN pack = 'dz' THEN 12 WHEN pack = 'pk' AND contains(title, '6-Pk') THEN 6 ELSE 1 END AS items FROM s) LEFT JOIN map USING (title)""")
+def title_weights(spark, d):
+    """A bakery sheet with the weights of its titles filled in."""
+    rows = _titles(spark, d)
+    mapping = rows.where(F.length("title") % 2 == 1).select("title", (F.length("title") / 32.0).alias("assumed_each_weight_lb"), legacy.title_group(F.col("title")).alias("weight_group_key")).distinct()
+    out = legacy.fill_weights(rows, mapping)
+    return out.select("id", "items_per_pack", legacy.told_weight_lb(F.col("title")).alias("told_lb"), F.split("title", " ")[0].alias("first_word"), "weight_lbs")
+
+
+@query(f"""WITH {TITLES_SQL} SELECT g AS weight_group_key, count(*) AS n FROM (SELECT CASE split_part(title, ' ', 1) WHEN 'pullman' THEN 'pullman_loaf' WHEN 'bun' THEN 'sandwich_roll_6in' WHEN 'tart' THEN 'unknown' ELSE split_part(title, ' ', 1) END AS g FROM s) GROUP BY g""")
+def title_groups(spark, d):
+    return _titles(spark, d).groupBy(legacy.title_group(F.col("title")).alias("weight_group_key")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH s AS (SELECT p_partkey AS id, ' ' || upper(p_type) AS item FROM part), d AS (SELECT lower(p_type) AS k, min(p_partkey) AS o FROM part WHERE p_type <> 'SMALL' GROUP BY ALL)
+SELECT id, CASE WHEN k IS NOT NULL THEN 'sub ' || length(k) END AS sub_category FROM s LEFT JOIN d ON lower(trim(item)) = k""")
+def subcategory_join(spark, d):
+    part = spark.read.parquet(f"{d}/part.parquet")
+    rows = part.select(F.col("p_partkey").alias("id"), F.concat(F.lit(" "), F.upper("p_type")).alias("item"))
+    known = part.where("p_type <> 'SMALL'").select(F.col("p_type").alias("item"), F.concat(F.lit("sub "), F.length("p_type").cast("string")).alias("sub_category"), F.col("p_partkey").alias("ord"))
+    return menu.with_subcategory(rows, known).select("id", "sub_category")

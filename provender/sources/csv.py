@@ -47,6 +47,11 @@ def read_wide_csv(spark: SparkSession, path: str, columns: list[str], *, skip: i
     return rows.where(F.col("ord") > skip).select(*(F.col(f"_c{i}").alias(n) for i, n in enumerate(columns)), "ord")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def load_dictionaries(spark: SparkSession, folder: str, present: set[str] | None = None) -> Dictionaries:
     """The weight dictionaries of a folder. Files are small tables of a few dozen rows that are compiled into expressions."""
     d = Dictionaries()
@@ -66,8 +71,9 @@ def load_dictionaries(spark: SparkSession, folder: str, present: set[str] | None
     for key in ("bordenaves", "bimbobakery"):
         if wanted(key):
             d.titles[key] = [(p, float(w)) for p, w in rows(f"{key}_weight_dictionary_by_title", "title", "assumed_each_weight_lb")]
-    if present is not None and "sysco_cross_campus" in present:  # optional: looked up by the upper-cased title
-        d.titles["sysco_cross_campus"] = [(p.upper(), float(w)) for p, w in rows("sysco_cross_campus_lookup", "title", "assumed_each_weight_lb")]
+    shared = "sysco_cross_campus_case_weight_lookup"
+    if present is None and exists(spark, f"{folder}/{shared}.csv") or present is not None and "sysco_cross_campus" in present:  # not every folder has it; looked up by the upper-cased title
+        d.titles["sysco_cross_campus"] = [(p.upper(), float(w)) for p, w in rows(shared, "title", "assumed_each_weight_lb")]
     for key in ("count_based_food", "sysco_ct_food", "ucr_count_food"):
         if wanted(key):
             d.counts[key] = [(p, float(w), f) for p, w, f in rows(f"{key}_dictionary", "pattern", "reference_weight_lb", "formula")]

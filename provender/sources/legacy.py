@@ -73,3 +73,38 @@ def search_sheet(wide: DataFrame, *, category: str | None = None, standard: str
 def beside(left: DataFrame, right: DataFrame, key: str = "row") -> DataFrame:
     """Two tables side by side by an explicit row number."""
     return left.join(right, key, "left")
+
+
+# Fixed values of the bakery sheet: items in a pack, and what a title says of its kind, the first that fits.
+PACKS = {"dz": 12, "ea": 1}
+TITLE_GROUPS = [("pullman", "pullman_loaf"), ("croissant", "croissant"), ("muffin", "muffin"), ("cookie", "cookie"), ("brownie", "brownie"), ("cake", "cake_slice"), ("danish", "danish"), ("scone", "scone"), ("donut|doughnut", "donut"), ("bagel", "bagel"), ('6"', "sandwich_roll_6in"), ('8"', "sandwich_roll_8in"), ("hamburger|burger", "hamburger_bun"), ("hot dog", "hotdog_bun"), ("roll", "roll"), ("bun", "bun")]
+
+
+def items_in_pack(pack: Column, title: Column) -> Column:
+    """A dozen, one, or the six that a pack's title tells of."""
+    out = F.when((pack == "pk") & title.contains("6-Pk"), 6)
+    for name, n in PACKS.items():
+        out = out.when(pack == name, n)
+    return out.otherwise(1)
+
+
+def told_weight_lb(title: Column) -> Column:
+    """The pounds that a title in small letters tells: a number before # or else before oz; of several numbers the first."""
+    first = F.regexp_extract(title, r"[0-9.]+", 0).try_cast("double")
+    return F.when(title.rlike(r"[0-9.]+\s*#"), first).when(title.rlike(r"[0-9.]+\s*oz"), first / 16)
+
+
+def title_group(title: Column) -> Column:
+    out = F.lit("unknown")
+    for pattern, group in reversed(TITLE_GROUPS):
+        out = F.when(title.rlike(pattern), group).otherwise(out)
+    return out
+
+
+def fill_weights(rows: DataFrame, mapping: DataFrame) -> DataFrame:
+    """A sheet of titles with the weights of a mapping filled in: rows (title, pack, quantity, ...), mapping (title, weight_group_key,
+    assumed_each_weight_lb). A title without a mapping keeps null weights; write the result with sources.csv.write_csv()."""
+    items = items_in_pack(F.col("pack"), F.col("title"))
+    out = rows.join(mapping, "title", "left").withColumn("items_per_pack", items)
+    out = out.withColumn("estimated_total_items", F.col("quantity") * F.col("items_per_pack"))
+    return out.withColumn("weight_lbs", F.round(F.col("assumed_each_weight_lb") * F.col("estimated_total_items"), 2))

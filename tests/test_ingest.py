@@ -100,7 +100,7 @@ def test_a_wide_header_below_junk_lines(spark, tmp_path):
 
 
 def test_optional_lookup_keywords_and_load_all(spark, tmp_path):
-    (tmp_path / "sysco_cross_campus_lookup.csv").write_text("title,assumed_each_weight_lb\nBeef Patty,3.5\n")
+    (tmp_path / "sysco_cross_campus_case_weight_lookup.csv").write_text("title,assumed_each_weight_lb\nBeef Patty,3.5\n")
     d = csv.load_dictionaries(spark, str(tmp_path), {"sysco_cross_campus"})
     assert spark.range(1).select(d.by_title("sysco_cross_campus", F.lit("BEEF PATTY")).alias("w")).first().w == 3.5
     (tmp_path / "k.csv").write_text("keyword,category\n Milk ,Dairy\n,x\nOat,Grain\n")
@@ -111,3 +111,22 @@ def test_optional_lookup_keywords_and_load_all(spark, tmp_path):
     (tmp_path / "food_groups.csv").write_text("simap_category,food_group\nBeef,Meat\nMilk,Dairy\n")
     want = {"campuses": 2, "certification_types": 1, "taxonomy": 1, "food_groups": 2}
     assert csv.load_all(spark, str(tmp_path), str(tmp_path / "out")) == want == csv.load_all(spark, str(tmp_path), str(tmp_path / "out"))
+
+
+def test_a_folder_with_all_files_loads_the_shared_lookup_by_default(spark, tmp_path):
+    each, piece = "pattern,assumed_each_weight_lb\nx,1\n", "pattern,reference_weight_lb,formula\nx,1,case\n"
+    for name in ("benjerrys", "kikkasushi", "espostos", "citybaking"):
+        (tmp_path / f"{name}_weight_dictionary.csv").write_text(each)
+    (tmp_path / "sysco_number10_can_dictionary.csv").write_text(each)
+    (tmp_path / "gal_density_dictionary.csv").write_text("pattern,density_lb_per_gal\nx,8.3\n")
+    for name in ("bordenaves", "bimbobakery"):
+        (tmp_path / f"{name}_weight_dictionary_by_title.csv").write_text("title,assumed_each_weight_lb\nBun,0.2\n")
+    for name in ("count_based_food", "sysco_ct_food", "ucr_count_food"):
+        (tmp_path / f"{name}_dictionary.csv").write_text(piece)
+    assert "sysco_cross_campus" not in csv.load_dictionaries(spark, str(tmp_path)).titles
+    (tmp_path / "sysco_cross_campus_case_weight_lookup.csv").write_text("title,assumed_each_weight_lb,human_confirmed\nSAUSAGE TURKEY PTY CKD 1.6OZ,10,True\n")
+    d = csv.load_dictionaries(spark, str(tmp_path))
+    row = "Item,Name,Purchase Unit,Units, Total Spend ,Vendor,VON,Sustainability,Sustainability Link,Plant-Based? Y/N,Cost Category\n1,SAUSAGE TURKEY PTY CKD 1.6OZ,CASE,\"651\",\"28512.30\",Sysco,123,,,,\n"
+    (tmp_path / "r.csv").write_text(row)
+    got = ingest.riverside(csv.read_text_csv(spark, str(tmp_path / "r.csv")), d).first()
+    assert (got.total_weight_lbs, got.weight_source) == (6510.0, "reference_table_tier3")
