@@ -4,6 +4,7 @@ templates, sentences and notices."""
 
 from __future__ import annotations
 
+import functools
 import math
 import random
 import re
@@ -29,12 +30,15 @@ TEMPLATES = {
     ],
     "bsd": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Licensed under the BSD {n}-Clause License.",
         "SPDX-License-Identifier: BSD-{n}-Clause",
     ],
     "gpl": [
         "This work is licensed under the GNU General Public License, version {n}.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version {n} of the License, or (at your option) any later version.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version {n} as published by the Free Software Foundation.",
+        "You should have received a copy of the GNU General Public License along with this program.",
         "SPDX-License-Identifier: GPL-{n}-or-later",
     ],
     "lgpl": [
@@ -65,9 +69,47 @@ TEMPLATES = {
     "cc-by": ["Licensed under CC BY {n}.", "This work is licensed under a Creative Commons Attribution {n} International License."],
     "cc-by-sa": ["Licensed under CC BY-SA {n}.", "This work is licensed under a Creative Commons Attribution-ShareAlike {n} International License."],
     "cc-by-nc": ["Licensed under CC BY-NC {n}.", "This work is licensed under a Creative Commons Attribution-NonCommercial {n} International License."],
+    "cc-by-nd": ["Licensed under CC BY-ND {n}.", "This work is licensed under a Creative Commons Attribution-NoDerivatives {n} International License."],
+    "cc-by-nc-sa": ["Licensed under CC BY-NC-SA {n}.", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike {n} International License."],
+    "cc-by-nc-nd": ["Licensed under CC BY-NC-ND {n}.", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives {n} International License."],
     "cc0": ["Dedicated to the public domain under CC0 {n}.", "To the extent possible under law, the author has waived all copyright and related rights to this work. SPDX-License-Identifier: CC0-{n}"],
     "proprietary": ["All rights reserved.", "Copyright {x}. All rights reserved.", "This document is confidential and proprietary; no part may be reproduced without prior written permission."],
 }
+# How each family is called, and its SPDX identifiers.
+NAMES = {
+    "apache": ["Apache", "Apache {n}", "Apache License {n}", "Apache License, Version {n}", "Apache Software License", "ASL {n}"],
+    "mit": ["MIT", "MIT/X11", "Expat"],
+    "bsd": ["BSD", "BSD {n}-Clause", "{n}-Clause BSD", "New BSD", "Simplified BSD", "Modified BSD", "BSD-style"],
+    "gpl": ["GPL", "GPLv2", "GPLv3", "GPL v{n}", "GPL, version {n}", "GNU GPL", "GNU GPLv2", "GNU GPLv3", "GNU GPL version {n}", "GNU General Public License", "GNU General Public License v{n}", "GNU General Public License, version {n}"],
+    "lgpl": ["LGPL", "LGPLv2", "LGPLv3", "LGPL version {n}", "GNU LGPL", "GNU LGPL version {n}", "GNU Lesser General Public License", "GNU Lesser General Public License, version {n}", "GNU Library General Public License"],
+    "agpl": ["AGPL", "AGPLv3", "AGPL version {n}", "GNU AGPL", "GNU AGPLv3", "GNU Affero General Public License", "GNU Affero General Public License, version {n}"],
+    "epl": ["EPL", "EPL {n}", "Eclipse Public License", "Eclipse Public License {n}", "Eclipse Public License, version {n}"],
+    "isc": ["ISC"],
+    "mpl": ["MPL", "MPL {n}", "MPLv2", "Mozilla Public License", "Mozilla Public License {n}", "Mozilla Public License, version {n}"],
+    "cc-by": ["CC BY {n}", "Creative Commons Attribution {n}", "Creative Commons Attribution {n} International License"],
+    "cc-by-sa": ["CC BY-SA {n}", "Creative Commons Attribution-ShareAlike {n}", "Creative Commons Attribution Share Alike {n}"],
+    "cc-by-nc": ["CC BY-NC {n}", "Creative Commons Attribution-NonCommercial {n}", "Creative Commons Attribution Non Commercial {n}"],
+    "cc-by-nd": ["CC BY-ND {n}", "Creative Commons Attribution-NoDerivatives {n}", "Creative Commons Attribution-NoDerivs {n}"],
+    "cc-by-nc-sa": ["CC BY-NC-SA {n}", "Creative Commons Attribution-NonCommercial-ShareAlike {n}"],
+    "cc-by-nc-nd": ["CC BY-NC-ND {n}", "Creative Commons Attribution-NonCommercial-NoDerivatives {n}", "Creative Commons Attribution-NonCommercial-NoDerivs {n}"],
+    "cc0": ["CC0", "CC0 {n}", "Creative Commons Zero {n}", "CC0 {n} Universal"],
+}
+SPDX = {
+    "apache": ["Apache-{n}"], "mit": ["MIT"], "bsd": ["BSD-{n}-Clause"], "gpl": ["GPL-{n}", "GPL-{n}-only", "GPL-{n}-or-later"], "lgpl": ["LGPL-{n}", "LGPL-{n}-only", "LGPL-{n}-or-later"], "agpl": ["AGPL-{n}", "AGPL-{n}-only", "AGPL-{n}-or-later"],
+    "epl": ["EPL-{n}"], "isc": ["ISC"], "mpl": ["MPL-{n}"], "cc-by": ["CC-BY-{n}"], "cc-by-sa": ["CC-BY-SA-{n}"], "cc-by-nc": ["CC-BY-NC-{n}"], "cc-by-nd": ["CC-BY-ND-{n}"], "cc-by-nc-sa": ["CC-BY-NC-SA-{n}"], "cc-by-nc-nd": ["CC-BY-NC-ND-{n}"], "cc0": ["CC0-{n}"],
+}
+
+
+def short_forms(family: str) -> list[str]:
+    """What a short notice of a family can't do without, whatever verb it begins with."""
+    out = []
+    for name in NAMES.get(family, []):
+        out += [f"under the {name}" if "license" in name.lower() else f"under the {name} license", f"licensed under {name}", f"License: {name}"]
+        if len(name) < 9:
+            out.append(f"{name} licensed")
+    return out + [f"SPDX-License-Identifier: {x}" for x in SPDX.get(family, [])]
+
+
 #: Sentences that speak of such matters without being a notice; they and shuffled words teach the unknown class.
 OTHERS = [
     "You need a driving licence to rent a car in this country.",
@@ -90,6 +132,13 @@ STRANGERS = [
     "This font is licensed under the SIL Open Font License, Version 1.1.",
     "You may use this program under the terms of the Example Community Agreement, version 2.",
     "This software is provided under the Microsoft Public License.",
+    "Licensed under the Academic License.",
+    "Available under the Open Database License.",
+    "License: Beerware",
+    "Released under the Unlicense.",
+    "Licensed under the Example License, version 3.0.",
+    "SPDX-License-Identifier: Zlib",
+    "Provided under the terms of the CeCILL License.",
     "The images are offered under the Free Art License 1.3.",
     "Use of this file is governed by the Python Software Foundation License.",
 ]
@@ -144,6 +193,11 @@ class Model:
     templates: tuple[tuple[str, frozenset[str]], ...]
 
 
+def spelled(text: str) -> str:
+    """One spelling of the word that all notices have."""
+    return text.replace("licence", "license")
+
+
 def grams(words: list[str]) -> list[str]:
     """Distinct words and pairs of neighbours; numbers are one word, as versions and years say nothing of the family."""
     w = ["0" if x.isdigit() else x for x in words]
@@ -155,9 +209,9 @@ def _examples(seed: int) -> list[tuple[str, str]]:
     fill = lambda t: t.replace("{n}", rnd.choice(["1", "1.1", "2", "2.0", "3", "3.0", "4.0", ""])).replace("{x}", rnd.choice(["2019 A. Holder", "(c) 2024 Example Ltd", "the authors"]))
     noise = lambda: "".join(rnd.choice("aeioulnrst") for _ in range(rnd.randrange(2, 9)))
     pool = [w for ts in TEMPLATES.values() for t in ts for w in re.findall(_WORD, t.lower())]
-    for _ in range(12):
+    for k in range(12):
         for family, ts in TEMPLATES.items():
-            for t in ts:
+            for t in ts + (short_forms(family) if k % 3 == 0 else []):
                 text = fill(t)
                 around = [noise() for _ in range(rnd.choice([0, 0, 4, 30]))]
                 cut = rnd.randrange(len(around) + 1)
@@ -171,20 +225,21 @@ def _examples(seed: int) -> list[tuple[str, str]]:
 
 def template_grams(template: str) -> frozenset[str]:
     """The n-grams of a template; none goes over a gap for a holder."""
-    parts = template.lower().replace("{n}", "2").split("{x}")
+    parts = spelled(template.lower()).replace("{n}", "2").split("{x}")
     return frozenset(g for part in parts for g in grams(re.findall(_WORD, part)))
 
 
-def train(*, seed: int = 7, least: float = 0.5, penalty: float = 1e-3, steps: int = 400) -> Model:
+@functools.lru_cache(maxsize=4)
+def train(*, seed: int = 7, least: float = 0.5, penalty: float = 1e-3, steps: int = 250) -> Model:
     """Multinomial logistic regression on examples made of the templates (a fixed, bounded set), L1-pruned to few n-grams.
 
     The temperature is fitted on CALIBRATION, notices and sentences in other words, so that the probabilities, the unknown
-    class's among them, are calibrated on what the training hasn't made. Deterministic.
+    class's among them, are calibrated on what the training hasn't made. Deterministic; a driver trains once.
     """
     families = (*sorted(TEMPLATES), UNKNOWN)
-    made = [(grams(re.findall(_WORD, t.lower())), families.index(f)) for t, f in _examples(seed)]
-    templates = tuple((f, template_grams(t)) for f in sorted(TEMPLATES) for t in TEMPLATES[f])
-    known = [g for _, g in templates] + [grams(re.findall(_WORD, t.lower())) for t in STRANGERS]
+    made = [(grams(re.findall(_WORD, spelled(t.lower()))), families.index(f)) for t, f in _examples(seed)]
+    templates = tuple(dict.fromkeys((f, template_grams(t)) for f in sorted(TEMPLATES) for t in TEMPLATES[f] + short_forms(f)))
+    known = [g for _, g in templates] + [grams(re.findall(_WORD, spelled(t.lower()))) for t in STRANGERS]
     vocabulary = {g: i for i, g in enumerate(sorted(set().union(*known)))}
 
     def matrix(rows):
@@ -202,7 +257,11 @@ def train(*, seed: int = 7, least: float = 0.5, penalty: float = 1e-3, steps: in
     x, y = matrix(made), np.eye(len(families))[[f for _, f in made]]
     w, b = np.zeros((len(vocabulary), len(families))), np.zeros(len(families))
     vw, vb, t = w.copy(), b.copy(), 1.0
-    top = np.linalg.norm(x, 2) ** 2 / (2 * len(x)) + 0.5
+    v = np.ones(x.shape[1])
+    for _ in range(40):  # the largest singular value
+        v = x.T @ (x @ v)
+        v /= np.linalg.norm(v)
+    top = 1.05 * np.linalg.norm(x @ v) ** 2 / (2 * len(x)) + 0.5
     for _ in range(steps):  # FISTA
         r = (soft(x @ vw + vb) - y) / len(x)
         nw = vw - x.T @ r / top
@@ -211,7 +270,7 @@ def train(*, seed: int = 7, least: float = 0.5, penalty: float = 1e-3, steps: in
         nt = (1 + (1 + 4 * t * t) ** 0.5) / 2
         vw, vb = nw + (t - 1) / nt * (nw - w), nb + (t - 1) / nt * (nb - b)
         w, b, t = nw, nb, nt
-    fresh = [(grams(re.findall(_WORD, t.lower())), families.index(f)) for t, f in CALIBRATION]
+    fresh = [(grams(re.findall(_WORD, spelled(t.lower()))), families.index(f)) for t, f in CALIBRATION]
     z, true = matrix(fresh) @ w + b, [f for _, f in fresh]
     losses = {s: -np.log(soft(z / s)[np.arange(len(true)), true] + 1e-12).mean() for s in np.linspace(0.3, 3, 28).tolist()}
     kept = {g: tuple(w[i].tolist()) for g, i in vocabulary.items() if np.abs(w[i]).max() > 1e-6}
@@ -232,7 +291,7 @@ def _needed(templates, confirm: float) -> str:
     for _, gs in templates:
         own = sorted((w for w in gs if " " not in w), key=lambda w: (w == "0", w in COMMON, -len(w), w))
         words.update("[0-9]+" if w == "0" else w for w in own[: len(gs) - math.ceil(confirm * len(gs) - 1e-9) + 1])
-    return rf"(?<![a-z0-9])(?:{'|'.join(sorted(words))})(?![a-z0-9])"
+    return rf"(?<![a-z0-9])(?:{'|'.join(sorted(words))})(?![a-z0-9])".replace("license", "licen[cs]e")
 
 
 #: The end of a line that goes on in the next: not the end of a sentence, and no blank line after it.
@@ -261,7 +320,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mod
     blocks = texts.select("row", "doc_id", F.posexplode(F.split(F.regexp_replace("text", WRAP, "\u0001"), "\n")).alias("paragraph", "block")).where(F.col("block").rlike(needed))
     units = F.when(F.contains("block", F.lit("\u0001")), F.concat(F.array("block"), F.split("block", "\u0001"))).otherwise(F.array("block"))
     lines = blocks.select("row", "doc_id", "paragraph", F.posexplode(units).alias("unit", "line")).where(F.col("line").rlike(needed))
-    words = F.regexp_extract_all("line", F.lit(_WORD), F.lit(0))
+    words = F.regexp_extract_all(F.replace("line", F.lit("licence"), F.lit("license")), F.lit(_WORD), F.lit(0))
     exploded = lines.select("row", "doc_id", "paragraph", "unit", F.explode(_column_grams(words)).alias("gram"))
     n = len(model.families)
     index: dict[str, list[int]] = {}
@@ -280,8 +339,10 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mod
     out = out.withColumn("family", F.element_at(fixed(model.families), F.array_position("z", F.col("most")).cast("int")))
     out = out.withColumn("probability", F.round(1.0 / F.aggregate("z", F.lit(0.0), lambda total, v: total + F.exp(v - F.col("most"))), 6))
     out = out.where((F.col("family") != UNKNOWN) & (F.col("probability") >= model.least))
-    of, sizes = fixed([f for f, _ in model.templates]), fixed([len(gs) for _, gs in model.templates])
-    share = F.transform(places(len(model.templates)), lambda i: F.when(of[i] == F.col("family"), F.size(F.filter("hs", lambda h: F.array_contains(h["templates"], i))) / sizes[i]).otherwise(0.0))
+    # the templates of a family lie side by side
+    order, sizes = [f for f, _ in model.templates], fixed([len(gs) for _, gs in model.templates])
+    first, last = (F.element_at(fixed([ends(i for i, f in enumerate(order) if f == g) if g in order else 0 for g in model.families]), F.array_position(fixed(model.families), F.col("family")).cast("int")) for ends in (min, max))
+    share = F.transform(F.sequence(first, last), lambda i: F.size(F.filter("hs", lambda h: F.array_contains(h["templates"], i))) / sizes[i])
     out = out.withColumn("similarity", F.round(F.array_max(share), 6))
     sure = out.where(F.col("similarity") >= confirm).select("row", "doc_id", "paragraph", "family", F.struct("probability", "similarity").alias("m"))
     return sure.groupBy("row", "doc_id", "paragraph", "family").agg(F.max("m").alias("m")).select("doc_id", "paragraph", "family", "m.*")
