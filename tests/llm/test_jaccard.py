@@ -45,7 +45,7 @@ def test_equals_all_pairs_also_where_many_share_a_shingle(spark):
     want = sorted(zip(ids, plain_components(ids, [plain_set(t) for t in texts])))
     df = spark.createDataFrame(list(zip(texts, ids)), "text string, doc_id long")
     assert 20 < len({c for _, c in want}) < len(want) - 50
-    for how in ({}, {"group": 2, "rounds": 1}):
+    for how in ({}, {"rounds": 2, "group": 2, "tries": 1, "parts": (3, 1)}, {"rounds": 0, "parts": (1,)}):
         assert sorted(tuple(r) for r in jaccard.near_copies(df, **how).collect()) == want
 
 
