@@ -72,8 +72,8 @@ def settle(df: DataFrame) -> DataFrame:
 
 
 def discard(*frames: DataFrame) -> None:
-    """Deletes what settle() has written for these frames, once nothing reads them any more."""
-    for df in frames:
+    """Deletes what settle() has written for these frames, once nothing reads them any more; other frames are left alone."""
+    for df in (f for f in frames if hasattr(f, "_settled")):
         _drop(df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration(), df._settled)
 
 
