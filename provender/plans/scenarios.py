@@ -151,10 +151,10 @@ def _solved(spark, d):
     return lp.solve(_base(spark, d), SCOPE, "least_cost", bounds=TIGHT)
 
 
-@query(f"{PLAN_SQL} SELECT campus, fiscal_year, category, food_group, in_optimization, round(optimized_weight_lbs, 4) AS optimized_weight_lbs, round(optimized_spend, 4) AS optimized_spend, round(optimized_sustainable_spend, 4) AS optimized_sustainable_spend FROM plan")
+@query(f"{PLAN_SQL} SELECT campus, fiscal_year, category, food_group, in_optimization, {', '.join(f'CAST(round(CAST({c} AS DECIMAL(28,6)), 3) AS DOUBLE) AS {c}' for c in ('optimized_weight_lbs', 'optimized_spend', 'optimized_sustainable_spend'))} FROM plan")
 def lp_least_cost(spark, d):
     amounts = ("optimized_weight_lbs", "optimized_spend", "optimized_sustainable_spend")
-    return _solved(spark, d).select(*SCOPE, "category", "food_group", "in_optimization", *(F.round(c, 4).alias(c) for c in amounts))
+    return _solved(spark, d).select(*SCOPE, "category", "food_group", "in_optimization", *(F.round(F.col(c).cast("decimal(28,6)"), 3).cast("double").alias(c) for c in amounts))
 
 
 MOVERS_SQL = f"""{PLAN_SQL}, m AS (SELECT *, baseline_sustainable_spend / nullif(baseline_spend, 0) * 100 AS b0, optimized_sustainable_spend / nullif(optimized_spend, 0) * 100 AS b1, sum(baseline_spend) OVER (PARTITION BY campus, fiscal_year) AS everything FROM plan),
