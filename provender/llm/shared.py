@@ -54,8 +54,9 @@ def _drop(jvm, conf, path: str) -> None:
 def settle(df: DataFrame) -> DataFrame:
     """df written as Parquet in the shared folder and read again.
 
-    Unlike checkpoint() this runs df once. Lost executors lose nothing of it. Shuffle files of the run go with its end, as
-    nothing can ask for them again; the Parquet files go when the driver ends.
+    Lost executors lose nothing of it. Unlike a checkpoint's, later reads take only the columns and row groups that they need, and
+    shuffle files of the run go with its end, as nothing can ask for them again. The Parquet files go when the driver ends, or
+    with discard().
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/settled-{uuid.uuid4().hex}"
