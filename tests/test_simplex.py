@@ -98,3 +98,10 @@ def test_a_stopped_search_says_so():
     search = s.Search()
     assert s.whole(np.array([1.0]), np.array([[1.0]]), np.array([1.0]), np.array([2.0]), np.zeros(1), np.ones(1) * 3, most=0, search=search) is None
     assert search.status == "unfinished"
+
+
+def test_a_limit_beside_eighths_is_taken_as_it_is():
+    """62.5 * (1 - 0.07) is a little less than 58.125 as a double, so 465 eighths are over it."""
+    most = 62.5 * (1 - 0.07)
+    x = s.whole(np.array([-1.0, 0.0]), np.array([[1.0, 1.0], [0.125, 0.0]]), np.array([465.0, -INF]), np.array([465.0, most]), np.zeros(2), np.full(2, 500.0))
+    assert most < 58.125 and x.tolist() == [464.0, 1.0]
