@@ -58,9 +58,9 @@ def plan(dishes: pd.DataFrame, goal: str, *, cut: float = 0.0, low: float = 0.5,
     lo, hi = np.where(np.isnan(cap), np.ceil(x0 * low), 0.0), np.where(np.isnan(cap), np.floor(x0 * high), np.nan_to_num(cap))
     search = search or Search()
 
-    def best_of(of, rows):
+    def best_of(of, rows, start=None):
         a, row_low, row_high = zip((np.ones(len(x0)), x0.sum(), x0.sum()), *rows)
-        return whole(of, np.array(a), np.array(row_low), np.array(row_high), lo, hi, most=most, gap=gap * abs(of @ x0), search=search)
+        return whole(of, np.array(a), np.array(row_low), np.array(row_high), lo, hi, most=most, gap=gap * abs(of @ x0), search=search, start=start)
 
     if goal == "cost":
         return best_of(cost, [(green, green @ x0, math.inf)])
@@ -69,7 +69,7 @@ def plan(dishes: pd.DataFrame, goal: str, *, cut: float = 0.0, low: float = 0.5,
     if goal == "sustainable" or best is None:
         return best
     first = search.status
-    out = best_of(ghg, [within, (green, green @ best - 1e-6, math.inf)])
+    out = best_of(ghg, [within, (green, green @ best - 1e-6, math.inf)], best)
     if out is None:  # the plan of the first step is one of the second's
         search.status = "feasible"
         return best
@@ -103,15 +103,17 @@ def plans(dishes: DataFrame, scope: list[str], goals: dict[str, tuple[str, float
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ingredient")
-        out = []
-        for name, (goal, cut) in goals.items():
+        freqs, states = [], []
+        for goal, cut in goals.values():
             search = Search()
             try:
                 freq = plan(rows, goal, cut=cut, search=search)
             except InfeasibleScenario:
                 freq, search.status = None, "infeasible"
-            out.append(rows[[*scope, "ingredient"]].assign(scenario=name, freq=np.nan if freq is None else freq, status=search.status))
-        return pd.concat(out)
+            freqs.append(np.full(len(rows), np.nan) if freq is None else freq)
+            states.append(search.status)
+        out = {c: np.tile(rows[c].to_numpy(), len(goals)) for c in [*scope, "ingredient"]}
+        return pd.DataFrame({**out, "scenario": np.repeat(list(goals), len(rows)), "freq": np.concatenate(freqs), "status": np.repeat(states, len(rows))})
 
     # groups are small but their work isn't, so they are not left to be drawn together by size
     tasks = int(dishes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
