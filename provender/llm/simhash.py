@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provender.llm.jaccard import near_copies
+from provender.llm.jaccard import WORDS, near_copies
 from provender.llm.shared import components, settle
 
 
@@ -174,10 +174,21 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return fps.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
+def likely_copies(docs: DataFrame, *, words: int = WORDS, radius: int = 4) -> DataFrame:
+    """Spanning links (a, b) between the ids of docs (doc_id, text) whose fingerprints are within ``radius`` bits, or equal."""
+    fps = settle(fingerprints(docs, words=words).where("doc_id is not null"))
+    reps = settle(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    same = fps.join(reps, "fp").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    return settle(links(reps, radius=radius).unionByName(same))
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
     """The pipeline's stage: of each group the document of the smallest id stays, with its columns. Rows that share that id
-    all stay, and so do rows without an id, which can't be told from each other. Groups are near copies by their real
-    similarity (jaccard.near_copies): fingerprints of 64 bits are some 10 bits apart at 0.8, which no bands reach."""
-    near = near_copies(docs)
+    all stay, and so do rows without an id, which can't be told from each other.
+
+    Fingerprints of five-word shingles name the likely copies, and their whole sets of shingles judge each link (similarity 0.8). At 0.8
+    fingerprints are some 10 bits apart, which no bands reach, so the exact join (jaccard.near_copies) adds the links
+    that they miss."""
+    near = near_copies(docs, first_links=likely_copies(docs.select("doc_id", "text")))
     kept = docs.join(near.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct(), "doc_id", "left_semi")
     return kept.select(docs.columns).unionByName(docs.where("doc_id is null"))

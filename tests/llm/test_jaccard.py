@@ -61,3 +61,12 @@ def test_stage_drops_copies_that_fingerprints_miss(spark):
     assert not similar(plain_set(rows[0][1]), plain_set(rows[2][1]))
     kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [(False, 0), (False, 2), (True, None)]
+
+
+def test_wrong_first_links_make_no_links(spark):
+    texts = corpus()
+    ids = [1000 - 3 * i for i in range(len(texts))]
+    want = sorted(zip(ids, plain_components(ids, [plain_set(t) for t in texts])))
+    df = spark.createDataFrame(list(zip(texts, ids)), "text string, doc_id long")
+    likely = spark.createDataFrame([(a, b) for a, b in zip(ids, ids[1:])] + [(ids[0], ids[0])], "a long, b long")
+    assert sorted(tuple(r) for r in jaccard.near_copies(df, group=2, rounds=2, first_links=likely).collect()) == want

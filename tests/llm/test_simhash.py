@@ -110,3 +110,14 @@ def test_empty_table_and_stage(spark):
     docs = spark.createDataFrame([(2, "a b c d e f", "x"), (1, "A b c d e f", "y"), (3, "z", "z"), (None, "z", "n")], "doc_id long, text string, lang string")
     kept = simhash.keep_first(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3]
+
+
+def test_stage_takes_its_first_links_from_fingerprints(spark, monkeypatch):
+    rnd = random.Random(5)
+    base = " ".join("".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(400))
+    docs = spark.createDataFrame([(1, base), (2, base + " end"), (3, "something else here that is not alike at all"), (4, base), (None, base)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in simhash.likely_copies(docs).collect()) == [(1, 2), (1, 4)]
+    asked = []
+    whole = simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *a, **k: asked.append(1) or whole(*a, **k))
+    assert sorted(r.doc_id or 0 for r in simhash.keep_first(docs).collect()) == [0, 1, 3] and asked
