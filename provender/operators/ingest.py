@@ -75,27 +75,35 @@ def _standard(raw: DataFrame, weight: Column, **columns: Column) -> DataFrame:
     return rows.select(*(known[c].alias(c) for c in STANDARD), *([F.col("ord")] if "ord" in raw.columns else []))
 
 
+def _parsed(raw: DataFrame, **columns: Column) -> tuple[DataFrame, dict[str, Column]]:
+    """raw with what is read from its cells as columns, so that rules that mention it don't parse anew; and the columns by name."""
+    return raw.withColumns({f"_{k}": v for k, v in columns.items()}), {k: F.col(f"_{k}") for k in columns}
+
+
 def _reported(weight: Column) -> Column:
     """A weight of zero is no weight."""
     return cascade((F.nullif(t.plain_number(weight), F.lit(0.0)), REPORTED))
 
 
 def berkeley(raw: DataFrame, d: Dictionaries) -> DataFrame:
-    vendor, name, pack = _get("Distributor"), t.clean(_get("Product Name or Description ")), _get("Pack size")
-    amount = t.strip(F.regexp_replace(_get(" Quantity sold "), ",", ""))
-    qty = t.plain_number(amount)
-    stated, unit = t.number(amount, r"([\d.]+)\s*([A-Za-z]+)", 1), F.lower(t.group(amount, r"([\d.]+)\s*([A-Za-z]+)", 2))
+    cells = {"vendor": _get("Distributor"), "name": t.clean(_get("Product Name or Description ")), "pack": _get("Pack size"), "amount": t.strip(F.regexp_replace(_get(" Quantity sold "), ",", ""))}
+    raw, c = _parsed(raw, **cells)
+    vendor, name, pack, amount = (c[k] for k in cells)
     only = lambda names, w: F.when(vendor.isin(names), w)
     upper = F.upper(t.strip(pack))
-    units, pieces = t.pack_units(pack), t.number(pack, r"(?i)(\d+)\s*ct\b")
-    ounces, wet = t.each_ounces_lb(name), ~name.rlike(t.NON_FOOD_VOLUME)
-    in_case = F.when((vendor == "Sysco") & upper.endswith("CT"), pieces)
+    pieces, dry = t.number(pack, r"(?i)(\d+)\s*ct\b"), only(["Daylight Foods", "Peets", "JFC"], name)
+    raw, c = _parsed(
+        raw, qty=t.plain_number(amount), stated=t.number(amount, r"([\d.]+)\s*([A-Za-z]+)", 1), unit=F.lower(t.group(amount, r"([\d.]+)\s*([A-Za-z]+)", 2)), upper=upper, units=t.pack_units(pack), pieces=pieces, ounces=t.each_ounces_lb(name),
+        wet=~name.rlike(t.NON_FOOD_VOLUME), in_case=F.when((vendor == "Sysco") & upper.endswith("CT"), pieces), pack_lb=only(["Sysco", "Pacific Seafood", "Bimbo Bakery"], t.pack_size_lb(pack)), named_lb=t.name_case_lb(dry),
+        gallons=t.gallons(only(["Daylight Foods"], name)), named=t.name_count(only(["Daylight Foods"], name)), density=d.by_pattern("gal_density", name),
+    )
+    qty, stated, unit, upper, units, pieces, ounces, wet, in_case = (c[k] for k in ("qty", "stated", "unit", "upper", "units", "pieces", "ounces", "wet", "in_case"))
     counted = F.coalesce(d.by_count("count_based_food", name, in_case), d.by_count("sysco_ct_food", name, in_case))
     weight = cascade(
         (F.when(unit == "lb", stated).when(unit == "oz", stated / 16.0).when(unit == "kg", stated * 2.20462), REPORTED),
-        (only(["Sysco", "Pacific Seafood", "Bimbo Bakery"], t.pack_size_lb(pack) * qty), COMPUTED),
+        (c["pack_lb"] * qty, COMPUTED),
         (only(["Allen Brothers", "Cream Co"], qty), COMPUTED),
-        (only(["Daylight Foods", "Peets", "JFC"], t.name_case_lb(name) * qty), COMPUTED),
+        (c["named_lb"] * qty, COMPUTED),
         (only(["Bordanaves"], d.by_title("bordenaves", name) * t.pack_multiplier(pack, name) * qty), TABLE),
         (only(["Ben & Jerry's"], ounces * units * qty), COMPUTED),
         (only(["Ben & Jerry's"], d.by_pattern("benjerrys", name) * units * qty), TABLE),
@@ -104,11 +112,11 @@ def berkeley(raw: DataFrame, d: Dictionaries) -> DataFrame:
         (only(["Espostos"], d.by_pattern("espostos", name) * qty), TABLE),
         (only(["City Baking"], d.by_pattern("citybaking", name) * F.when(pack.rlike(r"^\s*[+-]?\d+\s*$"), t.plain_number(pack)) * qty), TABLE),
         (F.when((vendor == "Sysco") & (upper == "#10"), d.by_pattern("sysco_number10_can", name) * qty), TABLE),
-        (F.when((vendor == "Sysco") & wet, d.by_pattern("gal_density", name) * t.number(pack, r"(?i)([\d.]+)\s*GAL") * qty), TABLE),
-        (F.when((vendor == "Daylight Foods") & wet, d.by_pattern("gal_density", name) * t.gallons(name)["value"] * qty), TABLE),
+        (F.when((vendor == "Sysco") & wet, c["density"] * t.number(pack, r"(?i)([\d.]+)\s*GAL") * qty), TABLE),
+        (F.when((vendor == "Daylight Foods") & wet, c["density"] * c["gallons"]["value"] * qty), TABLE),
         (ounces * in_case * qty, COMPUTED),
         (F.when(in_case != 1, counted * qty), TABLE),
-        (only(["Daylight Foods"], d.by_count("count_based_food", name, t.name_count(name)["value"]) * qty), TABLE),
+        (only(["Daylight Foods"], d.by_count("count_based_food", name, c["named"]["value"]) * qty), TABLE),
     )
     price = t.currency(_get(" Extended Price "))
     for who, what, fixed in PRICE_FIXES:
@@ -161,29 +169,28 @@ def santa_cruz(raw: DataFrame, d: Dictionaries) -> DataFrame:
 
 def riverside(raw: DataFrame, d: Dictionaries) -> DataFrame:
     raw = drop_rollups(raw, "Purchase Unit", "Item")
-    name, vendor, price = t.clean(_get("Name")), _get("Vendor"), t.currency(_get(" Total Spend "))
-    units = t.plain_number(_get("Units"))
-    unit = F.regexp_replace(F.upper(t.strip(_get("Purchase Unit"))), r"\*+$", "")
+    raw, c = _parsed(raw, name=t.clean(_get("Name")), vendor=_get("Vendor"), price=t.currency(_get(" Total Spend ")), units=t.plain_number(_get("Units")), unit=F.regexp_replace(F.upper(t.strip(_get("Purchase Unit"))), r"\*+$", ""))
+    name, vendor, price, units, unit = (c[k] for k in ("name", "vendor", "price", "units", "unit"))
+    raw, c = _parsed(
+        raw, per_case=t.number(unit, r"^(\d+(?:\.\d+)?)\s*/\s*CS$"), in_name=t.name_weight(name), ounces=t.each_ounces_lb(name), wet=~name.rlike(t.NON_FOOD_VOLUME), tray=t.number(unit, r"^(\d+)CT\*?$"), sure=F.coalesce(F.when(unit == "DOZ", 12.0), t.number(unit, r"^(\d+)\s*CT\*?(?:-CS)?$")),
+        gallons=t.gallons(name), liters=t.liters_as_gallons(name), grams=t.grams_as_pounds(name), density=d.by_pattern("gal_density", name), counted=t.name_count(name), packed=t.number(unit, r"^CS(\d+)$"),
+    )
     at_least = lambda w: F.when(w >= t.MIN_CASE_LB, w)
-    per_case = t.number(unit, r"^(\d+(?:\.\d+)?)\s*/\s*CS$")
+    per_case, in_name, ounces, wet, gallons, liters, grams, density, n = (c[k] for k in ("per_case", "in_name", "ounces", "wet", "gallons", "liters", "grams", "density", "counted"))
     case = F.when(unit.isin(SINGLE_UNITS), 1.0).otherwise(per_case)
-    in_name, ounces, wet = t.name_weight(name), t.each_ounces_lb(name), ~name.rlike(t.NON_FOOD_VOLUME)
     shape, value = in_name["shape"], in_name["value"]
-    other = F.when(name.rlike("(?i)LE CHEF") & unit.isin("TRY", "TRAY"), 6.0).otherwise(t.number(unit, r"^(\d+)CT\*?$"))
+    other = F.when(name.rlike("(?i)LE CHEF") & unit.isin("TRY", "TRAY"), 6.0).otherwise(c["tray"])
     cheap = lambda w: t.plausible(w, price)
-    gallons, liters, grams = t.gallons(name), t.liters_as_gallons(name), t.grams_as_pounds(name)
     whole = lambda s, mult: F.when(s["shape"] == "chain", s["value"]).when(s["shape"] == "bare", s["value"] * mult)
     unit_gallons = F.when(unit == "GAL", 1.0).otherwise(F.coalesce(t.number(unit, rf"^({t.NUMBER})\s*/\s*({t.NUMBER})\s*GAL$", 1) * t.number(unit, rf"^({t.NUMBER})\s*/\s*({t.NUMBER})\s*GAL$", 2), t.number(unit, rf"^({t.NUMBER})\s*GAL$")))
-    density = d.by_pattern("gal_density", name)
     each = F.when(unit == "EACH", 1.0).otherwise(per_case)
     gram_lb = whole(grams, each)
     gram_lb = F.when(((grams["shape"] == "chain") | (each != 1.0)) & (gram_lb < t.MIN_CASE_LB), F.lit(None)).otherwise(gram_lb)
     can = F.when(name.rlike(r"#10\b") & ~name.isin(NOT_CANS), F.coalesce(per_case, t.number(name, r"(\d+)\s*/\s*#10\b"), F.lit(1.0)))
     # counts: the name's own; else, without one, what the unit says
-    n = t.name_count(name)
     counted = F.when(n["shape"] == "chain", n["value"]).when(n["shape"] != "none", n["value"] * F.coalesce(per_case, F.lit(1.0)))
-    sure = F.coalesce(F.when(unit == "DOZ", 12.0), t.number(unit, r"^(\d+)\s*CT\*?(?:-CS)?$"))
-    guess = F.coalesce(per_case, t.number(unit, r"^CS(\d+)$"), F.when(F.upper(name).contains("LE CHEF") & unit.isin("TRY", "TRAY"), 6.0))
+    sure = c["sure"]
+    guess = F.coalesce(per_case, c["packed"], F.when(F.upper(name).contains("LE CHEF") & unit.isin("TRY", "TRAY"), 6.0))
     bare = F.when(unit.isin("EACH", "LOAF"), 1.0)
     tables = d.counts.get("sysco_ct_food", []) + d.counts.get("ucr_count_food", [])
 

@@ -41,7 +41,9 @@ class Layout:
                     out = F.when(F.col("p_partkey") % len(self.cases) == n, F.concat(F.lit(""), *(parts[x] if named else F.lit(x) for named, x in self._pieces(case[i])))).otherwise(out)
             return out
 
-        return table(spark, d, "part").select(F.col("p_partkey").alias("ord"), *(cell(i).alias(header) for i, (_, header) in enumerate(self.columns)))
+        # few files are few tasks, and a row's cases cost as much as its rules
+        part = table(spark, d, "part").select("p_partkey", "p_name", "p_size").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+        return part.select(F.col("p_partkey").alias("ord"), *(cell(i).alias(header) for i, (_, header) in enumerate(self.columns)))
 
     def sql(self) -> str:
         parts = {"b": "upper(p_name)", "s": "p_size", "k": "(p_partkey % 7 + 1)"}

@@ -130,3 +130,13 @@ def test_a_folder_with_all_files_loads_the_shared_lookup_by_default(spark, tmp_p
     (tmp_path / "r.csv").write_text(row)
     got = ingest.riverside(csv.read_text_csv(spark, str(tmp_path / "r.csv")), d).first()
     assert (got.total_weight_lbs, got.weight_source) == (6510.0, "reference_table_tier3")
+
+
+def test_exports_of_parts_are_dealt_to_all_tasks(spark, tmp_path):
+    """One file of parts was one task, with all cases and rules in it."""
+    from provender.plans import loading
+
+    spark.createDataFrame([(i, "old gear", i % 50) for i in range(100)], "p_partkey long, p_name string, p_size int").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    for query, n in ((loading.load_vendor_rules, 100), (loading.load_purchase_units, 96)):
+        made = query(spark, str(tmp_path))
+        assert made.count() == n and made.rdd.getNumPartitions() == 4
