@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from provender.llm import pii
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -143,3 +145,15 @@ def test_columns_of_the_users_own_names(spark):
     got = pii.sanitise(docs)
     assert got.schema == docs.schema
     assert sorted(map(tuple, got.collect())) == [(1, "mail <email>", "h", [1], "x", 3), (2, "none", None, None, "y", 4)]
+
+
+def test_common_words_do_not_meet_every_text(spark, monkeypatch):
+    """A word of all texts came up to the last count; now a part of the texts tells that it is too common."""
+    asked = []
+    small = pii._small
+    monkeypatch.setattr(pii, "_small", lambda df, rule: asked.append({r.term for r in df.collect()}) or small(df, rule))
+    rows = [(i, f"alpha{'bcd'[i]} common secretly {'bcd'[i]}left mail a@b.cc {'bcd'[i]}right end") for i in range(3)] + [(i, "common words " + "".join("abcdefghij"[int(c)] for c in str(i))) for i in range(10, 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_hash", F.xxhash64("text"))
+    got = {r.term: r.share for r in pii.revealing_terms(pii.base_spans(docs, F.col("text"))).collect()}
+    assert got.keys() == {"secretly", "mail", "end"} and set(got.values()) == {0.75}
+    assert "common" in asked[0] and "common" not in asked[-1] and "secretly" in asked[-1]
