@@ -188,21 +188,30 @@ def unclassified_spend(rows: DataFrame, scope: list[str]) -> DataFrame:
 def merge_purchases(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Purchases of merged products per key: sums, the weakest tier of rows that have a weight, first vendor, brands joined by ", " and
     source reports by "; ", a zero total as null. A key of one row keeps that row as it is."""
-    at = F.struct(*order)
-    one = F.count("*") == 1
-    kept = lambda c, merged: F.when(one, F.first(c)).otherwise(merged)
-    money, weight = F.sum(F.col("total_price").cast("decimal(18,2)")).cast("double"), F.sum(F.col("total_weight_lbs").cast("decimal(18,4)")).cast("double")
-    listed = lambda c, sep: F.nullif(F.array_join(F.array_sort(F.collect_set(F.nullif(c, F.lit("")))), sep), F.lit(""))
-    reports = [kept("source_report_id", listed("source_report_id", "; ")).alias("source_report_id")] if "source_report_id" in rows.columns else []
-    return rows.groupBy(*keys).agg(
-        F.when(one, money).otherwise(F.nullif(money, F.lit(0.0))).alias("total_price"),
-        F.when(one, weight).otherwise(F.nullif(weight, F.lit(0.0))).alias("total_weight_lbs"),
-        kept("weight_source", tier_name(F.coalesce(F.max(F.when(F.col("total_weight_lbs").isNotNull(), tier_rank(F.col("weight_source")))), F.lit(len(TIERS) - 1)))).alias("weight_source"),
-        kept("vendor", F.min_by("vendor", F.when(F.coalesce(F.col("vendor"), F.lit("")) != "", at))).alias("vendor"),
-        kept("brand", listed("brand", ", ")).alias("brand"),
-        *reports,
+    one = F.col("n_rows") == 1
+    blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    lists = [("brand", ", "), *([("source_report_id", "; ")] if "source_report_id" in rows.columns else [])]
+    # of strings a group holds little: of one row its source is the least, its brand the only one and its vendor the first, blank or not
+    sums = rows.groupBy(*keys).agg(
+        F.sum(F.col("total_price").cast("decimal(18,2)")).cast("double").alias("_price"),
+        F.sum(F.col("total_weight_lbs").cast("decimal(18,4)")).cast("double").alias("_weight"),
+        F.min("weight_source").alias("_source"),
+        F.max(F.when(F.col("total_weight_lbs").isNotNull(), tier_rank(F.col("weight_source")))).alias("_tier"),
+        F.min_by("vendor", F.struct(blank("vendor"), *order)).alias("_vendor"),
+        *(F.collect_set(c).alias(f"_{c}") for c, _ in lists),
         F.count("*").alias("n_rows"),
     )
+    total = lambda c: F.when(one, F.col(c)).otherwise(F.nullif(c, F.lit(0.0)))
+    listed = lambda c, sep: F.nullif(F.array_join(F.sort_array(F.array_remove(c, "")), sep), F.lit(""))
+    return sums.select(
+        *keys,
+        total("_price").alias("total_price"),
+        total("_weight").alias("total_weight_lbs"),
+        F.when(one, F.col("_source")).otherwise(tier_name(F.coalesce("_tier", F.lit(len(TIERS) - 1)))).alias("weight_source"),
+        F.when(one | ~blank("_vendor"), F.col("_vendor")).alias("vendor"),
+        *(F.when(one, F.get(f"_{c}", F.lit(0))).otherwise(listed(f"_{c}", sep)).alias(c) for c, sep in lists),
+        "n_rows",
+    )
 
 
 def first_per_key(rows: DataFrame, keys: list[str], order: list) -> DataFrame:

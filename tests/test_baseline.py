@@ -1,9 +1,9 @@
-"""Medians of counted values against a plain sort."""
+"""Medians of counted values against a plain sort; purchases of merged products."""
 
 import random
 import statistics
 
-from provender.operators.baseline import exact_median, flag_outliers
+from provender.operators.baseline import exact_median, flag_outliers, merge_purchases
 
 
 def test_exact_median_over_steps(spark):
@@ -22,3 +22,26 @@ def test_outliers_of_a_hot_group_and_missing_numbers(spark):
     assert out.count() == len(rows) and out.columns == [*df.columns, "price_outlier"]
     assert [tuple(r) for r in out.where("price_outlier").collect()] == [("a", 1e6, 1.0, "reported", True)]
     assert flag_outliers(df.limit(0), ["g"]).count() == 0
+
+
+def _merged(spark):
+    """Groups by k: one row as it is, blanks and unknown sources and all; several rows; nothing but blanks."""
+    rows = [
+        (1, 1, 0.0, 0.0, "guess", "", "", "r"), (2, 1, None, None, None, None, None, None), (3, 3, 1.0, 2.0, "reported", "late", "b", "r2"),
+        (3, 1, 2.0, None, "unresolved", "", "a", "r1"), (3, 2, 3.0, 4.0, "computed_tier2", "first", "", "r2"), (3, 4, 4.0, 1.0, "reported", None, "b", None),
+        (4, 1, 0.0, None, "reported", "", "", ""), (4, 2, 0.0, None, "reported", None, None, ""),
+    ]
+    df = spark.createDataFrame(rows, "k long, at long, total_price double, total_weight_lbs double, weight_source string, vendor string, brand string, source_report_id string")
+    return merge_purchases(df, ["k"], ["at"])
+
+
+def test_merged_purchases_of_one_and_of_several_rows(spark):
+    assert sorted(tuple(r) for r in _merged(spark).collect()) == [
+        (1, 0.0, 0.0, "guess", "", "", "r", 1), (2, None, None, None, None, None, None, 1),
+        (3, 10.0, 7.0, "computed_tier2", "first", "a, b", "r1; r2", 4), (4, None, None, "unresolved", None, None, None, 2),
+    ]
+
+
+def test_merged_purchases_hold_few_strings_a_group(spark):
+    plan = _merged(spark)._jdf.queryExecution().optimizedPlan().toString()
+    assert "first(" not in plan and plan.count("collect_set(") == 2 and "array_sort(" not in plan and "lambda" not in plan
