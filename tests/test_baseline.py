@@ -1,9 +1,10 @@
-"""Medians of counted values against a plain sort; purchases of merged products."""
+"""Medians of counted values against a plain sort; purchases of merged products and the view they come from."""
 
 import random
 import statistics
 
 from provender.operators.baseline import exact_median, flag_outliers, merge_purchases
+from provender.sources import star
 
 
 def test_exact_median_over_steps(spark):
@@ -45,3 +46,18 @@ def test_merged_purchases_of_one_and_of_several_rows(spark):
 def test_merged_purchases_hold_few_strings_a_group(spark):
     plan = _merged(spark)._jdf.queryExecution().optimizedPlan().toString()
     assert "first(" not in plan and plan.count("collect_set(") == 2 and "array_sort(" not in plan and "lambda" not in plan
+
+
+def test_purchase_lines_meet_few_tables(spark):
+    """Lines go through a join by order, one by part and one by supplier; customers and nations meet the orders, of which there are fewer."""
+
+    def joins_above(plan, column):
+        if plan.children().isEmpty():
+            return 0 if f"{column}#" in plan.toString() else None
+        below = [joins_above(plan.children().apply(i), column) for i in range(plan.children().size())]
+        found = [n for n in below if n is not None]
+        return found[0] + (plan.nodeName() == "Join") if found else None
+
+    plan = star.purchases(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()
+    assert joins_above(plan, "l_linenumber") == 3
+    assert joins_above(plan, "c_nationkey") == 5
