@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -9,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from provender.operators.halves import Halves
 from provender.operators.simplex import InfeasibleScenario, Search, whole
 
 # Fixed value: the portion of a new dish of this category, pounds.
@@ -52,30 +54,51 @@ def plan(dishes: pd.DataFrame, goal: str, *, cut: float = 0.0, low: float = 0.5,
     figure. The search runs to its proof; ``most`` branches stop it only where that is asked for, and ``search`` then says how it
     ended. None if it was stopped without a plan.
     """
-    x0 = dishes["baseline_freq"].to_numpy(float)
-    cost, green, ghg = (dishes[c].to_numpy(float) for c in ("cost", "sus_cost", "ghg"))
-    cap = dishes["cap"].to_numpy(float) if "cap" in dishes else np.full(len(x0), np.nan)
-    lo, hi = np.where(np.isnan(cap), np.ceil(x0 * low), 0.0), np.where(np.isnan(cap), np.floor(x0 * high), np.nan_to_num(cap))
-    search = search or Search()
-
-    def best_of(of, rows, start=None):
-        a, row_low, row_high = zip((np.ones(len(x0)), x0.sum(), x0.sum()), *rows)
-        return whole(of, np.array(a), np.array(row_low), np.array(row_high), lo, hi, most=most, gap=gap * abs(of @ x0), search=search, start=start)
-
-    if goal == "cost":
-        return best_of(cost, [(green, green @ x0, math.inf)])
-    within = (cost, -math.inf, cost @ x0 * (1 - cut))
-    best = best_of(-green, [within])
-    if goal == "sustainable" or best is None:
-        return best
-    first = search.status
-    out = best_of(ghg, [within, (green, green @ best - 1e-6, math.inf)], best)
-    if out is None:  # the plan of the first step is one of the second's
-        search.status = "feasible"
-        return best
-    if first != "optimal":
-        search.status = first
-    return out
+    return Menu.of(dishes, low, high).plan(goal, cut, gap, most, search)
+
+
+class Menu:
+    """The figures of one menu's dishes, for one goal after the other."""
+
+    def __init__(self, x0, cost, green, ghg, low, high):
+        self.figures = (x0, cost, green, ghg, low, high)
+        self.x0, self.cost, self.green, self.ghg, self.low, self.high = self.figures
+
+    @staticmethod
+    def of(dishes: pd.DataFrame, low: float = 0.5, high: float = 1.5) -> Menu:
+        x0, cost, green, ghg = (dishes[c].to_numpy(float) for c in ("baseline_freq", "cost", "sus_cost", "ghg"))
+        cap = dishes["cap"].to_numpy(float) if "cap" in dishes else np.full(len(x0), np.nan)
+        return Menu(x0, cost, green, ghg, np.where(np.isnan(cap), np.ceil(x0 * low), 0.0), np.where(np.isnan(cap), np.floor(x0 * high), np.nan_to_num(cap)))
+
+    @functools.cached_property
+    def halves(self) -> Halves | None:
+        return Halves.of(self.cost, self.green, self.low, self.high, float(self.x0.sum()))
+
+    def _best_of(self, of, rows, gap, most, search, start=None):
+        a, row_low, row_high = zip((np.ones(len(self.x0)), self.x0.sum(), self.x0.sum()), *rows)
+        return whole(of, np.array(a), np.array(row_low), np.array(row_high), self.low, self.high, most=most, gap=gap * abs(of @ self.x0), search=search, start=start)
+
+    def plan(self, goal: str, cut: float, gap: float = 1e-6, most: int | None = None, search: Search | None = None) -> np.ndarray | None:
+        x0, cost, green, search = self.x0, self.cost, self.green, search or Search()
+        halves = self.halves if most is None else None
+        if goal == "cost":
+            return halves.cheapest(green @ x0) if halves else self._best_of(cost, [(green, green @ x0, math.inf)], gap, most, search)
+        limit = cost @ x0 * (1 - cut)
+        if halves and goal == "ghg":
+            out = halves.cleanest(limit, self.ghg)
+            if out is not None:
+                return out
+        best = halves.greenest(limit) if halves else self._best_of(-green, [(cost, -math.inf, limit)], gap, most, search)
+        if goal == "sustainable" or best is None:
+            return best
+        first = search.status
+        out = self._best_of(self.ghg, [(cost, -math.inf, limit), (green, green @ best - 1e-6, math.inf)], gap, most, search, best)
+        if out is None:  # the plan of the first step is one of the second's
+            search.status = "feasible"
+            return best
+        if first != "optimal":
+            search.status = first
+        return out
 
 
 def with_new_dish(dishes: DataFrame, scope: list[str], name: str, category: str, *, conventional_price_lb: float, sustainable_price_lb: float, cap: int, ghg: DataFrame, default_sus: str = "Yes") -> tuple[DataFrame, DataFrame]:
@@ -94,30 +117,55 @@ def with_new_dish(dishes: DataFrame, scope: list[str], name: str, category: str,
 
 
 def plans(dishes: DataFrame, scope: list[str], goals: dict[str, tuple[str, float]]) -> DataFrame:
-    """(scope, ingredient, scenario, freq, status): every goal for every menu, each in its own group of some dozen dishes.
+    """(scope, ingredient, scenario, freq, status): every goal for every menu of some dozen dishes. Menus go through a task one after the
+    other.
 
     Status 'optimal' is proven, 'feasible' a plan that the search ended with before its proof, 'infeasible' a proof that
     there is none, 'unfinished' neither; the last two have null frequencies.
     """
     kinds = {f.name: f.dataType.simpleString() for f in dishes.schema}
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ingredient")
-        freqs, states = [], []
-        for goal, cut in goals.values():
-            search = Search()
-            try:
-                freq = plan(rows, goal, cut=cut, search=search)
-            except InfeasibleScenario:
-                freq, search.status = None, "infeasible"
-            freqs.append(np.full(len(rows), np.nan) if freq is None else freq)
-            states.append(search.status)
+    def starts(rows: pd.DataFrame) -> np.ndarray:
+        keys = rows[scope]
+        other = (keys.ne(keys.shift()) & ~(keys.isna() & keys.shift().isna())).any(axis=1).to_numpy()
+        other[0] = True
+        return np.flatnonzero(other)
+
+    def solved(rows: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
+        size = np.diff(np.append(first, len(rows)))
+        whole_table, freq, status = Menu.of(rows), np.full((len(goals), len(rows)), np.nan), np.full((len(goals), len(first)), "optimal", object)
+        for m, (i, n) in enumerate(zip(first, size)):
+            one = Menu(*(f[i : i + n] for f in whole_table.figures))
+            for g, (goal, cut) in enumerate(goals.values()):
+                search = Search()
+                try:
+                    found = one.plan(goal, cut, search=search)
+                except InfeasibleScenario:
+                    found, search.status = None, "infeasible"
+                if found is not None:
+                    freq[g, i : i + n] = found
+                status[g, m] = search.status
         out = {c: np.tile(rows[c].to_numpy(), len(goals)) for c in [*scope, "ingredient"]}
-        return pd.DataFrame({**out, "scenario": np.repeat(list(goals), len(rows)), "freq": np.concatenate(freqs), "status": np.repeat(states, len(rows))})
-
-    # groups are small but their work isn't, so they are not left to be drawn together by size
+        return pd.DataFrame({**out, "scenario": np.repeat(list(goals), len(rows)), "freq": freq.ravel(), "status": status.repeat(size, axis=1).ravel()})
+
+    def run(batches):
+        rest = None  # a menu may go on in the next batch
+        for rows in batches:
+            if not len(rows):
+                continue
+            rows = rows if rest is None else pd.concat([rest, rows], ignore_index=True)
+            first = starts(rows)
+            if len(first) > 1:
+                yield solved(rows.iloc[: first[-1]], first[:-1])
+            rest = rows.iloc[first[-1] :]
+        if rest is not None:
+            yield solved(rest, np.zeros(1, int))
+
+    # groups are small but their work isn't, so they are not left to be drawn together by size. The exchange goes by a column of its own:
+    # one by the scope is left out over inputs that seem to have it, and joins changed at run time then cut menus
     tasks = int(dishes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dishes.repartition(tasks, *scope).groupBy(*scope).applyInPandas(one, ", ".join(f"{c} {kinds[c]}" for c in scope) + ", ingredient string, scenario string, freq double, status string")
+    menus = dishes.withColumn("_menu", F.xxhash64(*scope)).repartition(tasks, "_menu").sortWithinPartitions(*scope, "ingredient").drop("_menu")
+    return menus.mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in scope) + ", ingredient string, scenario string, freq double, status string")
 
 
 def contributions(dishes: DataFrame, freq: DataFrame) -> DataFrame:
