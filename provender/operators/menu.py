@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from provender.operators.halves import Halves
+from provender.operators.halves import Halves, all_plans
 from provender.operators.simplex import InfeasibleScenario, Search, whole
 
 # Fixed value: the portion of a new dish of this category, pounds.
@@ -118,7 +118,7 @@ def with_new_dish(dishes: DataFrame, scope: list[str], name: str, category: str,
 
 def plans(dishes: DataFrame, scope: list[str], goals: dict[str, tuple[str, float]]) -> DataFrame:
     """(scope, ingredient, scenario, freq, status): every goal for every menu of some dozen dishes. Menus go through a task one after the
-    other.
+    other, those of few plans many at once.
 
     Status 'optimal' is proven, 'feasible' a plan that the search ended with before its proof, 'infeasible' a proof that
     there is none, 'unfinished' neither; the last two have null frequencies.
@@ -134,17 +134,23 @@ def plans(dishes: DataFrame, scope: list[str], goals: dict[str, tuple[str, float
     def solved(rows: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
         size = np.diff(np.append(first, len(rows)))
         whole_table, freq, status = Menu.of(rows), np.full((len(goals), len(rows)), np.nan), np.full((len(goals), len(first)), "optimal", object)
-        for m, (i, n) in enumerate(zip(first, size)):
-            one = Menu(*(f[i : i + n] for f in whole_table.figures))
-            for g, (goal, cut) in enumerate(goals.values()):
-                search = Search()
-                try:
-                    found = one.plan(goal, cut, search=search)
-                except InfeasibleScenario:
-                    found, search.status = None, "infeasible"
-                if found is not None:
-                    freq[g, i : i + n] = found
-                status[g, m] = search.status
+        for n in np.unique(size):
+            menus = np.flatnonzero(size == n)
+            at = first[menus][:, None] + np.arange(n)
+            fits, best = all_plans(*(f[at] for f in whole_table.figures), list(goals.values()))
+            freq[:, at[fits]] = best[:, fits]
+            status[:, menus[fits]] = np.where(np.isnan(best[:, fits, 0]), "infeasible", "optimal")
+            for m, i in zip(menus[~fits], at[~fits, 0]):
+                one = Menu(*(f[i : i + n] for f in whole_table.figures))
+                for g, (goal, cut) in enumerate(goals.values()):
+                    search = Search()
+                    try:
+                        found = one.plan(goal, cut, search=search)
+                    except InfeasibleScenario:
+                        found, search.status = None, "infeasible"
+                    if found is not None:
+                        freq[g, i : i + n] = found
+                    status[g, m] = search.status
         out = {c: np.tile(rows[c].to_numpy(), len(goals)) for c in [*scope, "ingredient"]}
         return pd.DataFrame({**out, "scenario": np.repeat(list(goals), len(rows)), "freq": freq.ravel(), "status": status.repeat(size, axis=1).ravel()})
 

@@ -69,3 +69,46 @@ def test_other_menus_are_left_to_the_general_search():
     x0 = np.array([4.0, 6.0, 5.0])
     for cost, green in (([1.5, 2.0, 3.0], [1.0, 0, 3.0]), ([np.pi, 2.0, 3.0], [0, 2.0, 0]), ([np.nan, 2.0, 3.0], [0, 2.0, 0])):
         assert menu.Menu(x0, np.array(cost), np.array(green), np.ones(3), np.ceil(x0 / 2), np.floor(x0 * 1.5)).halves is None
+
+
+def test_all_plans_at_once():
+    """Each menu was searched by itself, some milliseconds each."""
+    done = 0
+    rows = list(menus(300, 4))
+    for n in range(1, 6):
+        some = [m for m in rows if len(m[0]) == n]
+        fits, freq = menu.all_plans(*map(np.stack, zip(*some)), GOALS, at_once=200)
+        for i, figures in enumerate(some):
+            assert fits[i] == ((figures[1] * 8 % 1 == 0) & (figures[3] * 8 % 1 == 0)).all()
+            for g, (goal, cut) in enumerate(GOALS if fits[i] else []):
+                of, want, allowed = best(figures, goal, cut)
+                assert np.isnan(freq[g, i]).all() if want is None else tuple(freq[g, i]) in allowed and of @ freq[g, i] == want
+                done += 1
+    assert done > 500
+    assert not menu.all_plans(*(np.array([v]) for v in ([30.0] * 9, [1.0] * 9, [0.0] * 9, [1.0] * 9, [15.0] * 9, [45.0] * 9)), GOALS)[0].any()
+
+
+def test_menus_go_on_in_the_next_batch(spark):
+    """Batches cut menus anywhere; a null hall is a menu of its own."""
+    rng = np.random.default_rng(6)
+    rows = [(None if h == 3 else h, f"d{i:02}", int(rng.integers(1, 12)), c, c * (i % 2), float(rng.integers(1, 30)) / 8) for h in range(9) for i, c in enumerate((rng.integers(4, 40, (2, 5, 9)[h % 3]) / 4).tolist())]
+    dishes = spark.createDataFrame(rows, "hall int, ingredient string, baseline_freq int, cost double, sus_cost double, ghg double")
+    goals = {"a": ("cost", 0.0), "b": ("ghg", 0.02)}
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+        got = menu.plans(dishes, ["hall"], goals).toPandas()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert len(got) == 2 * len(rows) and got["hall"].isna().sum() == 4
+    every = pd.DataFrame(rows, columns=dishes.columns)
+    for h, one in every.fillna({"hall": -1}).groupby("hall"):
+        for name, (goal, cut) in goals.items():
+            mine = got[(got["hall"].fillna(-1) == h) & (got["scenario"] == name)].sort_values("ingredient")
+            of = one["cost" if goal == "cost" else "ghg"].to_numpy()
+            try:
+                want = menu.plan(one, goal, cut=cut) @ of
+            except InfeasibleScenario:
+                assert (mine["status"] == "infeasible").all() and mine["freq"].isna().all()
+                continue
+            assert (mine["status"] == "optimal").all() and mine["ingredient"].tolist() == one["ingredient"].tolist() and mine["freq"].to_numpy() @ of == want
