@@ -112,3 +112,11 @@ def test_menus_go_on_in_the_next_batch(spark):
                 assert (mine["status"] == "infeasible").all() and mine["freq"].isna().all()
                 continue
             assert (mine["status"] == "optimal").all() and mine["ingredient"].tolist() == one["ingredient"].tolist() and mine["freq"].to_numpy() @ of == want
+
+
+def test_plans_of_the_details_are_searched_once(spark):
+    """The sort reads its rows twice, to find its ranges; plans were searched each time."""
+    from provender.plans import scenarios
+
+    plan = scenarios.menu_deliverable_details(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "InPandas" not in plan and "Sort" in plan
